@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, mixing, secrets, simhash, tokens, toxicity
+from tidewatch.llm import chat, decontaminate, embeddings, htmltext, mixing, phrases, secrets, simhash, tokens, toxicity
 from tidewatch.llm._common import table
 
 
@@ -19,6 +19,15 @@ def op2_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.digest(phrases.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+def op4_html_tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return htmltext.extract(pages, htmltext.fit(pages))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -27,6 +36,10 @@ def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.training_order(table(spark, sf_dir, "documents"))
 
 
+def op7_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "rate", "copies")
@@ -39,6 +52,17 @@ def op9_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), F.col("toxic_score").alias("score"), cut_off.cast("int").alias("predicted"), F.col("toxic").alias("over_language_threshold"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_ownership, op2_bm25_decontamination, op5_simhash_near_dedup, op6_training_order, op8_entropy_mixing, op9_toxicity_cnn)}
+def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_secret_ownership, op2_bm25_decontamination, op3_phrase_automata, op4_html_tree_model, op5_simhash_near_dedup,
+        op6_training_order, op7_inverted_multi_index, op8_entropy_mixing, op9_toxicity_cnn, op10_perspective_rotation,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others train a model, follow links of any length, hash texts or find values of no fixed form.
+ORACLE_SQL: dict[str, str] = {"op10_perspective_rotation": chat.ORACLE_SQL}
