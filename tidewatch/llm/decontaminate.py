@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -17,7 +18,9 @@ TOKEN = re.compile(r"\w+")
 K1, B = 1.2, 0.75
 SHINGLE = 5
 #: Items in a block of a posting list; each block knows its largest weight.
-BLOCK = 16
+BLOCK = 4
+#: A term in more blocks than this is bounded by its largest weight alone.
+LIGHT = 64
 
 
 def words(text: str | None) -> list[str]:
@@ -34,14 +37,14 @@ class Index:
     """An inverted index of some test items. The weight of a term in an item is its BM25 share of what the item scores
     against itself, so the score of a passage is in 0..1 and one threshold serves items of any length."""
 
-    def __init__(self, items: list[tuple[int, list[str], int, float]], idf: dict[str, float], mean: float):
-        """items: (id, words, length of the question, -), by length."""
+    def __init__(self, items: list[tuple[int, list[str], int]], idf: dict[str, float], mean: float):
+        """items: (id, words, length of the question), by length."""
         self.terms = {t: i for i, t in enumerate(sorted(idf))}
         self.ids = [x[0] for x in items]
         self.longest = max(len(x[1]) for x in items)
         lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
         self.question, self.answer = [], []
-        for n, (_, ws, cut_at, *_) in enumerate(items):
+        for n, (_, ws, cut_at) in enumerate(items):
             tf: dict[str, int] = defaultdict(int)
             for w in ws:
                 tf[w] += 1
@@ -54,81 +57,118 @@ class Index:
             self.answer.append(shingles(ids[cut_at:]))
         self.whole = [shingles([self.terms[w] for w in x[1]]) for x in items]
         self.posts = {t: ([p[0] for p in v], [p[1] for p in v]) for t, v in lists.items()}
-        self.blocks = {t: [max(v[i : i + BLOCK]) for i in range(0, len(v), BLOCK)] for t, (_, v) in self.posts.items()}
         self.most = np.zeros(len(self.terms) + 1)
         for t, (_, v) in self.posts.items():
             self.most[t] = max(v)
-
-    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All items that score the threshold or more against the distinct terms, by block-max WAND."""
-        most, posts, blocks = self.most, self.posts, self.blocks
-        cursors = [[posts[t][0][0], 0, t] for t in terms]
-        found = []
+        # The block maxima of all terms in one piece: those of term t lie at first[t]:first[t + 1].
+        self.n_blocks = -(-len(items) // BLOCK)
+        heavy = {t: dict.fromkeys(n // BLOCK for n in at) for t, (at, _) in self.posts.items()}
+        top = {t: [max(w for n, w in zip(*self.posts[t], strict=True) if n // BLOCK == b) for b in own] if len(own) <= LIGHT else [] for t, own in heavy.items()}
+        sizes = [len(top[t]) for t in range(len(self.terms))]
+        self.first = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64), [sum(sizes)]])
+        self.block = np.fromiter((b for t in range(len(self.terms)) if top[t] for b in heavy[t]), np.int64, sum(sizes))
+        self.top = np.fromiter((x for t in range(len(self.terms)) for x in top[t]), np.float64, sum(sizes))
+        self.light = np.array([0.0 if top[t] else self.most[t] for t in range(len(self.terms))] + [0.0])
+
+    def search(self, terms: list[int], live: list[int], threshold: float) -> list[tuple[int, float]]:
+        """All items that score the threshold or more against the distinct terms, by block-max WAND. live: the blocks whose
+        maxima let them; cursors skip the others."""
+        most, posts = self.most, self.posts
+        found: list[tuple[int, float]] = []
+        cursors: list[list] = []
+        left = 0
+
+        def moved(p: int, t: int, goal: int) -> list | None:
+            at = posts[t][0]
+            p = bisect_left(at, goal, p)
+            return [at[p], p, t] if p < len(at) else None
+
+        def next_live(goal: int) -> int | None:
+            nonlocal left
+            while left < len(live) and (live[left] + 1) * BLOCK <= goal:
+                left += 1
+            return max(goal, live[left] * BLOCK) if left < len(live) else None
+
+        goal = next_live(0)
+        if goal is None:
+            return found
+        cursors = [c for t in terms if (c := moved(0, t, goal))]
         while cursors:
             cursors.sort()
             bound, pivot = 0.0, -1
-            for i, (_, _, t) in enumerate(cursors):
-                bound += most[t]
-                if bound >= threshold:
+            for i, c in enumerate(cursors):
+                bound += most[c[2]]
+                if bound >= threshold - 1e-12:
                     pivot = i
                     break
             if pivot < 0:
                 break
             item = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
-                pivot += 1
-            if sum(blocks[t][p // BLOCK] if d == item else most[t] for d, p, t in cursors[: pivot + 1]) >= threshold - 1e-12:
+            goal = next_live(item)
+            if goal is None:
+                break
+            if goal == item:
                 if cursors[0][0] == item:
-                    score = sum(posts[t][1][p] for _, p, t in cursors[: pivot + 1])
+                    score = 0.0
+                    for d, p, t in cursors:
+                        if d != item:
+                            break
+                        score += posts[t][1][p]
                     if score >= threshold:
                         found.append((item, score))
-                    goal = item + 1
-                else:
-                    goal = item
-            else:  # the blocks there can't reach the threshold for this item
-                goal = item + 1
-            rest = []
-            for i, (d, p, t) in enumerate(cursors):
-                if i <= pivot and d < goal:
-                    at = posts[t][0]
-                    p += 1
-                    while p < len(at) and at[p] < goal:
-                        p += 1
-                    if p == len(at):
-                        continue
-                    d = at[p]
-                rest.append([d, p, t])
-            cursors = rest
+                    goal = next_live(item + 1)
+                    if goal is None:
+                        break
+            cursors = [c if c[0] >= goal else moved(c[1], c[2], goal) for c in cursors]
+            cursors = [c for c in cursors if c]
         return found
 
-    def hits(self, text: str | None, threshold: float, overlap: float) -> list[tuple[int, float, float, float, int]]:
-        """(item, score, question overlap, answer overlap, first word of the passage) for the text's best passage of each
-        item. Passages are as long as twice the longest item and begin at every multiple of its length, so any run of
-        words as long as an item lies whole in one."""
-        ws = words(text)
-        none = len(self.terms)
-        ids = np.fromiter((self.terms.get(w, none) for w in ws), np.int64, len(ws))
-        bound = np.concatenate([[0.0], np.cumsum(self.most[ids])])
-        step = self.longest
-        starts = np.arange(0, max(1, len(ws) - step), step)
-        stops = np.minimum(starts + 2 * step, len(ws))
-        best: dict[int, tuple] = {}
-        for a, b in zip(starts[bound[stops] - bound[starts] >= threshold - 1e-9], stops[bound[stops] - bound[starts] >= threshold - 1e-9], strict=True):
-            part = ids[a:b].tolist()
-            terms = set(part)
-            terms.discard(none)
-            if self.most[list(terms)].sum() < threshold - 1e-9:
-                continue
-            found = self.search(sorted(terms), threshold)
-            if not found:
-                continue
-            there = shingles(part)
-            for item, score in found:
-                share = lambda want: len(want & there) / len(want) if want else 1.0
-                q, w, all_ = share(self.question[item]), share(self.answer[item]), share(self.whole[item])
-                if all_ >= overlap and q >= overlap / 2 and w >= overlap / 2 and (item not in best or score > best[item][1]):
-                    best[item] = (self.ids[item], score, q, w, int(a))
-        return [best[i] for i in sorted(best)]
+    def reachable(self, ids: np.ndarray, segment: np.ndarray, n: int) -> np.ndarray:
+        """What each of n segments of words and the next one together may score at most in each block of items: the sum
+        of the block maxima of their distinct terms."""
+        known = ids < len(self.terms)
+        width = len(self.terms) + 1
+        pairs = np.unique(segment[known] * width + ids[known])
+        where, term = pairs // width, pairs % width
+        light = np.bincount(where, self.light[term], n)
+        count = self.first[term + 1] - self.first[term]
+        at = np.repeat(self.first[term] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        sums = np.bincount(np.repeat(where, count) * self.n_blocks + self.block[at], self.top[at], n * self.n_blocks).reshape(n, self.n_blocks)
+        sums[:-1] += sums[1:]
+        light[:-1] += light[1:]
+        return sums + light[:, None]
+
+    def hits(self, texts: list[str | None], threshold: float, overlap: float) -> list[list[tuple[int, float, float, float, int]]]:
+        """For each text the items found in it, as (item, score, question overlap, answer overlap, first word of the
+        passage), the best passage of each item. Passages are two segments of the length of the longest item and begin
+        at every segment, so any run of words as long as an item lies whole in one."""
+        none, step = len(self.terms), self.longest
+        out: list[list[tuple]] = []
+        for a in range(0, len(texts), 256):
+            get = self.terms.get
+            each = [np.array([get(w, none) for w in words(t)], np.int64) for t in texts[a : a + 256]]
+            parts = np.array([max(1, -(-len(x) // step)) for x in each])
+            start = np.cumsum(parts) - parts
+            segment = np.concatenate([s + np.arange(len(x)) // step for s, x in zip(start, each, strict=True)])
+            best = self.reachable(np.concatenate(each), segment, int(parts.sum()))
+            found: list[dict[int, tuple]] = [{} for _ in each]
+            owner = np.repeat(np.arange(len(each)), parts)
+            reach = best >= threshold - 1e-9
+            for s in np.flatnonzero(reach.any(1)).tolist():
+                d = owner[s]
+                first = (s - start[d]) * step
+                part = each[d][first : first + 2 * step].tolist()
+                terms = set(part)
+                terms.discard(none)
+                there = None
+                for item, score in self.search(sorted(terms), np.flatnonzero(reach[s]).tolist(), threshold):
+                    there = shingles(part) if there is None else there
+                    share = lambda want, there=there: len(want & there) / len(want) if want else 1.0
+                    q, w = share(self.question[item]), share(self.answer[item])
+                    if share(self.whole[item]) >= overlap and q >= overlap / 2 and w >= overlap / 2 and (item not in found[d] or score > found[d][item][1]):
+                        found[d][item] = (self.ids[item], score, q, w, int(first))
+            out += [[x[i] for i in sorted(x)] for x in found]
+        return out
 
 
 def index_parts(items: DataFrame, id_col: str, text_col: str, question_col: str | None, answer_col: str | None, part_words: int) -> Iterator[Index]:
@@ -159,10 +199,10 @@ def index_parts(items: DataFrame, id_col: str, text_col: str, question_col: str
         terms = own.select(F.explode("ws").alias("w")).distinct().join(df, "w")
         n = total["n"]
         idf = {r["w"]: float(np.log(1 + (n - r["df"] + 0.5) / (r["df"] + 0.5))) for r in terms.toLocalIterator()}
-        yield Index([(i, ws, q, 0.0) for _, i, ws, q in got], idf, total["words"] / n)
+        yield Index([(i, ws, q) for _, i, ws, q in got], idf, total["words"] / n)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", question_col: str | None = None, answer_col: str | None = None, threshold: float = 0.6, overlap: float = 0.8, part_words: int = 1_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", question_col: str | None = None, answer_col: str | None = None, threshold: float = 0.7, overlap: float = 0.8, part_words: int = 1_000_000) -> DataFrame:
     """The test items that occur in each row of docs: (id, item_id, score, question_overlap, answer_overlap, first_word).
 
     Every passage of every document queries the index; all items that score `threshold` of their own BM25 weight or more
@@ -184,7 +224,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = sent.value
             for b in batches:
-                found = [(i, *h) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for h in own.hits(t, threshold, overlap)]
+                found = [(i, *h) for i, hits in zip(b.column(0).to_pylist(), own.hits(b.column(1).to_pylist(), threshold, overlap), strict=True) for h in hits]
                 cols = list(zip(*found, strict=True)) if found else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32()), strict=True)], names=["id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
 
