@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.functions.exprs import uuid5
 
@@ -18,7 +19,7 @@ TYPES = {
 LABELS = r"^(?=.{1,253}$)([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _address(values: pd.Series) -> pd.Series:
     """The short form of an IPv6 address; the JVM has no function for it."""
 
