@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Name space for URLs of RFC 4122, as text in ISO 8859-1 is no choice for bytes: kept in hexadecimal (a fixed value).
@@ -63,3 +63,10 @@ def level_of(rank: Column) -> Column:
 def share_of_most(counts: Column) -> Column:
     """max / sum of an array of counts, 0 where it is empty."""
     return F.coalesce(F.array_max(counts) / F.aggregate(counts, F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, with their columns worked out here: a one-element array of the row, unnested. Long chains of
+    conditional columns else are put into each other by the optimizer (a filter on the last one is pushed down through
+    all), and the expression grows exponentially with the chain."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))

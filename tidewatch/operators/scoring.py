@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.exprs import clamp, number, severity
+from tidewatch.functions.exprs import clamp, number, settled, severity
 
 #: Weight of each component of the fused score (fixed values).
 WEIGHTS = {"market_score": 0.40, "social_score": 0.10, "coordination_score": 0.18, "temporal_score": 0.10, "claim_risk": 0.12, "graph_score": 0.10}
@@ -29,7 +29,7 @@ def detect(windows: DataFrame) -> DataFrame:
     lead = F.col("social_lead_seconds")
     ret, vol = F.abs(n("price_return")), n("volatility")
     liquidity = n("volume") + n("top_n_depth")
-    return windows.withColumns({
+    return settled(windows.withColumns({
         "market_score": market,
         "market_missing": F.when(market.isNull(), F.when(n("market_source_degraded") > 0, "SOURCE_DEGRADED").otherwise("SOURCE_UNAVAILABLE")),
         "social_score": social,
@@ -42,7 +42,7 @@ def detect(windows: DataFrame) -> DataFrame:
         "market_regime_confidence": F.when((ret >= 0.20) | (vol >= 0.10), clamp(F.greatest(ret / 0.4, vol / 0.2))).when(vol >= 0.04, clamp(vol / 0.10)).when(ret >= 0.05, clamp(ret / 0.20)).otherwise(clamp(1 - F.greatest(ret / 0.05, vol / 0.04))),
         "liquidity_class": F.when((n("volume") <= 0) & (n("top_n_depth") <= 0), "UNKNOWN").when(liquidity < 10_000, "LOW").when(liquidity < 250_000, "MEDIUM").otherwise("HIGH"),
         "liquidity_confidence": F.when((n("volume") <= 0) & (n("top_n_depth") <= 0), 0.0).when(liquidity < 10_000, clamp(1 - liquidity / 10_000)).when(liquidity < 250_000, clamp(liquidity / 250_000)).otherwise(clamp(liquidity / 1_000_000)),
-    })
+    }))
 
 
 def cross_asset(windows: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def fuse(scored: DataFrame, calibration: tuple[float, float] | None = None) -> D
     if calibration:
         calibrated = base >= 0.5
         raw = F.when(calibrated, platt(raw, *calibration)).otherwise(raw)
-    df = df.withColumns({"is_calibrated": calibrated, "raw_cross_domain_risk": raw})
+    df = settled(df.withColumns({"is_calibrated": calibrated, "raw_cross_domain_risk": raw}))
     df = df.withColumn("after_legitimate", c("raw_cross_domain_risk") * (1 - 0.35 * clamp(F.coalesce(c("legitimate_event_score"), F.lit(0.0)))))
     matched = F.coalesce((c("threat_status") == "MATCHED") & c("threat_score").isNotNull(), F.lit(False))
     uplift = F.least(F.lit(THREAT_CAP), c("threat_score") * F.coalesce(c("threat_confidence"), F.lit(0.0)) * THREAT_CAP)
@@ -87,6 +87,7 @@ def fuse(scored: DataFrame, calibration: tuple[float, float] | None = None) -> D
     threat_only = F.coalesce(c("threat_status") == "MATCHED", F.lit(False)) & (c("after_legitimate") < HIGH)
     df = df.withColumn("fusion_score", F.when(threat_only, F.least(c("after_cap"), F.lit(HIGH - 0.01))).otherwise(c("after_cap")))
     df = df.withColumn("confidence", F.when(F.coalesce(c("threat_status").isin("UNAVAILABLE", "STALE"), F.lit(False)), confidence * 0.85).otherwise(confidence))
+    df = settled(df)
     corroborated = F.coalesce(F.greatest(*(F.coalesce(c(k), F.lit(-1.0)) for k in WEIGHTS if k != "market_score")) >= 0.55, F.lit(False))
     level = severity(c("fusion_score"))
     strong = F.coalesce((c("market_score") >= 0.65) & corroborated & (c("confidence") >= 0.4), F.lit(False))
@@ -95,7 +96,7 @@ def fuse(scored: DataFrame, calibration: tuple[float, float] | None = None) -> D
     social_weight = F.when(c("social_score").isNotNull(), 0.30).otherwise(0.0) + F.when(c("coordination_score").isNotNull(), 0.70).otherwise(0.0)
     social = F.when(social_weight > 0, (F.coalesce(c("social_score") * 0.30, F.lit(0.0)) + F.coalesce(c("coordination_score") * 0.70, F.lit(0.0))) / social_weight)
     graph, verified = c("graph_score").isNotNull(), c("claim_risk").isNotNull() | c("legitimate_event_score").isNotNull()
-    df = df.withColumns({"severity": level, "social_coordination_risk": social})
+    df = settled(df.withColumns({"severity": level, "social_coordination_risk": social}))
     return df.withColumns({
         "market_anomaly_severity": severity(F.coalesce(c("market_score"), F.lit(0.0))),
         "social_coordination_severity": severity(F.coalesce(c("social_coordination_risk"), F.lit(0.0))),

@@ -57,14 +57,15 @@ def source_states(rows: DataFrame, windows: DataFrame) -> DataFrame:
 
 def features(signals: DataFrame, intervals: list[int], history: int = 20) -> DataFrame:
     """One row for each window with signals: the key, the features in order, and lineage."""
-    rows = assign(signals, intervals)
+    rows = signals_in = assign(signals, intervals)
     order = F.struct("t", "event_id")
     is_a = lambda k: F.col("kind") == k
     valid = is_a("ORDERBOOK") & F.coalesce("book_valid", F.lit(True))
     zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    priced = Window.partitionBy(*KEY, "kind").orderBy("t", "event_id")
+    # By the key alone, so that the aggregation below needs no other shuffle; the kinds follow one another.
+    priced = Window.partitionBy(*KEY).orderBy("kind", "t", "event_id")
     price = F.when(is_a("MARKET_TRADE"), zero("price")).when(is_a("MARKET_CANDLE"), zero("close"))
-    before = F.lag("series_price").over(priced)
+    before = F.when(F.lag("kind").over(priced) == F.col("kind"), F.lag("series_price").over(priced))
     rows = rows.withColumn("series_price", price).withColumn("step", F.when(F.col("series_price").isNotNull() & (before != 0), F.col("series_price") / before - 1))
     market = F.col("kind").isin("MARKET_TRADE", "MARKET_CANDLE", "ORDERBOOK")
     social = F.col("kind").isin("SOCIAL_POST", "ASSET_MENTION")
@@ -88,12 +89,12 @@ def features(signals: DataFrame, intervals: list[int], history: int = 20) -> Dat
         F.count(F.lit(1)).alias("source_event_count"), F.min("t").alias("min_event_time"), F.max("t").alias("max_event_time"),
     )
     # Concentrations by two levels of counts, so that no window's authors or urls are gathered.
-    seen = Window.partitionBy("scope_id", "asset_id", "author_id")
-    authors = rows.where(post & F.col("author_id").isNotNull()).withColumn("first_seen", F.min("t").over(seen))
-    authors = authors.groupBy(*KEY, "author_id").agg(F.count(F.lit(1)).alias("n"), F.min("first_seen").alias("first_seen"))
+    seen = Window.partitionBy("scope_id", "asset_id", "interval_seconds", "author_id")
+    authors = signals_in.where(post & F.col("author_id").isNotNull()).groupBy(*KEY, "author_id").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first_here"))
+    authors = authors.withColumn("first_seen", F.min("first_here").over(seen))
     authors = authors.groupBy(*KEY).agg(F.count(F.lit(1)).alias("authors"), (F.max("n") / F.sum("n")).alias("author_share"), F.count_if(F.col("first_seen") >= F.col("window_start")).alias("new_authors"))
-    urls = rows.where(post).select(*KEY, F.explode("urls").alias("url")).groupBy(*KEY, "url").count().groupBy(*KEY).agg((F.max("count") / F.sum("count")).alias("url_share"))
-    out = base.join(authors, KEY, "left").join(urls, KEY, "left").join(source_states(rows, base), KEY)
+    urls = signals_in.where(post).select(*KEY, F.explode("urls").alias("url")).groupBy(*KEY, "url").count().groupBy(*KEY).agg((F.max("count") / F.sum("count")).alias("url_share"))
+    out = base.join(authors, KEY, "left").join(urls, KEY, "left").join(source_states(signals_in, base), KEY)
     earlier = Window.partitionBy("scope_id", "asset_id", "interval_seconds").orderBy("window_start")
     trailing = earlier.rowsBetween(-history, -1)
     end = F.col("window_start") + F.col("interval_seconds")

