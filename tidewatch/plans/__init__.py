@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import core, quality, texts
+from tidewatch.plans import core, quality, records, texts
 
-MODULES = (core, quality, texts)
+MODULES = (core, quality, records, texts)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
