@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"\w+")
-BUCKETS = 1 << 14
+BUCKETS = 1 << 17
 #: Hashed features of a word: itself, and its first 3, 4 and 5 letters.
 PARTS = 4
 DIM, WIDTHS, FILTERS = 10, (1, 2, 3), 6
@@ -214,19 +214,24 @@ def held_out(id_col: str):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 8000, max_chars: int = 20_000) -> Model:
     """Fit on a bounded sample of the labelled rows that are not held out: at most max_rows / 2 of each class, those
     with the least hash of their id, among texts of at most max_chars characters. So the driver holds at most
-    max_rows * max_chars characters, whatever the size of the corpus."""
+    2 * max_rows * max_chars characters, whatever the size of the corpus."""
     own = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit("")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang")).where(F.length("text") <= max_chars)
     size = own.groupBy("y").count().collect()  # two rows
-    rate = {r["y"]: min(1.0, 1.3 * max_rows / 2 / r["count"]) for r in size}
-    # Thin by a hash first, so that the sort sees little more than what it keeps.
+    most = max_rows // 2
+    rate = {r["y"]: min(1.0, 1.3 * most / r["count"]) for r in size}
+    # Thinned by a hash to little more than what is kept: a table of bounded size, so the texts need no shuffle.
     u = F.pmod(F.xxhash64(F.lit(3), F.col("id")), F.lit(1 << 30))
     keep = u < F.when(F.col("y") == 1, F.lit(rate.get(1, 1.0))).otherwise(F.lit(rate.get(0, 1.0))) * F.lit(float(1 << 30))
-    thin = own.withColumn("u", u).where(keep)
-    joined = texts.join(thin, "id")
-    picked = [r for y in (0, 1) for r in joined.where(F.col("y") == y).orderBy("u", "id", "text").limit(max_rows // 2).select("u", "id", "text", "lang", "y").collect()]
-    picked.sort(key=lambda r: (r["u"], r["id"], r["text"]))
+    thin = own.withColumn("u", u).where(keep).orderBy("u", "id").limit(2 * max_rows)
+    rows = sorted(texts.join(F.broadcast(thin), "id").collect(), key=lambda r: (r["u"], r["id"], r["text"]))
+    places: dict[int, int] = {}
+    picked = []
+    for r in rows:
+        n = places[r["y"]] = places.get(r["y"], 0) + 1
+        if n <= most:
+            picked.append(r)
     return train([r["text"] for r in picked], [1 if r["y"] else 0 for r in picked], [r["lang"] for r in picked])
 
 
@@ -241,8 +246,10 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     kept = docs.drop("toxic_score", "toxic")
     held = F.col(lang_col).cast("string") if lang_col in kept.columns else F.lit(None).cast("string")
 
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer, model = Scorer(sent.value), sent.value
         for b in batches:
             own = b.schema.get_field_index("__text")
             logits = np.array([scorer.logit(t) for t in b.column(own).to_pylist()], np.float64)
