@@ -76,3 +76,53 @@ def candidates_as_of(claims: DataFrame, documents: DataFrame, back: int, ahead:
 def fold_log(log: DataFrame, key: str, value: str, order: list[str], initial: str) -> DataFrame:
     """The current value of each key by a log of changes, and how many there were."""
     return log.groupBy(key).agg(F.coalesce(F.max_by(value, F.struct(*order)), F.lit(initial)).alias(value), F.count(F.lit(1)).alias("changes"))
+
+
+def posts_in_windows(windows: DataFrame, posts: DataFrame) -> DataFrame:
+    """windows: asset_id, window_start, interval_seconds; posts: asset_id, post_id, epoch. Each post of an asset with the windows
+    that hold it. The range join is an equality: a post's window of an interval follows from its time."""
+    spans = windows.select("interval_seconds").distinct()
+    few = spans.limit(101).count() <= 100
+    placed = posts.crossJoin(F.broadcast(spans) if few else spans).withColumn("window_start", (F.floor(F.col("epoch") / F.col("interval_seconds")) * F.col("interval_seconds")).cast("long"))
+    return placed.join(windows.select("asset_id", "window_start", "interval_seconds"), ["asset_id", "window_start", "interval_seconds"]).dropDuplicates(["asset_id", "window_start", "interval_seconds", "post_id"])
+
+
+def observed(indicators: DataFrame, batch: DataFrame, key: list[str], seen: str) -> DataFrame:
+    """Indicators after a batch of observations: first and last seen, observations."""
+    both = indicators.select(*key, seen).unionByName(batch.select(*key, seen))
+    return both.groupBy(*key).agg(F.min(seen).alias("first_seen"), F.max(seen).alias("last_seen"), F.count(F.lit(1)).alias("observations"))
+
+
+def last_with_ties(rows: DataFrame, key: str, at: str) -> DataFrame:
+    """All rows of a key at its last time."""
+    return rows.withColumn("r", F.rank().over(Window.partitionBy(key).orderBy(F.desc(at)))).where("r = 1").drop("r")
+
+
+def due(deliveries: DataFrame, now: int, most: int = 50) -> DataFrame:
+    """The deliveries whose time has come, the longest waiting first."""
+    return deliveries.where(F.col("status").isin("PENDING", "RETRY") & (F.col("next_attempt") <= now)).orderBy("next_attempt", "delivery_id").limit(most)
+
+
+def patched(policies: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """policies: key, effective_from, effective_to, trust; changes: key, at, trust. A change ends the version in force and begins the
+    next, which lasts until the next change or, as the version before it, for good."""
+    rows = policies.select(key, F.col("effective_from").alias("at"), "trust").unionByName(changes.select(key, "at", "trust"))
+    w = Window.partitionBy(key).orderBy("at")
+    return rows.select(key, F.col("at").alias("effective_from"), F.lead("at").over(w).alias("effective_to"), "trust", F.row_number().over(w).alias("version"))
+
+
+def assemble(alerts: DataFrame, parts: dict[str, DataFrame], key: list[str]) -> DataFrame:
+    """An alert's evidence: the part of each kind, as a struct, where there is one. Each part has a row for a key at most."""
+    out = alerts
+    for name, part in parts.items():
+        rest = [c for c in part.columns if c not in key]
+        out = out.join(part.select(*key, F.struct(*rest).alias(name)), key, "left")
+    return out
+
+
+def amplifier_overlap(posts: DataFrame, group: str, url: str, tag: str) -> DataFrame:
+    """Per group: the most frequent url's or tag's share of the posts, 1 at most."""
+    n = posts.groupBy(group).agg(F.count(F.lit(1)).alias("posts"))
+    each = lambda c: posts.select(group, F.explode(c).alias("x")).groupBy(group, F.lower("x")).agg(F.count(F.lit(1)).alias("k"))
+    most = each(url).unionByName(each(tag)).groupBy(group).agg(F.max("k").alias("k"))
+    return n.join(most, group, "left").select(group, F.least(F.lit(1.0), F.coalesce("k", F.lit(0)) / F.col("posts")).alias("repeated_amplifier_overlap"))

@@ -190,3 +190,58 @@ def src_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landing.replayed(e, "replay-1", ["event_time", "event_id"]).select("event_id", "scope_id", "source_sequence")
 
 
+
+
+@query(f"""WITH {SIGNALS_SQL}, p AS (SELECT asset_id, event_id AS post_id, epoch(event_time) AS e FROM sig WHERE kind = 'SOCIAL_POST'),
+w AS (SELECT DISTINCT asset_id, CAST(floor(epoch(event_time) / 21600) * 21600 AS BIGINT) AS window_start FROM sig WHERE kind = 'MARKET_TRADE')
+SELECT asset_id, window_start, post_id FROM p JOIN w USING (asset_id) WHERE e >= window_start AND e < window_start + 21600""")
+def nar_posts_in_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = adapters.signals(spark, sf_dir)
+    t = F.unix_micros(F.col("event_time").cast("timestamp")) / 1e6
+    w = s.where("kind = 'MARKET_TRADE'").select("asset_id", (F.floor(t / 21_600) * 21_600).cast("long").alias("window_start"), F.lit(21_600).alias("interval_seconds")).distinct()
+    p = s.where("kind = 'SOCIAL_POST'").select("asset_id", F.col("event_id").alias("post_id"), t.alias("epoch"))
+    return records.posts_in_windows(w, p).select("asset_id", "window_start", "post_id")
+
+
+@query("""SELECT user_id % 40 AS indicator, min(epoch_us(ts)) AS first_seen, max(epoch_us(ts)) AS last_seen, count(*) AS observations FROM events GROUP BY ALL""")
+def thr_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("indicator"), F.unix_micros(F.col("ts").cast("timestamp")).alias("seen"), "event_type")
+    return records.observed(e.where("event_type = 'view'"), e.where("event_type <> 'view'"), ["indicator"], "seen")
+
+
+@query("""SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey, l_quantity FROM lineitem QUALIFY rank() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC) = 1""")
+def thr_last_with_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.last_with_ties(table(spark, sf_dir, "lineitem"), "l_partkey", "l_shipdate").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+
+
+@query("""SELECT event_id AS delivery_id, user_id AS next_attempt FROM events WHERE event_type IN ('view', 'click') AND user_id <= 100 ORDER BY user_id, event_id LIMIT 50""")
+def ntf_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("event_type") == "view", "PENDING").when(F.col("event_type") == "click", "RETRY").otherwise("DELIVERED")
+    d = table(spark, sf_dir, "events").select(F.col("event_id").alias("delivery_id"), status.alias("status"), F.col("user_id").alias("next_attempt"))
+    return records.due(d, 100).select("delivery_id", "next_attempt")
+
+
+@query("""WITH r AS (SELECT c_custkey AS policy, 0 AS t, round(c_acctbal, 2) AS trust FROM customer UNION ALL SELECT o_custkey, CAST(epoch(o_orderdate) AS BIGINT) * 100000 + o_orderkey, round(o_totalprice, 2) FROM orders)
+SELECT policy, t AS effective_from, lead(t) OVER w AS effective_to, trust, row_number() OVER w AS version FROM r WINDOW w AS (PARTITION BY policy ORDER BY t)""")
+def ver_patched_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("policy"), F.lit(0).cast("long").alias("effective_from"), F.lit(None).cast("long").alias("effective_to"), F.round("c_acctbal", 2).alias("trust"))
+    c = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("policy"), (F.unix_timestamp("o_orderdate") * 100_000 + F.col("o_orderkey")).alias("at"), F.round("o_totalprice", 2).alias("trust"))
+    return records.patched(p, c, "policy")
+
+
+@query(f"""WITH {EVIDENCE_SQL}, n AS (SELECT asset_id, count(*) AS n FROM ev GROUP BY ALL), c AS (SELECT 'C' || c_custkey AS asset_id, c_mktsegment AS segment FROM customer)
+SELECT evidence_id, ev.asset_id, n AS campaign_n, segment FROM ev LEFT JOIN n ON ev.asset_id = n.asset_id LEFT JOIN c ON ev.asset_id = c.asset_id""")
+def evd_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = adapters.evidence(spark, sf_dir)
+    n = ev.groupBy("asset_id").agg(F.count(F.lit(1)).alias("n"))
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), F.col("c_custkey")).alias("asset_id"), "c_mktsegment")
+    out = records.assemble(ev.select("evidence_id", "asset_id"), {"campaign": n, "asset": c}, ["asset_id"])
+    return out.select("evidence_id", "asset_id", F.col("campaign.n").alias("campaign_n"), F.col("asset.c_mktsegment").alias("segment"))
+
+
+@query(f"""WITH {SIGNALS_SQL}, p AS (SELECT asset_id, url, hashtag FROM sig WHERE kind = 'SOCIAL_POST'), n AS (SELECT asset_id, count(*) AS n FROM p GROUP BY ALL),
+m AS (SELECT asset_id, max(k) AS k FROM (SELECT asset_id, url, count(*) AS k FROM p GROUP BY ALL UNION ALL SELECT asset_id, hashtag, count(*) FROM p GROUP BY ALL) GROUP BY asset_id)
+SELECT asset_id, round(least(1.0, k / n) + 1.7e-11, 9) AS repeated_amplifier_overlap FROM n JOIN m USING (asset_id)""")
+def grf_amplifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = adapters.signals(spark, sf_dir).where("kind = 'SOCIAL_POST'")
+    return records.amplifier_overlap(p, "asset_id", "urls", "hashtags").select("asset_id", F.round(F.col("repeated_amplifier_overlap") + 1.7e-11, 9).alias("repeated_amplifier_overlap"))
