@@ -104,7 +104,7 @@ def train(texts: list[str], labels: list[int], langs: list[str], epochs: int = 6
         return m
     vocab: dict[str, int] = {}
     docs = [np.array([vocab.setdefault(w, len(vocab)) for w in words(t)], np.int32) for t in texts]
-    at = np.array([features(w) for w in vocab], np.int64).reshape(-1, PARTS)
+    at = np.fromiter((x for w in vocab for x in features(w)), np.int32, PARTS * len(vocab)).reshape(-1, PARTS)
     fold = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
     learn = np.flatnonzero(~fold)
     if len(set(y[learn])) < 2:
@@ -116,7 +116,8 @@ def train(texts: list[str], labels: list[int], langs: list[str], epochs: int = 6
         seen[int(y[d]), np.unique(at[np.unique(docs[d])])] += 1
     p1, p0, p = (seen[1] + 0.5) / (n1 + 1), (seen[0] + 0.5) / (n0 + 1), (seen.sum(0) + 1) / (n1 + n0 + 2)
     z = (p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-9)
-    E = (rng.normal(0, 0.02, (PARTS * BUCKETS, DIM))).astype(np.float32)
+    E = rng.standard_normal((PARTS * BUCKETS, DIM), np.float32)
+    E *= np.float32(0.02)
     E[:, 0] = np.clip(z / max(4.0, np.abs(z).max() / 2), -1, 2)
     K = [rng.normal(0, 0.1, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     for k in K:
