@@ -42,7 +42,7 @@ def test_against_brute_force(spark):
 
 
 def test_hot_anchors_in_several_shards(spark, monkeypatch):
-    monkeypatch.setattr(phrases.repeated_windows, "__defaults__", (20, 8, 3))  # three segments to a shard
+    monkeypatch.setattr(phrases.repeated_windows, "__defaults__", (20, 6, 3))  # three segments to a shard
     check(spark, corpus())
 
 

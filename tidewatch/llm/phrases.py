@@ -9,6 +9,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,50 +74,69 @@ def runs(starts: list[int]) -> list[tuple[int, int]]:
 
 
 def repeated(segments: list[tuple], window: int, emit_first: bool) -> Iterator[tuple]:
-    """segments: (anchor, doc, first window, words) by anchor, doc and window, whole anchors. Yields for each segment
-    (doc, starts of its windows that also start earlier, [(window, start)] of windows that don't, if asked for).
+    """segments: (anchor, doc, first window, words as bytes) by anchor, doc and window, whole anchors. Yields for each
+    segment (doc, starts of its windows that also start earlier, [(window, start)] of windows that don't, if asked for).
 
     The segments' recurring windows are confirmed by the words themselves and joined to passages; one Aho-Corasick
-    automaton of the passages, over word numbers, then streams all segments and locates every occurrence."""
+    automaton of the passages, over word numbers, then streams all different segments and locates every occurrence."""
     number: dict[bytes, int] = {}
-    sequences = [tuple(number.setdefault(w, len(number)) for w in s[3]) for s in segments]
-    count: dict[tuple, int] = {}
-    for q in sequences:
-        for i in range(len(q) - window + 1):
-            w = q[i : i + window]
-            count[w] = count.get(w, 0) + 1
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    done: set[tuple] = set()
-    for q in sequences:
-        if q in done:
+    same: dict[bytes, int] = {}
+    of, words, sequences, keys, times = [], [], [], [], []
+    for s in segments:
+        k = same.setdefault(s[3], len(same))
+        of.append(k)
+        if k < len(times):
+            times[k] += 1
             continue
-        done.add(q)
-        again = [i for i in range(len(q) - window + 1) if count[q[i : i + window]] > 1]
-        for a, n in runs(again):
+        ws = s[3].split()
+        q = tuple([number.setdefault(w, len(number)) for w in ws])
+        packed = np.array(q, np.int32).tobytes()
+        words.append(ws)
+        sequences.append(q)
+        keys.append([packed[4 * i : 4 * (i + window)] for i in range(len(q) - window + 1)])
+        times.append(1)
+    count: dict[bytes, int] = {}
+    for own, n in zip(keys, times, strict=True):
+        for w in own:
+            count[w] = count.get(w, 0) + n
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    for q, own in zip(sequences, keys, strict=True):
+        for a, n in runs([i for i, w in enumerate(own) if count[w] > 1]):
             automaton.add_word(q[a : a + n + window - 1], n + window - 1)
-    compiled = len(automaton) > 0
-    if compiled:
+    located: list[list[int]] = [[] for _ in sequences]
+    if len(automaton):
         automaton.make_automaton()
-    seen: dict[tuple, tuple] = {}
-    for (_, doc, first, words), q in zip(segments, sequences, strict=True):
-        late, new = [], []
-        located: set[int] = set()
-        if compiled:
+        for k, q in enumerate(sequences):
+            found: set[int] = set()
             for stop, size in automaton.iter(q):
-                located.update(range(stop - size + 1, stop - window + 2))
-        for i in range(len(q) - window + 1) if emit_first else sorted(located):
-            w, own = q[i : i + window], (doc, first + i)
-            if i in located:
-                if seen.setdefault(w, own) != own:
-                    late.append(first + i)
-                elif emit_first:
-                    new.append((b" ".join(words[i : i + window]), first + i))
-            elif emit_first:
-                new.append((b" ".join(words[i : i + window]), first + i))
+                found.update(range(stop - size + 1, stop - window + 2))
+            located[k] = sorted(found)
+    seen: dict[bytes, tuple] = {}
+    for (_, doc, first, _), k in zip(segments, of, strict=True):
+        late, new, own = [], [], keys[k]
+        for i in located[k]:
+            here = (doc, first + i)
+            if seen.setdefault(own[i], here) != here:
+                late.append(first + i)
+        if emit_first:
+            gone = set(late)
+            new = [(b" ".join(words[k][i : i + window]), first + i) for i in range(len(own)) if first + i not in gone]
         yield doc, late, new
 
 
-def repeated_windows(docs: DataFrame, window: int = 20, phrase: int = 8, salt_rows: int = 2000) -> DataFrame:
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """(id, packed): the texts compressed, for the shuffles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            packed = [small.compress(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["id", "packed"])
+
+    return docs.select("id", "text").mapInArrow(run, "id long, packed binary")
+
+
+def repeated_windows(docs: DataFrame, window: int = 20, phrase: int = 6, salt_rows: int = 2000) -> DataFrame:
     """docs: (id long, text). (id, runs): the runs (first window, count) of windows whose words also start earlier.
 
     1. Anchors: each document names the anchor phrases of its windows (about one word in seven begins one).
@@ -141,23 +161,25 @@ def repeated_windows(docs: DataFrame, window: int = 20, phrase: int = 8, salt_ro
     places = named.join(recurring, "anchor").groupBy("id").agg(F.collect_set(F.struct("anchor", "lo", "hi", "salts")).alias("places"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        large = zstandard.ZstdDecompressor()
         for b in batches:
             for a in range(0, b.num_rows, 256):
                 part = b.slice(a, 256)
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for i, t, p in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    ws = (t or b"").split()
-                    for x in p:
-                        if x["hi"] + window > len(ws):
-                            continue  # of another row with this id
-                        out[0].append(x["anchor"])
-                        out[1].append(x["salts"])
-                        out[2].append(i)
-                        out[3].append(x["lo"])
-                        out[4].append(b" ".join(ws[x["lo"] : x["hi"] + window]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["anchor", "salts", "id", "lo", "words"])
-
-    segments = docs.join(places, "id").mapInArrow(cut_out, "anchor long, salts int, id long, lo int, words binary")
+                lists = part.column(2)
+                each, flat = np.diff(lists.offsets.to_numpy()), lists.flatten()
+                anchor, lo, hi, salts = (flat.field(f).to_numpy() for f in ("anchor", "lo", "hi", "salts"))
+                ids = np.repeat(part.column(0).to_numpy(), each)
+                los, stops, k, words, fits = lo.tolist(), (hi + window).tolist(), 0, [], []
+                for packed, n in zip(part.column(1).to_pylist(), each.tolist(), strict=True):
+                    ws = large.decompress(packed).split()
+                    for i in range(k, k + n):
+                        fits.append(stops[i] <= len(ws))  # else of another row with this id
+                        words.append(b" ".join(ws[los[i] : stops[i]]))
+                    k += n
+                out = pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(salts, pa.int32()), pa.array(ids, pa.int64()), pa.array(lo, pa.int32()), pa.array(words, pa.binary())], names=["anchor", "salts", "id", "lo", "words"])
+                yield out if all(fits) else out.filter(pa.array(fits, pa.bool_()))
+
+    segments = packed_texts(docs).join(places, "id").mapInArrow(cut_out, "anchor long, salts int, id long, lo int, words binary")
     segments = segments.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = segments.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt", "id", "lo")
@@ -189,7 +211,7 @@ def repeated_windows(docs: DataFrame, window: int = 20, phrase: int = 8, salt_ro
                 if len(held) >= CHUNK and r[0] != held[-1][0]:
                     yield flush(held)
                     held = []
-                held.append((r[0], r[1], r[5], r[2], r[3], r[4].split()))
+                held.append((r[0], r[1], r[5], r[2], r[3], r[4]))
         if held:
             yield flush(held)
 
@@ -201,7 +223,7 @@ def repeated_windows(docs: DataFrame, window: int = 20, phrase: int = 8, salt_ro
     return sure.unionAll(later).groupBy("id").agg(F.collect_list("r").alias("runs"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, phrase: int = 8) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, phrase: int = 6) -> DataFrame:
     """One row for each row of docs: id, n_words, n_removed and kept (the words that stay, joined by spaces).
 
     A word goes if a window of `window` words that covers it also starts earlier: in a document of smaller id, or
@@ -216,21 +238,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = repeated_windows(rows, window, phrase)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        large = zstandard.ZstdDecompressor()
         for b in batches:
             n_words, removed, kept = [], [], []
-            for t, late in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
-                ws = (t or b"").split()
+            for packed, late in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                ws = large.decompress(packed).split()
+                n_words.append(len(ws))
+                if not late.is_valid:
+                    removed.append(0)
+                    kept.append(b" ".join(ws))
+                    continue
+                at, n = (late.values.field(f).to_numpy() for f in ("at", "n"))
                 gone = np.zeros(len(ws) + 1, np.int32)
-                for r in late or ():
-                    gone[r["at"]] += 1
-                    gone[min(len(ws), r["at"] + r["n"] + window - 1)] -= 1
+                np.add.at(gone, at, 1)
+                np.add.at(gone, np.minimum(len(ws), at + n + window - 1), -1)
                 stays = np.cumsum(gone[:-1]) == 0
-                n_words.append(len(ws))
                 removed.append(int(len(ws) - stays.sum()))
-                kept.append(b" ".join(ws if stays.all() else [ws[i] for i in np.flatnonzero(stays)]))
+                kept.append(b" ".join([w for w, s in zip(ws, stays.tolist(), strict=True) if s]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
-    out = rows.join(found, "id", "left").select("id", "text", "runs").mapInArrow(keep, "id long, n_words long, n_removed long, kept string")
+    out = packed_texts(rows).join(found, "id", "left").select("id", "packed", "runs").mapInArrow(keep, "id long, n_words long, n_removed long, kept string")
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "n_words", "n_removed", "kept")
 
 
