@@ -61,7 +61,8 @@ def balance(docs: DataFrame, targets: DataFrame, rounds: int = 40, tolerance: fl
         worst = state.agg(F.max("miss")).first()[0]
         if worst is None or worst <= tolerance:
             break
-    tilt = state.select(F.col("source").alias("__s"), (MOST / (1 + F.exp(-F.col("x")))).alias("rate"))
+    # Sums of doubles depend on their order in the last place; rounded, reruns agree.
+    tilt = state.select(F.col("source").alias("__s"), F.round(MOST / (1 + F.exp(-F.col("x"))), 12).alias("rate"))
     return docs.join(F.broadcast(tilt) if few(tilt) else tilt, docs["source"].eqNullSafe(tilt["__s"]), "left").drop("__s")
 
 
@@ -71,7 +72,7 @@ def few(names: DataFrame, rows: int = 10_000, width: int = 200) -> bool:
     return got[0] <= rows and (got[1] or 0) <= width
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, group: int = 20_000) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, group: int = 2_000) -> DataFrame:
     """One row for each row of docs: id, source, size (words), source_size, target, rate and copies (0 to MOST).
 
     Copies are the rates rounded: within groups of a source (by a hash of the row, about `group` rows each) the documents
