@@ -17,39 +17,54 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's own tokenizer cuts text into pieces (a fixed value of that public vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = 50256
-#: Two white-space characters in a row, or one other than space and line feed: pieces may then reach over them.
-UNEVEN = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
-CHUNK = re.compile(r"[ \n]?[^ \n]+")
+#: White space other than a space or a line feed.
+OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def even(text: str) -> bool:
+    """Whether all white space is single spaces or line feeds between words."""
+    return not (text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or OTHER_SPACE.search(text))
 
 
 class Encoder:
-    """Ids of whole texts as little-endian 16-bit integers. A piece never reaches over a single space or line feed, so
-    texts with no other white space are encoded by chunks that are remembered, `most` of them at a time."""
+    """Ids of whole texts as little-endian 16-bit integers. A piece never reaches over a single space or line feed, which
+    begins the next piece; so texts with no other white space are encoded word by word, and words are remembered, up to
+    `most` of them after a space, and as many after a line feed or at the start of a text."""
 
-    def __init__(self, vocabulary: str, most: int = 200_000):
+    def __init__(self, vocabulary: str, most: int = 400_000):
         import tiktoken
 
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.most = most
         encode = self.encoding.encode_ordinary
 
         class Known(dict):
-            def __missing__(self, chunk: str) -> bytes:
+            def __init__(self, before: str):
+                self.before = before
+
+            def __missing__(self, word: str) -> bytes:
                 if len(self) >= most:
                     self.clear()
-                self[chunk] = got = np.array(encode(chunk), "<u2").tobytes()
+                self[word] = got = np.array(encode(self.before + word), "<u2").tobytes()
                 return got
 
-        self.known = Known()
+        self.first, self.line, self.space = Known(""), Known("\n"), Known(" ")
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if UNEVEN.search(text):
+        if not even(text):
             return np.array(self.encoding.encode_ordinary(text), "<u2").tobytes()
-        return b"".join(map(self.known.__getitem__, CHUNK.findall(text)))
+        out: list[bytes] = []
+        head = self.first
+        for line in text.split("\n"):
+            ws = line.split(" ")
+            out.append(head[ws[0]])
+            ws[0:1] = ()
+            out.extend(map(self.space.__getitem__, ws))
+            head = self.line
+        return b"".join(out)
 
 
 def round_key(key: int, r: int) -> np.uint64:
