@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import decontaminate, mixing, simhash, tokens, toxicity
-from tidewatch.llm._common import table, written
+from tidewatch.llm._common import cut, table, written
 
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -17,22 +17,47 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs.select(DOCUMENT), model).where("not toxic").select(DOCUMENT)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with row, a hash of all columns, which joins back what was found out about a row: ids may be null or repeated.
+    It needs no copy of the texts; only rows that are equal in all columns share it."""
+    return docs.select(DOCUMENT).withColumn("row", F.xxhash64(*DOCUMENT, *(F.col(c).isNull() for c in DOCUMENT)))
+
+
+def taken(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """keys: (row, n, times). The rows of docs, the n equal ones of a key together `times` times."""
+    keys = cut(keys)
+
+    def repeated(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(DOCUMENT)
+
+    out = repeated(docs.join(keys.where("n = 1"), "row"))
+    if keys.where("n > 1").isEmpty():
+        return out
+    return out.unionAll(repeated(docs.join(keys.where("n > 1"), "row").distinct()))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays."""
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(DOCUMENT)
+    """Of each group of near copies one row stays: that of the least id (null last), of repeated ids that of the least
+    hash of its columns."""
+    docs = keyed(docs)
+    rows = docs.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    groups = simhash.near_duplicates(docs, id_col="row").groupBy("row").agg(F.min("component_id").alias("component_id"))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "n")).alias("first")
+    return taken(docs, groups.join(rows, "row").groupBy("component_id").agg(least).select("first.row", "first.n", F.lit(1).alias("times")))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go."""
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(DOCUMENT)
+    """Rows that hold a test item go; others of the same id stay."""
+    docs = keyed(docs)
+    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), id_col="row").select("row").distinct()
+    return docs.join(leaks, "row", "left_anti").select(DOCUMENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document is repeated as often as the mix takes it."""
-    copies = mixing.mix_sources(docs).where("copies > 0").select("doc_id", "copies")
-    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(DOCUMENT)
+    """A row is repeated as often as the mix takes it, MOST times at most; rows that repeat an id have copies of their own."""
+    docs = keyed(docs)
+    copies = mixing.mix_sources(docs, carry=("row",)).groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("times"))
+    return taken(docs, copies.where("times > 0"))
 
 
 def order_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,8 +72,9 @@ def few(names: DataFrame, rows: int = 10_000, width: int = 200) -> bool:
     return got[0] <= rows and (got[1] or 0) <= width
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, group: int = 2_000) -> DataFrame:
-    """One row for each row of docs: id, source, size (words), source_size, target, rate and copies (0 to MOST).
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, group: int = 2_000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of docs: id, source, size (words), source_size, target, rate and copies (0 to MOST), then the
+    columns named in carry (longs without nulls, such as a key of the row), which also order rows of one id and text.
 
     Copies are the rates rounded: within groups of a source (by a hash of the row, about `group` rows each) the documents
     come by size from the largest, and each rounding error is carried to the next, smaller one; so a group ends within
@@ -81,12 +82,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Defined cases: a null text has size 0 and copies 0; null is a source of its own, the last; repeated rows and null
     ids are rows like any other; weights must be positive; an empty table gives no rows. Columns other than the three
-    are ignored. Reruns give the same rows.
+    and those carried are ignored. Reruns give the same rows.
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(text, F.lit(WORD_SQL)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(id_col), text).alias("tie"),
+        F.coalesce(F.regexp_count(text, F.lit(WORD_SQL)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(id_col), text).alias("tie"), *(F.col(c).cast("long").alias(c) for c in carry),
     )
     rows = cut(rows)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
@@ -97,7 +98,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = placed.withColumn("part", F.pmod(F.xxhash64("tie", "id"), F.col("parts")).cast("int"))
 
     def rounding(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "tie", "id"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["size", "tie", "id", *carry], ascending=[False, True, True, *(True for _ in carry)], kind="stable")
         size, rate = pdf["size"].to_numpy(np.int64).tolist(), pdf["rate"].to_numpy(np.float64).tolist()
         carried, out = 0.0, []
         for s, r in zip(size, rate, strict=True):
@@ -108,7 +109,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             c = min(MOST, max(0, int(np.floor(want + 0.5))))
             carried += (r - c) * s
             out.append(c)
-        return pdf.assign(copies=np.array(out, np.int64))[["id", "source", "size", "source_size", "target", "rate", "copies"]]
+        return pdf.assign(copies=np.array(out, np.int64))[["id", "source", "size", "source_size", "target", "rate", "copies", *carry]]
 
-    out = placed.groupBy("source", "part").applyInPandas(rounding, "id long, source string, size long, source_size long, target double, rate double, copies long")
+    out = placed.groupBy("source", "part").applyInPandas(rounding, ", ".join(["id long, source string, size long, source_size long, target double, rate double, copies long", *(f"{c} long" for c in carry)]))
     return out.withColumnRenamed("id", id_col)
