@@ -66,3 +66,21 @@ def test_no_items_no_docs_and_columns_for_question_and_answer(spark):
     assert [(r["doc_id"], r["question_overlap"], r["answer_overlap"]) for r in got] == [(4, 1.0, 1.0)]
     assert d.find_leaks(docs, items.limit(0), question_col="question", answer_col="answer").count() == 0
     assert d.find_leaks(docs.limit(0), items, question_col="question", answer_col="answer").count() == 0
+
+
+def test_combining_marks_split_alike_in_items_and_passages(spark):
+    hindi = "हिन्दी में लिखा गया यह प्रश्न परीक्षा के लिए है"
+    accents = " ".join(f"cafe\u0301{i}" for i in range(12))
+    items = spark.createDataFrame([(1, hindi), (2, accents)], "item_id long, text string")
+    docs = spark.createDataFrame([(10, f"before {hindi} after"), (20, f"before {accents} after"), (30, "before and after")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in d.find_leaks(docs, items).collect()) == [(10, 1), (20, 2)]
+
+
+def test_every_text_of_an_id_is_searched(spark):
+    rng = random.Random(6)
+    texts = [" ".join(f"q{rng.randrange(10**6)}" for _ in range(n)) for n in (40, 30, 20, 25)]
+    items = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[3])], "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for words in (1_000_000, 60):
+        got = d.find_leaks(docs, items, part_words=words).collect()
+        assert sorted((r["doc_id"], r["item_id"] or -1) for r in got) == [(0, 1), (1, 1), (2, -1), (3, -1)]

@@ -37,7 +37,7 @@ class Index:
     """An inverted index of some test items. The weight of a term in an item is its BM25 share of what the item scores
     against itself, so the score of a passage is in 0..1 and one threshold serves items of any length."""
 
-    def __init__(self, items: list[tuple[int, list[str], int]], idf: dict[str, float], mean: float):
+    def __init__(self, items: list[tuple[int | None, list[str], int]], idf: dict[str, float], mean: float):
         """items: (id, words, length of the question), by length."""
         self.terms = {t: i for i, t in enumerate(sorted(idf))}
         self.ids = [x[0] for x in items]
@@ -178,10 +178,16 @@ def index_parts(items: DataFrame, id_col: str, text_col: str, question_col: str
         question, answer = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (question_col, answer_col))
     else:
         question, answer = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit("")
-    token = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?U)(\w+)"), F.lit(1))
-    rows = items.select(F.col(id_col).cast("long").alias("id"), token(question).alias("q"), token(answer).alias("a")).where("id is not null and size(q) + size(a) > 0")
-    rows = rows.select("id", F.concat("q", "a").alias("ws"), F.when(F.size("a") > 0, F.size("q")).otherwise(F.ceil(F.size("q") / 2)).cast("int").alias("n_question"))
-    rows = rows.groupBy("id").agg(F.max(F.struct(F.size("ws").alias("n"), "ws", "n_question")).alias("x")).select("id", "x.*")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            q, a = ([words(t) for t in b.column(i).to_pylist()] for i in (1, 2))
+            n_question = [len(x) if y else -(-len(x) // 2) for x, y in zip(q, a, strict=True)]
+            ws = [x + y for x, y in zip(q, a, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ws], pa.int32()), pa.array(ws, pa.list_(pa.string())), pa.array(n_question, pa.int32())], names=["id", "n", "ws", "n_question"])
+
+    # Items are split by the function that splits the passages, or their terms would not meet.
+    rows = items.select(F.col(id_col).cast("long").alias("id"), question.alias("q"), answer.alias("a")).mapInArrow(split, "id long, n int, ws array<string>, n_question int").where("n > 0").distinct()
     rows = cut(rows)
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("words")).first()
     if not total["n"]:
@@ -193,7 +199,7 @@ def index_parts(items: DataFrame, id_col: str, text_col: str, question_col: str
     rows = rows.withColumn("part", part)
     for p in range(parts):
         own = rows.where(F.col("part") == p)
-        got = sorted((r["n"], r["id"], r["ws"], r["n_question"]) for r in own.toLocalIterator())
+        got = sorted(((r["n"], r["id"], r["ws"], r["n_question"]) for r in own.toLocalIterator()), key=lambda x: (x[0], x[1] is None, x[1] or 0, *x[2:]))
         if not got:
             continue
         terms = own.select(F.explode("ws").alias("w")).distinct().join(df, "w")
@@ -211,8 +217,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     goes to the executors in parts of bounded size, one search of all documents for each.
 
     Defined cases: null and empty texts and items match nothing; items of under five words match as a whole; items that
-    repeat an id count once, the longest; repeated rows and null ids of docs give rows each; no items or no documents
-    give no rows. Words are runs of \\w, lower-cased, so case and punctuation don't hide a leak. Other columns are ignored.
+    share an id (or have none) and differ in their words are items of their own, each with its own rows; equal ones count
+    once; repeated rows and null ids of docs give rows each; no items or no documents give no rows. Words are runs of \\w, lower-cased, so case and punctuation don't hide a leak. Other columns are ignored.
     """
     spark = docs.sparkSession
     schema = "id long, item_id long, score double, question_overlap double, answer_overlap double, first_word int"
