@@ -53,3 +53,19 @@ def test_long_text_null_id_repeated_rows_and_no_rows(spark):
     got = sorted((r["doc_id"] or -1, r["n_removed"]) for r in phrases.remove_repeats(df).collect())
     assert got == [(-1, 0), (1, 30_000), (1, 30_000), (2, 0)]
     assert phrases.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_texts_that_share_an_id_are_documents_of_their_own(spark, monkeypatch):
+    rng = random.Random(5)
+    text = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    passage, line, own = text(30), text(25), [text(n) for n in (5, 90, 7, 80)]
+    rows = [(None, f"{own[0]} {passage}"), (None, f"{own[1]} {passage}"), (4, f"{own[2]} {line}"), (4, f"{own[3]} {line}"), (9, passage), (9, line)]
+    for salt_rows in (2000, 1):
+        monkeypatch.setattr(phrases.repeated_windows, "__defaults__", (20, 6, salt_rows))
+        got = phrases.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        kept = sorted((r["doc_id"] or -1, r["n_words"], r["kept"]) for r in got)
+        for at, (words, shared) in enumerate([(own[:2], passage), (own[2:], line)]):
+            pair = kept[2 * at : 2 * at + 2]
+            assert [k[2].startswith(w) for k, w in zip(pair, words, strict=True)] == [True, True]
+            assert sum(shared in k[2] for k in pair) == 1 and sorted(len(k[2].split()) - len(w.split()) for k, w in zip(pair, words, strict=True)) == [0, len(shared.split())]
+        assert [k[2] for k in kept[4:]] == ["", ""]

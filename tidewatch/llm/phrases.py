@@ -125,19 +125,20 @@ def repeated(segments: list[tuple], window: int, emit_first: bool) -> Iterator[t
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """(id, packed): the texts compressed, for the shuffles."""
+    """(id, tie, packed): the texts compressed, for the shuffles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = zstandard.ZstdCompressor(level=3)
         for b in batches:
             packed = [small.compress(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["id", "packed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(packed, pa.binary())], names=["id", "tie", "packed"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, packed binary")
+    return docs.select("id", "text", "tie").mapInArrow(run, "id long, tie long, packed binary")
 
 
 def repeated_windows(docs: DataFrame, window: int = 20, phrase: int = 6, salt_rows: int = 2000) -> DataFrame:
-    """docs: (id long, text). (id, runs): the runs (first window, count) of windows whose words also start earlier.
+    """docs: (id long, text, tie long). (id, tie, runs): the runs (first window, count) of windows whose words also start
+    earlier. A document is known by id and tie together.
 
     1. Anchors: each document names the anchor phrases of its windows (about one word in seven begins one).
     2. Phrases that occur once can't belong to a repeated window; the others are confirmed by one count.
@@ -152,44 +153,44 @@ def repeated_windows(docs: DataFrame, window: int = 20, phrase: int = 6, salt_ro
         known = Hashes()
         for b in batches:
             found = [anchors((t or b"").split(), known, window, phrase) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            ids = np.repeat(b.column(0).to_numpy(), [len(f[0]) for f in found])
+            ids, ties = (np.repeat(b.column(i).to_numpy(), [len(f[0]) for f in found]) for i in (0, 2))
             columns = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(ids, pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], names=["anchor", "id", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(ids, pa.int64()), pa.array(ties, pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], names=["anchor", "id", "tie", "lo", "hi"])
 
-    named = written(docs.mapInArrow(scan, "anchor long, id long, lo int, hi int"))
+    named = written(docs.select("id", "text", "tie").mapInArrow(scan, "anchor long, id long, tie long, lo int, hi int"))
     recurring = written(named.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("salts", F.ceil(F.col("n") / salt_rows).cast("int")).select("anchor", "salts"))
-    places = named.join(recurring, "anchor").groupBy("id").agg(F.collect_set(F.struct("anchor", "lo", "hi", "salts")).alias("places"))
+    places = named.join(recurring, "anchor").groupBy("id", "tie").agg(F.collect_set(F.struct("anchor", "lo", "hi", "salts")).alias("places"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         large = zstandard.ZstdDecompressor()
         for b in batches:
             for a in range(0, b.num_rows, 256):
                 part = b.slice(a, 256)
-                lists = part.column(2)
+                lists = part.column(3)
                 each, flat = np.diff(lists.offsets.to_numpy()), lists.flatten()
                 anchor, lo, hi, salts = (flat.field(f).to_numpy() for f in ("anchor", "lo", "hi", "salts"))
-                ids = np.repeat(part.column(0).to_numpy(), each)
+                ids, ties = (np.repeat(part.column(i).to_numpy(), each) for i in (0, 1))
                 los, stops, k, words, fits = lo.tolist(), (hi + window).tolist(), 0, [], []
-                for packed, n in zip(part.column(1).to_pylist(), each.tolist(), strict=True):
+                for packed, n in zip(part.column(2).to_pylist(), each.tolist(), strict=True):
                     ws = large.decompress(packed).split()
                     for i in range(k, k + n):
-                        fits.append(stops[i] <= len(ws))  # else of another row with this id
+                        fits.append(stops[i] <= len(ws))  # else of another text with this id and hash
                         words.append(b" ".join(ws[los[i] : stops[i]]))
                     k += n
-                out = pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(salts, pa.int32()), pa.array(ids, pa.int64()), pa.array(lo, pa.int32()), pa.array(words, pa.binary())], names=["anchor", "salts", "id", "lo", "words"])
+                out = pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(salts, pa.int32()), pa.array(ids, pa.int64()), pa.array(ties, pa.int64()), pa.array(lo, pa.int32()), pa.array(words, pa.binary())], names=["anchor", "salts", "id", "tie", "lo", "words"])
                 yield out if all(fits) else out.filter(pa.array(fits, pa.bool_()))
 
-    segments = packed_texts(docs).join(places, "id").mapInArrow(cut_out, "anchor long, salts int, id long, lo int, words binary")
-    segments = segments.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    segments = packed_texts(docs).join(places, ["id", "tie"]).mapInArrow(cut_out, "anchor long, salts int, id long, tie long, lo int, words binary")
+    segments = segments.withColumn("salt", F.pmod(F.xxhash64("id", "tie"), F.col("salts")).cast("int"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = segments.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt", "id", "lo")
+    dealt = segments.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt", "id", "tie", "lo")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         span_kind = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))
 
         def flush(rows: list[tuple]) -> pa.RecordBatch:
-            ids, late, keys = [], [], []
+            docs_, late, keys = [], [], []
             rows.sort(key=lambda r: (r[0], r[3], r[4]))  # salts of one anchor may share a shard
             for salted in (False, True):
                 own = [(r[0], r[3], r[4], r[5]) for r in rows if (r[1] > 1) == salted]
@@ -197,30 +198,30 @@ def repeated_windows(docs: DataFrame, window: int = 20, phrase: int = 6, salt_ro
                     continue
                 for doc, again, new in repeated(own, window, salted):
                     if again:
-                        ids.append(doc)
+                        docs_.append(doc)
                         late.append([{"at": a, "n": n} for a, n in runs(again)])
                         keys.append(None)
                     for w, s in new:
-                        ids.append(doc)
+                        docs_.append(doc)
                         late.append([{"at": s, "n": 1}])
                         keys.append(hashlib.blake2b(w, digest_size=16).digest())
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(late, span_kind), pa.array(keys, pa.binary())], names=["id", "runs", "key"])
+            return pa.RecordBatch.from_arrays([pa.array([d[0] for d in docs_], pa.int64()), pa.array([d[1] for d in docs_], pa.int64()), pa.array(late, span_kind), pa.array(keys, pa.binary())], names=["id", "tie", "runs", "key"])
 
         for b in batches:
-            for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+            for r in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
                 if len(held) >= CHUNK and r[0] != held[-1][0]:
                     yield flush(held)
                     held = []
-                held.append((r[0], r[1], r[5], r[2], r[3], r[4]))
+                held.append((r[0], r[1], r[6], (r[2], r[3]), r[4], r[5]))
         if held:
             yield flush(held)
 
-    judged = written(dealt.select("anchor", "salts", "id", "lo", "words", "salt").mapInArrow(shard, "id long, runs array<struct<at:int,n:int>>, key binary"))
-    sure = judged.where("key is null").select("id", F.explode("runs").alias("r"))
-    open_ = judged.where("key is not null").select("id", F.col("runs")[0].alias("r"), "key")
-    first = open_.groupBy("key").agg(F.min(F.struct("id", F.col("r.at").alias("at"))).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first")
-    later = open_.join(first, "key").where(~F.struct("id", F.col("r.at").alias("at")).eqNullSafe(F.col("first"))).select("id", "r")
-    return sure.unionAll(later).groupBy("id").agg(F.collect_list("r").alias("runs"))
+    judged = written(dealt.select("anchor", "salts", "id", "tie", "lo", "words", "salt").mapInArrow(shard, "id long, tie long, runs array<struct<at:int,n:int>>, key binary"))
+    sure = judged.where("key is null").select("id", "tie", F.explode("runs").alias("r"))
+    open_ = judged.where("key is not null").select("id", "tie", F.col("runs")[0].alias("r"), "key")
+    first = open_.groupBy("key").agg(F.min(F.struct("id", "tie", F.col("r.at").alias("at"))).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first")
+    later = open_.join(first, "key").where(~F.struct("id", "tie", F.col("r.at").alias("at")).eqNullSafe(F.col("first"))).select("id", "tie", "r")
+    return sure.unionAll(later).groupBy("id", "tie").agg(F.collect_list("r").alias("runs"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, phrase: int = 6) -> DataFrame:
@@ -230,11 +231,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     earlier in its own. Windows are judged on the texts as they come in.
 
     Defined cases: null, blank and short texts keep all their words; a null id counts as the smallest; repeated rows
-    (one id, one text) give equal rows, and count as one document; rows of one id and different texts are judged as
-    one document by the places of their windows, which then can't be told apart; an empty table gives no rows. Other
-    columns are ignored.
+    (one id, one text) give equal rows, and count as one document; rows of one id, or of none, and different texts are
+    documents of their own, in the order of a hash of the text; an empty table gives no rows. Other columns are ignored.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    # Where each id has one text, the tie is a constant, which costs the shuffles nothing.
+    own = F.xxhash64("text")
+    clash = not rows.groupBy("id").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a <> b").isEmpty()
+    rows = rows.withColumn("tie", own if clash else F.lit(0).cast("long"))
     found = repeated_windows(rows, window, phrase)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +261,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(b" ".join([w for w, s in zip(ws, stays.tolist(), strict=True) if s]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
-    out = packed_texts(rows).join(found, "id", "left").select("id", "packed", "runs").mapInArrow(keep, "id long, n_words long, n_removed long, kept string")
+    out = packed_texts(rows).join(found, ["id", "tie"], "left").select("id", "packed", "runs").mapInArrow(keep, "id long, n_words long, n_removed long, kept string")
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "n_words", "n_removed", "kept")
 
 
