@@ -109,3 +109,14 @@ def test_as_of_scd_and_chain(spark):
     chain = serving.evidence_chain(spark.createDataFrame([("k", 1, "x"), ("k", 2, "y")], "k string, v int, c string"), "k", "v", ["c"]).orderBy("version").collect()
     again = serving.evidence_chain(spark.createDataFrame([("k", 1, "other"), ("k", 2, "y")], "k string, v int, c string"), "k", "v", ["c"]).orderBy("version").collect()
     assert chain[1]["content_hash"] == again[1]["content_hash"] and chain[1]["chain_hash"] != again[1]["chain_hash"]
+
+
+def test_depth_around_cycles(spark):
+    rows = [(2, "a", "b"), (2, "b", "c"), (2, "c", "a"), (2, "d", "a"), (2, "e", "d"), (3, "s", "s")]
+    got = graph.depth(spark.createDataFrame(rows, "g int, post_id string, reply_to string"), "g").collect()
+    assert {r["g"]: r["propagation_depth"] for r in got} == {2: 4, 3: 0}
+
+
+def test_depth_of_a_long_chain(spark):
+    rows = [(1, f"p{i}", f"p{i - 1}" if i else None) for i in range(600)]
+    assert [r["propagation_depth"] for r in graph.depth(spark.createDataFrame(rows, "g int, post_id string, reply_to string"), "g").collect()] == [599]

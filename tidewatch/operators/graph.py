@@ -24,20 +24,38 @@ def synchronized(posts: DataFrame, group: str, within: int = 5) -> DataFrame:
     return posts.withColumn("gap", gap).groupBy(group).agg(F.coalesce(F.avg((F.col("gap") <= within).cast("double")), F.lit(0.0)).alias("synchronized_posting"))
 
 
-def depth(posts: DataFrame, group: str, most: int = 512) -> DataFrame:
-    """Per group: the longest chain of replies inside it. Pointer doubling: after i rounds each post knows the ancestor
-    2^i steps up, so a chain of n needs log2(n) joins; a post on a cycle stops counting at `most`."""
-    now = posts.select(group, F.col("post_id").alias("id"), F.col("reply_to").alias("up"))
-    ids = now.select(group, F.col("id").alias("up"), F.lit(True).alias("there"))
-    now = now.join(ids, [group, "up"], "left").select(group, "id", F.when(F.col("there"), F.col("up")).alias("up")).withColumn("d", F.when(F.col("up").isNotNull(), 1).otherwise(0))
+def climbed(posts: DataFrame, group: str, largest: int) -> DataFrame:
+    """posts: (group, id, up). Pointer doubling: after i rounds each post knows the ancestor 2^i steps up, so a chain of n
+    needs log2(n) joins. Adds d (the steps made), low (the least id met) and top (the last post met); up stays only on
+    posts that still climb after as many steps as the largest group has posts: those that come to a cycle."""
+    now = posts.select(group, "id", "up", F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("long").alias("d"), F.col("id").alias("low"), F.coalesce("up", "id").alias("top"))
     step = 1
-    while step < most:
-        above = now.select(group, F.col("id").alias("up"), F.col("up").alias("next"), F.col("d").alias("more"))
-        now = now.join(above, [group, "up"], "left").select(group, "id", F.col("next").alias("up"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d")).checkpoint()
+    while step < 2 * largest and not now.where("up is not null").isEmpty():
+        above = now.select(group, F.col("id").alias("up"), F.col("up").alias("next"), F.col("d").alias("more"), F.col("low").alias("lower"), F.col("top").alias("higher"))
+        now = now.join(above, [group, "up"], "left").select(
+            group, "id", F.col("next").alias("up"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d"), F.least("low", "lower").alias("low"), F.coalesce("higher", "top").alias("top"),
+        ).checkpoint()
         step *= 2
-        if now.where("up is not null").isEmpty():
-            break
-    return now.groupBy(group).agg(F.max("d").alias("propagation_depth"))
+    return now
+
+
+def depth(posts: DataFrame, group: str, most: int | None = None) -> DataFrame:
+    """Per group: the longest chain of replies inside it, of any length. A chain that comes to a cycle ends before the
+    first post that it has met: it counts its own steps and all posts of the cycle but one. `most` limits nothing."""
+    now = posts.select(group, F.col("post_id").alias("id"), F.col("reply_to").alias("up"))
+    ids = now.select(group, F.col("id").alias("up"), F.lit(True).alias("there"))
+    links = now.join(ids, [group, "up"], "left").select(group, "id", F.when(F.col("there"), F.col("up")).alias("up"))
+    largest = now.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    now = climbed(links, group, largest)
+    ends, endless = now.where("up is null").select(group, "d"), now.where("up is not null")
+    if not endless.isEmpty():
+        on = endless.select(group, F.col("up").alias("id")).distinct()
+        ring = climbed(links.join(on, [group, "id"]), group, largest).select(group, F.col("id").alias("top"), "low")
+        ring = ring.join(ring.groupBy(group, "low").agg(F.count(F.lit(1)).alias("size")), [group, "low"])
+        to = links.join(endless.select(group, "id"), [group, "id"]).join(on.withColumn("on", F.lit(True)), [group, "id"], "left")
+        tails = climbed(to.select(group, "id", F.when(F.col("on").isNull(), F.col("up")).alias("up")), group, largest)
+        ends = ends.unionAll(tails.join(ring, [group, "top"]).select(group, F.col("d") + F.col("size") - 1))
+    return ends.groupBy(group).agg(F.max("d").alias("propagation_depth"))
 
 
 def time_to_authors(posts: DataFrame, group: str, counts: tuple[int, ...]) -> DataFrame:
