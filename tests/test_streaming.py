@@ -1,3 +1,4 @@
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tests.test_windows import SCHEMA, signal, trade
@@ -45,3 +46,24 @@ def test_posts_meet_their_mentions(spark, tmp_path):
     read = lambda x: spark.readStream.schema(spark.read.parquet(x).schema).parquet(x)
     jobs.run_once(jobs.paired(read(p), read(m)), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert [(r["post_id"], r["asset_id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("a", "X")]
+
+
+class Held(dict):
+    """A map state in memory."""
+
+    getValue, updateValue, removeKey, containsKey = dict.__getitem__, dict.__setitem__, dict.__delitem__, dict.__contains__
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+def test_every_window_becomes_final_after_a_long_outage():
+    job = jobs.Revisions(60, 0)
+    job.init(type("Handle", (), {"getMapState": lambda self, *a: Held()})())
+    row = lambda t, d: {"event_id": f"{d}{t}", "source_domain": d, "t": float(t), "amount": 1.0}
+    feed = lambda rows: next(job.handleInputRows(("s", "a"), iter([pd.DataFrame(rows)]), None)).to_dict("records")
+    feed([row(0, "social")] + [row(60 * i, "market") for i in range(100)])
+    final = [r["window_start"] for r in feed([row(6000, "social"), row(6060, "market")]) if r["state"] == "FINAL"]
+    assert final == [60 * i for i in range(100)]
+    late = feed([row(30, "market")])
+    assert [(r["window_start"], r["revision"], r["state"], r["supersedes"], r["n"]) for r in late] == [(0, 4, "CORRECTED", 3, 3)]

@@ -44,13 +44,15 @@ REVISION = "scope_id string, asset_id string, window_start long, revision int, s
 class Revisions(StatefulProcessor):
     """Windows of one asset with a revision for each row: PROVISIONAL, FINAL once the asset's own watermark (the least of its
     domains' latest times, less the lateness) passes the window's end, CORRECTED after that. State is one small value
-    for each window and each domain, not the rows."""
+    for each window and each domain, not the rows; a window's value stays, so that a row of any lateness corrects it. Only
+    the windows that are not final are gone through."""
 
-    def __init__(self, interval: int, lateness: int, domains: tuple[str, ...] = ("market", "social"), keep: int = 40):
-        self.interval, self.lateness, self.domains, self.keep = interval, lateness, domains, keep
+    def __init__(self, interval: int, lateness: int, domains: tuple[str, ...] = ("market", "social")):
+        self.interval, self.lateness, self.domains = interval, lateness, domains
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.windows = handle.getMapState("windows", "window_start long", "revision int, final boolean, n long, volume double")
+        self.open = handle.getMapState("open", "window_start long", "there boolean")
         self.latest = handle.getMapState("latest", "domain string", "t double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
@@ -59,6 +61,10 @@ class Revisions(StatefulProcessor):
 
         def emit(w: int, now: tuple, state: str, supersedes: int | None) -> None:
             self.windows.updateValue((w,), now)
+            if not now[1]:
+                self.open.updateValue((w,), (True,))
+            elif state == "FINAL":
+                self.open.removeKey((w,))
             out.append((scope, asset, w, now[0], state, supersedes, now[2], now[3]))
 
         for pdf in rows:
@@ -73,12 +79,10 @@ class Revisions(StatefulProcessor):
                 seen = [self.latest.getValue((q,))[0] for q in self.domains if self.latest.containsKey((q,))]
                 if len(seen) == len(self.domains):
                     mark = min(seen) - self.lateness
-                    for (start,), v in sorted((tuple(k), tuple(v)) for k, v in self.windows.iterator()):
-                        if not v[1] and start + self.interval <= mark:
-                            emit(int(start), (int(v[0]) + 1, True, int(v[2]), float(v[3])), "FINAL", int(v[0]))
-                    starts = sorted(int(k[0]) for k in self.windows.keys())
-                    for start in starts[: max(0, len(starts) - self.keep)]:
-                        self.windows.removeKey((start,))
+                    for start in sorted(int(k[0]) for k in self.open.keys()):
+                        if start + self.interval <= mark:
+                            v = tuple(self.windows.getValue((start,)))
+                            emit(start, (int(v[0]) + 1, True, int(v[2]), float(v[3])), "FINAL", int(v[0]))
         yield pd.DataFrame(out, columns=["scope_id", "asset_id", "window_start", "revision", "state", "supersedes", "n", "volume"]).astype({"supersedes": "Int32"})
 
     def close(self) -> None:
