@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed, return.
@@ -15,9 +15,12 @@ WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets a
+    folder of its own; on a cluster it is an error, as executors would each write to their own disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -49,18 +52,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def components(edges: DataFrame, salts: int = 16, rounds: int = 60) -> DataFrame:
+def attach(rows: DataFrame, facts: DataFrame, key: str, n_col: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined to facts (one row for each key) by key. n_col of facts is how many rows hold the key, of `total`.
+
+    Keys of over max(10,000, total / 10,000) rows are fewer than 10,000, so these are broadcast: their rows are joined
+    where they lie, and no task gathers a hot key. All others are joined by a shuffle. n_col is dropped."""
+    hot = F.col(n_col) > max(10_000, total // 10_000)
+    heavy = facts.where(hot).drop(n_col)
+    light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(facts.where(~hot).drop(n_col), key, how)
+    return rows.join(F.broadcast(heavy), key).unionByName(light)
+
+
+def running(rows: DataFrame, order: list, sums: list[str], n: int, part_rows: int = 50_000) -> DataFrame:
+    """rows with before_<c> for each c of sums: its sum over all rows that come before in the total order `order`.
+
+    The n rows are dealt into ranges of about part_rows, summed within each, and moved by what the ranges before hold;
+    one small row for each range is all that meets in one task."""
+    ranges = max(1, -(-n // part_rows))
+    placed = cut(rows.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    heads = placed.groupBy("__range").agg(*(F.sum(c).alias(c) for c in sums))
+    heads = heads.select("__range", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__{c}") for c in sums))
+    inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums}).join(F.broadcast(heads), "__range")
+    return out.withColumns({f"before_{c}": F.col(f"before_{c}") + F.col(f"__{c}") for c in sums}).drop("__range", *(f"__{c}" for c in sums))
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph given as longs (a, b); returns (node, component), the component being
     its smallest node. Alternating large-star and small-star steps: each keeps the components, and the graph becomes
-    one star for each component after O(log^2 n) rounds. The join that hands a node its minimum is salted, so a hub of
-    any degree is spread over tasks. Loops and repeated edges are allowed; no edges give no rows.
+    one star for each component after O(log^2 n) rounds. The join that hands a node its minimum spreads hubs of
+    any degree over tasks. Loops and repeated edges are allowed; no edges give no rows.
     """
-    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s")
 
-    def least(rows: DataFrame) -> DataFrame:
+    def least(rows: DataFrame, n: int) -> DataFrame:
         """rows (u, v) with the least v of each u as m."""
-        low = rows.groupBy("u").agg(F.min("v").alias("m"))
-        return rows.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(low.select("u", "m", salt), ["u", "s"]).select("u", "v", "m")
+        return attach(rows, rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "u", "n", n)
 
     def mark(rows: DataFrame) -> tuple:
         return tuple(rows.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
@@ -71,8 +98,8 @@ def components(edges: DataFrame, salts: int = 16, rounds: int = 60) -> DataFrame
         if not before[0]:
             break
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = least(both).where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b")).distinct()
-        small = least(large.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        large = least(both, 2 * before[0]).where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b")).distinct()
+        small = least(large.select(F.col("a").alias("u"), F.col("b").alias("v")), before[0])
         now = cut(small.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct())
         after = mark(now)
         if after == before:
