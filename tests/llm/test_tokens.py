@@ -46,7 +46,38 @@ def test_round_trip_and_places(spark, tmp_path):
     again = tokens.training_order(df.repartition(5), length=16, shard_rows=64, bucket_rows=3).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, got), key=lambda r: r[0]) or {tuple(r) for r in again} == {tuple(r) for r in got}
     ordered = tokens.training_order(df, length=16, shard_rows=64, bucket_rows=3)
-    tokens.write_shards(ordered, str(tmp_path / "shards"))
-    rest = tokens.read_from(spark, str(tmp_path / "shards"), 70, shard_rows=64).collect()
+    path = str(tmp_path / "shards")
+    assert tokens.write_shards(ordered, path, 64) == -(-len(got) // 64)
+    rest = tokens.read_from(spark, path, 70).collect()
     assert [r["slot"] for r in rest] == list(range(70, len(got)))
     assert tokens.training_order(df.limit(0)).count() == 0
+    # A slot is found by its offset alone, in a file of nothing but ids.
+    by_slot = {r["slot"]: r for r in got}
+    for slot in (0, 63, 64, 200, len(got) - 1):
+        r = by_slot[slot]
+        with open(f"{path}/shard-{r['shard']:09}.bin", "rb") as f:
+            f.seek(r["byte_offset"])
+            assert f.read(32) == bytes(r["tokens"]) == tokens.read_slot(path, slot).tobytes()
+    assert all(bytes(r["tokens"]) == bytes(by_slot[r["slot"]]["tokens"]) for r in rest)
+    # A broken run goes on where it ended: what is there at full size is passed over, also if a task left half a file.
+    (tmp_path / "shards" / "shard-000000001.bin").unlink()
+    (tmp_path / "shards" / "shard-000000002.bin").write_bytes(b"half")
+    before = (tmp_path / "shards" / "shard-000000000.bin").stat().st_mtime_ns
+    assert tokens.write_shards(ordered, path, 64) == 2 + (len(got) % 64 > 0)
+    assert (tmp_path / "shards" / "shard-000000000.bin").stat().st_mtime_ns == before
+    assert [bytes(r["tokens"]) for r in tokens.read_from(spark, path, 0).collect()] == [bytes(by_slot[i]["tokens"]) for i in range(len(got))]
+
+
+def test_partitions_hold_whole_shards_in_order(spark):
+    df = spark.createDataFrame([(i, "some words of a text " * 40) for i in range(60)], "doc_id long, text string")
+    out = tokens.training_order(df, length=16, shard_rows=8, part_shards=2)
+    parts = out.rdd.mapPartitionsWithIndex(lambda p, rows: [(p, [r["slot"] for r in rows])]).collect()
+    n = sum(len(x) for _, x in parts)
+    assert len(parts) == -(-n // 16) and all(x == list(range(16 * p, min(n, 16 * p + 16))) for p, x in parts)
+
+
+def test_many_equal_rows_are_numbered_apart(spark):
+    rows = [(None, None)] * 300 + [(7, "same text")] * 200 + [(1, "other")]
+    got = tokens.training_order(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), length=16, bucket_rows=20).collect()
+    assert sorted(r["slot"] for r in got) == list(range(501))
+    assert sum(r["doc_id"] is None and r["n_tokens"] == 1 for r in got) == 300

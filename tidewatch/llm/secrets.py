@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm._common import cut
+from tidewatch.llm._common import attach, cut
 
 #: Kinds in the order in which spans with one start are listed. The last is what the ownership count adds.
 KINDS = ("assign", "access", "hex", "owned")
@@ -90,10 +90,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id_type = rows.schema["id"].dataType.simpleString()
     scanned = cut(rows.mapInArrow(scan, f"row_id bigint, id {id_type}, owner string, repo string, found array<{SPAN}>"))
     each = scanned.select("row_id", "owner", "repo", F.explode("found").alias("f")).select("row_id", "owner", "repo", "f.*")
-    salts = 16
-    counts = each.select("value_hash", "owner", "repo").distinct().groupBy("value_hash").agg(F.countDistinct("owner").alias("n_owners"), F.countDistinct("repo").alias("n_repos"))
-    salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    judged = each.withColumn("salt", F.pmod("row_id", F.lit(salts)).cast("int")).join(salted, ["value_hash", "salt"])
+    seen = each.groupBy("value_hash", "owner", "repo").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(seen.groupBy("value_hash").agg(F.countDistinct("owner").alias("n_owners"), F.countDistinct("repo").alias("n_repos"), F.sum("n").alias("n")))
+    judged = attach(each, counts, "value_hash", "n", counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     verdict = F.when((F.col("n_owners") > max_owners) | (F.col("n_repos") > max_repos), "example").when(F.col("live_looking"), "live").otherwise("weak")
     kept = judged.withColumn("verdict", verdict).where("kind < 3 or verdict = 'live'")
     per_row = kept.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "stop", "value_hash", "live_looking", "n_repos", "n_owners", "verdict"))).alias("all"))

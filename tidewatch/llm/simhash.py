@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm._common import components, cut
+from tidewatch.llm._common import attach, components, cut
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 MAX_BITS = 3
@@ -138,12 +138,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives no rows. Other columns of docs are ignored.
     """
     own = cut(fingerprints(docs, id_col, text_col, shingle))
-    values = own.groupBy("fp").agg(F.min("id").alias("least"))
+    values = cut(own.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
     group = components(cut(linked(values.select("fp"), limit)))
-    placed = values.join(group.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    best = cut(placed).groupBy("component").agg(F.min("least").alias("component_id"))
-    salts = 16
-    names = placed.join(best, "component").select("fp", "component_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = own.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    out = salted.join(names, ["fp", "salt"])
+    placed = cut(values.join(group.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    best = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    n, m = placed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    names = attach(placed.select("component", "fp", "n"), best, "component", "m", m).select("fp", "component_id", "n")
+    out = attach(own, names, "fp", "n", n)
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyarrow import fs
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm._common import written
+from tidewatch.llm._common import running, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's own tokenizer cuts text into pieces (a fixed value of that public vocabulary).
@@ -95,48 +99,42 @@ def feistel(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
 
 
 def tokenize(docs: DataFrame, id_col: str, text_col: str, vocabulary: str) -> DataFrame:
-    """(id, tie, ids): the ids of the text and an end mark."""
+    """(row, id, tie, ids): a number of the row, and the ids of the text and an end mark. The vocabulary's file is shipped
+    with the job."""
     end = np.array([END], "<u2").tobytes()
+    docs.sparkSession.sparkContext.addFile(vocabulary)
+    file = vocabulary.rsplit("/", 1)[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(vocabulary)
+        encode = Encoder(SparkFiles.get(file))
         for b in batches:
-            ids = pa.array([encode(t) + end for t in b.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids], names=["id", "tie", "ids"])
+            ids = pa.array([encode(t) + end for t in b.column(3).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], ids], names=["row", "id", "tie", "ids"])
 
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tie"), text.alias("text")).mapInArrow(run, "id long, tie long, ids binary")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    return rows.mapInArrow(run, "row long, id long, tie long, ids binary")
 
 
-def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, shard_rows: int = 2048, key: int = 20240229, vocabulary: str = VOCABULARY, bucket_rows: int = 50_000) -> DataFrame:
+def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, shard_rows: int = 2048, key: int = 20240229, vocabulary: str = VOCABULARY, part_shards: int = 16, bucket_rows: int = 50_000) -> DataFrame:
     """Every sequence of docs at its place in the training order: slot, shard, byte_offset, id, seq, n_tokens, tokens.
 
     A document's ids and an end mark are cut into sequences of `length` ids, the last one filled up with end marks
-    (n_tokens says how many are real). Sequences are numbered by bucket (a hash of the document), document and seq;
-    the Feistel permutation under `key` sends number to slot, so slots are 0..n-1 without gaps, whatever the partitions.
-    tokens is binary, 2 * length bytes little-endian; shard = slot div shard_rows, at byte_offset within it. The rows
-    are range-partitioned and sorted by slot: each partition writes consecutive slots.
+    (n_tokens says how many are real). Documents come in the order of a hash of id and text, and their sequences are
+    numbered in it; the Feistel permutation under `key` sends number to slot, so slots are 0..n-1 without gaps, whatever the
+    partitions. tokens is binary, 2 * length bytes little-endian; shard = slot div shard_rows, at byte_offset within it.
+    Each partition holds the slots of part_shards whole shards, in order: partitions grow in number with the input.
 
     Defined cases: null and empty texts are one sequence of one end mark; repeated rows and null ids are documents like
-    any other (null first); an empty table gives no rows. Other columns are ignored.
+    any other (null first), each with numbers of its own; an empty table gives no rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
     own = written(tokenize(docs, id_col, text_col, vocabulary))
-    count = F.ceil(F.length("ids") / (2 * length)).cast("long")
-    total = own.agg(F.count(F.lit(1)).alias("n"), F.sum(count).alias("sequences")).first()
+    sized = own.select("row", "id", "tie", F.ceil(F.length("ids") / (2 * length)).cast("long").alias("k"))
+    total = sized.agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("sequences")).first()
     n = total["sequences"] or 0
-    buckets = max(1, -(-total["n"] // bucket_rows))
-    bucket = F.pmod(F.xxhash64("id", "tie"), F.lit(buckets)).cast("int")
-    sized = own.select("id", "tie", count.alias("k"), bucket.alias("bucket"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sized.groupBy("bucket").agg(F.sum("k").alias("k")).select("bucket", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("offset"))
-    # One number for each distinct (id, tie); its copies follow one another.
-    same = sized.groupBy("bucket", "id", "tie").agg(F.sum("k").alias("all"), F.max("k").alias("k"))
-    inside = Window.partitionBy("bucket").orderBy("id", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    first = same.join(offsets, "bucket").select(F.col("id").alias("__id"), F.col("tie").alias("__tie"), (F.col("all") > F.col("k")).alias("repeated"), (F.col("offset") + F.coalesce(F.sum("all").over(inside), F.lit(0))).alias("first"))
-    numbered = own.join(first, own["id"].eqNullSafe(first["__id"]) & (own["tie"] == first["__tie"])).drop("__id", "__tie")
-    again = numbered.where("repeated").withColumn("copy", F.row_number().over(Window.partitionBy("id", "tie").orderBy("first")) - 1)
-    numbered = numbered.where("not repeated").withColumn("copy", F.lit(0)).unionAll(again)
+    # Equal rows may take each other's numbers, so that of the row may come last: no group of equal rows meets in one task.
+    first = running(sized.withColumn("hash", F.xxhash64("id", "tie")), ["hash", "id", "tie", "row"], ["k"], total["n"], bucket_rows).select("row", F.col("before_k").alias("first"))
+    numbered = own.select("row", "id", "ids").join(first, "row")
     fill = np.array([END], "<u2").tobytes()
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,33 +142,106 @@ def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for a in range(0, b.num_rows, 512):
                 part = b.slice(a, 512)
                 ids, number, seq, real, tokens = [], [], [], [], []
-                for i, x, first_, copy in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                for i, x, first_ in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     k = -(-len(x) // (2 * length))
                     for s in range(k):
                         piece = x[2 * length * s : 2 * length * (s + 1)]
                         ids.append(i)
-                        number.append(first_ + copy * k + s)
+                        number.append(first_ + s)
                         seq.append(s)
                         real.append(len(piece) // 2)
                         tokens.append(piece + fill * (length - len(piece) // 2))
                 slot = feistel(np.array(number, np.int64), n, key) if number else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(ids, pa.int64()), pa.array(seq, pa.int32()), pa.array(real, pa.int32()), pa.array(tokens, pa.binary())], names=["slot", "id", "seq", "n_tokens", "tokens"])
 
-    placed = numbered.select("id", "ids", "first", "copy").mapInArrow(cut_up, "slot long, id long, seq int, n_tokens int, tokens binary")
+    placed = numbered.select("id", "ids", "first").mapInArrow(cut_up, "slot long, id long, seq int, n_tokens int, tokens binary")
     # Slots are dense and uniform: even ranges of them need no sampling pass over the rows.
-    parts = max(1, min(-(-n // shard_rows), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    width = max(1, -(-n // parts))
-    width = -(-width // shard_rows) * shard_rows
-    placed = placed.withColumn("range", F.expr(f"cast(slot div {width} as int)")).repartition(parts, "range").sortWithinPartitions("slot")
+    width = part_shards * shard_rows
+    placed = placed.repartitionById(max(1, -(-n // width)), F.expr(f"cast(slot div {width} as int)")).sortWithinPartitions("slot")
     return placed.select("slot", F.expr(f"cast(slot div {shard_rows} as long)").alias("shard"), F.expr(f"cast(slot % {shard_rows} * {2 * length} as long)").alias("byte_offset"), F.col("id").alias(id_col), "seq", "n_tokens", "tokens")
 
 
-def write_shards(ordered: DataFrame, path: str) -> None:
-    """Write the rows of training_order as Parquet under path, a folder for each shard, by slot within it: any reader
-    goes on from a slot by its shard and offset, and a lost or repeated task writes the same rows again."""
-    ordered.write.mode("overwrite").partitionBy("shard").parquet(path)
+def shard_path(folder: str, shard: int) -> str:
+    return f"{folder}/shard-{shard:09}.bin"
 
 
-def read_from(spark, path: str, slot: int, shard_rows: int = 2048) -> DataFrame:
-    """The rest of a run of training from a slot on: shards before it are not opened."""
-    return spark.read.parquet(path).where((F.col("shard") >= slot // shard_rows) & (F.col("slot") >= slot)).orderBy("slot")
+def write_shards(ordered: DataFrame, path: str, shard_rows: int = 2048) -> int:
+    """Write the rows of training_order under path (a URI): a file for each shard with the tokens of its slots one after the
+    other, so that slot s is at s % shard_rows times the stride in the file of s div shard_rows, and a manifest.
+
+    Each task writes its shards from its sorted slots, to a file of a temporary name that is renamed when it is whole: a
+    lost or repeated task leaves no half shard. Shards that are there at their full size are passed over, so a
+    broken run goes on where it ended. Rows must come sorted by slot within a partition, whole shards in one partition.
+    Returns the number of shards written by this run."""
+    target, folder = fs.FileSystem.from_uri(path)
+    target.create_dir(folder, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, at = fs.FileSystem.from_uri(path)
+        done: list[tuple[int, int, int]] = []
+        shard, out, temporary, expected, skip, rows, stride = -1, None, "", 0, False, 0, 0
+
+        def close() -> None:
+            if shard < 0:
+                return
+            if not skip:
+                out.close()
+                files.move(temporary, shard_path(at, shard))
+            done.append((shard, rows, int(not skip)))
+
+        for b in batches:
+            for slot, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if slot // shard_rows != shard:
+                    close()
+                    shard, rows, expected, stride = slot // shard_rows, 0, slot % shard_rows, len(tokens)
+                    info = files.get_file_info(shard_path(at, shard))
+                    skip = info.type == fs.FileType.File and info.size == stride * shard_rows
+                    if not skip:
+                        temporary = f"{at}/.shard-{shard:09}-{uuid.uuid4().hex}"
+                        out = files.open_output_stream(temporary)
+                if slot % shard_rows != expected or len(tokens) != stride:
+                    raise ValueError(f"slot {slot} is out of order or of another length")
+                expected, rows = expected + 1, rows + 1
+                if not skip:
+                    out.write(tokens)
+        close()
+        cols = list(zip(*done, strict=True)) if done else [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["shard", "rows", "written"])
+
+    got = ordered.select("slot", "tokens").mapInArrow(run, "shard long, rows long, written long").agg(F.sum("rows"), F.coalesce(F.sum("written"), F.lit(0)), F.count(F.lit(1))).first()
+    first = ordered.select(F.length("tokens").alias("stride")).first()
+    with target.open_output_stream(f"{folder}/manifest.json") as f:
+        f.write(json.dumps({"slots": got[0] or 0, "shards": got[2], "shard_rows": shard_rows, "stride": first[0] if first else 0}).encode())
+    return got[1]
+
+
+def read_slot(path: str, slot: int) -> np.ndarray:
+    """The ids of one slot, by its offset alone."""
+    files, at = fs.FileSystem.from_uri(path)
+    m = json.loads(files.open_input_stream(f"{at}/manifest.json").read())
+    with files.open_input_file(shard_path(at, slot // m["shard_rows"])) as f:
+        f.seek(slot % m["shard_rows"] * m["stride"])
+        return np.frombuffer(f.read(m["stride"]), "<u2")
+
+
+def read_from(spark: SparkSession, path: str, slot: int) -> DataFrame:
+    """The rest of a run of training from a slot on, as (slot, tokens): shards before it are not opened, and its own is
+    read from the slot's offset. Rows come in order within a partition of one shard each."""
+    files, at = fs.FileSystem.from_uri(path)
+    m = json.loads(files.open_input_stream(f"{at}/manifest.json").read())
+    size, stride = m["shard_rows"], m["stride"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, folder = fs.FileSystem.from_uri(path)
+        for b in batches:
+            for shard in b.column(0).to_pylist():
+                begin = max(slot, shard * size)
+                with own.open_input_file(shard_path(folder, shard)) as f:
+                    f.seek(begin % size * stride)
+                    while data := f.read(256 * stride):
+                        k = len(data) // stride
+                        yield pa.RecordBatch.from_arrays([pa.array(range(begin, begin + k), pa.int64()), pa.array([data[stride * i : stride * (i + 1)] for i in range(k)], pa.binary())], names=["slot", "tokens"])
+                        begin += k
+
+    some = max(m["shards"] - slot // size, 0)
+    return spark.range(slot // size, slot // size + some, numPartitions=max(1, some)).mapInArrow(run, "slot long, tokens binary")
