@@ -36,7 +36,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """As cut, but as a compressed Parquet table: for large rows. Once it is written, the shuffle files that led to it are
-    let go, rather than when the driver happens to collect its garbage."""
+    let go, rather than when the driver happens to collect its garbage. The table is deleted when the application ends."""
     spark, let_go = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     before = spark.conf.get(let_go)
@@ -45,6 +45,8 @@ def written(df: DataFrame) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(let_go, before)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 

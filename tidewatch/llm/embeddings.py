@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm._common import components, cut
+from tidewatch.llm._common import attach, components, cut
 
 
 def codebook(points: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -84,14 +85,17 @@ def fit_index(sample: np.ndarray, cosine: float, k: int, recall: float, seed: in
     return index
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, centres: int = 16, recall: float = 0.998, sample_rows: int = 4000, block: int = 512) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, centres: int | None = None, recall: float = 0.998, sample_rows: int = 4000, block: int = 512) -> DataFrame:
     """One row for each row of vectors: id, n_links (other vectors at that cosine or more and of its label), component_id
     (the least id reachable by links, its own included) and kept (it is that one).
 
-    The codebooks are fitted on at most sample_rows vectors (those with the least hash of the id); every vector is
-    indexed in its cell and visits the cells near it. Vectors of a label that meet in a cell are compared in blocks of
-    `block` by exact cosines in double precision, and a block pair returns counts and a spanning forest of its links,
-    never all its pairs. Vectors that are equal in every component are one entry of the index with a weight.
+    The codebooks are fitted on at most sample_rows vectors (those with the least hash of their components); every
+    vector is indexed in its cell and visits the cells near it. Each has `centres` centres: if not given, as many as put
+    about `block` vectors of the largest label in a cell, 16 at least and a sixteenth of the sample at most. Vectors of a
+    label that meet in a cell are compared in blocks of `block` by exact cosines in double precision, each pair of
+    blocks under a key of its own, so a cell that holds most of the vectors is spread over tasks; a block pair returns counts
+    and a spanning forest of its links, never all its pairs. Vectors that are equal in every component are one entry
+    of the index with a weight.
 
     Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label,
     link with nothing; vectors of different lengths don't link; a repeated id counts as a vector for each row and its
@@ -102,32 +106,32 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), v.alias("v"))
     good = F.expr("label is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
     # A copy of a vector is known by its components; the entry's id is the least of theirs.
-    rows = cut(rows.withColumn("key", F.when(good, F.sha2(F.concat_ws(",", F.col("label"), F.transform("v", lambda x: (x + F.lit(0.0)).cast("string"))), 256))))
+    rows = cut(rows.withColumn("key", F.when(good, F.sha2(F.concat_ws(",", F.length("label").cast("string"), F.col("label"), F.transform("v", lambda x: (x + F.lit(0.0)).cast("string"))), 256))))
     entries = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("weight"), F.first("label").alias("label"), F.first("v").alias("v"))
     entries = cut(entries.withColumn("n", F.monotonically_increasing_id()).withColumn("size", F.size("v")))
-    sizes = [r["size"] for r in entries.select("size").distinct().collect()]
+    largest = {r["size"]: r for r in entries.groupBy("size", "label").count().groupBy("size").agg(F.max("count").alias("label"), F.sum("count").alias("total")).collect()}  # lengths are few
     links, forest = None, None
-    for size in sorted(sizes):  # the lengths of vectors are few
-        own = entries.where(F.col("size") == size)
-        total = own.count()
+    for size in sorted(largest):
+        own, total = entries.where(F.col("size") == size), largest[size]["total"]
         thin = own.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(min(1.0, 1.5 * sample_rows / total) * (1 << 30)) + 1).orderBy(F.xxhash64("key"), "key").limit(sample_rows).select("v").collect()
         sample = unit(np.array([r["v"] for r in thin] or [[1.0] * size]))
-        index = fit_index(sample, cosine, centres if size > 1 else 1, recall)
+        k = centres or min(max(16, sample_rows // 16), max(16, math.ceil(math.sqrt(largest[size]["label"] / block))))
+        index = fit_index(sample, cosine, k if size > 1 else 1, recall)
         found = cut(block_links(own, index, size, cosine, block))
         counted = found.select(F.explode("counts").alias("c")).select("c.n", "c.links")
         joined = found.select(F.explode("edges").alias("e")).select(F.col("e.n").alias("a"), F.col("e.links").alias("b"))
         links = counted if links is None else links.unionAll(counted)
         forest = joined if forest is None else forest.unionAll(joined)
-    salts = 16
     if links is None:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     sums = links.groupBy("n").agg(F.sum("links").alias("links"))
     group = components(forest)
     placed = entries.select("n", "key", "least", "weight").join(sums, "n", "left").join(group.withColumnRenamed("node", "n"), "n", "left").withColumn("component", F.coalesce("component", "n"))
     placed = cut(placed.withColumn("links", F.coalesce("links", F.lit(0)) + F.col("weight") - 1))
-    best = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    each = placed.join(best, "component").select("key", "links", "component_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    out = rows.select("id", "key").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(each, ["key", "salt"], "left")
+    best = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    total, m = placed.agg(F.sum("weight"), F.count(F.lit(1))).first()
+    each = attach(placed.select("component", "key", "links", "weight"), best, "component", "m", m).drop("component")
+    out = attach(rows.where("key is not null").select("id", "key"), each, "key", "weight", total).unionByName(rows.where("key is null").select("id", "key"), allowMissingColumns=True)
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
@@ -172,9 +176,11 @@ def block_links(entries: DataFrame, index: MultiIndex, size: int, cosine: float,
     packed = lambda rows, name: rows.join(unit_vectors, "n").groupBy("label", "cell", "chunk").agg(F.collect_list(F.struct("n", "weight", "home", "x")).alias(name))
     there = packed(chunked.where("not probe").withColumn("chunk", mine), "there")
     many = placed.where("probe").groupBy("label", "cell").count().select("label", "cell", F.ceil(F.col("count") / block).cast("int").alias("probe_chunks"))
-    asked = chunked.where("probe").join(many, ["label", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("n"), F.col("probe_chunks")).cast("int"))
-    asked = packed(asked, "asked").withColumnRenamed("chunk", "asked_chunk")
-    met = there.join(asked, ["label", "cell"]).select("there", "asked").repartition(F.xxhash64(F.element_at("there", 1)["n"], F.element_at("asked", 1)["n"]))
+    asked = chunked.where("probe").join(many, ["label", "cell"]).withColumn("asked_chunk", F.pmod(F.xxhash64("n"), F.col("probe_chunks")).cast("int"))
+    asked = asked.join(unit_vectors, "n").groupBy("label", "cell", "chunks", "asked_chunk").agg(F.collect_list(F.struct("n", "weight", "home", "x")).alias("asked"))
+    # A chunk of probes is sent to each chunk of the cell, under a key of its own; the streamed side is that of the probes.
+    asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    met = asked.join(there, ["label", "cell", "chunk"]).select("there", "asked")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -184,7 +190,9 @@ def block_links(entries: DataFrame, index: MultiIndex, size: int, cosine: float,
             for r in range(b.num_rows):
                 (tn, tw, th, tx), (an, aw, ah, ax) = (columns(b.column(c)[r], size) for c in (0, 1))
                 i, j = np.nonzero(ax @ tx.T >= cosine - 1e-9)
-                exact = (ax[i] * tx[j]).sum(1) >= cosine  # by the vectors themselves, not by the matrix product's rounding
+                # By the vectors themselves, not by the matrix product's rounding; in slices of 8 MB.
+                some = max(1, (1 << 20) // size)
+                exact = np.concatenate([(ax[i[p : p + some]] * tx[j[p : p + some]]).sum(1) >= cosine for p in range(0, max(1, len(i)), some)])
                 i, j = i[exact & (an[i] != tn[j])], j[exact & (an[i] != tn[j])]
                 counts: dict[int, int] = {}
                 for n, w in zip(an[i].tolist(), tw[j].tolist(), strict=True):
