@@ -13,8 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s>/]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.DOTALL)
-ATTR = re.compile(r"""\b(class|id|role|data-y)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
+#: A tag from its name to its end, by possessive repeats: no way is tried twice.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s>/<]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+#: As far as the first ">", for pages whose quotes don't pair.
+BARE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s>/<]*+)([^>]*+)>")
+#: One attribute after the other, so that no name is found within a value or another name.
+ATTR = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?|["'=/]""")
+#: Numbers of character references that no character has, and that are too long to be read as numbers.
+ENDLESS = re.compile(r"&#[0-9]{16,}+;?")
+NAMED = frozenset(("class", "id", "role"))
 NAME = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never read.
@@ -38,23 +45,46 @@ class Node:
         self.text, self.linked, self.size = "", 0, 0
 
 
-def parse(page: str | None) -> list[Node]:
+class Open:
+    """Open block elements, with the places of each tag among them, so that no search walks through the depth of a page."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at = [root], defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.at[node.tag].append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, place: int) -> None:
+        """All from a place on."""
+        while len(self.stack) > place:
+            self.at[self.stack.pop().tag].pop()
+
+    def last(self, tags) -> int:
+        """The deepest place of any of the tags; 0 if none is open."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+
+def parse(page: str | None, labelled: bool = False) -> list[Node]:
     """The nodes of a page, parents before children, in page order; the first is the root. Forgiving: end tags without
-    a start are passed over, missing ones are supplied, and character references are decoded."""
+    a start are passed over, missing ones are supplied, a tag whose quotes don't pair ends at its first ">", and
+    character references are decoded. Time and memory are linear in the page, whatever its markup and depth.
+    labelled: whether data-y is a label, as in the examples."""
     page = page or ""
     root = Node("root", None)
-    nodes, stack, inline, pieces = [root], [root], [], []
+    nodes, open_, inline, inside, pieces = [root], Open(root), [], defaultdict(int), []
     linked = at = 0
     n = len(page)
+    tag_at, unclosed, last = TAG, set(), page.rfind(">")
 
     def flush() -> None:
         nonlocal linked
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                leaf = Node("#", stack[-1])
+                leaf = Node("#", open_.stack[-1])
                 leaf.text, leaf.linked = text, linked
-                stack[-1].children.append(leaf)
+                leaf.parent.children.append(leaf)
                 nodes.append(leaf)
             pieces.clear()
         linked = 0
@@ -62,73 +92,96 @@ def parse(page: str | None) -> list[Node]:
     def say(raw: str) -> None:
         nonlocal linked
         if raw:
-            text = html.unescape(raw) if "&" in raw else raw
+            text = html.unescape(ENDLESS.sub("\ufffd", raw)) if "&" in raw else raw
             pieces.append(text)
-            if "a" in inline:
+            if inside["a"]:
                 linked += len(text.strip())
 
+    def no_inline() -> None:
+        inline.clear()
+        inside.clear()
+
+    def end_of(tag: str, start: int) -> int:
+        """Where the end tag of an element that is not read is over; -1 if there is none."""
+        if tag in unclosed:
+            return -1
+        for m in re.compile(f"</{re.escape(tag)}", re.IGNORECASE | re.ASCII).finditer(page, start):
+            if not page[m.end() : m.end() + 1].isalnum():
+                stop = page.find(">", m.end())
+                if stop >= 0:
+                    return stop + 1
+                break
+        unclosed.add(tag)
+        return -1
+
     while at < n:
-        m = TAG.search(page, at)
-        if not m:
+        here = page.find("<", at)
+        if here < 0 or here > last and not page.startswith("<!--", here):  # no tag ends there
             say(page[at:])
             break
-        say(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        say(page[at:here])
+        if page.startswith(("<!", "<?"), here):
+            mark = ("-->", 3) if page.startswith("<!--", here) else (">", 1)
+            stop = page.find(mark[0], here + (4 if mark[1] == 3 else 2))
+            at = n if stop < 0 else stop + mark[1]
+            continue
+        m = tag_at.match(page, here)
+        if not m and tag_at is TAG and BARE_TAG.match(page, here):
+            tag_at = BARE_TAG  # from here on: else each tag might be read up to the page's end in vain
+            m = tag_at.match(page, here)
+        if not m:
+            say("<")
+            at = here + 1
             continue
+        at = m.end()
+        tag = m[2].lower()
         if m[1]:
             if tag in INLINE:
-                if tag in inline:
-                    while inline.pop() != tag:
-                        pass
-            elif any(x.tag == tag for x in stack[1:]):
+                if inside[tag]:
+                    while (x := inline.pop()) != tag:
+                        inside[x] -= 1
+                    inside[tag] -= 1
+            elif place := open_.last((tag,)):
                 flush()
-                inline.clear()
-                while stack.pop().tag != tag:
-                    pass
+                no_inline()
+                open_.close(place)
             continue
         if tag in MUTE and tag != "head":
             if m[3].endswith("/") and tag in ("svg", "math"):
                 continue
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else n if tag in RAW else at
+            stop = end_of(tag, at)
+            at = stop if stop >= 0 else n if tag in RAW else at
             continue
         if tag in INLINE:
             if tag == "br":
                 pieces.append(" ")
             elif tag not in VOID:
                 inline.append(tag)
+                inside[tag] += 1
             continue
         flush()
         if tag == "p" or tag not in VOID:
             # A block ends an open paragraph, and the inline elements in it.
-            inline.clear()
-            if stack[-1].tag == "p":
-                stack.pop()
+            no_inline()
+            if open_.stack[-1].tag == "p":
+                open_.close(len(open_.stack) - 1)
         if tag in CLOSES:
             ends, within = CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in within:
-                    break
-                if stack[k].tag in ends:
-                    del stack[k:]
-                    break
+            if (place := open_.last(ends)) > open_.last(within):
+                open_.close(place)
         if tag in VOID:
             continue
-        names, label = (), None
-        if m[3]:
-            for key, value in ATTR.findall(m[3]):
-                value = value.strip("\"'")
-                if key.lower() == "data-y":
-                    label = int(value)
-                else:
-                    names += tuple(NAME.findall(value.lower()))
-        node = Node(tag, stack[-1], names, label)
-        stack[-1].children.append(node)
+        names, label = [], None
+        for key, value in ATTR.findall(m[3]) if m[3] else ():
+            key = key.lower()
+            if key in NAMED:
+                names += NAME.findall(value.lower())
+            elif labelled and key == "data-y":
+                label = int(value.strip("\"'"))
+        node = Node(tag, open_.stack[-1], tuple(names), label)
+        node.parent.children.append(node)
         nodes.append(node)
-        if len(stack) < 400:  # deeper elements are siblings
-            stack.append(node)
+        open_.push(node)
     flush()
     for x in reversed(nodes):
         if x.tag == "#":
@@ -193,7 +246,7 @@ class Model:
     def marginals(self, nodes: list[Node]) -> list[float]:
         """The probability of content for each node: messages up from the leaves, then down from the root."""
         at = {id(x): i for i, x in enumerate(nodes)}
-        odds = [math.exp(sum(self.unary.get(f, 0.0) for f in facts(x))) if i else 1.0 for i, x in enumerate(nodes)]
+        odds = [math.exp(max(-30.0, min(30.0, sum(self.unary.get(f, 0.0) for f in facts(x))))) if i else 1.0 for i, x in enumerate(nodes)]
         parent = [at[id(x.parent)] if x.parent else -1 for x in nodes]
         moves = [self.move[pair(x)] if x.parent else None for x in nodes]
         b0, b1 = [1.0] * len(nodes), odds
@@ -230,6 +283,8 @@ class Model:
 #: Words in class, id or role of what surrounds an article, and of what holds it, for the labelled examples.
 AROUND = "ad ads advert advertisement adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs toolbar topbar header masthead footer bottom copyright legal sidebar aside widget rail related recommended recommendations popular trending more links cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login register search form contact share sharing social comment comments commentlist respond reply replies discussion disqus responses reader feedback pagination pager tags meta complementary contentinfo".split()
 WITHIN = "article post entry content story body main text hentry prose page".split()
+#: Names of looks, which stand on content and surroundings alike: the model learns that they say nothing.
+LOOKS = "flex grid row col container wrapper inner block item box group clearfix left right center wide narrow large small md lg sm px py mx my auto theme light dark".split()
 
 
 def examples(seed: int = 11) -> Iterator[str]:
@@ -254,16 +309,37 @@ def examples(seed: int = 11) -> Iterator[str]:
     def around() -> list[str]:
         return [f"<header><div>{say(4, '')}</div>{nav()}</header>", nav(), f"<aside><h3>{say(4, '')}</h3><p>{say(80)}</p></aside>", f"<footer><p>{say(20, rng.choice(['', '.']))}</p></footer>", f"<form><p>{say(12)}</p><fieldset>{say(4, '')}</fieldset></form>", f"<dialog><p>{say(40)}</p></dialog>"]
 
-    shapes = [lambda w: f'<div class="{w}"><p>{say(60)}</p></div>', lambda w: f'<section id="{w}"><h{(h := rng.randint(2, 4))}>{say(4, "")}</h{h}><p>{say(60)}</p><div><p>{say(30)}</p></div></section>', lambda w: f'<ul class="{w}"><li><a href="/">{say(4, "")}</a></li><li><p>{say(8)}</p></li></ul>', lambda w: f'<div role="{w}">{say(25, rng.choice(["", "."]))}</div>']
+    def named(w: str) -> str:
+        """A class of that word, sometimes among looks or with a part of its own."""
+        more = rng.choices(LOOKS, k=rng.randint(0, 3)) if rng.random() < 0.4 else []
+        return " ".join([*more, w if rng.random() < 0.7 else f"{rng.choice(['site', 'c', 'm', 'block'])}-{w}"])
+
+    def unnamed() -> str:
+        """A class that says nothing: looks, or an invented word."""
+        return " ".join(rng.choices(LOOKS, k=2)) if rng.random() < 0.5 else "".join(rng.choices("bcdfghklmnprstvz", k=6))
+
+    def links(tag: str) -> str:
+        return f'<{tag} class="{unnamed()}">' + "".join(f'<a href="/">{say(4, "")}</a> ' for _ in range(rng.randint(3, 8))) + f"</{tag}>"
+
+    def plain_around() -> str:
+        """Surroundings that only their structure tells: lists of links, and lines of a few words."""
+        items = "".join(f'<li><a href="/">{say(8, "")}</a></li>' for _ in range(rng.randint(2, 8)))
+        return rng.choice([links("div"), links("p"), f'<div class="{unnamed()}"><ul>{items}</ul></div>', f'<ul class="{unnamed()}">{items}</ul>', f'<div class="{unnamed()}"><h3>{say(3, "")}</h3><ul>{items}</ul></div>', f'<div class="{unnamed()}">{say(3, "")}</div>'])
+
+    shapes = [lambda w: f'<p class="{w}">{say(25)}</p>', lambda w: f'<ol class="{w}"><li><p>{say(30)}</p></li><li><div><p>{say(20)}</p></div></li></ol>', lambda w: f'<div class="{w}"><p>{say(60)}</p></div>', lambda w: f'<section id="{w}"><h{(h := rng.randint(2, 4))}>{say(4, "")}</h{h}><p>{say(60)}</p><div><p>{say(30)}</p></div></section>', lambda w: f'<ul class="{w}"><li><a href="/">{say(4, "")}</a></li><li><p>{say(8)}</p></li></ul>', lambda w: f'<div role="{w}">{say(25, rng.choice(["", "."]))}</div>']
     plain = ["<article data-y=1>{}</article>", "<main data-y=1>{}</main>", "<main><article data-y=1>{}</article></main>"]
     holders = [*plain, *(f'<div class="{w}" data-y=1>{{}}</div>' for w in WITHIN), *(f'<div><section id="{w}" data-y=1><div>{{}}</div></section></div>' for w in WITHIN)]
     for w in AROUND:
         for shape in shapes:
             outside, some = rng.choice(around()), rng.sample(around(), 3)
+            w = named(w)
             yield f"<body><div>{shape(w)}</div>{outside}{rng.choice(holders).format(article())}{''.join(some)}</body>"
             # What isn't content may also stand within the article.
             inner = re.sub(r"^<(\w+)", r"<\1 data-y=0", rng.choice([shape(w), shape(w), rng.choice(around()[1:])]))
             yield f"<body>{rng.choice(around())}{rng.choice(holders).format(article() + inner + article())}{rng.choice(around())}</body>"
+    for _ in range(150):
+        held = f'<div class="{unnamed()}" data-y=1>{article()}</div>' if rng.random() < 0.6 else f'<div class="{unnamed()}"><div class="{unnamed()}" data-y=1>{article()}</div></div>'
+        yield f'<body><div class="{unnamed()}">{plain_around()}</div>{rng.choice(around())}{held}{plain_around()}{rng.choice(around())}</body>'
     for _ in range(40):
         yield "<body>" + "".join(f"<p data-y=1>{say(200)}</p>" for _ in range(3)) + f"<footer>{say(9)}</footer></body>"
 
@@ -284,7 +360,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_r
     pages of at most max_chars characters, those with the least hash of their id."""
     m = Model()
     for x in examples():
-        m.learn(parse(x), 3.0)
+        m.learn(parse(x, labelled=True), 3.0)
     rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("html")).where(F.length("html") <= max_chars)
     total = pages.count()
     u = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
