@@ -84,3 +84,49 @@ def test_every_text_of_an_id_is_searched(spark):
     for words in (1_000_000, 60):
         got = d.find_leaks(docs, items, part_words=words).collect()
         assert sorted((r["doc_id"], r["item_id"] or -1) for r in got) == [(0, 1), (1, 1), (2, -1), (3, -1)]
+
+
+def index(items):
+    split = sorted((len(d.words(t)), i, d.words(t)) for i, t in items)
+    df = Counter(w for _, _, ws in split for w in set(ws))
+    n = len(split)
+    idf = {w: float(np.log(1 + (n - c + 0.5) / (c + 0.5))) for w, c in df.items()}
+    return d.Index([(i, ws, (k + 1) // 2) for k, i, ws in split], idf, sum(x[0] for x in split) / n)
+
+
+def exhaustive(ix, text, threshold, overlap):
+    """All items against all passages of a text, with no bound and no index."""
+    ws, step, found = d.words(text), ix.longest, {}
+    for a in range(0, max(1, len(ws)), step):
+        part = [ix.terms.get(w, -1) for w in ws[a : a + 2 * step]]
+        there, own = d.shingles(part), set(part)
+        for n in range(len(ix.ids)):
+            score = sum(w for t, (at, weights) in ix.posts.items() if t in own for p, w in zip(at, weights) if p == n)
+            share = [len(x & there) / len(x) if x else 1.0 for x in (ix.whole[n], ix.question[n], ix.answer[n])]
+            if score >= threshold and share[0] >= overlap and min(share[1:]) >= overlap / 2 and (n not in found or score > found[n][1] + 1e-9):
+                found[n] = (ix.ids[n], score, share[1], share[2], a)
+    return [found[n] for n in sorted(found)]
+
+
+def test_hits_equal_an_exhaustive_search(monkeypatch):
+    items, docs, _ = corpus(11)
+    ix = index(items)
+    texts = [t for _, t, _ in docs[:40:4]] + [t for _, t, _ in docs[80:]] + ["", None, "none of these"]
+    texts.append(" ".join(docs[k][1] for k in range(12)) + " " + items[5][1] + " x " + items[5][1])  # over many slices
+    for cells in (1 << 21, 1, 5 * ix.n_blocks):
+        monkeypatch.setattr(d, "CELLS", cells)
+        assert max(best.shape[0] for _, best in ix.slices([np.zeros(5000, np.int64)])) * ix.n_blocks <= max(cells, 2 * ix.n_blocks)
+        for threshold, overlap in ((0.7, 0.8), (0.3, 0.2)):
+            for text, got in zip(texts, ix.hits(texts, threshold, overlap), strict=True):
+                want = exhaustive(ix, text, threshold, overlap)
+                assert [(x[0], x[2:]) for x in got] == [(x[0], x[2:]) for x in want]
+                assert np.allclose([x[1] for x in got], [x[1] for x in want])
+
+
+def test_ties_go_to_the_first_passage_and_very_long_texts(spark):
+    item = " ".join(f"t{i}" for i in range(20))
+    pad = "pad " * 40
+    long = "filler " * 400_000
+    docs = [(1, f"{item} {pad} {item}"), (2, f"{long} {item} {long}")]
+    got = {r["doc_id"]: r for r in d.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(3, item)], "item_id long, text string")).collect()}
+    assert got[1]["first_word"] == 0 and got[2]["item_id"] == 3 and 399_960 <= got[2]["first_word"] <= 400_000

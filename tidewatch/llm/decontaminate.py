@@ -19,6 +19,8 @@ K1, B = 1.2, 0.75
 SHINGLE = 5
 #: Items in a block of a posting list; each block knows its largest weight.
 BLOCK = 4
+#: Bounds (segments times blocks) that are held at a time: 16 MB.
+CELLS = 1 << 21
 #: A term in more blocks than this is bounded by its largest weight alone.
 LIGHT = 64
 
@@ -125,7 +127,7 @@ class Index:
 
     def reachable(self, ids: np.ndarray, segment: np.ndarray, n: int) -> np.ndarray:
         """What each of n segments of words and the next one together may score at most in each block of items: the sum
-        of the block maxima of their distinct terms."""
+        of the block maxima of their distinct terms. It holds n times n_blocks numbers."""
         known = ids < len(self.terms)
         width = len(self.terms) + 1
         pairs = np.unique(segment[known] * width + ids[known])
@@ -138,25 +140,41 @@ class Index:
         light[:-1] += light[1:]
         return sums + light[:, None]
 
+    def slices(self, texts: list[np.ndarray]) -> Iterator[tuple[list[tuple[int, int]], np.ndarray]]:
+        """The segments of all texts, some at a time, as ([(text, segment in it)], reachable): as many as CELLS bounds
+        allow, however many items there are and however long a text is. The last segment of a slice begins the next one
+        too where its text goes on, for it stands with its successor."""
+        step, most = self.longest, max(2, CELLS // self.n_blocks)
+        places, parts = [], []
+
+        def done() -> tuple:
+            segment = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            return list(places), self.reachable(np.concatenate(parts), segment, len(parts))
+
+        for d, x in enumerate(texts):
+            for k in range(max(1, -(-len(x) // step))):
+                places.append((d, k))
+                parts.append(x[k * step : (k + 1) * step])
+                if len(parts) == most:
+                    goes_on = (k + 1) * step < len(x)
+                    own, best = done()
+                    yield (own[:-1], best[:-1]) if goes_on else (own, best)
+                    places, parts = ([places[-1]], [parts[-1]]) if goes_on else ([], [])
+        if parts:
+            yield done()
+
     def hits(self, texts: list[str | None], threshold: float, overlap: float) -> list[list[tuple[int, float, float, float, int]]]:
         """For each text the items found in it, as (item, score, question overlap, answer overlap, first word of the
         passage), the best passage of each item. Passages are two segments of the length of the longest item and begin
         at every segment, so any run of words as long as an item lies whole in one."""
-        none, step = len(self.terms), self.longest
-        out: list[list[tuple]] = []
-        for a in range(0, len(texts), 256):
-            get = self.terms.get
-            each = [np.array([get(w, none) for w in words(t)], np.int64) for t in texts[a : a + 256]]
-            parts = np.array([max(1, -(-len(x) // step)) for x in each])
-            start = np.cumsum(parts) - parts
-            segment = np.concatenate([s + np.arange(len(x)) // step for s, x in zip(start, each, strict=True)])
-            best = self.reachable(np.concatenate(each), segment, int(parts.sum()))
-            found: list[dict[int, tuple]] = [{} for _ in each]
-            owner = np.repeat(np.arange(len(each)), parts)
+        none, step, get = len(self.terms), self.longest, self.terms.get
+        each = [np.array([get(w, none) for w in words(t)], np.int64) for t in texts]
+        found: list[dict[int, tuple]] = [{} for _ in each]
+        for places, best in self.slices(each):
             reach = best >= threshold - 1e-9
             for s in np.flatnonzero(reach.any(1)).tolist():
-                d = owner[s]
-                first = (s - start[d]) * step
+                d, k = places[s]
+                first = k * step
                 part = each[d][first : first + 2 * step].tolist()
                 terms = set(part)
                 terms.discard(none)
@@ -166,9 +184,8 @@ class Index:
                     share = lambda want, there=there: len(want & there) / len(want) if want else 1.0
                     q, w = share(self.question[item]), share(self.answer[item])
                     if share(self.whole[item]) >= overlap and q >= overlap / 2 and w >= overlap / 2 and (item not in found[d] or score > found[d][item][1]):
-                        found[d][item] = (self.ids[item], score, q, w, int(first))
-            out += [[x[i] for i in sorted(x)] for x in found]
-        return out
+                        found[d][item] = (self.ids[item], score, q, w, first)
+        return [[x[i] for i in sorted(x)] for x in found]
 
 
 def index_parts(items: DataFrame, id_col: str, text_col: str, question_col: str | None, answer_col: str | None, part_words: int) -> Iterator[Index]:
@@ -229,7 +246,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = sent.value
-            for b in batches:
+            for b in (b.slice(a, 256) for b in batches for a in range(0, b.num_rows, 256)):
                 found = [(i, *h) for i, hits in zip(b.column(0).to_pylist(), own.hits(b.column(1).to_pylist(), threshold, overlap), strict=True) for h in hits]
                 cols = list(zip(*found, strict=True)) if found else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32()), strict=True)], names=["id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
