@@ -69,3 +69,44 @@ def test_texts_that_share_an_id_are_documents_of_their_own(spark, monkeypatch):
             assert [k[2].startswith(w) for k, w in zip(pair, words, strict=True)] == [True, True]
             assert sum(shared in k[2] for k in pair) == 1 and sorted(len(k[2].split()) - len(w.split()) for k, w in zip(pair, words, strict=True)) == [0, len(shared.split())]
         assert [k[2] for k in kept[4:]] == ["", ""]
+
+
+def segments_of(docs, window=20):
+    """Whole documents as segments of one anchor."""
+    return [(0, (i, 0), 0, t.encode()) for i, t in docs if len(t.split()) >= window]
+
+
+def test_only_what_the_automaton_finds_is_an_occurrence(monkeypatch):
+    rng = random.Random(3)
+    for trial in range(30):
+        vocab = [f"v{i}" for i in range(rng.choice([1, 2, 3, 40]))]
+        text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+        passage = text(rng.randint(20, 60))
+        docs = [(i, f"{text(rng.randint(0, 30))} {passage if i % 2 else text(40)} {text(rng.randint(0, 30))}") for i in range(8)]
+        got = {doc[0]: late for doc, late, _ in phrases.repeated(segments_of(docs), 20, False)}
+        first, want = {}, {}
+        for i, t in docs:
+            ws = t.split()
+            want[i] = [s for s in range(len(ws) - 19) if first.setdefault(tuple(ws[s : s + 20]), (i, s)) != (i, s)]
+        assert got == want
+        assert any(want.values())
+        with monkeypatch.context() as m:  # with an automaton of nothing, nothing is found
+            m.setattr(phrases, "compiled", lambda *a: (phrases.ahocorasick.Automaton(phrases.ahocorasick.STORE_INTS, phrases.ahocorasick.KEY_SEQUENCE), []))
+            assert not any(late for _, late, _ in phrases.repeated(segments_of(docs), 20, False))
+        with monkeypatch.context() as m:  # without one of its passages, that one's occurrences are not found
+            m.setattr(phrases, "confirmed", lambda keys, times, f=phrases.confirmed: set(sorted(f(keys, times))[1:]))
+            assert sum(map(len, want.values())) > sum(len(late) for _, late, _ in phrases.repeated(segments_of(docs), 20, False))
+
+
+def test_one_long_text_that_repeats_itself(spark, monkeypatch):
+    rows = [(1, "same " * 1_000_000), (2, "a b " * 30_000), (3, " ".join(f"w{i % 700}" for i in range(60_000))), (4, "same " * 600)]
+    for salt_rows in (2000, 50):
+        monkeypatch.setattr(phrases.repeated_windows, "__defaults__", (20, 6, salt_rows, 200))
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in phrases.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {1: (1_000_000, 999_999), 2: (60_000, 59_998), 3: (60_000, 59_300), 4: (600, 600)}
+
+
+def test_columns_of_other_names_and_types(spark):
+    df = spark.createDataFrame([(5, "word " * 30, "x", 1), (6, "word " * 30, None, 2)], "key int, body string, id string, anchor int")
+    got = {r["key"]: r["n_removed"] for r in phrases.remove_repeats(df, "key", "body").collect()}
+    assert got == {5: 29, 6: 30}

@@ -18,8 +18,10 @@ from tidewatch.llm._common import written
 #: A null document id sorts before all others.
 NO_ID = -(1 << 63)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
-#: Segments that one automaton is compiled from and streams at a time; whole groups of one anchor.
-CHUNK = 4000
+#: Segments, or bytes of them, that one automaton is compiled from and streams at a time; whole groups of one anchor and salt.
+CHUNK, CHUNK_BYTES = 4000, 16 << 20
+#: Windows in a segment at most.
+PIECE = 512
 
 
 class Hashes(dict):
@@ -45,19 +47,21 @@ def rolling(word_hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def anchors(words: list[bytes], known: Hashes, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(phrase hash, first window, last window) of each anchor of a document. The anchor of a window is the phrase in it
-    with the least hash, the first of equal ones: windows of equal words have equal anchors. Windows in a row with one
-    anchor are one entry."""
+    """(phrase hash, first window, last window) of each anchor of a document. The anchor of a window is the least phrase
+    hash in it: windows of equal words have equal anchors. Windows in a row with one anchor are one entry, of PIECE
+    windows at most."""
     if len(words) < window:
         return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
     h = rolling(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), phrase)
-    n, width = len(words) - window + 1, window - phrase + 1
-    least, at = h[:n].copy(), np.arange(n)
-    for i in range(1, width):
-        less = h[i : i + n] < least
-        np.copyto(least, h[i : i + n], where=less)
-        np.copyto(at, np.arange(i, i + n), where=less)
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    n = len(words) - window + 1
+    least = h[:n].copy()
+    for i in range(1, window - phrase + 1):
+        np.minimum(least, h[i : i + n], out=least)
+    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    size = np.diff(np.append(first, n))
+    if size.max() > PIECE:
+        pieces = -(-size // PIECE)
+        first = np.repeat(first, pieces) + PIECE * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
     last = np.append(first[1:], n) - 1
     return least[first].view(np.int64), first.astype(np.int32), last.astype(np.int32)
 
@@ -73,12 +77,55 @@ def runs(starts: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def confirmed(keys: list[list[bytes]], times: list[int]) -> set[bytes]:
+    """The windows that recur, by their words: keys holds those of each different segment, times how often it is there."""
+    count: dict[bytes, int] = {}
+    for own, n in zip(keys, times, strict=True):
+        for w in own:
+            count[w] = count.get(w, 0) + n
+    return {w for w, n in count.items() if n > 1}
+
+
+def compiled(sequences: list[tuple[int, ...]], keys: list[list[bytes]], recurring: set[bytes], window: int) -> tuple[ahocorasick.Automaton, list[list[int]]]:
+    """An Aho-Corasick automaton over word numbers of the recurring passages, the longest runs of recurring windows, and for
+    each passage the numbers of its windows."""
+    automaton, passages, number = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), [], {}
+    for q, own in zip(sequences, keys, strict=True):
+        for a, n in runs([i for i, w in enumerate(own) if w in recurring]):
+            automaton.add_word(q[a : a + n + window - 1], len(passages))
+            passages.append([number.setdefault(w, len(number)) for w in own[a : a + n]])
+    if len(automaton):
+        automaton.make_automaton()
+    return automaton, passages
+
+
+def located(automaton: ahocorasick.Automaton, passages: list[list[int]], q: tuple[int, ...], window: int) -> dict[int, int]:
+    """Every occurrence in a segment: the number of the recurring window at each place where the automaton finds one."""
+    found: dict[int, int] = {}
+    if not len(automaton):
+        return found
+    before, low, high = -1, 0, 0  # low to high: the last places found in a row
+    for stop, p in automaton.iter(q):
+        if stop == before:  # a shorter passage, with the same end
+            continue
+        before, own = stop, passages[p]
+        begin, end = stop - len(own) - window + 2, stop - window + 2
+        if begin > high:
+            low = high = begin
+        for i in range(begin, low):
+            found[i] = own[i - begin]
+        for i in range(high, end):
+            found[i] = own[i - begin]
+        low, high = min(low, begin), end
+    return found
+
+
 def repeated(segments: list[tuple], window: int, emit_first: bool) -> Iterator[tuple]:
     """segments: (anchor, doc, first window, words as bytes) by anchor, doc and window, whole anchors. Yields for each
     segment (doc, starts of its windows that also start earlier, [(window, start)] of windows that don't, if asked for).
 
-    The segments' recurring windows are confirmed by the words themselves and joined to passages; one Aho-Corasick
-    automaton of the passages, over word numbers, then streams all different segments and locates every occurrence."""
+    The recurring windows are confirmed by their words, the passages of them compiled, and all segments streamed through the
+    automaton: only what it finds there is an occurrence."""
     number: dict[bytes, int] = {}
     same: dict[bytes, int] = {}
     of, words, sequences, keys, times = [], [], [], [], []
@@ -95,32 +142,18 @@ def repeated(segments: list[tuple], window: int, emit_first: bool) -> Iterator[t
         sequences.append(q)
         keys.append([packed[4 * i : 4 * (i + window)] for i in range(len(q) - window + 1)])
         times.append(1)
-    count: dict[bytes, int] = {}
-    for own, n in zip(keys, times, strict=True):
-        for w in own:
-            count[w] = count.get(w, 0) + n
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for q, own in zip(sequences, keys, strict=True):
-        for a, n in runs([i for i, w in enumerate(own) if count[w] > 1]):
-            automaton.add_word(q[a : a + n + window - 1], n + window - 1)
-    located: list[list[int]] = [[] for _ in sequences]
-    if len(automaton):
-        automaton.make_automaton()
-        for k, q in enumerate(sequences):
-            found: set[int] = set()
-            for stop, size in automaton.iter(q):
-                found.update(range(stop - size + 1, stop - window + 2))
-            located[k] = sorted(found)
-    seen: dict[bytes, tuple] = {}
+    automaton, passages = compiled(sequences, keys, confirmed(keys, times), window)
+    places = [located(automaton, passages, q, window) for q in sequences]
+    seen: dict[int, tuple] = {}
     for (_, doc, first, _), k in zip(segments, of, strict=True):
-        late, new, own = [], [], keys[k]
-        for i in located[k]:
+        late, new = [], []
+        for i in sorted(places[k]):
             here = (doc, first + i)
-            if seen.setdefault(own[i], here) != here:
+            if seen.setdefault(places[k][i], here) != here:
                 late.append(first + i)
         if emit_first:
             gone = set(late)
-            new = [(b" ".join(words[k][i : i + window]), first + i) for i in range(len(own)) if first + i not in gone]
+            new = [(b" ".join(words[k][i : i + window]), first + i) for i in range(len(sequences[k]) - window + 1) if first + i not in gone]
         yield doc, late, new
 
 
@@ -136,14 +169,14 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text", "tie").mapInArrow(run, "id long, tie long, packed binary")
 
 
-def repeated_windows(docs: DataFrame, window: int = 20, phrase: int = 6, salt_rows: int = 2000) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = 20, phrase: int = 6, salt_rows: int = 2000, shard_rows: int = 200_000) -> DataFrame:
     """docs: (id long, text, tie long). (id, tie, runs): the runs (first window, count) of windows whose words also start
     earlier. A document is known by id and tie together.
 
     1. Anchors: each document names the anchor phrases of its windows (about one word in seven begins one).
     2. Phrases that occur once can't belong to a repeated window; the others are confirmed by one count.
     3. Only what lies around recurring anchors is cut out of the texts and dealt to the automata's shards by anchor.
-       An anchor of many occurrences is dealt to several shards, by document.
+       An anchor of many occurrences is dealt to several shards, by document and place.
     4. Each shard compiles automata of its recurring passages and streams its segments, ordered by document and place,
        so the first occurrence comes first. For anchors in several shards, each shard's first ones are compared again.
     """
@@ -158,8 +191,9 @@ def repeated_windows(docs: DataFrame, window: int = 20, phrase: int = 6, salt_ro
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(ids, pa.int64()), pa.array(ties, pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], names=["anchor", "id", "tie", "lo", "hi"])
 
     named = written(docs.select("id", "text", "tie").mapInArrow(scan, "anchor long, id long, tie long, lo int, hi int"))
-    recurring = written(named.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("salts", F.ceil(F.col("n") / salt_rows).cast("int")).select("anchor", "salts"))
-    places = named.join(recurring, "anchor").groupBy("id", "tie").agg(F.collect_set(F.struct("anchor", "lo", "hi", "salts")).alias("places"))
+    recurring = written(named.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("salts", F.ceil(F.col("n") / salt_rows).cast("int")))
+    total = recurring.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    places = named.join(recurring.drop("n"), "anchor").groupBy("id", "tie").agg(F.collect_set(F.struct("anchor", "lo", "hi", "salts")).alias("places"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         large = zstandard.ZstdDecompressor()
@@ -177,21 +211,25 @@ def repeated_windows(docs: DataFrame, window: int = 20, phrase: int = 6, salt_ro
                         fits.append(stops[i] <= len(ws))  # else of another text with this id and hash
                         words.append(b" ".join(ws[los[i] : stops[i]]))
                     k += n
-                out = pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(salts, pa.int32()), pa.array(ids, pa.int64()), pa.array(ties, pa.int64()), pa.array(lo, pa.int32()), pa.array(words, pa.binary())], names=["anchor", "salts", "id", "tie", "lo", "words"])
-                yield out if all(fits) else out.filter(pa.array(fits, pa.bool_()))
+                    if words and (k == len(lo) or len(words) > 20_000):  # not all at once, where texts are long
+                        own = slice(k - len(words), k)
+                        out = pa.RecordBatch.from_arrays([pa.array(anchor[own], pa.int64()), pa.array(salts[own], pa.int32()), pa.array(ids[own], pa.int64()), pa.array(ties[own], pa.int64()), pa.array(lo[own], pa.int32()), pa.array(words, pa.binary())], names=["anchor", "salts", "id", "tie", "lo", "words"])
+                        yield out if all(fits) else out.filter(pa.array(fits, pa.bool_()))
+                        words, fits = [], []
 
     segments = packed_texts(docs).join(places, ["id", "tie"]).mapInArrow(cut_out, "anchor long, salts int, id long, tie long, lo int, words binary")
-    segments = segments.withColumn("salt", F.pmod(F.xxhash64("id", "tie"), F.col("salts")).cast("int"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    segments = segments.withColumn("salt", F.pmod(F.xxhash64("id", "tie", F.floor(F.col("lo") / PIECE)), F.col("salts")).cast("int"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_rows))
     dealt = segments.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt", "id", "tie", "lo")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        size = 0
         span_kind = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))
 
         def flush(rows: list[tuple]) -> pa.RecordBatch:
             docs_, late, keys = [], [], []
-            rows.sort(key=lambda r: (r[0], r[3], r[4]))  # salts of one anchor may share a shard
+            rows.sort(key=lambda r: (r[0], r[3], r[4]))  # salts of one anchor may come together
             for salted in (False, True):
                 own = [(r[0], r[3], r[4], r[5]) for r in rows if (r[1] > 1) == salted]
                 if not own:
@@ -209,10 +247,11 @@ def repeated_windows(docs: DataFrame, window: int = 20, phrase: int = 6, salt_ro
 
         for b in batches:
             for r in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                if len(held) >= CHUNK and r[0] != held[-1][0]:
+                if (len(held) >= CHUNK or size >= CHUNK_BYTES) and (r[0], r[6]) != (held[-1][0], held[-1][2]):
                     yield flush(held)
-                    held = []
+                    held, size = [], 0
                 held.append((r[0], r[1], r[6], (r[2], r[3]), r[4], r[5]))
+                size += len(r[5])
         if held:
             yield flush(held)
 
