@@ -53,3 +53,39 @@ def test_mixed_rows_keep_the_limit_and_the_targets(spark):
         taken[r["source"]] += len(r["text"].split())
     for r in mixing.mix_sources(docs).select("source", "target").distinct().collect():
         assert abs(taken[r["source"]] - r["target"]) <= 45
+
+
+def tables(spark, folder, items=((1, "the one test item of this benchmark is a line of words that no other text holds"),), labels=((1, 0, 0), (2, 0, 1))):
+    spark.createDataFrame(list(items), "item_id long, text string").write.mode("overwrite").parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{folder}/labels.parquet")
+
+
+def test_every_stage_of_an_empty_table_is_empty(spark, tmp_path):
+    tables(spark, tmp_path)
+    docs = documents(spark, [(1, "x", "s")]).limit(0)
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0, name
+        assert name == "training_order" or out.columns == p.DOCUMENT
+
+
+def test_every_stage_takes_nulls_ties_repeats_and_very_long_texts(spark, tmp_path):
+    tables(spark, tmp_path)
+    rng = random.Random(7)
+    long = words(rng, 150_000)
+    rows = [(None, None, None), (None, None, None), (3, "", "s"), (3, "", "s"), (4, " \t\n", "s"), (5, long, "s"), (5, long, "s"), (6, long, None), (7, "tie one", "s"), (7, "tie two", "s"), *((10 + i, words(rng, 30), "st"[i % 2]) for i in range(40))]
+    docs = spark.createDataFrame([(*r, None if r[0] == 7 else "en", r[0]) for r in rows], "doc_id long, text string, source string, lang string, clash long")
+    docs = docs.selectExpr("doc_id", "text", "lang", "source", "cast(length(text) as int) as n_chars", "clash as row", "clash as copy", "clash as toxic").repartition(3)
+    want = Counter((r["doc_id"], r["text"]) for r in docs.collect())
+    for name, stage in p.STAGES[:-1]:
+        got = Counter((r["doc_id"], r["text"]) for r in stage(spark, docs, str(tmp_path)).collect())
+        assert got.keys() <= want.keys(), name
+        if name in ("toxicity", "decontamination"):  # labels of one class reject nothing, and no text holds the item
+            assert got == want
+        if name == "near_copies":
+            assert all(n == 1 for n in got.values()) and sum(t == long for _, t in got) == 1 and sum(not (t or "").split() for _, t in got) == 1
+        if name == "mixing":
+            assert all(n <= mixing.MOST * want[k] for k, n in got.items()) and not got[(None, None)]
+    out = p.order_tokens(spark, docs, str(tmp_path))
+    n = out.count()
+    assert sorted(r["slot"] for r in out.select("slot").collect()) == list(range(n)) and out.where("seq = 0").count() == len(rows)
