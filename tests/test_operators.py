@@ -86,7 +86,9 @@ def test_indicator_normal_forms(spark):
     got = {r["i"]: r["indicator_value"] for r in threat.normalize(df).collect()}
     assert [got.get(i) for i in range(len(cases))] == [w for _, _, w in cases]
     found = threat.candidates(spark.createDataFrame([(1, f"see http://x.example/a and evil.example, 10.0.0.1 {'f' * 32}")], "post long, text string"), "post").collect()
-    assert {(r["indicator_type"], r["indicator_value"]) for r in found} == {("URL", "http://x.example/a"), ("DOMAIN", "evil.example"), ("IPV4", "10.0.0.1"), ("MD5", "f" * 32)}
+    assert {(r["indicator_type"], r["indicator_value"]) for r in found} == {("URL", "http://x.example/a"), ("DOMAIN", "x.example"), ("DOMAIN", "evil.example"), ("IPV4", "10.0.0.1"), ("DOMAIN", "10.0.0.1"), ("MD5", "f" * 32)}
+    more = threat.candidates(spark.createDataFrame([(1, "(HTTPS://User@Bad.Example:443/x?y#z) ::1 2001:DB8::5, a@b.example")], "post long, text string"), "post").collect()
+    assert {(r["indicator_type"], r["indicator_value"]) for r in more} == {("URL", "https://bad.example/x?y"), ("DOMAIN", "bad.example"), ("IPV6", "::1"), ("IPV6", "2001:db8::5")}
 
 
 def test_percentile_calibration_and_platt(spark):
@@ -120,3 +122,64 @@ def test_depth_around_cycles(spark):
 def test_depth_of_a_long_chain(spark):
     rows = [(1, f"p{i}", f"p{i - 1}" if i else None) for i in range(600)]
     assert [r["propagation_depth"] for r in graph.depth(spark.createDataFrame(rows, "g int, post_id string, reply_to string"), "g").collect()] == [599]
+
+
+def resolved(text_, registry):
+    """Mentions written out: every alias looked for at every place of one text."""
+    import re
+
+    found = {}
+    for kind, p in (("CASHTAG", r"(?<!\w)\$([A-Za-z][A-Za-z0-9]{0,15})"), ("HASHTAG", r"(?<!\w)#([A-Za-z][A-Za-z0-9_]{0,31})")):
+        for m in re.finditer(p, text_):
+            found[m.start(), m.end()] = (m[1], kind)
+    for alias in registry:
+        for m in re.finditer(rf"(?<![\w$#]){re.escape(alias)}(?!\w)", text_, re.IGNORECASE):
+            found.setdefault((m.start(), m.end()), (m[0], "BARE"))
+    out = []
+    for (s, e), (alias, kind) in sorted(found.items()):
+        who = registry.get(alias.upper(), [])
+        near = text_[max(0, s - 24) : e + 24].upper()
+        market = any(w in near for w in (" STOCK", " TOKEN", " COIN", " CRYPTO", " SHARES"))
+        vague = len(who) > 1 or any(x[1] for x in who)
+        if not who:
+            got = ("UNRESOLVED", 0.0)
+        elif vague and kind != "CASHTAG" and not (market and len(who) == 1):
+            got = ("AMBIGUOUS", 0.4 if kind == "BARE" else 0.6)
+        elif len(who) > 1:
+            got = ("AMBIGUOUS", 0.7)
+        else:
+            got = ("RESOLVED", 0.88 if market and kind == "BARE" else {"CASHTAG": 0.98, "HASHTAG": 0.82, "BARE": 0.62}[kind])
+        out.append((s, e, kind, *got))
+    return out
+
+
+def test_mentions_against_a_search_for_every_alias(spark):
+    assets = [("a1", "ACME", "Acme Corp & Sons"), ("a2", "GO", "Go"), ("a3", "ZED", "Zed Coin"), ("a4", "ACME", "Other"), ("a5", "S&P", "S&P 500"), ("a6", "ＦＵＬＬ", "Full Width")]
+    registry = {"ACME": [("a1", False), ("a4", False)], "ACME CORP & SONS": [("a1", False)], "GO": [("a2", True)], "ZED": [("a3", False)], "ZED COIN": [("a3", False)], "OTHER": [("a4", False)], "S&P": [("a5", False)], "S&P 500": [("a5", False)], "ＦＵＬＬ": [("a6", False)], "FULL WIDTH": [("a6", False)]}
+    texts = ["$ACME and #zed, go go GO stock!", "I like Acme Corp & sons; the acme corp &sons are not", "buy zed coin, zed coins, $zed $NOPE #GO #what_ever", "s&p 500 and S&P, $S&P; x$ACME #ACME_x ##zed $go", "nothing here", "Straße ß zed — ZED’s full width", "", "go " * 5 + "token", "other Other $other $Other16charslong0x"]
+    table = text.alias_table(spark.createDataFrame(assets, "asset_id string, symbol string, name string"), ["go"])
+    posts = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "post_id int, text string")
+    got = {}
+    for r in text.resolve_mentions(posts, table).collect():
+        got.setdefault(r["post_id"], []).append((r["start"], r["stop"], r["kind"], r["status"], r["confidence"]))
+        assert r["mention_text"] == texts[r["post_id"]][r["start"] : r["stop"]]
+        assert (r["asset_id"] is not None) == (r["status"] == "RESOLVED")
+    for i, t in enumerate(texts):
+        assert sorted(got.get(i, [])) == resolved(t, registry), t
+
+
+def test_clusters_take_the_best_that_both_limits_allow(spark):
+    """A post whose nearest centroid has a member too far from it joins the next group, which admits it."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(3, 6))
+    rows = [("g", i, i, (base[rng.integers(3)] + 0.45 * rng.normal(size=6)).tolist()) for i in range(60)]
+    out = text.cluster(spark.createDataFrame(rows, "grp string, post_id long, epoch long, vector array<double>"), "grp").collect()
+    cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    groups = []
+    for _, i, _, v in rows:
+        unit = {j: np.array(rows[j][3]) / np.linalg.norm(rows[j][3]) for j in range(60)}
+        open_ = [(-cos(v, np.mean([unit[j] for j in m], 0)), m[0], m) for m in groups if cos(v, np.mean([unit[j] for j in m], 0)) >= 0.76 and min(cos(v, unit[j]) for j in m) >= 0.68]
+        min(open_)[2].append(i) if open_ else groups.append([i])
+    assert {r["post_id"]: r["seed_id"] for r in out} == {i: m[0] for m in groups for i in m}

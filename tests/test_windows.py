@@ -73,8 +73,9 @@ def test_no_rows(spark):
 def test_pump_is_scored_high_only_with_market_evidence(spark):
     quiet = [trade(-600 + 60 * i, 100, 1) for i in range(9)]
     pump = [trade(i, 100 + 3 * i, 60) for i in range(1, 30)]
-    social = [signal("SOCIAL_POST", -50 + i, author_id="p", hashtags=["a", "b", "c", "d"], urls=["u"], repost_of="r") for i in range(12)]
-    mentions = [signal("ASSET_MENTION", -40 + i) for i in range(12)]
+    # Posts before the pump and in it: an active source without posts in a window counts as zero there.
+    social = [signal("SOCIAL_POST", t + i, author_id="p", hashtags=["a", "b", "c", "d"], urls=["u"], repost_of="r") for t in (-50, 5) for i in range(12)]
+    mentions = [signal("ASSET_MENTION", t + i) for t in (-40, 6) for i in range(12)]
     books = [signal("ORDERBOOK", 10, spread=0.05, top_n_depth=10.0, imbalance=0.9, book_valid=True)]
     got = {r["window_start"]: r for r in scoring.fuse(scoring.detect(windows.features(spark.createDataFrame(quiet + pump + social + mentions + books, SCHEMA), [60]))).collect()}
     assert got[at(-540)]["severity"] == "NORMAL"

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import html.entities
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Name space for URLs of RFC 4122, as text in ISO 8859-1 is no choice for bytes: kept in hexadecimal (a fixed value).
 NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
@@ -70,3 +75,31 @@ def settled(df: DataFrame) -> DataFrame:
     conditional columns else are put into each other by the optimizer (a filter on the last one is pushed down through
     all), and the expression grows exponentially with the chain."""
     return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
+@F.pandas_udf(T.StringType())
+def nfkc(values: pd.Series) -> pd.Series:
+    """Unicode's normal form KC, for which the JVM has no function; ASCII passes as it is."""
+    return values.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
+
+
+def unescaped(text: Column) -> Column:
+    """Character references decoded: numbers, and the names that the standard ends with a semicolon."""
+    names = F.create_map(*(F.lit(x) for k, v in html.entities.html5.items() if k.endswith(";") for x in (k[:-1], v)))
+
+    def decoded(piece: Column) -> Column:
+        """A piece after an ampersand."""
+        part = lambda p: F.regexp_extract(piece, p, 1)
+        number = F.coalesce(F.when(part("^#([0-9]{1,7});") != "", part("^#([0-9]{1,7});").cast("long")), F.when(part("^#[xX]([0-9a-fA-F]{1,6});") != "", F.conv(part("^#[xX]([0-9a-fA-F]{1,6});"), 16, 10).cast("long")))
+        known = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        sign = F.coalesce(F.when(known, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")), F.when(number.isNotNull(), "\ufffd"), F.try_element_at(names, part("^([A-Za-z][A-Za-z0-9]*);")))
+        return F.when(sign.isNotNull(), F.concat(sign, F.regexp_replace(piece, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&"), piece))
+
+    pieces = F.split(text, "&", -1)
+    rest = F.array_join(F.transform(F.slice(pieces, 2, 1 << 30), decoded), "")
+    return F.when(text.contains("&"), F.concat(F.get(pieces, F.lit(0)), rest)).otherwise(text)
+
+
+def canonical_hash(fields: dict[str, Column]) -> Column:
+    """SHA-256 of a canonical JSON object: fields by name, no white space, nulls written out."""
+    return F.sha2(F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"}), 256)

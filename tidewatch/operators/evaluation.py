@@ -47,32 +47,37 @@ def exact_percentile(rows: DataFrame, keys: list[str], value: str, fraction: flo
     return rows.withColumns({"__n": n, "__at": at}).where(F.col("__at") == F.bround((F.col("__n") - 1) * fraction)).select(*keys, F.col(value).alias("percentile"))
 
 
-def calibration_metrics(rows: DataFrame, p: str, label: str, bins: int = 10) -> DataFrame:
-    """Brier score, log loss, calibration error over equal bins, area under the curve: one row."""
+def calibration_metrics(rows: DataFrame, p: str, label: str, bins: int = 10, keys: tuple[str, ...] = (), slices: int = 1024) -> DataFrame:
+    """Brier score, log loss, calibration error over equal bins, area under the curve: a row for each of the keys, or one."""
+    keys = list(keys)
+    rows = rows if keys else rows.withColumn("__all", F.lit(1))
+    own = keys or ["__all"]
     y, x = F.col(label).cast("double"), F.col(p)
     clip = lambda c: F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), c))
     edge = sum((F.when(x >= i / bins, 1).otherwise(0) for i in range(1, bins)), F.lit(0))
-    base = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("positives"), F.avg((x - y) * (x - y)).alias("brier"), (-F.avg(y * F.ln(clip(x)) + (1 - y) * F.ln(clip(1 - x)))).alias("log_loss"))
-    per_bin = rows.groupBy(edge.alias("bin")).agg(F.count(F.lit(1)).alias("m"), F.avg(x).alias("c"), F.avg(y).alias("a"))
-    ece = per_bin.agg((F.sum(F.col("m") * F.abs(F.col("c") - F.col("a"))) / F.sum("m")).alias("ece"))
-    # Distinct scores with cumulative negatives: each positive beats those below it, and half of those beside it.
-    scores = rows.groupBy(x.alias("x")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    auc = scores.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2)).agg(F.when((F.sum("pos") > 0) & (F.sum("neg") > 0), F.sum("wins") / (F.sum("pos") * F.sum("neg"))).otherwise(0.5).alias("auc"))
-    return base.crossJoin(ece).crossJoin(auc)
-
-
-def fit_platt(rows: DataFrame, score: str, label: str, steps: int = 1500, rate: float = 0.05, bins: int = 10_000) -> tuple[float, float]:
-    """Slope and intercept by full-batch gradient steps from (1, 0). Scores are counted by distinct value (to 4 decimals where
-    there are more than `bins` of them), so the driver holds a table of bounded size and the data are read once."""
-    counts = rows.groupBy(F.col(score).alias("s"), F.col(label).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    if counts.count() > 2 * bins:
-        counts = counts.groupBy(F.round("s", 4).alias("s"), "y").agg(F.sum("n").alias("n"))
-    got = counts.collect()
-    total = sum(r["n"] for r in got)
-    if total < 20 or len({r["y"] for r in got}) < 2:
+    base = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("positives"), F.avg((x - y) * (x - y)).alias("brier"), (-F.avg(y * F.ln(clip(x)) + (1 - y) * F.ln(clip(1 - x)))).alias("log_loss"))
+    per_bin = rows.groupBy(*own, edge.alias("bin")).agg(F.count(F.lit(1)).alias("m"), F.avg(x).alias("c"), F.avg(y).alias("a"))
+    ece = per_bin.groupBy(*own).agg((F.sum(F.col("m") * F.abs(F.col("c") - F.col("a"))) / F.sum("m")).alias("ece"))
+    # Distinct scores with the negatives below them: each positive beats those, and half of those beside it. The negatives
+    # below are those of lower slices of the range, of which there are few, and those below within the slice.
+    scores = rows.groupBy(*own, x.alias("x")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")).withColumn("slice", F.floor(F.col("x") * slices))
+    before = lambda keys_, order: Window.partitionBy(*keys_).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    lower = scores.groupBy(*own, "slice").agg(F.sum("neg").alias("s")).select(*own, "slice", F.coalesce(F.sum("s").over(before(own, "slice")), F.lit(0.0)).alias("lower"))
+    below = F.col("lower") + F.coalesce(F.sum("neg").over(before([*own, "slice"], "x")), F.lit(0.0))
+    wins = scores.join(lower, [*own, "slice"]).withColumn("wins", F.col("pos") * (below + F.col("neg") / 2))
+    auc = wins.groupBy(*own).agg(F.when((F.sum("pos") > 0) & (F.sum("neg") > 0), F.sum("wins") / (F.sum("pos") * F.sum("neg"))).otherwise(0.5).alias("auc"))
+    return base.join(ece, own).join(auc, own).drop("__all")
+
+
+def fit_platt(rows: DataFrame, score: str, label: str, steps: int = 1500, rate: float = 0.05) -> tuple[float, float]:
+    """Slope and intercept by full-batch gradient steps from (1, 0). Scores are counted by their value to six decimals, which
+    is what scores have, so the driver holds two million counts at most and the data are read once."""
+    counts = rows.groupBy(F.round(F.col(score), 6).alias("s"), F.col(label).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    got = counts.toPandas().sort_values(["s", "y"])
+    total = int(got["n"].sum())
+    if total < 20 or got["y"].nunique() < 2:
         raise ValueError("at least 20 labels of both outcomes are required")
-    s, y, n = (np.array([float(r[k]) for r in sorted(got)]) for k in ("s", "y", "n"))
+    s, y, n = (got[k].to_numpy(np.float64) for k in ("s", "y", "n"))
     s = np.clip(s, 1e-6, 1 - 1e-6)
     x = np.log(s / (1 - s))
     a, b = 1.0, 0.0
@@ -86,13 +91,46 @@ def calibrated(rows: DataFrame, score: str, slope: float, intercept: float) -> D
     return rows.withColumn("calibrated", platt(F.col(score), slope, intercept))
 
 
-def promotion(candidates: DataFrame, limits: dict[str, float]) -> DataFrame:
-    """candidates: samples, ece, auc, brier, champion_brier, drift, false_positives. Adds the gates and the status."""
+def promotion(candidates: DataFrame, minimum_samples: int, maximum_ece: float, minimum_auc: float, false_positive_budget: int, tolerance: float = 0.0, champion_required: bool = False) -> DataFrame:
+    """candidates: samples, ece, auc, brier, champion_brier (null: none), drift_status and false_positives. Adds the gates and the
+    status: PROMOTED if all are met, else REJECTED. The champion counts where one is required."""
+    champion = F.col("champion_brier")
+    free = F.lit(not champion_required)
     gates = {
-        "enough_samples": F.col("samples") >= limits["samples"], "calibrated": F.col("ece") <= limits["ece"], "discriminates": F.col("auc") >= limits["auc"],
-        "not_worse": F.col("champion_brier").isNull() | (F.col("brier") <= F.col("champion_brier")), "stable": F.coalesce("drift", F.lit(0.0)) < limits["drift"], "few_false_positives": F.col("false_positives") <= limits["false_positives"],
+        "enough_samples": F.col("samples") >= minimum_samples, "calibrated": F.col("ece") <= maximum_ece, "discriminates": F.col("auc") >= minimum_auc,
+        "drift_stable": F.coalesce(F.col("drift_status") != "DRIFTED", F.lit(True)), "within_false_positives": F.col("false_positives") <= false_positive_budget,
+        "champion_available": free | champion.isNotNull(), "not_worse": free | F.coalesce(F.col("brier") <= champion + tolerance, F.lit(False)),
     }
     every = F.lit(True)
     for g in gates:
         every = every & F.col(g)
-    return candidates.withColumns(gates).withColumn("status", F.when(every, "APPROVED").otherwise("REJECTED"))
+    return candidates.withColumns(gates).withColumn("status", F.when(every, "PROMOTED").otherwise("REJECTED"))
+
+
+def drift(values: DataFrame, key: str, value: str, reference: str, limit: float = 0.2, bins: int = 10) -> DataFrame:
+    """Population stability index of a value in 0..1 between reference rows and the others, by equal bins; DRIFTED from the limit."""
+    bin_ = F.least(F.lit(bins - 1), F.floor(F.col(value) * bins))
+    n = values.groupBy(key, bin_.alias("bin")).agg(F.count_if(F.col(reference)).alias("a"), F.count_if(~F.col(reference)).alias("b"))
+    total = lambda c: F.sum(c).over(Window.partitionBy(key))
+    part = lambda c: F.greatest(F.try_divide(F.col(c), total(c)), F.lit(1e-6))
+    rows = n.withColumns({"p": part("a"), "q": part("b")})
+    out = rows.groupBy(key).agg(F.sum((F.col("q") - F.col("p")) * F.ln(F.col("q") / F.col("p"))).alias("psi"))
+    return out.withColumn("drift_status", F.when(F.col("psi") >= limit, "DRIFTED").otherwise("STABLE"))
+
+
+def labels_of(labels: DataFrame, family: str, version: int, partition: str, segment: dict[str, str] | None = None) -> DataFrame:
+    """The calibration labels of a model's family and version in a partition, of one segment where it is named (a map, equal
+    whatever the order of its keys), by time and id."""
+    rows = labels.where((F.col("family") == family) & (F.col("version") == version) & (F.col("data_partition") == partition))
+    if segment is not None:
+        want = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in sorted(segment.items()))) if segment else F.expr("cast(array() as array<struct<key:string,value:string>>)")
+        rows = rows.where(F.sort_array(F.map_entries("segment")) == want)
+    return rows.orderBy("epoch", "label_id")
+
+
+def observations(scores: DataFrame, windows: DataFrame) -> DataFrame:
+    """Scores with the window revision they were made of (same scope, asset, window and revision): event time, latency in
+    ms, freshness and severity of each."""
+    key = ["scope_id", "asset_id", "window_start", "revision"]
+    joined = scores.join(windows.select(*key, "window_end", "freshness"), key)
+    return joined.withColumn("latency_ms", (F.col("scored_at") - F.col("window_end")) * 1000.0)

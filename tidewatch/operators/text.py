@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.exprs import hmac_sha256, jaccard
+from tidewatch.functions.exprs import hmac_sha256, jaccard, nfkc
 
 #: Signs of an attempt to steer a reader of the text (fixed values).
 INJECTION = [r"(?i)ignore\s+(all\s+)?previous\s+instructions", r"(?i)reveal\s+(the\s+)?(system|developer)\s+prompt", r"(?i)<\s*(system|assistant|tool)\s*>", r"(?i)jailbreak|prompt\s+injection"]
@@ -18,7 +20,8 @@ STOP_WORDS = ["about", "after", "from", "have", "that", "this", "with", "will"]
 #: Words that negate a claim (fixed values).
 NEGATIONS = ["no", "not", "never", "denies", "denied", "false", "without"]
 TOKEN = r"([a-z0-9][a-z0-9_-]+)"
-NARRATIVE_STOP_WORDS = [*STOP_WORDS, "again", "asset", "into", "just", "more"]
+#: Words that name no narrative (fixed values).
+NARRATIVE_STOP_WORDS = ["about", "after", "again", "asset", "from", "have", "into", "just", "more", "that", "this", "with", "will"]
 
 
 def tokens(text: Column) -> Column:
@@ -40,13 +43,14 @@ def guard_text(rows: DataFrame, text: str = "text", most: int = 20_000) -> DataF
 
 
 def parse_posts(rows: DataFrame, text: str = "text") -> DataFrame:
-    """Adds hashtags, cashtags (upper-cased), mentions and urls (without trailing punctuation)."""
-    t = F.col(text)
+    """Adds hashtags, cashtags (upper-cased), mentions and urls (without trailing punctuation), of the text in normal form KC."""
+    rows = rows.withColumn("__nfkc", nfkc(F.col(text)))
+    t = F.col("__nfkc")
     every = lambda p: F.regexp_extract_all(t, F.lit(p), F.lit(1))
     return rows.withColumns({
         "hashtags": F.transform(every(r"(?U)(?<!\w)#([A-Za-z][A-Za-z0-9_]{0,31})"), F.upper), "cashtags": F.transform(every(r"(?U)(?<!\w)\$([A-Za-z][A-Za-z0-9]{0,15})"), F.upper),
-        "mentions": every(r"(?U)(?<!\w)@([A-Za-z0-9_]{1,32})"), "urls": F.transform(every(r"(https?://[^\s<>()]+)"), lambda u: F.regexp_replace(u, r"[.,;:!?]+$", "")),
-    })
+        "mentions": every(r"(?U)(?<!\w)@([A-Za-z0-9_]{1,32})"), "urls": F.transform(every(r"(?i)(https?://[^\s<>()]+)"), lambda u: F.regexp_replace(u, r"[.,;:!?]+$", "")),
+    }).drop("__nfkc")
 
 
 def pseudonyms(rows: DataFrame, key: str, platform: str, author: str) -> DataFrame:
@@ -60,7 +64,7 @@ def mentions(posts: DataFrame, registry: DataFrame, text: str = "text") -> DataF
     word, alias, status, confidence, candidates. Words are joined with the registry by equality."""
     words = posts.select("post_id", F.posexplode(tokens(F.col(text))).alias("position", "alias"))
     known = registry.groupBy("alias").agg(F.sort_array(F.collect_set("asset_id")).alias("candidates"), F.max("ambiguous").alias("ambiguous"))
-    found = words.join(F.broadcast(known) if registry.limit(10_001).count() <= 10_000 else known, "alias")
+    found = words.join(known, "alias")  # broadcast by the size that Spark measures as it runs
     unsure = (F.size("candidates") > 1) | F.col("ambiguous")
     return found.select("post_id", "position", "alias", "candidates", F.when(unsure, "AMBIGUOUS").otherwise("RESOLVED").alias("status"), F.when(unsure, 0.4).otherwise(0.62).alias("confidence"))
 
@@ -85,28 +89,29 @@ def labels(rows: DataFrame, group: str, text: str = "text", top: int = 4, shorte
 
 
 def cluster(vectors: DataFrame, group: str, seed_similarity: float = 0.76, member_similarity: float = 0.68) -> DataFrame:
-    """Greedy clustering within each group in the order of (epoch, post_id): a post joins the cluster of the most similar
-    centroid if that and its least similar member allow it, else begins one. Groups are windows of one asset."""
+    """Greedy clustering within each group in the order of (epoch, post_id): of the clusters whose centroid and least similar
+    member both allow it, a post joins that of the most similar centroid (ties by the seed's id); else it begins one.
+    Groups are windows of one asset."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["epoch", "post_id"], kind="stable")
         x = np.array(pdf["vector"].tolist(), float)
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        norm, ids = np.linalg.norm(x, axis=1, keepdims=True), pdf["post_id"].to_numpy()
         x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
         groups: list[list[int]] = []
+        sums = np.zeros((0, x.shape[1]))
         for i in range(len(x)):
-            best, at = -1.0, -1
-            for k, members in enumerate(groups):
-                c = x[members].mean(0)
-                n = np.linalg.norm(c)
-                s = float(x[i] @ c / n) if n else 0.0
-                if s > best:
-                    best, at = s, k
-            if at >= 0 and best >= seed_similarity and (x[groups[at]] @ x[i]).min() >= member_similarity:
-                groups[at].append(i)
+            norms = np.linalg.norm(sums, axis=1)
+            near = np.divide(sums @ x[i], norms, out=np.zeros(len(groups)), where=norms > 0)
+            # Of the groups that both limits allow, that of the nearest centroid; of equal ones, that of the first seed.
+            open_ = [k for k in np.flatnonzero(near >= seed_similarity).tolist() if (x[groups[k]] @ x[i]).min() >= member_similarity]
+            if open_:
+                k = min(open_, key=lambda k: (-near[k], ids[groups[k][0]]))
+                groups[k].append(i)
+                sums[k] += x[i]
             else:
                 groups.append([i])
-        ids = pdf["post_id"].to_numpy()
+                sums = np.concatenate([sums, x[i : i + 1]])
         out = [(ids[i], ids[m[0]], len(m)) for m in groups for i in m]
         return pd.DataFrame(out, columns=["post_id", "seed_id", "members"])
 
@@ -114,34 +119,30 @@ def cluster(vectors: DataFrame, group: str, seed_similarity: float = 0.76, membe
 
 
 def chunks(docs: DataFrame, key: str, text: str = "text", size: int = 1200) -> DataFrame:
-    """Documents as chunks of whole non-blank lines, up to `size` characters unless a line is longer: (key, chunk, text)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for k, t in zip(pdf[key], pdf["text"], strict=True):
-                now, n = "", 0
-                for line in (x.strip() for x in (t or "").split("\n")):
-                    if not line:
-                        continue
-                    if now and len(now) + 1 + len(line) > size:
-                        out.append((k, n, now))
-                        now, n = "", n + 1
-                    now = f"{now}\n{line}" if now else line
-                if now:
-                    out.append((k, n, now))
-            yield pd.DataFrame(out, columns=[key, "chunk", "text"])
-
-    return docs.select(key, F.col(text).alias("text")).mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, chunk int, text string")
+    """Documents as chunks of whole non-blank lines, up to `size` characters unless a line is longer: (key, chunk, text,
+    tokens). One pass over the lines of a text, kept as an array of chunks of which the last one grows."""
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    start = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit("").alias("now"))
+
+    def step(acc: Column, line: Column) -> Column:
+        full = (acc["now"] != "") & (F.length(acc["now"]) + 1 + F.length(line) > size)
+        return F.struct(
+            F.when(full, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"),
+            F.when(full | (acc["now"] == ""), line).otherwise(F.concat(acc["now"], F.lit("\n"), line)).alias("now"),
+        )
+
+    folded = F.aggregate(lines, start, step, lambda acc: F.when(acc["now"] != "", F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]))
+    out = docs.select(key, F.posexplode(folded).alias("chunk", "text"))
+    return out.withColumn("tokens", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")))
 
 
 def claims(rows: DataFrame, key: str, text: str = "text", most: int = 5) -> DataFrame:
     """The first clauses of at least three tokens of each text: (key, n, claim_text, claim_type, polarity, amounts, content)."""
-    clause = F.split(F.regexp_replace(F.col(text), r"(?<=[.!?])\s+|;|\s+and\s+|\s+but\s+|\s+while\s+", "\u0001"), "\u0001")
+    clause = F.split(F.regexp_replace(F.col(text), r"(?i)(?<=[.!?])\s+|;|\s+(?:and|but|while)\s+", "\u0001"), "\u0001")
     clause = F.filter(F.transform(clause, F.trim), lambda c: F.size(tokens(c)) >= 3)
     parts = F.slice(F.when(F.size(clause) > 0, clause).otherwise(F.array(F.col(text))), 1, most)
-    rows = rows.select(key, F.posexplode(parts).alias("n", "claim_text"))
-    return canonical(rows, "claim_text").dropDuplicates([key, "claim_text"])
+    rows = rows.select(key, F.posexplode(parts).alias("n", "claim_text")).groupBy(key, "claim_text").agg(F.min("n").alias("n"))
+    return canonical(rows.select(key, "n", "claim_text"), "claim_text")
 
 
 def canonical(rows: DataFrame, text: str) -> DataFrame:
@@ -166,9 +167,114 @@ def similarity(claim: str, evidence: str) -> Column:
     return 0.60 * jaccard(c("lexical"), e("lexical")) + 0.20 * (c("claim_type") == e("claim_type")).cast("double") + 0.10 * (c("polarity") == e("polarity")).cast("double") + 0.10 * amount
 
 
+def conflicts(claim: str, evidence: str) -> Column:
+    """Codes of how evidence contradicts a claim, both canonical texts with these prefixes: by polarity, or by amounts of
+    both that have none in common."""
+    c, e = (lambda n: F.col(f"{claim}{n}")), (lambda n: F.col(f"{evidence}{n}"))
+    apart = (F.size(c("amounts")) > 0) & (F.size(e("amounts")) > 0) & ~F.arrays_overlap(c("amounts"), e("amounts"))
+    return F.array_compact(F.array(F.when(c("polarity") != e("polarity"), F.lit("POLARITY_MISMATCH")), F.when(apart, F.lit("AMOUNT_MISMATCH"))))
+
+
 def verdicts(matches: DataFrame, key: str) -> DataFrame:
-    """matches: key, score (similarity times reliability), before (available in time), conflict. The result of each claim."""
-    m = matches.where("score >= 0.34").groupBy(key).agg(F.count_if(F.col("before") & F.col("conflict")).alias("conflicting"), F.count_if(F.col("before") & ~F.col("conflict")).alias("supporting"), F.count_if(~F.col("before")).alias("after"), F.max(F.when(F.col("before"), F.col("score"))).alias("best"))
+    """matches: key, score (similarity times reliability), before (available in time), conflict, and reliability where it
+    is known. The result of each claim."""
+    reliability = F.max("reliability") if "reliability" in matches.columns else F.max(F.lit(None).cast("double"))
+    m = matches.where("score >= 0.34").groupBy(key).agg(F.count_if(F.col("before") & F.col("conflict")).alias("conflicting"), F.count_if(F.col("before") & ~F.col("conflict")).alias("supporting"), F.count_if(~F.col("before")).alias("after"), F.max(F.when(F.col("before"), F.col("score"))).alias("best"), reliability.alias("max_reliability"))
     all_ = matches.groupBy(key).agg(F.count(F.lit(1)).alias("candidates")).join(m, key, "left").na.fill(0, ["conflicting", "supporting", "after"])
     result = F.when(F.col("conflicting") > 0, "CONFLICTING").when(F.col("supporting") > 0, "SUPPORTED_BEFORE").when(F.col("after") > 0, "SUPPORTED_AFTER").otherwise("UNSUPPORTED")
     return all_.withColumn("result", result).withColumn("claim_risk", F.when(F.col("conflicting") > 0, 1.0).when(F.col("supporting") > 0, 0.15).when(F.col("after") > 0, 0.75).otherwise(0.90))
+
+
+#: Results of claims, the worst first (fixed values).
+WORST = ["CONFLICTING", "UNSUPPORTED", "SUPPORTED_AFTER", "UNKNOWN", "SUPPORTED_BEFORE"]
+
+
+def narrative_verdicts(verdicts: DataFrame, key: str) -> DataFrame:
+    """Per narrative: the worst result of its claims, their largest risk and legitimacy, and how many they are."""
+    place = F.array_position(F.array(*(F.lit(x) for x in WORST)), F.col("result"))
+    return verdicts.groupBy(key).agg(F.min_by("result", place).alias("result"), F.max("claim_risk").alias("claim_risk"), F.max("legitimate").alias("legitimate"), F.count(F.lit(1)).alias("claims"))
+
+
+#: Kinds of mentions, the surer first; words near a bare name that speak of a market (fixed values).
+KINDS = {"CASHTAG": 0.98, "HASHTAG": 0.82, "BARE": 0.62}
+MARKET_WORDS = [" STOCK", " TOKEN", " COIN", " CRYPTO", " SHARES"]
+AROUND = 24
+
+
+def alias_table(assets: DataFrame, ambiguous: list[str] = ()) -> DataFrame:
+    """assets: asset_id, symbol, name. A row for each alias (the symbol, and the name in normal form KC where it differs, both
+    upper-cased) and asset: alias, asset_id, ambiguous."""
+    symbol = F.upper("symbol")
+    unsure = F.upper("symbol").isin([x.upper() for x in ambiguous]) if ambiguous else F.lit(False)
+    rows = assets.select("asset_id", symbol.alias("symbol"), F.upper(F.trim(nfkc(F.col("name")))).alias("name"), unsure.alias("ambiguous"))
+    names = rows.where("name <> '' and name <> symbol").select(F.col("name").alias("alias"), "asset_id", "ambiguous")
+    return rows.select(F.col("symbol").alias("alias"), "asset_id", "ambiguous").unionByName(names)
+
+
+def upper_in_place(text: str) -> str:
+    """Upper case that keeps every character at its place."""
+    up = text.upper()
+    return up if len(up) == len(text) else "".join(u if len(u := c.upper()) == 1 else c for c in text)
+
+
+TAGS = {"CASHTAG": re.compile(r"(?<!\w)\$([A-Za-z][A-Za-z0-9]{0,15})"), "HASHTAG": re.compile(r"(?<!\w)#([A-Za-z][A-Za-z0-9_]{0,31})")}
+RUN = re.compile(r"(?<![\w$#])(\w+|[^\w\s$#])")
+
+
+def resolve_mentions(posts: DataFrame, aliases: DataFrame, text: str = "text", longest: int = 64) -> DataFrame:
+    """posts: post_id and a text; aliases: alias_table's. A row for each cashtag, hashtag and bare alias of several words or
+    one: post_id, start, stop, mention_text, kind, asset_id, status, confidence, candidates and reason; offsets are
+    those of the text in normal form KC. Aliases longer than `longest` characters are not looked for.
+
+    The places where an alias may begin are joined with the aliases by their first word, an equality; a hot word is
+    spread by the measured skew of that join. Whether the whole alias is there is then a comparison of strings.
+    """
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for post, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                t = t or ""
+                up = upper_in_place(t)
+                for kind, pattern in TAGS.items():
+                    for m in pattern.finditer(t):
+                        out.append((post, m.start(), m.end(), m[0], kind, m[1].upper(), None, None, up[max(0, m.start() - AROUND) : m.end() + AROUND]))
+                for m in RUN.finditer(up):
+                    s = m.start()
+                    out.append((post, s, None, None, "BARE", m[1], up[s : s + longest + 1], t[s : s + longest], up[max(0, s - AROUND) : s + longest + AROUND]))
+            cols = list(zip(*out, strict=True)) or [[]] * 9
+            kinds = (b.schema.field(0).type, pa.int32(), pa.int32(), *(pa.string(),) * 6)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["post_id", "start", "stop", "said", "kind", "word", "tail", "plain", "around"])
+
+    key = posts.schema["post_id"].dataType.simpleString()
+    found = posts.select("post_id", nfkc(F.col(text)).alias("text")).mapInArrow(places, f"post_id {key}, start int, stop int, said string, kind string, word string, tail string, plain string, around string")
+    known = aliases.where(F.length("alias") <= longest).groupBy("alias").agg(F.sort_array(F.collect_set("asset_id")).alias("candidates"), F.max("ambiguous").alias("unsure"))
+    tags = found.where("kind <> 'BARE'").join(known.withColumnRenamed("alias", "word"), "word", "left").select("post_id", "start", "stop", F.col("said").alias("mention_text"), "kind", "candidates", "unsure", "around")
+    first = known.withColumn("word", F.regexp_extract("alias", r"(?U)^(\w+|\W)", 1))
+    n = F.length("alias")
+    bare = found.where("kind = 'BARE'").join(first, "word").where(F.col("tail").startswith(F.col("alias")) & ~F.col("tail").substr(n + 1, F.lit(1)).rlike(r"(?U)^\w"))
+    context = F.col("around").substr(F.lit(1), F.least("start", F.lit(AROUND)) + n + AROUND)
+    bare = bare.select("post_id", "start", (F.col("start") + n).cast("int").alias("stop"), F.substring(F.col("plain"), F.lit(1), n).alias("mention_text"), "kind", "candidates", "unsure", context.alias("around"))
+    rows = tags.unionByName(bare)
+    market = F.lit(False)
+    for w in MARKET_WORDS:
+        market = market | F.col("around").contains(w)
+    several, tag = F.size("candidates") > 1, F.col("kind") == "CASHTAG"
+    rows = rows.withColumns({"market": market, "several": F.coalesce(several, F.lit(False))})
+    vague = (F.col("several") | F.col("unsure")) & ~tag & ~(F.col("market") & ~F.col("several"))
+    case = F.when(F.col("candidates").isNull(), 0).when(vague, 1).when(F.col("several"), 2).otherwise(3)
+    rows = rows.withColumn("case", case)
+    sure = F.when(F.col("market") & (F.col("kind") == "BARE"), 0.88).otherwise(F.element_at(F.create_map(*(F.lit(x) for p in KINDS.items() for x in p)), F.col("kind")))
+    is_ = lambda k: F.col("case") == k
+    return rows.select(
+        "post_id", "start", "stop", "mention_text", "kind", F.when(is_(3), F.get("candidates", F.lit(0))).alias("asset_id"),
+        F.when(is_(0), "UNRESOLVED").when(is_(3), "RESOLVED").otherwise("AMBIGUOUS").alias("status"),
+        F.when(is_(0), 0.0).when(is_(1), F.when(F.col("kind") == "BARE", 0.4).otherwise(0.6)).when(is_(2), 0.7).otherwise(sure).alias("confidence"),
+        F.coalesce("candidates", F.expr("cast(array() as array<string>)")).alias("candidates"),
+        F.when(is_(0), "ALIAS_NOT_IN_REGISTRY").when(is_(1), "AMBIGUOUS_ALIAS_WITHOUT_MARKET_CONTEXT").when(is_(2), "MULTIPLE_EXACT_CANDIDATES").when(tag, "EXACT_CASHTAG").when(F.col("market"), "MARKET_CONTEXT_ALIAS").otherwise("UNIQUE_REGISTRY_ALIAS").alias("reason"),
+    )
+
+
+def asset_mentions(mentions: DataFrame, posts: DataFrame, asset: str, most: int = 100) -> DataFrame:
+    """Resolved mentions of an asset with their posts' times, the newest first."""
+    return mentions.where(F.col("asset_id") == asset).join(posts.select("post_id", "event_time"), "post_id").orderBy(F.desc("event_time"), "post_id", "start").limit(most)

@@ -16,7 +16,7 @@ TYPES = {
     "domain": "DOMAIN", "hostname": "DOMAIN", "url": "URL", "uri": "URL", "ipv4": "IPV4", "ipv6": "IPV6", "md5": "MD5", "filehash-md5": "MD5", "sha1": "SHA1", "filehash-sha1": "SHA1",
     "sha256": "SHA256", "filehash-sha256": "SHA256", "email": "EMAIL", "email-address": "EMAIL", "bitcoinaddress": "WALLET", "cryptocurrency-address": "WALLET",
 }
-LABELS = r"^(?=.{1,253}$)([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?$"
+LABELS = r"^(?=.{1,253}$)([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\.)*[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?$"
 
 
 @F.pandas_udf(T.StringType())
@@ -33,15 +33,15 @@ def _address(values: pd.Series) -> pd.Series:
 
 
 def domain(value: Column) -> Column:
-    v = F.lower(F.regexp_replace(value, r"\.$", ""))
+    v = F.lower(F.regexp_replace(value, r"\.+$", ""))
     return F.when(v.rlike(LABELS), v)
 
 
 def url(value: Column) -> Column:
-    """Scheme and host in lower case, without default port and fragment; an empty path is /."""
-    part = lambda i: F.regexp_extract(value, r"(?i)^(https?)://([^/?#:@\s]+)(:\d+)?([^?#\s]*)(\?[^#\s]*)?(#\S*)?$", i)
+    """Scheme and host in lower case, without user, the ports 80 and 443 and fragment; an empty path is /."""
+    part = lambda i: F.regexp_extract(value, r"(?i)^(https?)://(?:[^/?#@\s]*@)?([^/?#:@\s]+)(:\d+)?((?:/[^?#\s]*)?)(\?[^#\s]*)?(#\S*)?$", i)
     scheme, host, port, path = F.lower(part(1)), domain(part(2)), part(3), part(4)
-    port = F.when(((scheme == "http") & (port == ":80")) | ((scheme == "https") & (port == ":443")), "").otherwise(port)
+    port = F.when(port.isin(":80", ":443"), "").otherwise(port)
     return F.when(scheme != "", F.concat(scheme, F.lit("://"), host, port, F.when(path == "", "/").otherwise(path), part(5)))
 
 
@@ -60,28 +60,48 @@ def normalize(rows: DataFrame, kind: str = "type", value: str = "indicator") ->
     return df.withColumn("identity_hash", F.sha2(identity, 256)).withColumn("indicator_id", uuid5(identity))
 
 
+HOST = r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:@\s]+)"
+
+
 def candidates(posts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """What of a text may be an indicator: (key, indicator_type, indicator_value), distinct."""
+    """What of a text may be an indicator: (key, indicator_type, indicator_value), distinct. Its addresses and their hosts;
+    and of its runs of the characters that addresses have, those that are a domain, an IP address or a hash as a whole."""
     t = F.col(text)
-    find = lambda p: F.regexp_extract_all(t, F.lit(p), F.lit(1))
-    kinds = [("URL", r"(https?://[^\s<>()]+)"), ("IPV4", r"(?<![\d.])((?:\d{1,3}\.){3}\d{1,3})(?![\d.])"), ("MD5", r"(?i)(?<![0-9a-f])([0-9a-f]{32})(?![0-9a-f])"), ("SHA1", r"(?i)(?<![0-9a-f])([0-9a-f]{40})(?![0-9a-f])"), ("SHA256", r"(?i)(?<![0-9a-f])([0-9a-f]{64})(?![0-9a-f])"), ("DOMAIN", r"(?i)(?<![\w@./-])((?:[a-z0-9-]+\.)+[a-z]{2,24})(?![\w-])")]
-    each = posts.select(key, F.explode(F.flatten(F.array(*(F.transform(find(p), _tagged(k)) for k, p in kinds)))).alias("c")).select(key, "c.*")
+    strip = lambda x: F.regexp_replace(x, r"^[.,;()\[\]]+|[.,;()\[\]]+$", "")
+    runs = F.transform(F.regexp_extract_all(t, F.lit(r"([A-Za-z0-9:@._/%?=&+-]+)"), F.lit(1)), strip)
+    urls = F.transform(F.regexp_extract_all(t, F.lit(r"(?i)(https?://[^\s<>()]+)"), F.lit(1)), lambda u: F.regexp_replace(u, r"[.,;:!?]+$", ""))
+    v = F.col("v")
+    address, hexadecimal = v.rlike("(?i)^https?://"), v.rlike("^[0-9a-fA-F]+$")
+    tests = [("url", address, v), ("domain", address, F.regexp_extract(v, HOST, 1)), ("domain", ~address & v.contains("."), v), ("ipv4", v.rlike(r"^[0-9]+(\.[0-9]+){3}$"), v), ("ipv6", v.rlike(":.*:"), v), *((k, hexadecimal & (F.length(v) == n), v) for k, n in (("md5", 32), ("sha1", 40), ("sha256", 64)))]
+    maybe = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(k).alias("type"), x.alias("indicator"))) for k, test, x in tests)))
+    each = posts.select(key, F.explode(F.array_distinct(F.concat(runs, urls))).alias("v")).select(key, F.explode(maybe).alias("c")).select(key, "c.*")
     return normalize(each).select(key, "indicator_type", "indicator_value").distinct()
 
 
-def _tagged(kind: str):
-    return lambda x: F.struct(F.lit(kind.lower()).alias("type"), x.alias("indicator"))
-
-
 def matches(found: DataFrame, indicators: DataFrame) -> DataFrame:
     """Candidates that are indicators: an equality join on type and value."""
     return found.join(indicators.select("indicator_type", "indicator_value", "indicator_id", "fetched_at"), ["indicator_type", "indicator_value"])
 
 
-def context(at: DataFrame, hits: DataFrame, newest: int = 20) -> DataFrame:
-    """at: asset_id, cutoff; hits: asset_id, match_id, epoch, fetched_at. The newest hits known at the cutoff: status and score."""
+def new_matches(found: DataFrame, indicators: DataFrame, made: DataFrame, key: str, since: int, most: int = 1000) -> DataFrame:
+    """Backfill: matches of posts with the newest `most` indicators fetched since then that are not among those made."""
+    recent = indicators.where(F.col("fetched_at") >= since).orderBy(F.desc("fetched_at"), "indicator_id").limit(most)
+    rows = matches(found, recent).withColumn("match_id", uuid5(F.concat_ws(":", F.lit("match"), F.col(key).cast("string"), "indicator_id")))
+    return rows.join(made.select("match_id"), "match_id", "left_anti")
+
+
+def context(at: DataFrame, hits: DataFrame, newest: int = 20, feed: DataFrame | None = None, enabled: bool = True, fresh: int = 3600) -> DataFrame:
+    """at: asset_id, cutoff; hits: asset_id, match_id, epoch, fetched_at. The newest hits known at the cutoff: status and score.
+    feed: one row with last_success and now, where its health counts: without a success it is UNAVAILABLE, after `fresh`
+    seconds STALE; not enabled, DISABLED. Then there is no score."""
     known = at.join(hits, "asset_id", "left").where("epoch is null or (epoch <= cutoff and fetched_at <= cutoff)")
     ranked = known.withColumn("place", F.row_number().over(Window.partitionBy("asset_id", "cutoff").orderBy(F.desc("epoch"), "match_id"))).where(F.col("place") <= newest)
     n = ranked.groupBy("asset_id", "cutoff").agg(F.count("match_id").alias("n"))
     out = at.join(n, ["asset_id", "cutoff"], "left").na.fill(0, ["n"])
-    return out.withColumn("status", F.when(F.col("n") > 0, "MATCHED").otherwise("NO_MATCH")).withColumn("threat_score", F.least(F.lit(1.0), F.col("n") / 3))
+    state = F.lit(None).cast("string") if enabled else F.lit("DISABLED")
+    if enabled and feed is not None:
+        health = feed.agg(F.max("last_success").alias("last_success"), F.max("now").alias("now"))  # one row, also of none
+        out = out.crossJoin(F.broadcast(health))
+        state = F.when(F.col("last_success").isNull(), "UNAVAILABLE").when(F.col("last_success") < F.col("now") - fresh, "STALE")
+    out = out.withColumn("status", F.coalesce(state, F.when(F.col("n") > 0, "MATCHED").otherwise("NO_MATCH"))).drop("last_success", "now")
+    return out.withColumn("threat_score", F.when(F.col("status").isin("MATCHED", "NO_MATCH"), F.least(F.lit(1.0), F.col("n") / 3)))
