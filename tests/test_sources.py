@@ -1,6 +1,8 @@
 import json
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from tidewatch.sources import landing
 
 
@@ -43,3 +45,41 @@ def test_archive_and_upsert(spark, tmp_path):
     spark.createDataFrame([("k", 2, "old"), ("j", 1, "old")], "k string, revision int, v string").write.parquet(table)
     batch = spark.createDataFrame([("k", 1, "late"), ("j", 2, "new"), ("i", 1, "new")], "k string, revision int, v string")
     assert sorted(map(tuple, landing.keep_latest(batch, table, ["k"], "revision").collect())) == [("i", 1, "new"), ("j", 2, "new"), ("k", 2, "old")]
+
+
+def test_references_of_all_kinds_are_decoded(spark):
+    cases = {"a &amp;amp; b": "a &amp; b", "&#65;&#x42;&#128512;&#0;&#55555;": "AB\U0001f600\ufffd\ufffd", "&copy;&eacute;&nope;&": "©é&nope;&", "<b>x</b>&nbsp;&lt;p&gt;": "x <p>", "&#9999999999;": "&#9999999999;", "no": "no", "": ""}
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", landing.plain_text(F.col("t")).alias("out")).collect()
+    assert {r["t"]: r["out"] for r in got} == cases
+
+
+def test_a_broken_indicator_is_isolated(spark):
+    bodies = ['{"id": "p1", "modified": "2024-01-01T00:00:00Z", "indicators": [{"type": "domain", "indicator": "a.b"}, {"type": 5}, "what", {"indicator": "no type"}]}', "broken", '{"id": "p2", "indicators": []}']
+    got = landing.pulses(spark.createDataFrame([(b,) for b in bodies], "body string")).collect()
+    assert sorted((str(r["pulse_id"]), r["broken"], str(r["indicator"])) for r in got) == sorted([("p1", False, "a.b"), ("p1", True, "None"), ("p1", True, "None"), ("p1", True, "no type"), ("None", True, "None"), ("p2", False, "None")])
+
+
+def test_candles_and_what_was_not_seen(spark):
+    raw = spark.createDataFrame([("A", '[[1704067200000,"1.5","2","1","1.75","10",0],[1704067260000,"1","1","1","1","0",0]]')], "asset_id string, body string")
+    got = landing.candles(raw).orderBy("event_time").collect()
+    assert [(r["open"], r["close"], r["volume"], r["interval_seconds"]) for r in got] == [(1.5, 1.75, 10.0, 60), (1.0, 1.0, 0.0, 60)]
+    rows = spark.createDataFrame([("A", 1), ("A", 2), ("B", 1)], "k string, n long")
+    assert sorted(tuple(r) for r in landing.unseen(rows, "k", "n", spark.createDataFrame([("A", 1)], "k string, last long")).collect()) == [("A", 2), ("B", 1)]
+
+
+def test_feeds_fall_back_entry_by_entry(spark):
+    rss = "<rss><channel><item><title>T &amp; U</title><description>&lt;p&gt;D &amp;amp; E&lt;/p&gt;</description><link>http://l</link><pubDate>Mon, 01 Jan 2024 10:00:00 +0200</pubDate></item><item><guid>g</guid><summary>S</summary><pubDate>never</pubDate></item></channel></rss>"
+    atom = '<feed><entry><id>i</id><title>A</title><content>C</content><link href="http://h"/><published>2024-02-03T04:05:06Z</published></entry><entry><link href="http://only"/></entry></feed>'
+    raw = spark.createDataFrame([(rss,), (atom,)], "body string").withColumn("retrieved_at", F.timestamp_seconds(F.lit(0)))
+    got = {r["source_key"]: r for r in landing.feed_documents(raw).withColumn("p", F.unix_timestamp("published_at")).collect()}
+    assert {k: (r["title"], r["body"], r["url"], r["p"]) for k, r in got.items()} == {
+        "http://l": ("T & U", "D & E", "http://l", 1704096000), "g": ("Untitled official disclosure", "S", None, 0), "i": ("A", "C", "http://h", 1706933106), "http://only": ("Untitled official disclosure", "Untitled official disclosure", "http://only", 0),
+    }
+
+
+def test_the_archive_takes_each_event_once(spark, tmp_path):
+    events = spark.createDataFrame([(f"e{i}", "s", "x", i) for i in range(6)], "event_id string, stream string, source string, d int").withColumn("event_time", F.timestamp_seconds(F.col("d") * 86_400)).drop("d")
+    path = str(tmp_path / "archive")
+    landing.archive(events.limit(4), path)
+    landing.archive(events, path)
+    assert spark.read.parquet(path).count() == 6 and spark.read.parquet(path).select("event_id").distinct().count() == 6

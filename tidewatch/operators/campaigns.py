@@ -57,6 +57,28 @@ def next_stage(stage: str, x: dict) -> str:
     return stage
 
 
+def assessed(rows: DataFrame) -> DataFrame:
+    """rows: stage and the evidence it was reached by (fusion_score, confidence, social, coordination, market, price_return,
+    relative_volume, pressure). Adds stage_confidence and reason_codes."""
+    z = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    stage = F.col("stage")
+    confidence = (
+        F.when(stage == "NORMAL", F.greatest(F.lit(0.0), 1 - z("fusion_score"))).when(stage == "EARLY_SOCIAL_SEEDING", z("social")).when(stage == "COORDINATED_AMPLIFICATION", F.greatest(z("social"), z("coordination")))
+        .when(stage.isin("MARKET_PUMP", "POSSIBLE_DISTRIBUTION", "DUMP"), F.greatest(z("market"), z("confidence"))).otherwise(z("confidence"))
+    )
+    codes = [("ABNORMAL_RETURN", z("price_return") >= 0.08), ("PUBLIC_DATA_PROXY_ONLY", stage == "POSSIBLE_DISTRIBUTION"), ("RELATIVE_VOLUME", z("relative_volume") >= 2.5), ("SELL_PRESSURE_PROXY", z("pressure") <= -0.25), ("SOCIAL_COORDINATION", z("social") >= 0.35)]
+    return rows.withColumns({"stage_confidence": confidence, "reason_codes": F.array_compact(F.array(*(F.when(test, F.lit(k)) for k, test in codes)))})
+
+
+def stage_events(steps: DataFrame) -> DataFrame:
+    """steps: asset_id, session, epoch, version, stage, changed. The history rows of campaigns: created with a session's first row,
+    stage_changed where the stage changes, and closed at the last row of a session that another one follows."""
+    row = Window.partitionBy("asset_id").orderBy("session", "version")
+    steps = steps.withColumn("__ends", F.coalesce(F.lead("session").over(row) != F.col("session"), F.lit(False)))
+    kinds = F.array_compact(F.array(F.when(F.col("version") == 1, F.lit("created")), F.when(F.col("changed"), F.lit("stage_changed")), F.when(F.col("__ends"), F.lit("closed"))))
+    return steps.withColumn("event", F.explode(kinds)).select("asset_id", "session", "epoch", "version", "stage", "event")
+
+
 STEP = "asset_id string, session long, epoch long, version int, stage string, changed boolean"
 
 

@@ -90,15 +90,6 @@ def cmp_stale_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return campaigns.stale_evidence(ev, ["epoch", "evidence_id"]).select("evidence_id", "asset_id", "stale")
 
 
-@query()
-def cmp_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stage machine over the scored windows: order-dependent, tested on given paths."""
-    z = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
-    f = scored(spark, sf_dir)
-    ev = f.select("asset_id", F.col("window_end").cast("long").alias("epoch"), "severity", z("social_coordination_risk").alias("social"), z("coordination_score").alias("coordination"), z("market_score").alias("market"), z("price_return"), z("buy_sell_pressure").alias("pressure"))
-    return campaigns.stages(ev, 86_400)
-
-
 ALERT_STATE_SQL = f"""{FUSE_SQL},
 al AS (SELECT asset_id, window_start AS epoch, 'MARKET_PRICE_ANOMALY' AS alert_type, CASE WHEN market_score >= 0.8 THEN 3 WHEN market_score >= 0.6 THEN 2 WHEN market_score >= 0.35 THEN 1 ELSE 0 END AS rk FROM f WHERE abs(price_return) >= 0.08),
 o AS (SELECT *, row_number() OVER w AS occurrence, max(rk) OVER w AS top FROM al WINDOW w AS (PARTITION BY asset_id, alert_type ORDER BY epoch)),
@@ -112,7 +103,11 @@ def cmp_alert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return campaigns.alert_state(a)
 
 
-@query()
+@query(f"""WITH RECURSIVE {ALERT_STATE_SQL}, n AS (SELECT *, CASE WHEN before IS NULL THEN 'created' WHEN top > before THEN 'severity_changed' ELSE 'refreshed' END AS event FROM p),
+s AS (SELECT asset_id, alert_type, epoch, occurrence, top, event, false AS suppressed, epoch AS last FROM n WHERE occurrence = 1
+  UNION ALL SELECT n.asset_id, n.alert_type, n.epoch, n.occurrence, n.top, n.event, n.event = 'refreshed' AND n.epoch - s.last < 43200, CASE WHEN n.event = 'refreshed' AND n.epoch - s.last < 43200 THEN s.last ELSE n.epoch END
+  FROM s JOIN n ON n.asset_id = s.asset_id AND n.alert_type = s.alert_type AND n.occurrence = s.occurrence + 1)
+SELECT asset_id, alert_type, epoch, occurrence, ['NORMAL', 'WATCH', 'HIGH', 'CRITICAL'][top + 1] AS max_severity, event, suppressed FROM s""")
 def cmp_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return campaigns.notified(cmp_alert_state(spark, sf_dir), 43_200)
 
