@@ -134,3 +134,26 @@ def observations(scores: DataFrame, windows: DataFrame) -> DataFrame:
     key = ["scope_id", "asset_id", "window_start", "revision"]
     joined = scores.join(windows.select(*key, "window_end", "freshness"), key)
     return joined.withColumn("latency_ms", (F.col("scored_at") - F.col("window_end")) * 1000.0)
+
+
+def shadow(scored: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Adds the severity that another model's weights give (shadow)."""
+    present = sum((F.when(F.col(k).isNotNull(), x).otherwise(0.0) for k, x in weights.items()), F.lit(0.0))
+    total = sum((F.coalesce(F.col(k) * x, F.lit(0.0)) for k, x in weights.items()), F.lit(0.0))
+    return scored.withColumn("shadow", severity(F.when(present > 0, total / present).otherwise(0.0)))
+
+
+def agreement(scored: DataFrame) -> DataFrame:
+    """Per pair of severities, the champion's and the shadow's: how many rows, and how many of them agree."""
+    return scored.groupBy("severity", "shadow").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity") == F.col("shadow")).alias("agreeing"))
+
+
+def false_positives(feedback: DataFrame, at: Column, since: float, until: float, keys: list[str]) -> DataFrame:
+    """Feedback within a time, counted by keys."""
+    return feedback.where((at >= since) & (at < until)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def last_drift(measured: DataFrame, key: str, order: list[str], value: str, limit: float) -> DataFrame:
+    """The drift status of each model by its last measurement."""
+    last = measured.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
+    return last.select(key, F.when(F.col(value) >= limit, "DRIFTED").otherwise("STABLE").alias("drift"))

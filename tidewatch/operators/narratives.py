@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import cosine, uuid5
@@ -17,6 +21,48 @@ def similarities(members: DataFrame, group: str, vector: str = "vector") -> Data
     return members.join(centroid, group).withColumn("similarity", cosine(F.col(vector), F.col("__centroid"))).drop("__centroid")
 
 
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2048, vector: str = "vector") -> DataFrame:
+    """The k nearest vectors of each query by cosine, itself left out: (query_id, id, similarity, place), ties by id. Both
+    sides have id and a vector of one length.
+
+    Both sides are dealt into blocks by a hash of the id; each block of queries meets each block of vectors as one row, so
+    a task holds two blocks, and returns k rows for each query. No side is broadcast or collected."""
+
+    def blocks(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+        n = max(1, -(-rows.count() // block))
+        dealt = rows.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+        return dealt.groupBy(name).agg(F.collect_list(F.struct("id", F.col(vector).cast("array<double>").alias("v"))).alias(f"{name}_rows")), n
+
+    q, _ = blocks(queries, "q")
+    v, n = blocks(vectors, "v")
+    met = q.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition("v", "q").join(v, "v").select("q_rows", "v_rows")
+
+    def unpacked(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+        rows = cell.values
+        ids = rows.field("id").to_numpy(zero_copy_only=False)
+        x = rows.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        return ids, np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                (ids, x), (own, y) = unpacked(b.column(0)[r]), unpacked(b.column(1)[r])
+                s = np.clip(x @ y.T, 0, 1)
+                s[ids[:, None] == own[None]] = -1
+                out = [], [], []
+                for i in range(len(ids)):
+                    j = np.lexsort((own, -s[i]))[:k]
+                    j = j[s[i][j] >= 0]
+                    out[0].append(np.full(len(j), ids[i]))
+                    out[1].append(own[j])
+                    out[2].append(s[i][j])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["query_id", "id", "similarity"])
+
+    found = met.mapInArrow(compare, "query_id long, id long, similarity double")
+    return serving.newest(found, ["query_id"], [F.desc("similarity"), F.asc("id")], k)
+
+
 def node_similarity(members: DataFrame, group: str, vector: str = "vector") -> DataFrame:
     """Per group: the mean similarity of its members to their centroid."""
     return similarities(members, group, vector).groupBy(group).agg(F.avg("similarity").alias("node_similarity"))

@@ -52,8 +52,11 @@ def coverage(policies: DataFrame, runs: DataFrame, at: DataFrame) -> DataFrame:
     """policies: policy_id, policy_asset (null: all), effective_from, effective_to, max_staleness; runs: policy_id, started,
     completed, status; at: asset_id, epoch. Per row of at and policy in force the state of its latest run, and whether
     all of them are good."""
-    p = F.broadcast(policies)
-    pairs = at.join(p, (F.col("policy_asset").isNull() | (F.col("policy_asset") == F.col("asset_id"))) & (F.col("effective_from") <= F.col("epoch")) & (F.col("effective_to").isNull() | (F.col("epoch") < F.col("effective_to"))))
+    own = at.withColumn("policy_asset", F.col("asset_id")).join(policies, "policy_asset")
+    # Policies for all assets are few: one row, of which each asks.
+    general = policies.where("policy_asset is null").agg(F.collect_list(F.struct("policy_asset", *(c for c in policies.columns if c != "policy_asset"))).alias("all"))
+    every = at.crossJoin(F.broadcast(general)).select(*at.columns, F.inline("all"))
+    pairs = own.unionByName(every).where((F.col("effective_from") <= F.col("epoch")) & (F.col("effective_to").isNull() | (F.col("epoch") < F.col("effective_to"))))
     last = pairs.join(runs, "policy_id", "left").where("completed is null or completed <= epoch").groupBy("asset_id", "epoch", "policy_id", "max_staleness").agg(F.max_by(F.struct("status", "completed"), F.struct("started", "completed")).alias("run"))
     last = pairs.select("asset_id", "epoch", "policy_id", "max_staleness").join(last.drop("max_staleness"), ["asset_id", "epoch", "policy_id"], "left")
     state = F.when(F.col("run.status").isNull(), "MISSING").when(F.col("run.status") != "SUCCESS", F.col("run.status")).when(F.col("epoch") - F.col("run.completed") > F.col("max_staleness"), "STALE").otherwise("OK")

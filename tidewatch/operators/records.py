@@ -61,11 +61,13 @@ def rank_evidence(matches: DataFrame, claim: str, document: str, chunk: str) ->
 def candidates_as_of(claims: DataFrame, documents: DataFrame, back: int, ahead: int, most: int = 500) -> DataFrame:
     """claims: claim_id, asset_id, t; documents: document_key, version, asset_id (null: all), published, available. For each
     claim, of documents published around t, the latest version that was available at t and every version that came
-    later, newest first. The range join has an equality on days: each document is met only by claims near its own."""
-    day, span = 86_400, (back + ahead) // 86_400 + 2
-    d = documents.withColumn("bucket", F.floor(F.col("published") / (day * span)))
-    c = claims.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("t") - back) / (day * span)), F.floor((F.col("t") + ahead) / (day * span)))))
-    near = c.withColumnRenamed("asset_id", "claim_asset").join(d, "bucket").where("(asset_id is null or asset_id = claim_asset)").where((F.col("published") >= F.col("t") - back) & (F.col("published") <= F.col("t") + ahead))
+    later, newest first. The range join is an equality on asset and day; documents of no asset are met by day alone, and a
+    claim asks for each day of its range."""
+    day = 86_400
+    d = documents.withColumn("day", F.floor(F.col("published") / day))
+    c = claims.withColumnRenamed("asset_id", "claim_asset").withColumn("day", F.explode(F.sequence(F.floor((F.col("t") - back) / day), F.floor((F.col("t") + ahead) / day))))
+    own = c.join(d.where("asset_id is not null").withColumn("claim_asset", F.col("asset_id")), ["claim_asset", "day"])
+    near = own.unionByName(c.join(d.where("asset_id is null"), "day")).where((F.col("published") >= F.col("t") - back) & (F.col("published") <= F.col("t") + ahead))
     before = F.col("available") <= F.col("t")
     last = F.max(F.when(before, F.col("version"))).over(Window.partitionBy("claim_id", "document_key"))
     near = near.withColumn("before", before).withColumn("last", last).where("not before or version = last")
@@ -81,9 +83,8 @@ def fold_log(log: DataFrame, key: str, value: str, order: list[str], initial: st
 def posts_in_windows(windows: DataFrame, posts: DataFrame) -> DataFrame:
     """windows: asset_id, window_start, interval_seconds; posts: asset_id, post_id, epoch. Each post of an asset with the windows
     that hold it. The range join is an equality: a post's window of an interval follows from its time."""
-    spans = windows.select("interval_seconds").distinct()
-    few = spans.limit(101).count() <= 100
-    placed = posts.crossJoin(F.broadcast(spans) if few else spans).withColumn("window_start", (F.floor(F.col("epoch") / F.col("interval_seconds")) * F.col("interval_seconds")).cast("long"))
+    spans = windows.agg(F.collect_set("interval_seconds").alias("spans"))  # one row: a deployment has a few intervals
+    placed = posts.crossJoin(F.broadcast(spans)).withColumn("interval_seconds", F.explode("spans")).drop("spans").withColumn("window_start", (F.floor(F.col("epoch") / F.col("interval_seconds")) * F.col("interval_seconds")).cast("long"))
     return placed.join(windows.select("asset_id", "window_start", "interval_seconds"), ["asset_id", "window_start", "interval_seconds"]).dropDuplicates(["asset_id", "window_start", "interval_seconds", "post_id"])
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.exprs import hmac_sha256, rank_of, uuid5
+from tidewatch.functions.exprs import SEVERITIES, hmac_sha256, rank_of, uuid5
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -37,11 +40,17 @@ def feed(events: DataFrame, cursor: int, length: int) -> DataFrame:
 
 def fan_out(alerts: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """A delivery for each alert and channel whose subscription it meets: severity at least the minimum, and asset and
-    type in the subscription's lists where it has any. subscriptions is a small table of settings."""
-    few = subscriptions.limit(10_001).count() <= 10_000
-    s = F.broadcast(subscriptions) if few else subscriptions
-    hit = (rank_of(F.col("severity")) >= rank_of(F.col("minimum"))) & ((F.size("assets") == 0) | F.array_contains("assets", F.col("asset_id"))) & ((F.size("types") == 0) | F.array_contains("types", F.col("alert_type")))
-    out = alerts.join(s, hit).groupBy("channel", "alert_id").agg(F.first("severity").alias("severity"), F.first("asset_id").alias("asset_id"))
+    type in the subscription's lists where it has any.
+
+    A subscription is a row for each severity, asset and type that it takes (null: every one), and an alert asks for its own
+    and for null: an equality join, whatever the number of subscriptions."""
+    some = lambda c: F.explode(F.when(F.size(c) == 0, F.array(F.lit(None).cast("string"))).otherwise(F.array_distinct(c)))
+    taken = F.explode(F.filter(F.array(*(F.lit(x) for x in SEVERITIES)), lambda x: rank_of(x) >= rank_of(F.col("minimum"))))
+    s = subscriptions.select("channel", "minimum", "types", some("assets").alias("a")).select("channel", "minimum", "a", some("types").alias("t")).select("channel", "a", "t", taken.alias("severity"))
+    null = F.lit(None).cast("string")
+    asked = alerts.withColumn("a", F.explode(F.array("asset_id", null))).withColumn("t", F.explode(F.array("alert_type", null))).alias("x")
+    hit = (F.col("x.severity") == F.col("y.severity")) & F.col("x.a").eqNullSafe(F.col("y.a")) & F.col("x.t").eqNullSafe(F.col("y.t"))
+    out = asked.join(s.alias("y"), hit).groupBy("channel", "alert_id").agg(F.first("x.severity").alias("severity"), F.first("asset_id").alias("asset_id"))
     return out.withColumn("delivery_id", uuid5(F.concat_ws(":", F.lit("delivery"), "channel", F.col("alert_id").cast("string"))))
 
 
@@ -59,14 +68,23 @@ def signed(rows: DataFrame, secret: str, fields: list[str]) -> DataFrame:
 
 def evidence_chain(rows: DataFrame, key: str, version: str, fields: list[str]) -> DataFrame:
     """The hash of each version's content, chained with that of the version before: (key, version, content_hash,
-    chain_hash). The chain of a key is folded over its small hashes; a key's versions are few."""
+    chain_hash). Each hash needs the one before it, so a key's rows come sorted by Spark and are folded one at a time: no
+    list of a key is held, however long its chain."""
     content = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields)), 256)
-    lists = rows.select(key, F.col(version).alias("version"), content.alias("h")).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("version", "h"))).alias("all"))
-    fold = F.aggregate(
-        "all", F.expr("cast(array() as array<struct<version:bigint,content_hash:string,chain_hash:string>>)"),
-        lambda done, x: F.concat(done, F.array(F.struct(x.version.cast("bigint").alias("version"), x.h.alias("content_hash"), F.sha2(F.concat_ws("|", F.coalesce(F.try_element_at(done, F.lit(-1)).chain_hash, F.lit("")), x.h, x.version.cast("string")), 256).alias("chain_hash")))),
-    )
-    return lists.select(key, F.explode(fold).alias("x")).select(key, "x.*")
+    links = rows.select(F.col(key).cast("string").alias(key), F.col(version).cast("long").alias("version"), content.alias("content_hash"))
+    ordered = links.repartition(key).sortWithinPartitions(key, "version", "content_hash")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, ""
+        for b in batches:
+            out = []
+            for k, v, h in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                last = hashlib.sha256(f"{last if k == now else ''}|{h}|{v}".encode()).hexdigest()
+                now = k
+                out.append(last)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[key, "version", "content_hash", "chain_hash"])
+
+    return ordered.mapInArrow(fold, f"{key} string, version long, content_hash string, chain_hash string")
 
 
 def scd2(changes: DataFrame, key: str, at: str) -> DataFrame:
@@ -91,3 +109,30 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, since: str, colu
     both = a.unionByName(b)
     value = F.last(F.when(F.col("__side") == 0, F.struct(*columns)), True).over(w)
     return both.withColumn("__v", value).where("__side = 1").select("__l.*", *(F.col(f"__v.{c}").alias(c) for c in columns))
+
+
+def alert_trail(alerts: DataFrame, key: str, order: list[str], alert: str) -> DataFrame:
+    """Per campaign: how many alerts it has, and these in order; a campaign's alerts are few."""
+    ids = F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col(alert).alias("__id")))), lambda x: x["__id"].cast("string"))
+    return alerts.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.array_join(ids, ",").alias("evidence"))
+
+
+def cases(rows: DataFrame, opened: Column, status: Column, deadline: int, closed: str) -> DataFrame:
+    """Adds whether a case that is not closed was opened before the deadline."""
+    return rows.withColumn("breached", (opened < deadline) & (status != closed))
+
+
+def watchlists(members: DataFrame, lists: DataFrame, key: str, asset: str) -> DataFrame:
+    """Each list with its name, how many assets it has and a hash of them in order."""
+    own = members.groupBy(key).agg(F.sort_array(F.collect_set(asset)).alias("ids"))
+    return own.join(lists, key).withColumns({"assets": F.size("ids").cast("long"), "assets_hash": F.md5(F.array_join(F.col("ids").cast("array<string>"), ","))}).drop("ids")
+
+
+def progress(events: DataFrame, topic: str, partition: Column, offset: str, at: Column) -> DataFrame:
+    """Per topic and partition the last offset and its time."""
+    return events.groupBy(F.col(topic).alias("topic"), partition.alias("partition")).agg(F.max(offset).alias("last_offset"), F.max(at).alias("last_event"))
+
+
+def expected_counts(seen: DataFrame, expected: DataFrame, key: str) -> DataFrame:
+    """What was seen of each key beside what was expected, also of keys that only one side has."""
+    return expected.join(seen.groupBy(key).agg(F.count(F.lit(1)).alias("seen")), key, "full_outer")

@@ -105,3 +105,10 @@ def context(at: DataFrame, hits: DataFrame, newest: int = 20, feed: DataFrame |
         state = F.when(F.col("last_success").isNull(), "UNAVAILABLE").when(F.col("last_success") < F.col("now") - fresh, "STALE")
     out = out.withColumn("status", F.coalesce(state, F.when(F.col("n") > 0, "MATCHED").otherwise("NO_MATCH"))).drop("last_success", "now")
     return out.withColumn("threat_score", F.when(F.col("status").isin("MATCHED", "NO_MATCH"), F.least(F.lit(1.0), F.col("n") / 3)))
+
+
+def shared(found: DataFrame, key: str, least: int = 2) -> DataFrame:
+    """Candidates whose value at least so many texts have, with their number."""
+    own = ["indicator_type", "indicator_value"]
+    n = found.groupBy(*own).agg(F.count_distinct(key).alias("docs")).where(F.col("docs") >= least)
+    return found.join(n, own)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions.exprs import hmac_sha256, severity, uuid5
-from tidewatch.operators import campaigns, graph, quality, scoring, serving, windows
+from tidewatch.functions.exprs import severity, uuid5
+from tidewatch.operators import campaigns, graph, quality, scoring, serving, text, windows
 from tidewatch.plans.core import FUSE_SQL, LEVEL, scored
 from tidewatch.sources import adapters
 from tidewatch.sources.adapters import EVIDENCE_SQL, SIGNALS_SQL, THREADS_SQL, table
@@ -198,7 +198,7 @@ FROM (SELECT DISTINCT user_id FROM events), (SELECT string_agg(printf('%02x', xo
   FROM (SELECT i, CASE WHEN i <= 6 THEN ascii(substring('pepper', i, 1)) ELSE 0 END AS b FROM range(1, 65) AS t(i)))""")
 def prj_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = table(spark, sf_dir, "events").select("user_id").distinct()
-    return u.select("user_id", F.concat(F.lit("actor_"), F.substring(hmac_sha256("pepper", F.concat(F.lit("forum:"), F.col("user_id"))), 1, 32)).alias("actor"))
+    return text.pseudonyms(u.withColumn("author", F.col("user_id")), "pepper", "forum", "author")
 
 
 @query("""WITH h AS (SELECT event_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('event:' || event_id)) AS h FROM events)

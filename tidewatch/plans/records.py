@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions.exprs import severity
-from tidewatch.operators import graph, records, serving
+from tidewatch.operators import evaluation, graph, records, serving
 from tidewatch.plans.core import DETECT_SQL, FUSE_SQL, LEVEL, scored
 from tidewatch.sources import adapters, landing
 from tidewatch.sources.adapters import EVIDENCE_SQL, SIGNALS_SQL, THREADS_SQL, table
@@ -114,61 +113,66 @@ def qry_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {EVIDENCE_SQL} SELECT asset_id, count(*) AS n, string_agg(CAST(evidence_id AS VARCHAR), ',' ORDER BY epoch, evidence_id) AS evidence FROM ev GROUP BY asset_id""")
 def qry_campaign_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Campaigns with their alerts in order; a campaign's alerts are few."""
-    ids = F.transform(F.sort_array(F.collect_list(F.struct("epoch", "evidence_id"))), lambda x: x.evidence_id.cast("string"))
-    return adapters.evidence(spark, sf_dir).groupBy("asset_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(ids, ",").alias("evidence"))
+    return serving.alert_trail(adapters.evidence(spark, sf_dir), "asset_id", ["epoch", "evidence_id"], "evidence_id")
 
 
 @query("""SELECT o_orderkey AS case_id, o_orderstatus AS status, epoch(o_orderdate) < 852076800 AND o_orderstatus <> 'F' AS breached FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')""")
 def qry_investigations(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
-    return o.select(F.col("o_orderkey").alias("case_id"), F.col("o_orderstatus").alias("status"), ((F.unix_timestamp("o_orderdate") < 852_076_800) & (F.col("o_orderstatus") != "F")).alias("breached"))
+    return serving.cases(o, F.unix_timestamp("o_orderdate"), F.col("o_orderstatus"), 852_076_800, "F").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderstatus").alias("status"), "breached")
 
 
 @query("""SELECT c_nationkey AS list_id, n_name AS name, count(*) AS assets, md5(string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey)) AS assets_hash FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL""")
 def qry_watchlists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("list_id")).agg(F.sort_array(F.collect_set("c_custkey")).alias("ids"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("list_id"), "c_custkey")
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("list_id"), F.col("n_name").alias("name"))
-    return c.join(n, "list_id").select("list_id", "name", F.size("ids").cast("long").alias("assets"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("assets_hash"))
+    return serving.watchlists(c, n, "list_id", "c_custkey").select("list_id", "name", "assets", "assets_hash")
 
 
 @query("""SELECT event_type AS topic, user_id % 6 AS partition, max(event_id) AS last_offset, max(epoch_us(ts)) AS last_event FROM events GROUP BY ALL""")
 def qry_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.groupBy(F.col("event_type").alias("topic"), (F.col("user_id") % 6).alias("partition")).agg(F.max("event_id").alias("last_offset"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("last_event"))
+    return serving.progress(table(spark, sf_dir, "events"), "event_type", F.col("user_id") % 6, "event_id", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
 @query("""SELECT event_type AS reason, user_id % 10 AS model_id, count(*) AS n FROM events WHERE epoch(ts) >= 1704672000 AND epoch(ts) < 1705881600 GROUP BY ALL""")
 def gov_false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    return table(spark, sf_dir, "events").where((t >= 1704672000) & (t < 1705881600)).groupBy(F.col("event_type").alias("reason"), (F.col("user_id") % 10).alias("model_id")).agg(F.count(F.lit(1)).alias("n"))
+    e = table(spark, sf_dir, "events").withColumns({"reason": F.col("event_type"), "model_id": F.col("user_id") % 10})
+    return evaluation.false_positives(e, F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, 1704672000, 1705881600, ["reason", "model_id"])
 
 
 @query("""SELECT user_id AS model_id, CASE WHEN arg_max(value, (ts, event_id)) >= 300 THEN 'DRIFTED' ELSE 'STABLE' END AS drift FROM events WHERE event_type = 'error' GROUP BY ALL""")
 def gov_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = serving.latest(table(spark, sf_dir, "events").where("event_type = 'error'").select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"])
-    return last.select(F.col("user_id").alias("model_id"), F.when(F.col("value") >= 300, "DRIFTED").otherwise("STABLE").alias("drift"))
+    e = table(spark, sf_dir, "events").where("event_type = 'error'").withColumnRenamed("user_id", "model_id")
+    return evaluation.last_drift(e, "model_id", ["ts", "event_id"], "value", 300)
 
 
 @query(f"""WITH {FUSE_SQL}, s AS (SELECT asset_id, window_start, severity, fusion_score, {LEVEL('least(1.0, greatest(0.0, coalesce((coalesce(market_score * 0.75, 0) + coalesce(social_score * 0.25, 0)) / nullif(CASE WHEN market_score IS NULL THEN 0 ELSE 0.75 END + CASE WHEN social_score IS NULL THEN 0 ELSE 0.25 END, 0), 0)))')} AS shadow FROM f)
 SELECT severity, shadow, count(*) AS n, count(*) FILTER (severity = shadow) AS agreeing FROM s GROUP BY ALL""")
 def evl_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Severities of another model's weights beside the champion's."""
-    w = {"market_score": 0.75, "social_score": 0.25}
-    present = sum((F.when(F.col(k).isNotNull(), x).otherwise(0.0) for k, x in w.items()), F.lit(0.0))
-    total = sum((F.coalesce(F.col(k) * x, F.lit(0.0)) for k, x in w.items()), F.lit(0.0))
-    s = scored(spark, sf_dir).withColumn("shadow", severity(F.when(present > 0, total / present).otherwise(0.0)))
-    return s.groupBy("severity", "shadow").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity") == F.col("shadow")).alias("agreeing"))
+    return evaluation.agreement(evaluation.shadow(scored(spark, sf_dir), {"market_score": 0.75, "social_score": 0.25}))
 
 
 @query(f"""WITH {THREADS_SQL},
 n AS (SELECT thread_id, author_id, count(*) AS n FROM th GROUP BY ALL), p AS (SELECT *, sum(n) OVER (PARTITION BY thread_id) AS total FROM n),
 a AS (SELECT thread_id, sum(n) AS posts, max(n / total) AS conc, CASE WHEN count(*) > 1 THEN sum(-(n / total) * ln(n / total)) / ln(count(*)) ELSE 0 END AS ent FROM p GROUP BY thread_id),
-g AS (SELECT thread_id, epoch - lag(epoch) OVER (PARTITION BY thread_id ORDER BY epoch, post_id) AS gap FROM th), y AS (SELECT thread_id, coalesce(avg(CAST(gap <= 5 AS DOUBLE)), 0) AS sync FROM g GROUP BY thread_id)
-SELECT thread_id, round(least(1.0, greatest(0.0, 0.22 * conc + 0.20 * sync + 0.15 * least(1.0, (posts - 1) / 5) + 0.10 * (1 - ent))) + 1.7e-11, 9) AS graph_score FROM a JOIN y USING (thread_id)""")
+g AS (SELECT thread_id, epoch - lag(epoch) OVER (PARTITION BY thread_id ORDER BY epoch, post_id) AS gap FROM th), y AS (SELECT thread_id, coalesce(avg(CAST(gap <= 5 AS DOUBLE)), 0) AS sync FROM g GROUP BY thread_id),
+o1 AS (SELECT thread_id, author_id, count(*) AS k FROM th GROUP BY ALL UNION ALL SELECT thread_id, lower(string_split(text, ' ')[1]), count(*) FROM th WHERE text IS NOT NULL GROUP BY ALL), o AS (SELECT thread_id, max(k) AS k FROM o1 GROUP BY ALL),
+d1 AS (SELECT thread_id, turns, CASE WHEN turns > 0 THEN turns - 1 ELSE 0 END AS depth FROM (SELECT thread_id, count(*) AS turns FROM th GROUP BY ALL)),
+v AS (SELECT thread_id, avg(least(1.0, length(text) / 100.0)) AS sim FROM th GROUP BY ALL)
+SELECT thread_id, round(least(1.0, greatest(0.0, 0.22 * conc + 0.20 * sync + 0.18 * least(1.0, o.k / posts) + 0.15 * least(1.0, depth / 5) + 0.15 * sim + 0.10 * (1 - ent))) + 1.7e-11, 9) AS graph_score FROM a JOIN y USING (thread_id) JOIN o USING (thread_id) JOIN d1 USING (thread_id) JOIN v USING (thread_id)""")
 def grf_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six terms: an author counts as the repeated url, a first word as the tag, and the lengths of texts stand for the
+    similarity of nodes, which embeddings would give."""
     th = adapters.threads(spark, sf_dir)
-    f = graph.authorship(th, "thread_id").join(graph.synchronized(th, "thread_id"), "thread_id").withColumns({"repeated_amplifier_overlap": F.lit(0.0), "node_similarity": F.lit(0.0), "propagation_depth": F.col("posts") - 1})
+    words = F.when(F.col("text").isNotNull(), F.array(F.get(F.split("text", " "), F.lit(0)))).otherwise(F.expr("cast(array() as array<string>)"))
+    parts = [
+        graph.authorship(th, "thread_id"), graph.synchronized(th, "thread_id"), graph.depth(th, "thread_id"),
+        records.amplifier_overlap(th.withColumns({"urls": F.array("author_id"), "tags": words}), "thread_id", "urls", "tags"), th.groupBy("thread_id").agg(F.avg(F.least(F.lit(1.0), F.length("text") / 100.0)).alias("node_similarity")),
+    ]
+    f = parts[0]
+    for p in parts[1:]:
+        f = f.join(p, "thread_id")
     return graph.score(f).select("thread_id", F.round(F.col("graph_score") + 1.7e-11, 9).alias("graph_score"))
 
 
@@ -180,8 +184,7 @@ def src_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SIGNALS_SQL} SELECT source_domain, count(*) AS seen, CASE source_domain WHEN 'market' THEN 4500 ELSE 5000 END AS expected FROM sig GROUP BY ALL""")
 def src_expected_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected = spark.createDataFrame([("market", 4500), ("social", 5000)], "source_domain string, expected int")
-    seen = adapters.signals(spark, sf_dir).groupBy("source_domain").agg(F.count(F.lit(1)).alias("seen"))
-    return expected.join(seen, "source_domain", "full_outer")
+    return serving.expected_counts(adapters.signals(spark, sf_dir), expected, "source_domain")
 
 
 @query("""WITH s AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS source_sequence FROM events) SELECT event_id, 'replay-1' AS scope_id, source_sequence FROM s""")

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions.exprs import cosine
-from tidewatch.operators import evaluation, scoring, text, threat
+from tidewatch.operators import evaluation, narratives, scoring, text, threat
 from tidewatch.plans.core import DETECT_SQL, LEVEL, scored
 from tidewatch.sources import adapters
 from tidewatch.sources.adapters import table
@@ -84,38 +83,9 @@ p AS (SELECT q.vec_id AS query_id, e.vec_id, least(1.0, greatest(0.0, list_cosin
 SELECT query_id, vec_id, round(s + 1.7e-11, 9) AS similarity, r AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS r FROM p) WHERE r <= 5""")
 def nar_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of a stated query set: every row whose id is divisible by 20, against all rows."""
-    import numpy as np
-    import pyarrow as pa
-
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    k, block = 5, 2000
-    queries = e.where("vec_id % 20 = 0").orderBy("vec_id")
-    best = None
-    edges = [r[0] for r in queries.withColumn("n", F.expr(f"row_number() over (order by vec_id) % {block}")).where("n = 1").select("vec_id").orderBy("vec_id").collect()]
-    for low, high in zip(edges, [*edges[1:], None], strict=True):  # blocks of queries of bounded size
-        own = queries.where(F.col("vec_id") >= low) if high is None else queries.where((F.col("vec_id") >= low) & (F.col("vec_id") < high))
-        got = own.collect()
-        ids, x = np.array([r[0] for r in got]), np.array([r[1] for r in got], np.float64)
-        sent = spark.sparkContext.broadcast((ids, x / np.linalg.norm(x, axis=1, keepdims=True)))
-
-        def run(batches, sent=sent):
-            ids, x = sent.value
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                own, y = b.column(0).to_numpy(), np.stack([np.array(v, np.float64) for v in b.column(1).to_pylist()])
-                s = np.clip(x @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T, 0, 1)
-                s[ids[:, None] == own[None]] = -1
-                for i in range(len(ids)):
-                    j = np.lexsort((own, -s[i]))[:k]
-                    j = j[s[i][j] >= 0]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), ids[i])), pa.array(own[j]), pa.array(s[i][j])], names=["query_id", "vec_id", "similarity"])
-
-        found = e.mapInArrow(run, "query_id long, vec_id long, similarity double")
-        best = found if best is None else best.unionAll(found)
-    from tidewatch.operators.serving import newest
-
-    return newest(best, ["query_id"], [F.desc("similarity"), F.asc("vec_id")], k).select("query_id", "vec_id", F.round(F.col("similarity") + 1.7e-11, 9).alias("similarity"), "place")
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    out = narratives.nearest(e.where("id % 20 = 0"), e, 5)
+    return out.select("query_id", F.col("id").alias("vec_id"), F.round(F.col("similarity") + 1.7e-11, 9).alias("similarity"), "place")
 
 
 @query()
@@ -200,13 +170,12 @@ def thr_page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threat.normalize(rows).select("page_id", "indicator_value", "identity_hash")
 
 
-@query(r"""WITH c AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9a-f]{32,}'))) AS h FROM documents), m AS (SELECT doc_id, h FROM c WHERE length(h) IN (32, 40, 64)),
+@query(r"""WITH c AS (SELECT DISTINCT doc_id, lower(regexp_replace(unnest(regexp_extract_all(text, '[A-Za-z0-9:@._/%?=&+-]+')), '^[.,;()]+|[.,;()]+$', '', 'g')) AS h FROM documents), m AS (SELECT doc_id, h FROM c WHERE regexp_full_match(h, '[0-9a-f]+') AND length(h) IN (32, 40, 64)),
 n AS (SELECT h, count(*) AS docs FROM m GROUP BY h) SELECT doc_id, h AS indicator_value, docs FROM m JOIN n USING (h) WHERE docs >= 2""")
 def thr_shared_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashes that several texts have: the match of candidates with indicators, the indicators being such hashes."""
-    runs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([0-9a-f]{32,})"), F.lit(1)))).alias("indicator_value")).where("length(indicator_value) in (32, 40, 64)")
-    n = runs.groupBy("indicator_value").agg(F.count(F.lit(1)).alias("docs")).where("docs >= 2")
-    return runs.join(n, "indicator_value").select("doc_id", "indicator_value", "docs")
+    found = threat.candidates(table(spark, sf_dir, "documents"), "doc_id").where("indicator_type in ('MD5', 'SHA1', 'SHA256')")
+    return threat.shared(found, "doc_id").select("doc_id", "indicator_value", "docs")
 
 
 @query("""WITH h AS (SELECT 'A' || (user_id % 20) AS asset_id, event_id AS match_id, CAST(epoch(ts) AS BIGINT) AS epoch, CAST(epoch(ts) AS BIGINT) + 3600 AS fetched_at FROM events WHERE event_type = 'error' AND value > 480),
@@ -317,9 +286,5 @@ n AS (SELECT label, list(m ORDER BY i) AS centroid FROM c GROUP BY label)
 SELECT vec_id, v.label, round(least(1.0, greatest(0.0, list_cosine_similarity(CAST(embedding AS DOUBLE[]), centroid))) + 1.7e-11, 9) AS similarity FROM v JOIN n ON v.label = n.label""")
 def nar_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of each vector to the centroid of its group."""
-    v = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    size = 64
-    # One row for each group: an average for each dimension in one aggregation, partial before the shuffle.
-    c = v.groupBy("label").agg(F.array(*(F.avg(F.get("v", F.lit(i))) for i in range(size))).alias("c"))
-    return v.join(c, "label").select("vec_id", "label", F.round(cosine(F.col("v"), F.col("c")) + 1.7e-11, 9).alias("similarity"))
-
+    v = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    return narratives.similarities(v, "label").select("vec_id", "label", F.round(F.col("similarity") + 1.7e-11, 9).alias("similarity"))
