@@ -167,6 +167,13 @@ def similarity(claim: str, evidence: str) -> Column:
     return 0.60 * jaccard(c("lexical"), e("lexical")) + 0.20 * (c("claim_type") == e("claim_type")).cast("double") + 0.10 * (c("polarity") == e("polarity")).cast("double") + 0.10 * amount
 
 
+def compare(pairs: DataFrame, claims: DataFrame, claim: str, documents: DataFrame, document: str, text: str = "text") -> DataFrame:
+    """pairs: claim, document and more. Adds similarity and conflicts; each text is brought into its canonical form once."""
+    form = lambda rows, key, p: canonical(rows, text).select(key, *(F.col(c).alias(p + c) for c in ("lexical", "claim_type", "polarity", "amounts")))
+    both = pairs.join(form(claims, claim, "c_"), claim).join(form(documents, document, "e_"), document)
+    return both.select(*pairs.columns, similarity("c_", "e_").alias("similarity"), conflicts("c_", "e_").alias("conflicts"))
+
+
 def conflicts(claim: str, evidence: str) -> Column:
     """Codes of how evidence contradicts a claim, both canonical texts with these prefixes: by polarity, or by amounts of
     both that have none in common."""

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import evaluation, narratives, scoring, text, threat
 from tidewatch.plans.core import DETECT_SQL, LEVEL, scored
+from tidewatch.plans.records import ORACLES as RECORDS_SQL
+from tidewatch.plans.records import ver_candidates_as_of
 from tidewatch.sources import adapters
 from tidewatch.sources.adapters import table
 
@@ -115,22 +117,25 @@ def ver_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.claims(table(spark, sf_dir, "benchmark"), "item_id").select("item_id", "n", "claim_text", "claim_type", "polarity", F.array_join("amounts", ",").alias("amounts"))
 
 
+SIMILAR_SQL = """round(0.60 * coalesce(len(list_intersect(b.lexical, d.lexical)) / nullif(len(list_distinct(list_concat(b.lexical, d.lexical))), 0), 0) + 0.20 * CAST(b.claim_type = d.claim_type AS INTEGER) + 0.10 * CAST(b.polarity = d.polarity AS INTEGER) + 0.10 * CASE WHEN len(b.amounts) = 0 THEN 1 ELSE CAST(list_has_any(b.amounts, d.amounts) AS INTEGER) END + 1.7e-11, 9)"""
+
+
 def canonical_sql(name: str, source: str, key: str) -> str:
     t = TOKENS("text")
     return f"""{name}0 AS (SELECT {key}, {t} AS t FROM {source}),
 {name} AS (SELECT {key}, list_distinct(list_filter(t, lambda w: w NOT IN ('about', 'after', 'from', 'have', 'that', 'this', 'with', 'will'))) AS lexical,
   CASE WHEN list_has_any(t, ['contract', 'award']) THEN 'CONTRACT_AWARD' WHEN list_has_any(t, ['promoter']) AND list_has_any(t, ['buy', 'bought', 'purchase']) THEN 'INSIDER_PURCHASE'
     WHEN contains(array_to_string(t, ' '), 'earning') OR list_has_any(t, ['results']) THEN 'EARNINGS_FORECAST' WHEN list_has_any(t, ['listing']) THEN 'EXCHANGE_LISTING' WHEN list_has_any(t, ['partnership']) THEN 'PARTNERSHIP' ELSE 'OTHER' END AS claim_type,
-  CASE WHEN list_has_any(t, ['no', 'not', 'never', 'denies', 'denied', 'false', 'without']) THEN 'NEGATIVE' ELSE 'POSITIVE' END AS polarity FROM {name}0)"""
+  CASE WHEN list_has_any(t, ['no', 'not', 'never', 'denies', 'denied', 'false', 'without']) THEN 'NEGATIVE' ELSE 'POSITIVE' END AS polarity, regexp_extract_all(array_to_string(t, ' '), '\\b(\\d+(?:\\.\\d+)?)\\b', 1) AS amounts FROM {name}0)"""
 
 
 @query(f"""WITH {canonical_sql('b', 'benchmark', 'item_id')}, {canonical_sql('d', 'documents', 'doc_id')},
 k AS (SELECT DISTINCT b.item_id, d.doc_id FROM (SELECT item_id, unnest(lexical) AS w FROM b) b JOIN (SELECT doc_id, unnest(lexical) AS w FROM d) d ON b.w = d.w WHERE length(b.w) >= 8)
-SELECT item_id, doc_id, round(0.60 * len(list_intersect(b.lexical, d.lexical)) / len(list_distinct(list_concat(b.lexical, d.lexical))) + 0.20 * CAST(b.claim_type = d.claim_type AS INTEGER) + 0.10 * CAST(b.polarity = d.polarity AS INTEGER) + 0.10 + 1.7e-11, 9) AS similarity
+SELECT item_id, doc_id, {SIMILAR_SQL} AS similarity
 FROM k JOIN b USING (item_id) JOIN d USING (doc_id)""")
 def ver_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims against disclosures that share a word of eight letters or more."""
-    b = text.canonical(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("b_text")), "b_text").drop("b_text", "content").withColumn("amounts", F.expr("cast(array() as array<string>)"))
+    b = text.canonical(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("b_text")), "b_text").drop("b_text", "content")
     d = text.canonical(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("d_text")), "d_text").drop("d_text", "content")
     word = lambda rows, k: rows.select(k, F.explode("lexical").alias("w")).where("length(w) >= 8")
     pairs = word(b, "item_id").join(word(d, "doc_id"), "w").select("item_id", "doc_id").distinct()
@@ -139,6 +144,22 @@ def ver_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("item_id", "doc_id", F.round(text.similarity("b_", "d_") + 1.7e-11, 9).alias("similarity"))
 
 
+@query(f"""WITH {canonical_sql('b', 'benchmark', 'item_id')}, {canonical_sql('d', 'documents', 'doc_id')},
+x AS (SELECT doc_id, doc_id % 40 AS document_key, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY doc_id) AS version FROM documents), n AS ({RECORDS_SQL['ver_candidates_as_of']})
+SELECT claim_id, x.doc_id, n.before, {SIMILAR_SQL} AS similarity, concat_ws(',', CASE WHEN b.polarity <> d.polarity THEN 'POLARITY_MISMATCH' END, CASE WHEN len(b.amounts) > 0 AND len(d.amounts) > 0 AND NOT list_has_any(b.amounts, d.amounts) THEN 'AMOUNT_MISMATCH' END) AS conflicts
+FROM n JOIN x USING (document_key, version) JOIN b ON b.item_id = claim_id JOIN d ON d.doc_id = x.doc_id""")
+def ver_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims with the documents that may bear them out by time: similarity, and how they contradict."""
+    from pyspark.sql import Window
+
+    key = F.col("doc_id") % 40
+    x = table(spark, sf_dir, "documents").select("doc_id", key.alias("document_key"), F.row_number().over(Window.partitionBy(key).orderBy("doc_id")).alias("version"))
+    pairs = ver_candidates_as_of(spark, sf_dir).join(x, ["document_key", "version"]).select("claim_id", "doc_id", "before")
+    claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), "text")
+    out = text.compare(pairs, claims, "claim_id", table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return out.select("claim_id", "doc_id", "before", F.round(F.col("similarity") + 1.7e-11, 9).alias("similarity"), F.array_join("conflicts", ",").alias("conflicts"))
+
+
 @query("""WITH m AS (SELECT o_orderkey % 500 AS claim_id, o_totalprice / 500000.0 AS score, o_orderstatus = 'O' AS before, o_orderpriority LIKE '1%' AS conflict FROM orders),
 g AS (SELECT claim_id, count(*) AS candidates, count(*) FILTER (score >= 0.34 AND before AND conflict) AS c, count(*) FILTER (score >= 0.34 AND before AND NOT conflict) AS s, count(*) FILTER (score >= 0.34 AND NOT before) AS a FROM m GROUP BY ALL)
 SELECT claim_id, candidates, CASE WHEN c > 0 THEN 'CONFLICTING' WHEN s > 0 THEN 'SUPPORTED_BEFORE' WHEN a > 0 THEN 'SUPPORTED_AFTER' ELSE 'UNSUPPORTED' END AS result,
