@@ -67,3 +67,42 @@ def test_every_window_becomes_final_after_a_long_outage():
     assert final == [60 * i for i in range(100)]
     late = feed([row(30, "market")])
     assert [(r["window_start"], r["revision"], r["state"], r["supersedes"], r["n"]) for r in late] == [(0, 4, "CORRECTED", 3, 3)]
+
+
+def log_of(spark, store):
+    rows = spark.read.parquet(f"{store}/revisions").orderBy("window_start", "revision").collect()
+    start = min(r["window_start"] for r in rows)
+    return {(r["window_start"] - start, r["revision"]): r for r in rows}
+
+
+def test_feature_log_revises_later_windows_and_goes_on_after_a_restart(spark, tmp_path):
+    def both(t, price, quantity):
+        return [trade(t, price, quantity), signal("SOCIAL_POST", t + 1, author_id="p")]
+
+    path = written(spark, tmp_path, [both(0, 1, 100), both(60, 1, 100) + both(120, 1, 50), both(600, 1, 10)])
+    read = lambda: jobs.read_signals(spark, path, spark.createDataFrame([], SCHEMA).schema)
+    store, checkpoint = str(tmp_path / "store"), str(tmp_path / "cp")
+    jobs.log_features(read(), store, checkpoint, [60])
+    got = log_of(spark, store)
+    assert {k: got[k]["state"] for k in got} == {(0, 1): "PROVISIONAL", (60, 1): "PROVISIONAL", (120, 1): "PROVISIONAL", (0, 2): "FINAL", (60, 2): "FINAL", (120, 2): "FINAL", (600, 1): "PROVISIONAL"}
+    assert got[60, 1]["relative_volume"] == 1.0 and got[120, 1]["relative_volume"] == 0.5
+    # A restart goes on from the checkpoint; a late row corrects its window and the baselines of those after it.
+    late = spark.createDataFrame([trade(10, 1, 200)], SCHEMA)
+    late.coalesce(1).write.mode("append").parquet(path)
+    jobs.log_features(read(), store, checkpoint, [60])
+    after = log_of(spark, store)
+    assert all(after[k]["content_hash"] == got[k]["content_hash"] for k in got)
+    new = {k: after[k] for k in after if k not in got}
+    assert {k[0] for k in new} == {0, 60, 120, 600}
+    assert all(r["state"] == ("CORRECTED" if k[0] < 600 else "PROVISIONAL") and (k[0] == 600 or r["supersedes"] == r["revision"] - 1) for k, r in new.items())
+    last = {k[0]: r for k, r in sorted(after.items())}
+    assert last[0]["volume"] == 300.0 and abs(last[60]["relative_volume"] - 100 / 300) < 1e-12 and abs(last[120]["relative_volume"] - 50 / 200) < 1e-12
+    # It equals the batch computation.
+    from tidewatch.operators import windows
+
+    want = {r["window_start"]: r["relative_volume"] for r in windows.features(spark.read.parquet(path), [60]).collect()}
+    assert {r["window_start"]: r["relative_volume"] for r in last.values()} == want
+    # A batch that is run again writes what it wrote.
+    n = spark.read.parquet(f"{store}/revisions").count()
+    jobs.feature_log(store, [60])(late, 3)
+    assert spark.read.parquet(f"{store}/revisions").count() == n

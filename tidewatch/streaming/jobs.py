@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tidewatch.operators import windows
+
 
 def read_signals(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -95,6 +98,59 @@ def revisions(stream: DataFrame, interval: int, lateness: int) -> DataFrame:
     return rows.groupBy("scope_id", "asset_id").transformWithStateInPandas(Revisions(interval, lateness), REVISION, "Append", "None")
 
 
+def feature_log(store: str, intervals: list[int], lateness: int = 120, within: int | None = None) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: the revision log of all features. Each batch of signals is kept under store/signals; the windows of the
+    assets that it touches are computed again from its earliest window on, with what is kept, and those that differ from
+    their last revision are appended to store/revisions. So a late row also revises the later windows whose baselines, new
+    authors or source states rest on it.
+
+    A window is PROVISIONAL until its asset's watermark passes its end, then FINAL; a change after that is CORRECTED, and says
+    which revision it supersedes. A batch that is run again, after a restart, writes the same files again. within:
+    seconds of history that are read again; none for all."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        day = F.to_date("event_time").alias("day")
+        batch.select("*", day).write.mode("overwrite").parquet(f"{store}/signals/batch={number}")
+        touched = batch.groupBy("scope_id", "asset_id").agg(F.min(windows.seconds("event_time")).alias("since"))
+        kept = spark.read.parquet(f"{store}/signals").where(F.col("batch") <= number)
+        first = touched.agg(F.min("since")).first()[0]
+        if first is None:
+            return
+        if within is not None:
+            kept = kept.where(F.col("day") >= F.to_date(F.timestamp_seconds(F.lit(first - within))))
+        own = windows.first_per_key(kept.join(touched.select("scope_id", "asset_id"), ["scope_id", "asset_id"], "left_semi").drop("batch", "day"), ["scope_id", "event_id"], "ingested_at")
+        now = windows.features(own, intervals).join(touched, ["scope_id", "asset_id"])
+        now = now.withColumn("content_hash", F.sha2(F.to_json(F.struct(*windows.FEATURES, "source_event_count")), 256))
+        marks = windows.watermarks(own, lateness=lateness).select("scope_id", "asset_id", "fusion_watermark")
+        now = now.join(marks, ["scope_id", "asset_id"]).withColumn("passed", F.coalesce(F.col("window_end") <= F.col("fusion_watermark"), F.lit(False)))
+        before = previous(spark, f"{store}/revisions", number)
+        last = before.groupBy(*windows.KEY).agg(F.max_by(F.struct("revision", "state", "content_hash"), "revision").alias("last")) if before is not None else now.select(*windows.KEY, F.lit(None).cast("struct<revision:int,state:string,content_hash:string>").alias("last")).limit(0)
+        # Windows from the batch's earliest on may have changed; of those before, the open ones may have become final.
+        both = now.join(last, windows.KEY, "left").where((F.col("window_end") > F.col("since")) | (F.col("last.state") == "PROVISIONAL"))
+        closed, same = F.coalesce(F.col("last.state") != "PROVISIONAL", F.lit(False)), F.coalesce(F.col("last.content_hash") == F.col("content_hash"), F.lit(False))
+        state = F.when(closed, F.when(~same, "CORRECTED")).when(F.col("passed"), "FINAL").when(~same, "PROVISIONAL")
+        out = both.withColumn("state", state).where("state is not null").withColumns({"revision": F.coalesce(F.col("last.revision"), F.lit(0)) + 1, "supersedes": F.when(F.col("state") != "PROVISIONAL", F.col("last.revision"))})
+        out.drop("last", "passed", "fusion_watermark", "since").write.mode("overwrite").parquet(f"{store}/revisions/batch={number}")
+
+    return apply
+
+
+def previous(spark: SparkSession, path: str, number: int) -> DataFrame | None:
+    """What earlier batches wrote; None if there is nothing."""
+    try:
+        return spark.read.parquet(path).where(F.col("batch") < number)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+def log_features(stream: DataFrame, store: str, checkpoint: str, intervals: list[int], **settings) -> None:
+    """Run feature_log over all that is there, in bounded batches."""
+    stream.writeStream.foreachBatch(feature_log(store, intervals, **settings)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process all that is there, in bounded batches, to a Parquet table."""
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start().awaitTermination()
