@@ -106,6 +106,17 @@ def test_one_long_text_that_repeats_itself(spark, monkeypatch):
         assert got == {1: (1_000_000, 999_999), 2: (60_000, 59_998), 3: (60_000, 59_300), 4: (600, 600)}
 
 
+def test_texts_that_repeat_only_themselves(spark):
+    """One document each of short and long periods, whose phrases no other document has."""
+    rng = random.Random(12)
+    docs = []
+    for i, period in enumerate([1, 2, 3, 5, 14, 15, 16, 17, 19, 20, 21, 30, 64, 300]):
+        own = [f"d{i}w{rng.randrange(10**6)}" for _ in range(period)]
+        docs.append((i, " ".join(own[k % period] for k in range(period + rng.choice([19, 20, 21, 40, 200])))))
+    docs += [(50 + k, " ".join([f"e{k}"] * k)) for k in (19, 20, 21, 34, 35, 36, 60)]
+    check(spark, docs)
+
+
 def test_columns_of_other_names_and_types(spark):
     df = spark.createDataFrame([(5, "word " * 30, "x", 1), (6, "word " * 30, None, 2)], "key int, body string, id string, anchor int")
     got = {r["key"]: r["n_removed"] for r in phrases.remove_repeats(df, "key", "body").collect()}

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm._common import written
+from tidewatch.llm._common import WORD_SQL, written
 
 #: A null document id sorts before all others.
 NO_ID = -(1 << 63)
@@ -46,24 +46,30 @@ def rolling(word_hashes: np.ndarray, n: int) -> np.ndarray:
     return out * MIX
 
 
-def anchors(words: list[bytes], known: Hashes, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(phrase hash, first window, last window) of each anchor of a document. The anchor of a window is the least phrase
-    hash in it: windows of equal words have equal anchors. Windows in a row with one anchor are one entry, of PIECE
-    windows at most."""
+def anchors(words: list[bytes], known: Hashes, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(phrase hash, first window, last window, times) of each anchor of a document. The anchor of a window is the least
+    phrase hash in it: windows of equal words have equal anchors. Windows in a row with one anchor are one entry, of
+    PIECE windows at most. times is 2 where the phrase is there more than once in the entry: then its windows may be
+    repeats of each other."""
     if len(words) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int8)
     h = rolling(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), phrase)
     n = len(words) - window + 1
     least = h[:n].copy()
     for i in range(1, window - phrase + 1):
         np.minimum(least, h[i : i + n], out=least)
+    places = np.zeros(n, np.int8)
+    for i in range(window - phrase + 1):
+        places += h[i : i + n] == least
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     size = np.diff(np.append(first, n))
+    times = 1 + ((size > window - phrase + 1) | (np.maximum.reduceat(places, first) > 1)).astype(np.int8)
     if size.max() > PIECE:
         pieces = -(-size // PIECE)
+        times = np.repeat(times, pieces)
         first = np.repeat(first, pieces) + PIECE * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
     last = np.append(first[1:], n) - 1
-    return least[first].view(np.int64), first.astype(np.int32), last.astype(np.int32)
+    return least[first].view(np.int64), first.astype(np.int32), last.astype(np.int32), times
 
 
 def runs(starts: list[int]) -> list[tuple[int, int]]:
@@ -174,7 +180,7 @@ def repeated_windows(docs: DataFrame, window: int = 20, phrase: int = 6, salt_ro
     earlier. A document is known by id and tie together.
 
     1. Anchors: each document names the anchor phrases of its windows (about one word in seven begins one).
-    2. Phrases that occur once can't belong to a repeated window; the others are confirmed by one count.
+    2. Phrases that occur once, in all, can't belong to a repeated window; the others are confirmed by one count.
     3. Only what lies around recurring anchors is cut out of the texts and dealt to the automata's shards by anchor.
        An anchor of many occurrences is dealt to several shards, by document and place.
     4. Each shard compiles automata of its recurring passages and streams its segments, ordered by document and place,
@@ -187,11 +193,11 @@ def repeated_windows(docs: DataFrame, window: int = 20, phrase: int = 6, salt_ro
         for b in batches:
             found = [anchors((t or b"").split(), known, window, phrase) for t in b.column(1).cast(pa.binary()).to_pylist()]
             ids, ties = (np.repeat(b.column(i).to_numpy(), [len(f[0]) for f in found]) for i in (0, 2))
-            columns = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(ids, pa.int64()), pa.array(ties, pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], names=["anchor", "id", "tie", "lo", "hi"])
+            columns = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(ids, pa.int64()), pa.array(ties, pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int8())], names=["anchor", "id", "tie", "lo", "hi", "times"])
 
-    named = written(docs.select("id", "text", "tie").mapInArrow(scan, "anchor long, id long, tie long, lo int, hi int"))
-    recurring = written(named.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("salts", F.ceil(F.col("n") / salt_rows).cast("int")))
+    named = written(docs.select("id", "text", "tie").mapInArrow(scan, "anchor long, id long, tie long, lo int, hi int, times tinyint"))
+    recurring = written(named.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum("times").alias("times")).where("times > 1").drop("times").withColumn("salts", F.ceil(F.col("n") / salt_rows).cast("int")))
     total = recurring.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     places = named.join(recurring.drop("n"), "anchor").groupBy("id", "tie").agg(F.collect_set(F.struct("anchor", "lo", "hi", "salts")).alias("places"))
 
@@ -306,3 +312,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def digest(kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return kept.select(id_col, "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The digest in SQL: a window is its twenty words joined by spaces, which words don't hold.
+ORACLE_SQL = f"""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD_SQL}') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t),
+s AS (SELECT doc_id, i, {" || ' ' || ".join(["word", *(f"lead(word, {k}) OVER d" for k in range(1, 20))])} AS k FROM p WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT k, min(struct_pack(d := doc_id, i := i)) AS first FROM s WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1),
+l AS (SELECT s.doc_id, s.i FROM s JOIN f USING (k) WHERE s.doc_id <> first.d OR s.i <> first.i),
+g AS (SELECT DISTINCT doc_id, i + o AS i, true AS gone FROM l, range(20) AS r(o)),
+k AS (SELECT p.doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p.i) FILTER (gone IS NULL) AS kept FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.i = g.i GROUP BY p.doc_id)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN k ON t.doc_id = k.doc_id"""

@@ -65,4 +65,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: The others train a model, follow links of any length, hash texts or find values of no fixed form.
-ORACLE_SQL: dict[str, str] = {"op10_perspective_rotation": chat.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_phrase_automata": phrases.ORACLE_SQL, "op10_perspective_rotation": chat.ORACLE_SQL}
