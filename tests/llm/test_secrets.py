@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from tidewatch.llm import secrets
 
@@ -44,3 +45,102 @@ def test_long_text_repeated_rows_nulls_and_no_rows(spark):
     got = secrets.digest(secrets.scan_secrets(df)).collect()
     assert len(got) == 3 and all(r["n_assign"] == 1 for r in got)
     assert secrets.digest(secrets.scan_secrets(df.limit(0))).count() == 0
+
+
+WORDS = ["password", "passwd", "secret", "token", "apikey", "api_key"]
+VALUE = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+
+def run_from(text, at, allowed):
+    while at < len(text) and text[at] in allowed:
+        at += 1
+    return at
+
+
+def scanned(text):
+    """Base spans by hand, a character at a time: [(start, kind, stop, value)]."""
+    found, at = [], 0
+    while at < len(text):
+        word = next((w for w in WORDS if text[at : at + len(w)].lower() == w and text[at : at + len(w)].isascii()), None)
+        if word:
+            p = at + len(word)
+            p += text[p : p + 1] in ("'", '"') and text[p : p + 1] != ""
+            p = run_from(text, p, " ")
+            if text[p : p + 1] in (":", "="):
+                p = run_from(text, p + 1, " ")
+                p += text[p : p + 1] in ("'", '"') and text[p : p + 1] != ""
+                stop = run_from(text, p, VALUE)
+                if stop > p:
+                    if stop - p >= 6:
+                        found.append((at, 0, stop, text[p:stop]))
+                    at = stop
+                    continue
+        at += 1
+    at = 0
+    while (at := text.find("AKIA", at)) >= 0:
+        stop = run_from(text, at, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+        if stop - at >= 20:
+            found.append((at, 1, stop, text[at:stop]))
+        at = max(stop, at + 4)
+    at = 0
+    while at < len(text):
+        stop = run_from(text, at, set("0123456789abcdef"))
+        if stop - at >= 24:
+            found.append((at, 2, stop, text[at:stop]))
+        at = stop + 1
+    return sorted(found)
+
+
+def test_base_spans_and_owners_by_hand(spark):
+    rng = random.Random(9)
+    chars = "abcdefABCXYZ0123456789+/_.=-"
+    value = lambda n: "".join(rng.choice(chars) for _ in range(n))
+    common = ["sharedvalue1x9Zq7", "AKIA" + "Q7" * 9, "0a1b2c3d" * 4, "tWo0wner5Val9ue"]
+    piece = lambda: rng.choice([
+        rng.choice(WORDS).title() + rng.choice(["", '"', "'"]) + " " * rng.randint(0, 2) + rng.choice([":", "=", "==", ""]) + " " * rng.randint(0, 2) + rng.choice(["", '"']) + rng.choice([*common, value(rng.randint(1, 12))]),
+        "AKIA" + "".join(rng.choice("ABZ019") for _ in range(rng.randint(0, 22))), "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(20, 40))), rng.choice(common), "é", "AKIAAKIA", "plain words", "paſſword=longenough", value(rng.randint(18, 30)),
+    ])
+    docs = [(i, rng.choice(["", " ", "\n"]).join(piece() for _ in range(rng.randint(0, 9))), rng.choice("ABC"), rng.choice(["x", "y", None])) for i in range(250)]
+    got = {r["doc_id"]: r["findings"] for r in secrets.scan_secrets(spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").repartition(3)).collect()}
+    want = {i: scanned(t) for i, t, _, _ in docs}
+    digest = lambda v: hashlib.sha256(v.encode()).hexdigest()
+    owners, repos = {}, {}
+    for i, t, s, lang in docs:
+        # Every candidate counts, bare tokens too.
+        for v in {x[3] for x in want[i]} | {x for x in bare(t) if secrets.live_looking(x)}:
+            owners.setdefault(digest(v), set()).add(s)
+            repos.setdefault(digest(v), set()).add((s, lang or ""))
+    for i, t, _, _ in docs:
+        base = [f for f in got[i] if f["kind"] < 3]
+        assert [(f["start"], f["kind"], f["stop"], f["value_hash"]) for f in base] == [(a, k, b, digest(v)) for a, k, b, v in want[i]], t
+        for f in got[i]:
+            n, m = len(owners[f["value_hash"]]), len(repos[f["value_hash"]])
+            assert (f["n_owners"], f["n_repos"]) == (n, m)
+            assert f["verdict"] == ("example" if n > 2 or m > 4 else "live" if f["live_looking"] else "weak")
+        covered = {p for a, _, b, _ in want[i] for p in range(a, b)}
+        live = {x for x in bare(t) if secrets.live_looking(x) and len(owners[digest(x)]) <= 2 and len(repos[digest(x)]) <= 4}
+        for f in got[i]:
+            if f["kind"] == 3:
+                assert t[f["start"] : f["stop"]] in live and covered.isdisjoint(range(f["start"], f["stop"]))
+        assert {t[f["start"] : f["stop"]] for f in got[i] if f["kind"] == 3} <= live
+
+
+def bare(text):
+    """Runs of 20 characters or more that a token is made of."""
+    out, at = [], 0
+    while at < len(text):
+        stop = run_from(text, at, VALUE - {"."})
+        if stop - at >= 20:
+            out.append(text[at:stop])
+        at = stop + 1
+    return out
+
+
+def test_kinds_at_one_start_and_clashing_columns(spark):
+    text = "AKIA" + "0" * 30 + " token=0123456789abcdef0123456789"
+    df = spark.createDataFrame([(1, text, "s", "l", "x", 1)], "doc_id long, text string, source string, lang string, findings string, row_id int")
+    got = secrets.digest(secrets.scan_secrets(df)).first()
+    assert got["spans"].startswith("access:0:34,hex:4:34,assign:35:") and (got["n_assign"], got["n_access"], got["n_hex"]) == (1, 1, 2)
+    same = "f" * 40
+    both = secrets.find(f"{same}")
+    assert [x["kind"] for x in both] == [2] and secrets.find("") == secrets.find(None) == []
