@@ -38,20 +38,24 @@ def feed(events: DataFrame, cursor: int, length: int) -> DataFrame:
     return reset.unionByName(kept.where(F.col("event_id") > cursor).select("event_id", F.col("event_type").alias("kind")))
 
 
-def fan_out(alerts: DataFrame, subscriptions: DataFrame) -> DataFrame:
+def fan_out(alerts: DataFrame, subscriptions: DataFrame, made: DataFrame | None = None) -> DataFrame:
     """A delivery for each alert and channel whose subscription it meets: severity at least the minimum, and asset and
-    type in the subscription's lists where it has any.
+    type in the subscription's lists where it has any, and the tenant's own where both have a tenant_id. Deliveries that were
+    made (by delivery_id) are not made again.
 
     A subscription is a row for each severity, asset and type that it takes (null: every one), and an alert asks for its own
     and for null: an equality join, whatever the number of subscriptions."""
     some = lambda c: F.explode(F.when(F.size(c) == 0, F.array(F.lit(None).cast("string"))).otherwise(F.array_distinct(c)))
     taken = F.explode(F.filter(F.array(*(F.lit(x) for x in SEVERITIES)), lambda x: rank_of(x) >= rank_of(F.col("minimum"))))
-    s = subscriptions.select("channel", "minimum", "types", some("assets").alias("a")).select("channel", "minimum", "a", some("types").alias("t")).select("channel", "a", "t", taken.alias("severity"))
+    tenant = ["tenant_id"] if "tenant_id" in subscriptions.columns and "tenant_id" in alerts.columns else []
+    s = subscriptions.select("channel", *tenant, "minimum", "types", some("assets").alias("a")).select("channel", *tenant, "minimum", "a", some("types").alias("t")).select("channel", *tenant, "a", "t", taken.alias("severity"))
     null = F.lit(None).cast("string")
     asked = alerts.withColumn("a", F.explode(F.array("asset_id", null))).withColumn("t", F.explode(F.array("alert_type", null))).alias("x")
-    hit = (F.col("x.severity") == F.col("y.severity")) & F.col("x.a").eqNullSafe(F.col("y.a")) & F.col("x.t").eqNullSafe(F.col("y.t"))
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in tenant]
+    hit = reduce(Column.__and__, same, F.col("x.severity") == F.col("y.severity")) & F.col("x.a").eqNullSafe(F.col("y.a")) & F.col("x.t").eqNullSafe(F.col("y.t"))
     out = asked.join(s.alias("y"), hit).groupBy("channel", "alert_id").agg(F.first("x.severity").alias("severity"), F.first("asset_id").alias("asset_id"))
-    return out.withColumn("delivery_id", uuid5(F.concat_ws(":", F.lit("delivery"), "channel", F.col("alert_id").cast("string"))))
+    out = out.withColumn("delivery_id", uuid5(F.concat_ws(":", F.lit("delivery"), "channel", F.col("alert_id").cast("string"))))
+    return out if made is None else out.join(made.select("delivery_id"), "delivery_id", "left_anti")
 
 
 def retry_state(deliveries: DataFrame, now: int, most: int = 5) -> DataFrame:

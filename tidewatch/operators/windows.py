@@ -33,26 +33,36 @@ def first_per_key(df: DataFrame, keys: list[str], arrival: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), arrival).alias("r")).select(*keys, "r.*")
 
 
-def source_states(rows: DataFrame, windows: DataFrame) -> DataFrame:
-    """For each window and domain the last quality signal up to the window's end; a later signal of another kind makes the
-    source active and not idle. As of the end of the window, in event time."""
-    q = rows.groupBy(*KEY, "source_domain").agg(
-        F.max_by(F.struct("source_active", "source_idle", "source_degraded"), F.when(F.col("kind") == "DATA_QUALITY", F.struct("t", "event_id"))).alias("quality"),
-        F.max(F.when(F.col("kind") == "DATA_QUALITY", F.struct("t", "event_id"))).alias("quality_at"),
-        F.max(F.when(F.col("kind") != "DATA_QUALITY", F.struct("t", "event_id"))).alias("other_at"),
-    )
-    grid = windows.select(*KEY).withColumn("source_domain", F.explode(F.array(F.lit("market"), F.lit("social"))))
-    upto = Window.partitionBy("scope_id", "asset_id", "interval_seconds", "source_domain").orderBy("window_start").rowsBetween(Window.unboundedPreceding, 0)
-    s = grid.join(q, [*KEY, "source_domain"], "left")
-    s = s.select(*KEY, "source_domain", F.last("quality", True).over(upto).alias("quality"), F.last("quality_at", True).over(upto).alias("quality_at"), F.last("other_at", True).over(upto).alias("other_at"))
-    later = F.col("other_at").isNotNull() & (F.col("quality_at").isNull() | (F.col("other_at") > F.col("quality_at")))
-    state = F.struct(
-        F.when(later, True).otherwise(F.coalesce("quality.source_active", F.lit(False))).alias("active"),
-        F.when(later, False).otherwise(F.coalesce("quality.source_idle", F.lit(False))).alias("idle"),
-        # A source that was never judged counts as degraded only until something comes from it.
-        F.coalesce("quality.source_degraded", ~later).alias("degraded"),
-    )
-    return s.groupBy(*KEY).agg(F.max(F.when(F.col("source_domain") == "market", state)).alias("market"), F.max(F.when(F.col("source_domain") == "social", state)).alias("social"))
+DOMAINS = ("market", "social")
+
+
+def quality_of(domain: str, order: Column) -> list[Column]:
+    """Aggregates of a window's rows: the last quality signal of a domain, its time, and that of the last other signal."""
+    own, judged = F.col("source_domain") == domain, F.col("kind") == "DATA_QUALITY"
+    return [
+        F.max_by(F.struct("source_active", "source_idle", "source_degraded"), F.when(own & judged, order)).alias(f"{domain}_quality"),
+        F.max(F.when(own & judged, order)).alias(f"{domain}_quality_at"), F.max(F.when(own & ~judged, order)).alias(f"{domain}_other_at"),
+    ]
+
+
+def source_states(base: DataFrame) -> DataFrame:
+    """base: windows with the aggregates of quality_of. Adds for each domain its state at the end of the window, in event time:
+    the last quality signal up to then; a later signal of another kind makes the source active and not idle."""
+    upto = Window.partitionBy("scope_id", "asset_id", "interval_seconds").orderBy("window_start").rowsBetween(Window.unboundedPreceding, 0)
+    parts = [f"{d}_{c}" for d in DOMAINS for c in ("quality", "quality_at", "other_at")]
+    known = base.withColumns({c: F.last(c, True).over(upto) for c in parts})
+
+    def state(d: str) -> Column:
+        quality, at, other = F.col(f"{d}_quality"), F.col(f"{d}_quality_at"), F.col(f"{d}_other_at")
+        later = other.isNotNull() & (at.isNull() | (other > at))
+        return F.struct(
+            F.when(later, True).otherwise(F.coalesce(quality["source_active"], F.lit(False))).alias("active"),
+            F.when(later, False).otherwise(F.coalesce(quality["source_idle"], F.lit(False))).alias("idle"),
+            # A source that was never judged counts as degraded only until something comes from it.
+            F.coalesce(quality["source_degraded"], ~later).alias("degraded"),
+        )
+
+    return known.withColumns({d: state(d) for d in DOMAINS}).drop(*parts)
 
 
 def features(signals: DataFrame, intervals: list[int], history: int = 20) -> DataFrame:
@@ -87,6 +97,7 @@ def features(signals: DataFrame, intervals: list[int], history: int = 20) -> Dat
         F.sum(F.when(post, F.coalesce(F.size("hashtags"), F.lit(0))).otherwise(0)).alias("tags"),
         F.max(F.when(is_a("DATA_QUALITY"), zero("source_gap_count"))).alias("gaps"),
         F.count(F.lit(1)).alias("source_event_count"), F.min("t").alias("min_event_time"), F.max("t").alias("max_event_time"),
+        *(c for d in DOMAINS for c in quality_of(d, order)),
     )
     # Concentrations by two levels of counts, so that no window's authors or urls are gathered.
     seen = Window.partitionBy("scope_id", "asset_id", "interval_seconds", "author_id")
@@ -94,7 +105,7 @@ def features(signals: DataFrame, intervals: list[int], history: int = 20) -> Dat
     authors = authors.withColumn("first_seen", F.min("first_here").over(seen))
     authors = authors.groupBy(*KEY).agg(F.count(F.lit(1)).alias("authors"), (F.max("n") / F.sum("n")).alias("author_share"), F.count_if(F.col("first_seen") >= F.col("window_start")).alias("new_authors"))
     urls = signals_in.where(post).select(*KEY, F.explode("urls").alias("url")).groupBy(*KEY, "url").count().groupBy(*KEY).agg((F.max("count") / F.sum("count")).alias("url_share"))
-    out = base.join(authors, KEY, "left").join(urls, KEY, "left").join(source_states(signals_in, base), KEY)
+    out = source_states(base.join(authors, KEY, "left").join(urls, KEY, "left"))
     earlier = Window.partitionBy("scope_id", "asset_id", "interval_seconds").orderBy("window_start")
     trailing = earlier.rowsBetween(-history, -1)
     end = F.col("window_start") + F.col("interval_seconds")

@@ -324,6 +324,17 @@ def cal_segment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.labels_of(rows, "fusion", 1, "HOLDOUT", {"lang": "en", "source": "src0"}).select("label_id", "outcome")
 
 
+@query(f"""WITH {EVIDENCE_SQL}, a AS (SELECT evidence_id AS alert_id, asset_id, evidence_id % 3 AS tenant_id, {LEVEL('score')} AS severity, CASE WHEN score >= 0.8 THEN 3 WHEN score >= 0.6 THEN 2 WHEN score >= 0.35 THEN 1 ELSE 0 END AS rk FROM ev),
+s AS (SELECT * FROM (VALUES ('mail', 0, 2), ('desk', 1, 1), ('page', 2, 3)) AS t(channel, tenant_id, minimum)) SELECT channel, alert_id, severity FROM a JOIN s ON a.tenant_id = s.tenant_id AND rk >= minimum WHERE alert_id >= 3000""")
+def ntf_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries of each tenant's alerts beside those made before, which are of the first three thousand alerts."""
+    from tidewatch.functions.exprs import severity
+
+    subs = spark.createDataFrame([("mail", 0, "HIGH", [], []), ("desk", 1, "WATCH", [], []), ("page", 2, "CRITICAL", [], [])], "channel string, tenant_id long, minimum string, assets array<string>, types array<string>")
+    a = adapters.evidence(spark, sf_dir).select(F.col("evidence_id").alias("alert_id"), "asset_id", (F.col("evidence_id") % 3).alias("tenant_id"), F.col("status").alias("alert_type"), severity(F.col("score")).alias("severity"))
+    return serving.fan_out(a, subs, serving.fan_out(a.where("alert_id < 3000"), subs)).select("channel", "alert_id", "severity")
+
+
 # --- Disclosures and verification
 
 @query("""WITH r AS (SELECT o_custkey AS run_id, count(*) AS fetched, count(*) FILTER (o_orderstatus = 'O') AS ingested, count(*) FILTER (o_orderstatus = 'F') AS unchanged, count(*) FILTER (o_orderstatus = 'P') AS errors, max(CAST(epoch(o_orderdate) AS BIGINT)) FILTER (o_orderstatus = 'O') AS newest, max(CAST(epoch(o_orderdate) AS BIGINT)) + 60 AS completed FROM orders GROUP BY ALL),
