@@ -56,8 +56,8 @@ def calibration_metrics(rows: DataFrame, p: str, label: str, bins: int = 10, key
     clip = lambda c: F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), c))
     edge = sum((F.when(x >= i / bins, 1).otherwise(0) for i in range(1, bins)), F.lit(0))
     base = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("positives"), F.avg((x - y) * (x - y)).alias("brier"), (-F.avg(y * F.ln(clip(x)) + (1 - y) * F.ln(clip(1 - x)))).alias("log_loss"))
-    per_bin = rows.groupBy(*own, edge.alias("bin")).agg(F.count(F.lit(1)).alias("m"), F.avg(x).alias("c"), F.avg(y).alias("a"))
-    ece = per_bin.groupBy(*own).agg((F.sum(F.col("m") * F.abs(F.col("c") - F.col("a"))) / F.sum("m")).alias("ece"))
+    per_bin = rows.groupBy(*own, edge.alias("bin")).agg(F.count(F.lit(1)).alias("__m"), F.avg(x).alias("__c"), F.avg(y).alias("__a"))
+    ece = per_bin.groupBy(*own).agg((F.sum(F.col("__m") * F.abs(F.col("__c") - F.col("__a"))) / F.sum("__m")).alias("ece"))
     # Distinct scores with the negatives below them: each positive beats those, and half of those beside it. The negatives
     # below are those of lower slices of the range, of which there are few, and those below within the slice.
     scores = rows.groupBy(*own, x.alias("x")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")).withColumn("slice", F.floor(F.col("x") * slices))
