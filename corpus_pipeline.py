@@ -1,4 +1,8 @@
-"""A training corpus from `documents`: each stage calls one operator and reads what its predecessor kept."""
+"""A training corpus from `documents`: each stage calls one operator and reads what its predecessor kept.
+
+Defined cases, of every stage: an empty table stays empty; null ids, null or empty texts, and rows that repeat an id or all
+columns are rows like any other, told apart by a hash of all columns; columns other than those of documents are dropped;
+texts of any length are read whole."""
 
 from __future__ import annotations
 
@@ -12,7 +16,8 @@ DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Without labels of both classes it rejects none; rows without words, and rows of one
+    text and language, share their fate."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_toxicity(docs.select(DOCUMENT), model).where("not toxic").select(DOCUMENT)
 
@@ -38,7 +43,7 @@ def taken(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies one row stays: that of the least id (null last), of repeated ids that of the least
-    hash of its columns."""
+    hash of its columns. All texts without words are one group."""
     docs = keyed(docs)
     rows = docs.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
     groups = simhash.near_duplicates(docs, id_col="row").groupBy("row").agg(F.min("component_id").alias("component_id"))
@@ -47,20 +52,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold a test item go; others of the same id stay."""
+    """Rows that hold a test item go; others of the same id stay. An empty benchmark takes none."""
     docs = keyed(docs)
     leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), id_col="row").select("row").distinct()
     return docs.join(leaks, "row", "left_anti").select(DOCUMENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row is repeated as often as the mix takes it, MOST times at most; rows that repeat an id have copies of their own."""
+    """A row is repeated as often as the mix takes it, MOST times at most; rows that repeat an id have copies of their own.
+    Texts without words are not taken."""
     docs = keyed(docs)
     copies = mixing.mix_sources(docs, carry=("row",)).groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("times"))
     return taken(docs, copies.where("times > 0"))
 
 
 def order_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every sequence at its place in the training order; copies of a row have sequences and slots of their own."""
     return tokens.training_order(docs)
 
 
