@@ -88,3 +88,16 @@ def test_worst_claim_speaks_for_a_narrative(spark):
     rows = [(1, "SUPPORTED_BEFORE", 0.15, 0.9), (1, "UNKNOWN", 0.5, None), (2, "UNSUPPORTED", 0.9, 0.1), (2, "CONFLICTING", 1.0, 0.0)]
     got = {r["n"]: (r["result"], r["claim_risk"], r["legitimate"]) for r in text.narrative_verdicts(spark.createDataFrame(rows, "n int, result string, claim_risk double, legitimate double"), "n").collect()}
     assert got == {1: ("UNKNOWN", 0.5, 0.9), 2: ("CONFLICTING", 1.0, 0.1)}
+
+
+def test_percentiles_by_slices_equal_sorting(spark):
+    rng = np.random.default_rng(6)
+    rows = [("a", float(x)) for x in rng.normal(size=301)] + [("b", 5.0)] * 40 + [("c", float(x)) for x in rng.integers(0, 4, 50)] + [("d", 1.5), ("a", None), ("e", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    for fraction in (0.0, 0.5, 0.95, 1.0):
+        want = {}
+        for k in "abcd":
+            own = sorted(x for q, x in rows if q == k and x is not None)
+            want[k] = own[round((len(own) - 1) * fraction)]
+        for slices in (1, 7, 4096):
+            assert {r["k"]: r["percentile"] for r in evaluation.exact_percentile(df, ["k"], "x", fraction, slices).collect()} == want

@@ -40,11 +40,21 @@ def metrics(rows: DataFrame, positive_from: float, keys: list[str], time: str =
     )
 
 
-def exact_percentile(rows: DataFrame, keys: list[str], value: str, fraction: float) -> DataFrame:
-    """The value at place round((n - 1) * fraction), half to even, per group."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1
-    return rows.withColumns({"__n": n, "__at": at}).where(F.col("__at") == F.bround((F.col("__n") - 1) * fraction)).select(*keys, F.col(value).alias("percentile"))
+def exact_percentile(rows: DataFrame, keys: list[str], value: str, fraction: float, slices: int = 4096) -> DataFrame:
+    """The value at place round((n - 1) * fraction), half to even, per group; nulls don't count.
+
+    Values are counted by slices of their group's range; only the rows of the slice that holds the place are sorted."""
+    v = F.col(value)
+    own = rows.where(v.isNotNull()).select(*keys, v)
+    spans = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min(v).alias("__low"), F.max(v).alias("__high"))
+    placed = own.join(spans, keys).withColumn("__slice", F.when(F.col("__high") > F.col("__low"), F.floor((v - F.col("__low")) / (F.col("__high") - F.col("__low")) * slices)).otherwise(0).cast("long"))
+    place = F.bround((F.col("__n") - 1) * fraction).cast("long")
+    counts = placed.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__m"), F.first(place).alias("__place"))
+    before = F.coalesce(F.sum("__m").over(Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = counts.withColumn("__before", before).where((F.col("__before") <= F.col("__place")) & (F.col("__place") < F.col("__before") + F.col("__m")))
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1 + F.col("__before")
+    found = placed.join(held.select(*keys, "__slice", "__before", "__place"), [*keys, "__slice"]).withColumn("__at", at)
+    return found.where(F.col("__at") == F.col("__place")).select(*keys, v.alias("percentile"))
 
 
 def calibration_metrics(rows: DataFrame, p: str, label: str, bins: int = 10, keys: tuple[str, ...] = (), slices: int = 1024) -> DataFrame:
