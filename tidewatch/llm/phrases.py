@@ -19,9 +19,9 @@ from tidewatch.llm._common import WORD_SQL, written
 NO_ID = -(1 << 63)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: Segments, or bytes of them, that one automaton is compiled from and streams at a time; whole groups of one anchor and salt.
-CHUNK, CHUNK_BYTES = 4000, 16 << 20
+CHUNK, CHUNK_BYTES = 4000, 1 << 20
 #: Windows in a segment at most.
-PIECE = 512
+PIECE = 128
 
 
 class Hashes(dict):
@@ -182,7 +182,7 @@ def repeated_windows(docs: DataFrame, window: int = 20, phrase: int = 6, salt_ro
     1. Anchors: each document names the anchor phrases of its windows (about one word in seven begins one).
     2. Phrases that occur once, in all, can't belong to a repeated window; the others are confirmed by one count.
     3. Only what lies around recurring anchors is cut out of the texts and dealt to the automata's shards by anchor.
-       An anchor of many occurrences is dealt to several shards, by document and place.
+       An anchor with the text of over salt_rows segments of the usual length is dealt to several shards, by document and place.
     4. Each shard compiles automata of its recurring passages and streams its segments, ordered by document and place,
        so the first occurrence comes first. For anchors in several shards, each shard's first ones are compared again.
     """
@@ -197,7 +197,7 @@ def repeated_windows(docs: DataFrame, window: int = 20, phrase: int = 6, salt_ro
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(ids, pa.int64()), pa.array(ties, pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int8())], names=["anchor", "id", "tie", "lo", "hi", "times"])
 
     named = written(docs.select("id", "text", "tie").mapInArrow(scan, "anchor long, id long, tie long, lo int, hi int, times tinyint"))
-    recurring = written(named.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum("times").alias("times")).where("times > 1").drop("times").withColumn("salts", F.ceil(F.col("n") / salt_rows).cast("int")))
+    recurring = written(named.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum("times").alias("times"), F.sum(F.col("hi") - F.col("lo") + window).alias("words")).where("times > 1").withColumn("salts", F.ceil(F.col("words") / (salt_rows * (window + phrase))).cast("int")).select("anchor", "n", "salts"))
     total = recurring.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     places = named.join(recurring.drop("n"), "anchor").groupBy("id", "tie").agg(F.collect_set(F.struct("anchor", "lo", "hi", "salts")).alias("places"))
 
