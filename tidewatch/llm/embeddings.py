@@ -169,14 +169,14 @@ def block_links(entries: DataFrame, index: MultiIndex, size: int, cosine: float,
 
     placed = cut(entries.select("n", "label", "v", "weight").mapInArrow(place, "label string, cell int, probe boolean, home int, n long, weight long"))
     unit_vectors = cut(entries.select("n", "v").mapInArrow(pack, "n long, x binary"))
-    size_of = placed.where("not probe").groupBy("label", "cell").count().withColumn("chunks", F.ceil(F.col("count") / block).cast("int")).select("label", "cell", "chunks")
+    chunks = lambda probe: F.ceil(F.count(F.when(F.col("probe") == probe, 1)) / block).cast("int")
+    cells = cut(placed.groupBy("label", "cell").agg(chunks(False).alias("chunks"), chunks(True).alias("probe_chunks"), F.count(F.lit(1)).alias("m")).where("chunks > 0"))
     # A probe meets every chunk of the cell's own vectors; probes are packed in chunks as well.
-    chunked = placed.join(size_of, ["label", "cell"])
+    chunked = attach(placed, cells, ["label", "cell"], "m", cells.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0])
     mine = F.pmod(F.xxhash64("n"), F.col("chunks")).cast("int")
     packed = lambda rows, name: rows.join(unit_vectors, "n").groupBy("label", "cell", "chunk").agg(F.collect_list(F.struct("n", "weight", "home", "x")).alias(name))
     there = packed(chunked.where("not probe").withColumn("chunk", mine), "there")
-    many = placed.where("probe").groupBy("label", "cell").count().select("label", "cell", F.ceil(F.col("count") / block).cast("int").alias("probe_chunks"))
-    asked = chunked.where("probe").join(many, ["label", "cell"]).withColumn("asked_chunk", F.pmod(F.xxhash64("n"), F.col("probe_chunks")).cast("int"))
+    asked = chunked.where("probe").withColumn("asked_chunk", F.pmod(F.xxhash64("n"), F.col("probe_chunks")).cast("int"))
     asked = asked.join(unit_vectors, "n").groupBy("label", "cell", "chunks", "asked_chunk").agg(F.collect_list(F.struct("n", "weight", "home", "x")).alias("asked"))
     # A chunk of probes is sent to each chunk of the cell, under a key of its own; the streamed side is that of the probes.
     asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
