@@ -54,12 +54,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def attach(rows: DataFrame, facts: DataFrame, key: str | list[str], n_col: str, total: int, how: str = "inner") -> DataFrame:
+def attach(rows: DataFrame, facts: DataFrame, key: str | list[str], n_col: str, total: int, how: str = "inner", least: int = 10_000) -> DataFrame:
     """rows joined to facts (one row for each key) by key. n_col of facts is how many rows hold the key, of `total`.
 
-    Keys of over max(1,000, total / 10,000) rows are fewer than 10,000, so these are broadcast: their rows are joined
+    Keys of over total / 10,000 rows (and over `least`) are fewer than 10,000, so these are broadcast: their rows are joined
     where they lie, and no task gathers a hot key. All others are joined by a shuffle. n_col is dropped."""
-    hot = F.col(n_col) > max(1_000, total // 10_000)
+    limit = max(least, total // 10_000)
+    if total <= limit:  # no key can have more
+        return rows.join(facts.drop(n_col), key, how)
+    hot = F.col(n_col) > limit
     heavy = facts.where(hot).drop(n_col)
     light = rows.join(F.broadcast(heavy.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(facts.where(~hot).drop(n_col), key, how)
     return rows.join(F.broadcast(heavy), key).unionByName(light)

@@ -172,7 +172,7 @@ def block_links(entries: DataFrame, index: MultiIndex, size: int, cosine: float,
     chunks = lambda probe: F.ceil(F.count(F.when(F.col("probe") == probe, 1)) / block).cast("int")
     cells = cut(placed.groupBy("label", "cell").agg(chunks(False).alias("chunks"), chunks(True).alias("probe_chunks"), F.count(F.lit(1)).alias("m")).where("chunks > 0"))
     # A probe meets every chunk of the cell's own vectors; probes are packed in chunks as well.
-    chunked = attach(placed, cells, ["label", "cell"], "m", cells.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0])
+    chunked = attach(placed, cells, ["label", "cell"], "m", cells.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0], least=1_000)
     mine = F.pmod(F.xxhash64("n"), F.col("chunks")).cast("int")
     packed = lambda rows, name: rows.join(unit_vectors, "n").groupBy("label", "cell", "chunk").agg(F.collect_list(F.struct("n", "weight", "home", "x")).alias(name))
     there = packed(chunked.where("not probe").withColumn("chunk", mine), "there")
