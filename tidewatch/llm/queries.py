@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, decontaminate, embeddings, fim, htmltext, mixing, negatives, phrases, secrets, simhash, tokens, toxicity
+from tidewatch.llm import chat, decontaminate, embeddings, fim, htmltext, mixing, negatives, packing, phrases, secrets, simhash, tokens, toxicity
 from tidewatch.llm._common import table
 
 
@@ -56,6 +56,10 @@ def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op11_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack_documents(table(spark, sf_dir, "documents")))
+
+
 def op12_four_russians_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved))
@@ -69,8 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_ownership, op2_bm25_decontamination, op3_phrase_automata, op4_html_tree_model, op5_simhash_near_dedup,
-        op6_training_order, op7_inverted_multi_index, op8_entropy_mixing, op9_toxicity_cnn, op10_perspective_rotation, op12_four_russians_negatives,
-        op13_learned_rank_fim,
+        op6_training_order, op7_inverted_multi_index, op8_entropy_mixing, op9_toxicity_cnn, op10_perspective_rotation, op11_pattern_packing,
+        op12_four_russians_negatives, op13_learned_rank_fim,
     )
 }
 

@@ -21,8 +21,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's own tokenizer cuts text into pieces (a fixed value of that public vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = 50256
-#: White space other than a space or a line feed.
-OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: What the pattern takes for white space (its class s), but for a space or a line feed.
+OTHER_WHITE = "\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+OTHER_SPACE = re.compile(f"[{OTHER_WHITE}]")
+SPACES = re.compile(f"([ \n{OTHER_WHITE}]+)")
 
 
 def even(text: str) -> bool:
@@ -30,17 +32,41 @@ def even(text: str) -> bool:
     return not (text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or OTHER_SPACE.search(text))
 
 
+def vocabulary_ranks(vocabulary: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Ids of byte sequences in the order in which they merge, and ids of the special tokens that a text is searched for: of a
+    file of ranks (which has none), or of a byte-level JSON file, whose ids must be in the order of its merges."""
+    if not vocabulary.endswith(".json"):
+        with open(vocabulary, "rb") as f:
+            return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, {}
+    with open(vocabulary, encoding="utf-8") as f:
+        data = json.load(f)
+    # Bytes that are printable Latin-1 characters stand for themselves; the others have the characters from 256 on, in order.
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
+    known = data["model"]["vocab"]
+    merged = [known["".join(m if isinstance(m, list) else m.split(" "))] for m in data["model"]["merges"]]
+    special = {t["content"]: t["id"] for t in data["added_tokens"]}
+    if merged != sorted(merged) or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in data["added_tokens"]):
+        raise ValueError(f"{vocabulary}: ids are not in the order of merges, or special tokens take what is beside them")
+    return {bytes(byte[c] for c in token): i for token, i in known.items() if token not in special}, special
+
+
 class Encoder:
-    """Ids of whole texts as little-endian 16-bit integers. A piece never reaches over a single space or line feed, which
-    begins the next piece; so texts with no other white space are encoded word by word, and words are remembered, up to
-    `most` of them after a space, and as many after a line feed or at the start of a text."""
+    """Ids of whole texts as little-endian 16-bit integers. A piece of the pattern never reaches over white space but for a
+    single space before it; so texts are encoded word by word, and words of up to 64 characters are remembered, up to
+    `most` of them after a space, and as many after a line feed and at the start of a text.
+
+    White space is cut by a linear scan, as the pattern cuts it: of a run of n before a word, n - 1 are one piece and the
+    last goes with the word if it is a space; a run that ends the text is one piece. The pattern itself would overflow its
+    stack on a run of a million."""
 
     def __init__(self, vocabulary: str, most: int = 400_000):
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks, special = vocabulary_ranks(vocabulary)
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.special = {token: np.array([i], "<u2").tobytes() for token, i in special.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         encode = self.encoding.encode_ordinary
 
         class Known(dict):
@@ -48,18 +74,27 @@ class Encoder:
                 self.before = before
 
             def __missing__(self, word: str) -> bytes:
-                if len(self) >= most:
-                    self.clear()
-                self[word] = got = np.array(encode(self.before + word), "<u2").tobytes()
+                got = np.array(encode(self.before + word), "<u2").tobytes()
+                if len(word) <= 64:
+                    if len(self) >= most:
+                        self.clear()
+                    self[word] = got
                 return got
 
         self.first, self.line, self.space = Known(""), Known("\n"), Known(" ")
 
     def __call__(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if self.cut and any(token in text for token in self.special):
+            return b"".join(self.special.get(part) or self.ordinary(part) for part in self.cut.split(text))
+        return self.ordinary(text)
+
+    def ordinary(self, text: str) -> bytes:
         if not text:
             return b""
         if not even(text):
-            return np.array(self.encoding.encode_ordinary(text), "<u2").tobytes()
+            return self.scanned(text)
         out: list[bytes] = []
         head = self.first
         for line in text.split("\n"):
@@ -70,6 +105,28 @@ class Encoder:
             head = self.line
         return b"".join(out)
 
+    def scanned(self, text: str) -> bytes:
+        """Any white space: parts are words and runs in turn, the first a word, which may be empty."""
+        parts = SPACES.split(text)
+        out = [self.first[parts[0]]] if parts[0] else []
+        for run, word in zip(parts[1::2], parts[2::2], strict=True):
+            if not word:  # the run ends the text
+                out.append(self.white(run))
+                continue
+            if len(run) > 1:
+                out.append(self.white(run[:-1]))
+            last = run[-1]
+            if last == " ":
+                out.append(self.space[word])
+            elif last == "\n":
+                out.append(self.line[word])
+            else:
+                out += [self.white(last), self.first[word]]
+        return b"".join(out)
+
+    def white(self, run: str) -> bytes:
+        return np.array(self.encoding._encode_single_piece(run), "<u2").tobytes()
+
 
 def round_key(key: int, r: int) -> np.uint64:
     return np.uint64((key * 0x9E3779B97F4A7C15 + (r + 1) * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF)
