@@ -57,7 +57,7 @@ def test_alert_cool_down(spark):
 
 def test_depth_is_cycle_safe(spark):
     rows = [(1, f"p{i}", f"p{i - 1}" if i else None) for i in range(6)] + [(2, "x", "y"), (2, "y", "x"), (3, "z", "gone")]
-    got = {r["g"]: r["propagation_depth"] for r in graph.depth(spark.createDataFrame(rows, "g int, post_id string, reply_to string"), "g", most=16).collect()}
+    got = {r["g"]: r["propagation_depth"] for r in graph.depth(spark.createDataFrame(rows, "g int, post_id string, reply_to string"), "g").collect()}
     assert got[1] == 5 and got[3] == 0 and got[2] >= 1
 
 
@@ -183,3 +183,41 @@ def test_clusters_take_the_best_that_both_limits_allow(spark):
         open_ = [(-cos(v, np.mean([unit[j] for j in m], 0)), m[0], m) for m in groups if cos(v, np.mean([unit[j] for j in m], 0)) >= 0.76 and min(cos(v, unit[j]) for j in m) >= 0.68]
         min(open_)[2].append(i) if open_ else groups.append([i])
     assert {r["post_id"]: r["seed_id"] for r in out} == {i: m[0] for m in groups for i in m}
+
+
+def test_verdicts_in_their_order(spark):
+    """Conflict, support in time, support later, incomplete sources, candidates that don't match, none at all."""
+    m = [(1, 0.5, 0.9, True, True), (1, 0.9, 0.9, True, False), (2, 0.4, 0.7, True, False), (2, 0.34, 0.8, True, False), (2, 0.9, 0.95, False, False), (2, 0.2, 0.99, True, False), (3, 0.4, 0.9, False, False), (4, 0.3, 0.9, True, False), (5, 0.3, 0.9, True, True), (8, 0.5, 0.6, False, True)]
+    matches = spark.createDataFrame(m, "claim int, score double, reliability double, before boolean, conflict boolean")
+    claims = spark.createDataFrame([(i,) for i in range(1, 9)], "claim int")
+    coverage = spark.createDataFrame([(2, False), (4, False), (5, True), (6, False), (7, True)], "claim int, complete boolean")
+    got = {r["claim"]: (r["result"], r["claim_risk"], r["legitimate"], r["candidates"]) for r in text.verdicts(claims, matches, "claim", coverage).collect()}
+    assert got == {
+        1: ("CONFLICTING", 1.0, 0.0, 2), 2: ("SUPPORTED_BEFORE", 0.15, 0.8, 4), 3: ("SUPPORTED_AFTER", 0.75, 0.0, 1), 4: ("UNKNOWN", 0.5, 0.0, 1),
+        5: ("UNSUPPORTED", 0.9, 0.0, 1), 6: ("UNKNOWN", 0.5, 0.0, 0), 7: ("UNKNOWN", 0.5, 0.0, 0), 8: ("SUPPORTED_AFTER", 0.75, 0.0, 1),
+    }
+    assert {r["claim"]: r["result"] for r in text.verdicts(claims, matches, "claim").collect()}[4] == "UNSUPPORTED"
+
+
+def test_graph_projection_is_typed_distinct_and_idempotent(spark):
+    schema = "g string, post_id string, author_id string, asset_id string, narrative_id string, scope_id string, epoch long, reply_to string, repost_of string, urls array<string>, hashtags array<string>"
+    rows = [("g", "p1", "u", "A", "n", "S", 1, None, None, [], []), ("g", "p2", "u", "A", "n", "S", 2, "p1", None, ["x"], None), ("g", "p3", "v", "A", "m", "S", 3, "", "gone", None, []), ("g", "late", "v", "A", "m", "S", 99, None, None, [], [])]
+    posts = spark.createDataFrame(rows, schema)
+    campaigns, alerts = spark.createDataFrame([("g", "c")], "g string, campaign_id string"), spark.createDataFrame([("g", "a1"), ("g", "a2")], "g string, alert_id string")
+    got = sorted((r["src"], r["relation"], r["dst"]) for r in graph.relations(posts.unionAll(posts), campaigns, alerts, "g", 10).collect())
+    assert got == sorted([
+        ("u", "POSTED", "p1"), ("u", "POSTED", "p2"), ("v", "POSTED", "p3"), *((p, "MENTIONS", "A") for p in ("p1", "p2", "p3")), ("p1", "MEMBER_OF", "n"), ("p2", "MEMBER_OF", "n"), ("p3", "MEMBER_OF", "m"), ("p2", "REPLIES_TO", "p1"),
+        ("p3", "REPOSTS", "gone"), ("p2", "AMPLIFIES", "n"), ("p3", "AMPLIFIES", "m"), ("c", "TARGETS", "A"), *((n, "EVIDENCE_FOR", x) for n in "nm" for x in ("c", "a1", "a2")),
+    ])
+    counts = graph.projection_counts(posts, campaigns, alerts, "g", 10).first()
+    assert (counts["nodes"], counts["relations"]) == (2 + 3 + 2 + 1 + 1 + 2, 9 + 1 + 1 + 2)
+    one, two = graph.nodes(posts.where("post_id <> 'p1'"), campaigns, alerts, "g", 10, 1), graph.nodes(posts.where("post_id in ('p1', 'p2')").withColumn("scope_id", F.lit("T")), campaigns, alerts, "g", 10, 2)
+    want = sorted(map(tuple, graph.merged(one.unionAll(two)).drop("write").collect()), key=str)
+    assert sorted(map(tuple, graph.merged(graph.merged(two.unionAll(two)).unionAll(one).unionAll(two)).drop("write").collect()), key=str) == want
+    post = {i: (t, s) for label, i, t, s in want if label == "Post"}
+    assert post == {"p1": (1, "T"), "p2": (2, "T"), "p3": (3, "S"), "gone": (None, None)} and len(want) == 4 + 2 + 2 + 1 + 1 + 2
+
+
+def test_depth_goes_on_over_reposts(spark):
+    rows = [(1, "a", None, None), (1, "b", "a", None), (1, "c", None, "b"), (1, "d", "", "c"), (1, "e", "a", "d")]
+    assert graph.depth(spark.createDataFrame(rows, "g int, post_id string, reply_to string, repost_of string"), "g").first()["propagation_depth"] == 3

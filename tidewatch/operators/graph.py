@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import clamp
+from tidewatch.sources.tables import shared_folder
 
 
 def authorship(posts: DataFrame, group: str) -> DataFrame:
@@ -39,10 +40,14 @@ def climbed(posts: DataFrame, group: str, largest: int) -> DataFrame:
     return now
 
 
-def depth(posts: DataFrame, group: str, most: int | None = None) -> DataFrame:
-    """Per group: the longest chain of replies inside it, of any length. A chain that comes to a cycle ends before the
-    first post that it has met: it counts its own steps and all posts of the cycle but one. `most` limits nothing."""
-    now = posts.select(group, F.col("post_id").alias("id"), F.col("reply_to").alias("up"))
+def depth(posts: DataFrame, group: str) -> DataFrame:
+    """Per group: the longest chain of replies and reposts inside it, of any length; a post's parent is what it replies to, or else
+    what it reposts (column repost_of, where there is one). A chain that comes to a cycle ends before the first post that it has
+    met: it counts its own steps and all posts of the cycle but one."""
+    shared_folder(posts.sparkSession)
+    given = lambda c: F.when(F.col(c) != "", F.col(c))
+    parent = F.coalesce(given("reply_to"), given("repost_of")) if "repost_of" in posts.columns else given("reply_to")
+    now = posts.select(group, F.col("post_id").alias("id"), parent.alias("up"))
     ids = now.select(group, F.col("id").alias("up"), F.lit(True).alias("there"))
     links = now.join(ids, [group, "up"], "left").select(group, "id", F.when(F.col("there"), F.col("up")).alias("up"))
     largest = now.groupBy(group).count().agg(F.max("count")).first()[0] or 0
@@ -76,3 +81,65 @@ def edges(posts: DataFrame, group: str) -> DataFrame:
     """Distinct edges of the coordination graph: POSTED, MEMBER_OF, REPLIES_TO."""
     e = lambda a, rel, b, rows=posts: rows.select(F.col(a).cast("string").alias("src"), F.lit(rel).alias("rel"), F.col(b).cast("string").alias("dst"))
     return e("author_id", "POSTED", "post_id").unionByName(e("post_id", "MEMBER_OF", group)).unionByName(e("post_id", "REPLIES_TO", "reply_to", posts.where("reply_to is not null"))).distinct()
+
+
+def amplifies() -> Column:
+    """Whether a post passes something on: it is a repost, or has addresses or tags."""
+    return F.coalesce(F.col("repost_of") != "", F.lit(False)) | (F.coalesce(F.size("urls"), F.lit(0)) > 0) | (F.coalesce(F.size("hashtags"), F.lit(0)) > 0)
+
+
+EDGE = ["src_label", "src", "relation", "dst_label", "dst"]
+
+
+def relations(posts: DataFrame, campaigns: DataFrame, alerts: DataFrame, group: str, cutoff: int) -> DataFrame:
+    """posts: group, post_id, author_id, asset_id, narrative_id, scope_id, epoch, reply_to, repost_of, urls, hashtags; campaigns: group,
+    campaign_id; alerts: group, alert_id. The typed edges of the coordination graph, each once, of posts up to the cutoff: POSTED,
+    MENTIONS, MEMBER_OF, REPLIES_TO, REPOSTS, AMPLIFIES; and of a group's campaigns and alerts TARGETS and EVIDENCE_FOR."""
+    own = posts.where(F.col("epoch") <= cutoff)
+    text = lambda c: F.col(c).cast("string")
+
+    def edge(rows: DataFrame, a: str, src: str, relation: str, b: str, dst: str) -> DataFrame:
+        return rows.select(F.lit(a).alias("src_label"), text(src).alias("src"), F.lit(relation).alias("relation"), F.lit(b).alias("dst_label"), text(dst).alias("dst"))
+
+    in_group = own.select(group, "asset_id", "narrative_id").distinct()
+    campaign, alert = in_group.join(campaigns, group), in_group.join(alerts, group)
+    found = [
+        edge(own, "Actor", "author_id", "POSTED", "Post", "post_id"), edge(own, "Post", "post_id", "MENTIONS", "Asset", "asset_id"), edge(own, "Post", "post_id", "MEMBER_OF", "Narrative", "narrative_id"),
+        edge(own.where("reply_to <> ''"), "Post", "post_id", "REPLIES_TO", "Post", "reply_to"), edge(own.where("repost_of <> ''"), "Post", "post_id", "REPOSTS", "Post", "repost_of"),
+        edge(own.where(amplifies()), "Post", "post_id", "AMPLIFIES", "Narrative", "narrative_id"), edge(campaign, "Campaign", "campaign_id", "TARGETS", "Asset", "asset_id"),
+        edge(campaign, "Narrative", "narrative_id", "EVIDENCE_FOR", "Campaign", "campaign_id"), edge(alert, "Narrative", "narrative_id", "EVIDENCE_FOR", "Alert", "alert_id"),
+    ]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionAll(f)
+    return out.distinct()
+
+
+def nodes(posts: DataFrame, campaigns: DataFrame, alerts: DataFrame, group: str, cutoff: int, write: int = 0) -> DataFrame:
+    """The nodes of these relations, each once: label, id, event_epoch and scope_id of posts, and write, the number of the batch. A
+    parent that is not among the posts is a node that nothing is known of."""
+    ends = relations(posts, campaigns, alerts, group, cutoff)
+    named = ends.select(F.col("src_label").alias("label"), F.col("src").alias("id")).unionAll(ends.select("dst_label", "dst"))
+    none = lambda k: F.lit(None).cast(k)
+    known = posts.where(F.col("epoch") <= cutoff).select(F.lit("Post").alias("label"), F.col("post_id").cast("string").alias("id"), F.col("epoch").alias("event_epoch"), "scope_id", F.lit(write).alias("write"))
+    return merged(known.unionByName(named.select("label", "id", none("bigint").alias("event_epoch"), none("string").alias("scope_id"), F.lit(write).alias("write"))))
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """Nodes of any number of batches as one row each, with the properties of the last write that knew any: a batch that is written
+    again, or comes out of order, changes nothing."""
+    known = F.when(F.col("event_epoch").isNotNull() | F.col("scope_id").isNotNull(), F.struct("write", "event_epoch", "scope_id"))
+    last = rows.groupBy("label", "id").agg(F.max(known).alias("last"), F.max("write").alias("any"))
+    return last.select("label", "id", "last.event_epoch", "last.scope_id", F.coalesce("last.write", "any").alias("write"))
+
+
+def projection_counts(posts: DataFrame, campaigns: DataFrame, alerts: DataFrame, group: str, cutoff: int) -> DataFrame:
+    """Per group what a projection of it counts: nodes (actors, posts, narratives, the asset, a campaign, alerts) and relations of its
+    posts (posted, mentions, member, and replies, reposts and amplifications)."""
+    own = posts.where(F.col("epoch") <= cutoff)
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    own = own.groupBy(group).agg(F.count_distinct("author_id").alias("actors"), F.count(F.lit(1)).alias("posts"), F.count_distinct("narrative_id").alias("narratives"), F.sum(3 + flag(F.col("reply_to") != "") + flag(F.col("repost_of") != "") + flag(amplifies())).alias("relations"))
+    c = campaigns.groupBy(group).agg(F.count_distinct("campaign_id").alias("campaigns"))
+    a = alerts.groupBy(group).agg(F.count_distinct("alert_id").alias("alerts"))
+    out = own.join(c, group, "left").join(a, group, "left").na.fill(0, ["campaigns", "alerts"])
+    return out.select(group, (F.col("actors") + F.col("posts") + F.col("narratives") + 1 + F.col("campaigns") + F.col("alerts")).alias("nodes"), "relations")

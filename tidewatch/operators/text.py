@@ -182,16 +182,34 @@ def conflicts(claim: str, evidence: str) -> Column:
     return F.array_compact(F.array(F.when(c("polarity") != e("polarity"), F.lit("POLARITY_MISMATCH")), F.when(apart, F.lit("AMOUNT_MISMATCH"))))
 
 
-def verdicts(matches: DataFrame, key: str) -> DataFrame:
-    """matches: key, score (similarity times reliability), before (available in time), conflict, and reliability where it
-    is known. The result of each claim."""
-    reliability = F.max("reliability") if "reliability" in matches.columns else F.max(F.lit(None).cast("double"))
-    m = matches.where("score >= 0.34").groupBy(key).agg(F.count_if(F.col("before") & F.col("conflict")).alias("conflicting"), F.count_if(F.col("before") & ~F.col("conflict")).alias("supporting"), F.count_if(~F.col("before")).alias("after"), F.max(F.when(F.col("before"), F.col("score"))).alias("best"), reliability.alias("max_reliability"))
-    all_ = matches.groupBy(key).agg(F.count(F.lit(1)).alias("candidates")).join(m, key, "left").na.fill(0, ["conflicting", "supporting", "after"])
-    result = F.when(F.col("conflicting") > 0, "CONFLICTING").when(F.col("supporting") > 0, "SUPPORTED_BEFORE").when(F.col("after") > 0, "SUPPORTED_AFTER").otherwise("UNSUPPORTED")
-    return all_.withColumn("result", result).withColumn("claim_risk", F.when(F.col("conflicting") > 0, 1.0).when(F.col("supporting") > 0, 0.15).when(F.col("after") > 0, 0.75).otherwise(0.90))
-
-
+def verdicts(claims: DataFrame, matches: DataFrame, key: str, coverage: DataFrame | None = None, threshold: float = 0.34) -> DataFrame:
+    """claims: a row for each key; matches: key, score (similarity times reliability), reliability, before (available in time) and
+    conflict, a row for each candidate; coverage: key and complete, whether all sources that were expected had come in.
+
+    Each claim's result, in this order: contradicted by a match in time; supported in time; supported later; unknown, if the
+    sources are incomplete; unsupported, if there were candidates; unknown. A claim is legitimate as far as the most reliable of
+    its supports is, where it is supported in time, and not at all otherwise."""
+    matching = F.col("score") >= threshold
+    count = lambda test: F.count_if(matching & test)
+    before, conflict = F.col("before"), F.col("conflict")
+    found = matches.groupBy(key).agg(
+        F.count(F.lit(1)).alias("candidates"), count(before & conflict).alias("conflicting"), count(before & ~conflict).alias("supporting"), count(~before).alias("after"),
+        F.max(F.when(matching & before & ~conflict, F.col("reliability"))).alias("support"),
+    )
+    rows = claims.join(found, key, "left").na.fill(0, ["candidates", "conflicting", "supporting", "after"])
+    complete = F.lit(True)
+    if coverage is not None:
+        rows, complete = rows.join(coverage.select(key, F.col("complete").alias("__complete")), key, "left"), F.coalesce("__complete", F.lit(True))
+    n = lambda c: F.col(c) > 0
+    result = F.when(n("conflicting"), "CONFLICTING").when(n("supporting"), "SUPPORTED_BEFORE").when(n("after"), "SUPPORTED_AFTER").when(~complete, "UNKNOWN").when(n("candidates"), "UNSUPPORTED").otherwise("UNKNOWN")
+    rows = rows.withColumn("result", result)
+    risk = F.element_at(F.create_map(*(F.lit(x) for p in RISKS.items() for x in p)), F.col("result"))
+    legitimate = F.when(F.col("result") == "SUPPORTED_BEFORE", F.col("support")).otherwise(0.0)
+    return rows.withColumns({"claim_risk": risk, "legitimate": legitimate}).drop("support", "__complete")
+
+
+#: The risk of a claim by its result (fixed values).
+RISKS = {"CONFLICTING": 1.0, "SUPPORTED_BEFORE": 0.15, "SUPPORTED_AFTER": 0.75, "UNKNOWN": 0.50, "UNSUPPORTED": 0.90}
 #: Results of claims, the worst first (fixed values).
 WORST = ["CONFLICTING", "UNSUPPORTED", "SUPPORTED_AFTER", "UNKNOWN", "SUPPORTED_BEFORE"]
 

@@ -108,11 +108,17 @@ def features(signals: DataFrame, intervals: list[int], history: int = 20) -> Dat
     out = source_states(base.join(authors, KEY, "left").join(urls, KEY, "left"))
     earlier = Window.partitionBy("scope_id", "asset_id", "interval_seconds").orderBy("window_start")
     trailing = earlier.rowsBetween(-history, -1)
+    out = out.withColumn("volume", F.when(F.col("traded") != 0, F.col("traded")).otherwise(F.col("candled")))
+    out = out.withColumn("baseline", F.coalesce("given_baseline", F.avg(F.when(F.col("volume") > 0, F.col("volume"))).over(trailing), "volume"))
+    return finished(out.withColumn("earlier", F.row_number().over(earlier) - 1))
+
+
+def finished(out: DataFrame) -> DataFrame:
+    """out: windows with their aggregates, those of authors and urls, source states, volume, baseline, and how many windows are earlier:
+    the features of each, in order."""
     end = F.col("window_start") + F.col("interval_seconds")
     by_trade = F.col("MARKET_TRADE_n") > 0
     pick = lambda c: F.when(by_trade, F.col(f"MARKET_TRADE_{c}")).otherwise(F.col(f"MARKET_CANDLE_{c}"))
-    out = out.withColumn("volume", F.when(F.col("traded") != 0, F.col("traded")).otherwise(F.col("candled")))
-    out = out.withColumn("baseline", F.coalesce("given_baseline", F.avg(F.when(F.col("volume") > 0, F.col("volume"))).over(trailing), "volume"))
     available = F.col("social.active") & ~F.col("social.degraded")
     flag = lambda d, c: F.col(f"{d}.{c}").cast("int").alias(f"{d}_source_{c}")
     fresh = F.greatest(F.lit(0.0), F.coalesce(end - F.col("market_last"), F.col("interval_seconds").cast("double")))
@@ -132,7 +138,7 @@ def features(signals: DataFrame, intervals: list[int], history: int = 20) -> Dat
         F.when(available, F.coalesce("url_share", F.lit(0.0))).alias("url_concentration"), F.when(available, F.coalesce(F.col("new_authors") / F.col("authors"), F.lit(0.0))).alias("new_author_ratio"),
         F.when(F.col("social_last").isNotNull(), social_fresh).alias("social_data_freshness_seconds"), flag("social", "active"), flag("social", "idle"), flag("social", "degraded"),
         (F.col("market_first") - F.col("social_first")).alias("social_lead_seconds"), gaps.alias("source_gap_count"), quality.alias("data_quality_score"),
-        F.least(F.lit(1.0), (F.row_number().over(earlier) - 1) / 20.0).alias("baseline_confidence"),
+        F.least(F.lit(1.0), F.col("earlier") / 20.0).alias("baseline_confidence"),
         "source_event_count", "min_event_time", "max_event_time",
     )
 

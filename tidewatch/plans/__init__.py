@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import core, lifecycle, quality, records, texts
+from tidewatch.plans import coordination, core, lifecycle, quality, records, texts
 
-MODULES = (core, quality, records, texts, lifecycle)
+MODULES = (core, quality, records, texts, lifecycle, coordination)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}

@@ -108,9 +108,10 @@ def prj_derived_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Scores with all their inputs
 
 #: What a window is enriched with, by its counts: graph and claims where these are there, and a threat context.
-ENRICHED_SQL = f"""{DETECT_SQL},
-g AS (SELECT *, CASE WHEN trade_count % 3 = 0 THEN (trade_count * 7 % 11) / 10.0 END AS claim_risk, CASE WHEN trade_count % 3 = 0 THEN (trade_count * 5 % 7) / 7.0 END AS legitimate, CASE WHEN source_gap_count % 2 = 0 THEN 0.2 + 0.15 * (window_start // 21600 % 5) END AS graph_score,
-  ['MATCHED', 'NO_MATCH', 'STALE', 'UNAVAILABLE'][window_start // 21600 % 4 + 1] AS ts, CASE WHEN window_start // 21600 % 4 < 2 THEN (window_start // 21600 % 3) / 2.0 END AS tscore, 0.7 AS tc FROM d),
+COUNTS_SQL = """g AS (SELECT *, CASE WHEN trade_count % 3 = 0 THEN (trade_count * 7 % 11) / 10.0 END AS claim_risk, CASE WHEN trade_count % 3 = 0 THEN (trade_count * 5 % 7) / 7.0 END AS legitimate, CASE WHEN source_gap_count % 2 = 0 THEN 0.2 + 0.15 * (window_start // 21600 % 5) END AS graph_score,
+  ['MATCHED', 'NO_MATCH', 'STALE', 'UNAVAILABLE'][window_start // 21600 % 4 + 1] AS ts, CASE WHEN window_start // 21600 % 4 < 2 THEN (window_start // 21600 % 3) / 2.0 END AS tscore, 0.7 AS tc FROM d)"""
+#: Fusion of the rows of g.
+FUSION_SQL = f"""
 h AS (SELECT *, {' + '.join(f"CASE WHEN {k} IS NULL THEN 0 ELSE {w} END" for k, w in scoring.WEIGHTS.items())} AS aw, {' + '.join(f"coalesce({k} * {w}, 0)" for k, w in scoring.WEIGHTS.items())} AS wt,
   {' + '.join(f"CAST({k} IS NULL AS INTEGER)" for k in (*scoring.WEIGHTS, 'legitimate'))} AS n_missing FROM g),
 i AS (SELECT *, {CLAMP('CASE WHEN aw > 0 THEN wt / aw ELSE 0 END')} AS raw, {CLAMP('(1 - n_missing / 7.0) * (0.4 + 0.35 * baseline_confidence + 0.25 * data_quality_score)')} * CASE WHEN ts IN ('STALE', 'UNAVAILABLE') THEN 0.85 ELSE 1 END AS confidence FROM h),
@@ -123,6 +124,7 @@ k6 AS (SELECT *, {LEVEL('fusion_score')} AS l0, coalesce(market_score >= 0.65 AN
 k7 AS (SELECT *, CASE WHEN l0 = 'CRITICAL' AND NOT strong THEN 'HIGH' ELSE l0 END AS l1 FROM k6),
 fu AS (SELECT *, CASE WHEN market_score IS NULL AND l1 IN ('HIGH', 'CRITICAL') THEN 'WATCH' ELSE l1 END AS severity,
   CASE WHEN graph_score IS NOT NULL AND (claim_risk IS NOT NULL OR legitimate IS NOT NULL) THEN 'GRAPH_AND_VERIFICATION' WHEN graph_score IS NOT NULL THEN 'GRAPH' WHEN claim_risk IS NOT NULL OR legitimate IS NOT NULL THEN 'VERIFICATION' ELSE 'BASE' END AS profile FROM k7)"""
+ENRICHED_SQL = f"{DETECT_SQL},\n{COUNTS_SQL},{FUSION_SQL}"
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,12 +352,12 @@ def dq_connector_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("run_id", "fetched", "ingested", "unchanged", "errors", "status", "watermark", F.when(F.col("watermark").isNotNull(), F.col("lag_seconds")).alias("lag_seconds"))
 
 
-@query(f"""WITH v AS ({TEXTS_SQL['ver_verdicts']}), p AS (SELECT claim_id % 40 AS narrative_id, *, CASE result WHEN 'CONFLICTING' THEN 1 WHEN 'UNSUPPORTED' THEN 2 WHEN 'SUPPORTED_AFTER' THEN 3 ELSE 5 END AS k FROM v)
-SELECT narrative_id, arg_min(result, k) AS result, max(claim_risk) AS claim_risk, max((claim_id % 9) / 10.0) AS legitimate, count(*) AS claims FROM p GROUP BY narrative_id""")
+@query(f"""WITH v AS ({TEXTS_SQL['ver_verdicts']}), p AS (SELECT claim_id % 40 AS narrative_id, *, CASE result WHEN 'CONFLICTING' THEN 1 WHEN 'UNSUPPORTED' THEN 2 WHEN 'SUPPORTED_AFTER' THEN 3 WHEN 'UNKNOWN' THEN 4 ELSE 5 END AS k FROM v)
+SELECT narrative_id, arg_min(result, k) AS result, max(claim_risk) AS claim_risk, max(legitimate) AS legitimate, count(*) AS claims FROM p GROUP BY narrative_id""")
 def ver_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewatch.plans.texts import ver_verdicts
 
-    v = ver_verdicts(spark, sf_dir).select((F.col("claim_id") % 40).alias("narrative_id"), "result", "claim_risk", (F.col("claim_id") % 9 / 10.0).alias("legitimate"))
+    v = ver_verdicts(spark, sf_dir).select((F.col("claim_id") % 40).alias("narrative_id"), "result", "claim_risk", "legitimate")
     return text.narrative_verdicts(v, "narrative_id")
 
 

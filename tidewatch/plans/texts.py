@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import evaluation, narratives, scoring, text, threat
 from tidewatch.plans.core import DETECT_SQL, LEVEL, scored
+from tidewatch.plans.quality import ORACLES as QUALITY_SQL
 from tidewatch.plans.records import ORACLES as RECORDS_SQL
 from tidewatch.plans.records import ver_candidates_as_of
 from tidewatch.sources import adapters
@@ -160,13 +161,26 @@ def ver_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("claim_id", "doc_id", "before", F.round(F.col("similarity") + 1.7e-11, 9).alias("similarity"), F.array_join("conflicts", ",").alias("conflicts"))
 
 
-@query("""WITH m AS (SELECT o_orderkey % 500 AS claim_id, o_totalprice / 500000.0 AS score, o_orderstatus = 'O' AS before, o_orderpriority LIKE '1%' AS conflict FROM orders),
-g AS (SELECT claim_id, count(*) AS candidates, count(*) FILTER (score >= 0.34 AND before AND conflict) AS c, count(*) FILTER (score >= 0.34 AND before AND NOT conflict) AS s, count(*) FILTER (score >= 0.34 AND NOT before) AS a FROM m GROUP BY ALL)
-SELECT claim_id, candidates, CASE WHEN c > 0 THEN 'CONFLICTING' WHEN s > 0 THEN 'SUPPORTED_BEFORE' WHEN a > 0 THEN 'SUPPORTED_AFTER' ELSE 'UNSUPPORTED' END AS result,
-  CASE WHEN c > 0 THEN 1.0 WHEN s > 0 THEN 0.15 WHEN a > 0 THEN 0.75 ELSE 0.90 END AS claim_risk FROM g""")
+@query(f"""WITH m AS ({ORACLES['ver_matches']}), cv AS ({QUALITY_SQL['dq_coverage']}),
+s AS (SELECT *, similarity * (0.3 + 0.1 * (doc_id % 7)) AS score, 0.3 + 0.1 * (doc_id % 7) AS reliability, conflicts <> '' AS conflict FROM m),
+k AS (SELECT item_id AS claim_id FROM benchmark UNION ALL SELECT item_id + 1000000 FROM benchmark WHERE item_id % 3 = 0),
+ok AS (SELECT claim_id, complete FROM k JOIN cv ON cv.asset_id = 'A' || (claim_id % 20) AND cv.epoch = 1704067200 + 86400 * (claim_id % 28)),
+g AS (SELECT claim_id, count(doc_id) AS candidates, count(*) FILTER (score >= 0.34 AND before AND conflict) AS c, count(*) FILTER (score >= 0.34 AND before AND NOT conflict) AS s, count(*) FILTER (score >= 0.34 AND NOT before) AS a,
+  max(reliability) FILTER (score >= 0.34 AND before AND NOT conflict) AS r FROM k LEFT JOIN s USING (claim_id) GROUP BY ALL),
+v AS (SELECT g.*, CASE WHEN c > 0 THEN 'CONFLICTING' WHEN s > 0 THEN 'SUPPORTED_BEFORE' WHEN a > 0 THEN 'SUPPORTED_AFTER' WHEN complete = false THEN 'UNKNOWN' WHEN candidates > 0 THEN 'UNSUPPORTED' ELSE 'UNKNOWN' END AS result FROM g LEFT JOIN ok USING (claim_id))
+SELECT claim_id, candidates, result, CAST(CASE result WHEN 'CONFLICTING' THEN 1.0 WHEN 'SUPPORTED_BEFORE' THEN 0.15 WHEN 'SUPPORTED_AFTER' THEN 0.75 WHEN 'UNSUPPORTED' THEN 0.90 ELSE 0.50 END AS DOUBLE) AS claim_risk,
+  CAST(CASE WHEN result = 'SUPPORTED_BEFORE' THEN round(r, 6) ELSE 0 END AS DOUBLE) AS legitimate FROM v""")
 def ver_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 500).alias("claim_id"), (F.col("o_totalprice") / 500000.0).alias("score"), (F.col("o_orderstatus") == "O").alias("before"), F.col("o_orderpriority").startswith("1").alias("conflict"))
-    return text.verdicts(m, "claim_id").select("claim_id", "candidates", "result", "claim_risk")
+    """Claims, some of which have no candidates, judged by the documents that are similar, with the coverage of their asset's sources."""
+    from tidewatch.plans.quality import dq_coverage
+
+    reliability = 0.3 + 0.1 * (F.col("doc_id") % 7)
+    m = ver_matches(spark, sf_dir).select("claim_id", (F.col("similarity") * reliability).alias("score"), reliability.alias("reliability"), "before", (F.col("conflicts") != "").alias("conflict"))
+    item = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"))
+    claims = item.unionAll(item.where("claim_id % 3 = 0").select(F.col("claim_id") + 1_000_000))
+    asked = claims.select("claim_id", F.concat(F.lit("A"), F.col("claim_id") % 20).alias("asset_id"), (F.lit(1704067200) + 86_400 * (F.col("claim_id") % 28)).alias("epoch"))
+    covered = asked.join(dq_coverage(spark, sf_dir), ["asset_id", "epoch"]).select("claim_id", "complete")
+    return text.verdicts(claims, m, "claim_id", covered).select("claim_id", "candidates", "result", "claim_risk", F.round("legitimate", 6).alias("legitimate"))
 
 
 LABEL_SQL = "regexp_full_match({0}, '([a-z0-9]([a-z0-9-]{{0,61}}[a-z0-9])?[.])*[a-z0-9]([a-z0-9-]{{0,61}}[a-z0-9])?') AND length({0}) <= 253".format
