@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import level_of, rank_of
+from tidewatch.operators import scans
 
 STAGES = ("NORMAL", "EARLY_SOCIAL_SEEDING", "COORDINATED_AMPLIFICATION", "MARKET_PUMP", "POSSIBLE_DISTRIBUTION", "DUMP", "POST_EVENT")
 
@@ -35,26 +33,23 @@ def stale_evidence(evidence: DataFrame, order: list[str]) -> DataFrame:
     return evidence.withColumn("stale", F.coalesce(own <= F.max(own).over(w), F.lit(False)))
 
 
-def next_stage(stage: str, x: dict) -> str:
-    """The stage after evidence x: severity, social, coordination, market, price_return and pressure."""
-    high = x["severity"] in ("HIGH", "CRITICAL")
-    calm = x["severity"] == "NORMAL"
-    pump = x["market"] >= 0.60 and high
-    quiet = calm and x["social"] < 0.20
-    falls = x["price_return"] <= -0.08
-    if stage == "NORMAL":
-        return "EARLY_SOCIAL_SEEDING" if x["social"] >= 0.35 else stage
-    if stage == "EARLY_SOCIAL_SEEDING":
-        return "MARKET_PUMP" if pump else "COORDINATED_AMPLIFICATION" if x["coordination"] >= 0.55 else "NORMAL" if quiet else stage
-    if stage == "COORDINATED_AMPLIFICATION":
-        return "DUMP" if falls else "MARKET_PUMP" if pump else "POST_EVENT" if quiet else stage
-    if stage == "MARKET_PUMP":
-        return "DUMP" if falls else "POSSIBLE_DISTRIBUTION" if x["pressure"] <= -0.25 or x["price_return"] < -0.02 else stage
-    if stage == "POSSIBLE_DISTRIBUTION":
-        return "DUMP" if falls or x["pressure"] <= -0.50 else "POST_EVENT" if calm else stage
-    if stage == "DUMP":
-        return "POST_EVENT" if calm else stage
-    return stage
+def stage_rules() -> dict[str, list[tuple[Column, str]]]:
+    """What evidence makes of each stage: the first rule that holds; none of them, and the stage stays. Columns: severity, social,
+    coordination, market, price_return and pressure."""
+    c = F.col
+    calm = c("severity") == "NORMAL"
+    pump = (c("market") >= 0.60) & c("severity").isin("HIGH", "CRITICAL")
+    quiet = calm & (c("social") < 0.20)
+    falls = c("price_return") <= -0.08
+    return {
+        "NORMAL": [(c("social") >= 0.35, "EARLY_SOCIAL_SEEDING")],
+        "EARLY_SOCIAL_SEEDING": [(pump, "MARKET_PUMP"), (c("coordination") >= 0.55, "COORDINATED_AMPLIFICATION"), (quiet, "NORMAL")],
+        "COORDINATED_AMPLIFICATION": [(falls, "DUMP"), (pump, "MARKET_PUMP"), (quiet, "POST_EVENT")],
+        "MARKET_PUMP": [(falls, "DUMP"), ((c("pressure") <= -0.25) | (c("price_return") < -0.02), "POSSIBLE_DISTRIBUTION")],
+        "POSSIBLE_DISTRIBUTION": [(falls | (c("pressure") <= -0.50), "DUMP"), (calm, "POST_EVENT")],
+        "DUMP": [(calm, "POST_EVENT")],
+        "POST_EVENT": [],
+    }
 
 
 def assessed(rows: DataFrame) -> DataFrame:
@@ -79,30 +74,29 @@ def stage_events(steps: DataFrame) -> DataFrame:
     return steps.withColumn("event", F.explode(kinds)).select("asset_id", "session", "epoch", "version", "stage", "event")
 
 
-STEP = "asset_id string, session long, epoch long, version int, stage string, changed boolean"
-
-
 def stages(evidence: DataFrame, gap: int = 1800) -> DataFrame:
-    """evidence: asset_id, epoch, severity, social, coordination, market, price_return, pressure. The stage after each row
-    of a campaign, in order; a new session begins at NORMAL. Only the small columns of a session meet in a task, and
-    the rows come sorted by Spark, one at a time."""
-    cols = ["asset_id", "session", "epoch", "severity", "social", "coordination", "market", "price_return", "pressure"]
-    ordered = sessions(evidence, gap, order=("epoch",)).select(*cols).repartition("asset_id", "session").sortWithinPartitions("asset_id", "session", "epoch")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, stage, version = None, "NORMAL", 0
-        for pdf in batches:
-            out = []
-            for x in pdf.to_dict("records"):
-                if key != (x["asset_id"], x["session"]):
-                    key, stage, version = (x["asset_id"], x["session"]), "NORMAL", 0
-                new = next_stage(stage, x)
-                version += 1
-                out.append((x["asset_id"], x["session"], x["epoch"], version, new, new != stage))
-                stage = new
-            yield pd.DataFrame(out, columns=["asset_id", "session", "epoch", "version", "stage", "changed"])
-
-    return ordered.mapInPandas(run, STEP)
+    """evidence: asset_id, epoch, severity, social, coordination, market, price_return, pressure, of one row for each epoch. The
+    stage after each row of a campaign, in order; a new session begins at NORMAL. Each row is a map of stages to stages (that of a
+    session's first row leads from all of them to what follows NORMAL), and an asset's rows are composed by many tasks."""
+    keys, order = ["asset_id"], ["epoch"]
+    cols = ["asset_id", "epoch", "severity", "social", "coordination", "market", "price_return", "pressure"]
+    rows = scans.prefixed(scans.in_ranges(evidence.select(cols), keys, order), keys, order, most_before={"previous": F.col("epoch")}, sums={"number": F.lit(1)})
+    rows = rows.withColumn("opens", F.coalesce(F.col("epoch") - F.col("previous") > gap, F.lit(False)))
+    first = F.col("opens") | (F.col("number") == 1)
+    rows = scans.prefixed(rows, keys, order, sums={"session": F.col("opens").cast("int")}, most={"began": F.when(first, F.col("number"))})
+
+    def after(stage: str) -> Column:
+        out = F.lit(STAGES.index(stage))
+        for test, to in reversed(stage_rules()[stage]):
+            out = F.when(test, STAGES.index(to)).otherwise(out)
+        return out
+
+    fresh = after("NORMAL")
+    maps = F.array(*(F.when(first, fresh).otherwise(after(s)) for s in STAGES))
+    out = scans.states(rows, keys, order, maps, len(STAGES))
+    name = F.element_at(F.array(*(F.lit(s) for s in STAGES)), F.col("state") + 1)
+    changed = F.col("state") != F.when(first, 0).otherwise(F.col("state_before"))
+    return out.select("asset_id", F.col("session").cast("long").alias("session"), F.col("epoch").cast("long").alias("epoch"), (F.col("number") - F.col("began") + 1).cast("int").alias("version"), name.alias("stage"), changed.alias("changed"))
 
 
 def alert_state(alerts: DataFrame) -> DataFrame:
@@ -117,20 +111,19 @@ def alert_state(alerts: DataFrame) -> DataFrame:
 
 
 def notified(states: DataFrame, cooldown: int = 300) -> DataFrame:
-    """Adds suppressed: a refreshed alert under `cooldown` seconds after the last notified one of its kind. Depends on the
-    decisions before it, so each alert's small rows are walked in order."""
-    ordered = states.repartition("asset_id", "alert_type").sortWithinPartitions("asset_id", "alert_type", "epoch")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last = None, None
-        for pdf in batches:
-            out = []
-            for a, t, e, event in zip(pdf["asset_id"], pdf["alert_type"], pdf["epoch"], pdf["event"], strict=True):
-                if key != (a, t):
-                    key, last = (a, t), None
-                quiet = event == "refreshed" and last is not None and e - last < cooldown
-                last = last if quiet else e
-                out.append(quiet)
-            yield pdf.assign(suppressed=out)
-
-    return ordered.mapInPandas(run, "asset_id string, alert_type string, epoch long, occurrence int, max_severity string, event string, suppressed boolean")
+    """states: rows of alert_state. Adds suppressed: a refreshed alert under `cooldown` seconds after the last notified one of its
+    kind, and reason, COOLDOWN for those.
+
+    An alert that is not a refresh, or comes `cooldown` or more after the one before it, is notified whatever went before: it
+    begins a run. Within a run the next notified one is the first that is far enough from the last, so the notified ones
+    are those reached from the run's first along these pointers."""
+    keys = ["asset_id", "alert_type"]
+    in_order = Window.partitionBy(*keys).orderBy("occurrence")
+    begins = (F.col("event") != "refreshed") | F.coalesce(F.col("epoch") - F.lag("epoch").over(in_order) >= cooldown, F.lit(True))
+    rows = states.withColumn("begins", begins).withColumn("run", F.sum(F.col("begins").cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    # Gaps within a run are under `cooldown`, so the first row from there on is under twice that away.
+    on = Window.partitionBy(*keys, "run").orderBy("epoch").rangeBetween(cooldown, 2 * cooldown)
+    rows = rows.withColumn("following", F.min("occurrence").over(on))
+    sent = scans.orbit(rows, [*keys, "run"], "occurrence", "following", F.col("begins")).drop("run").withColumn("sent", F.lit(True))
+    quiet = F.col("sent").isNull()
+    return states.join(sent, [*keys, "occurrence"], "left").withColumns({"suppressed": quiet, "reason": F.when(quiet, "COOLDOWN")}).drop("sent")

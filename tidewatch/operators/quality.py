@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators import scans
+
 KEY = ["source", "asset_id"]
 
 
@@ -17,21 +19,36 @@ def observe(rows: DataFrame, threshold: float) -> DataFrame:
     """
     w = Window.partitionBy(*KEY).orderBy("arrival")
     before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    df = gaps(rows.withColumn("previous", F.max("sequence").over(before)), threshold)
+    df = df.withColumns({"gap_count": F.sum("jumped").over(upto), "out_of_order_count": F.sum("back").over(upto), "books": F.sum("book").over(upto)})
+    return judged(df.withColumn("bad_books", F.max(F.when(F.col("bad"), F.col("books"))).over(upto)), threshold)
+
+
+def observe_in_slices(rows: DataFrame, threshold: float) -> DataFrame:
+    """The same where a key may hold most rows: its history is cut into ranges that many tasks scan, three times (the greatest
+    sequence before, then what is counted, then the books at the last bad one)."""
+    placed, order = scans.in_ranges(rows, KEY, ["arrival"]), ["arrival"]
+    df = gaps(scans.prefixed(placed, KEY, order, most_before={"previous": F.col("sequence")}), threshold)
+    df = scans.prefixed(df, KEY, order, sums={"gap_count": F.col("jumped"), "out_of_order_count": F.col("back"), "books": F.col("book")})
+    return judged(scans.prefixed(df, KEY, order, most={"bad_books": F.when(F.col("bad"), F.col("books"))}), threshold).drop("__range")
+
+
+def gaps(rows: DataFrame, threshold: float) -> DataFrame:
+    """What a row says by itself and by the greatest sequence before it."""
     seq, prev = F.col("sequence"), F.col("previous")
-    df = rows.withColumn("previous", F.max("sequence").over(before))
-    jump = F.coalesce(seq > prev + 1, F.lit(False))
-    back = F.coalesce(seq <= prev, F.lit(False))
+    jump, back = F.coalesce(seq > prev + 1, F.lit(False)), F.coalesce(seq <= prev, F.lit(False))
     age = F.greatest(F.lit(0.0), (F.col("ingested_epoch") - F.col("epoch")).cast("double"))
-    df = df.withColumns({"gap_detected": jump | back, "age": age, "gap_count": F.sum(F.when(jump, seq - prev - 1).otherwise(0)).over(upto), "out_of_order_count": F.sum(back.cast("int")).over(upto)})
-    stale = F.col("age") > threshold
-    bad = F.col("is_orderbook") & (stale | F.col("gap_detected"))
-    df = df.withColumn("island", F.sum(bad.cast("int")).over(upto))
-    since = Window.partitionBy(*KEY, "island").orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("k", F.sum(F.col("is_orderbook").cast("int")).over(since) - F.when(F.col("island") > 0, 1).otherwise(0))
-    state = F.when(F.col("island") == 0, "VALID").when(bad & stale, "STALE").when(bad, "GAP_DETECTED").when(F.col("k") == 1, "RESYNCING").when(F.col("k") == 2, "RECOVERED").otherwise("VALID")
+    bad = F.col("is_orderbook") & ((age > threshold) | jump | back)
+    return rows.withColumns({"gap_detected": jump | back, "age": age, "jumped": F.when(jump, seq - prev - 1).otherwise(0), "back": back.cast("int"), "book": F.col("is_orderbook").cast("int"), "bad": bad})
+
+
+def judged(df: DataFrame, threshold: float) -> DataFrame:
+    """books: order books up to the row; bad_books: how many there were at the last bad one."""
+    stale, k = F.col("age") > threshold, F.col("books") - F.col("bad_books")
+    state = F.when(F.col("bad_books").isNull(), "VALID").when(F.col("bad") & stale, "STALE").when(F.col("bad"), "GAP_DETECTED").when(k == 1, "RESYNCING").when(k == 2, "RECOVERED").otherwise("VALID")
     df = df.withColumn("orderbook_state", F.when(F.col("is_orderbook"), state)).withColumn("book_valid", F.col("orderbook_state").isin("VALID", "RECOVERED"))
     degraded = stale | F.col("gap_detected") | F.coalesce(F.col("is_orderbook") & ~F.col("book_valid"), F.lit(False))
-    return df.withColumn("status", F.when(degraded, "DEGRADED").otherwise("HEALTHY")).drop("previous", "island", "k")
+    return df.withColumn("status", F.when(degraded, "DEGRADED").otherwise("HEALTHY")).drop("previous", "jumped", "back", "book", "bad", "books", "bad_books")
 
 
 def idle_domains(signals: DataFrame, idle_after: int) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import severity, uuid5
 from tidewatch.operators import campaigns, graph, quality, scoring, serving, text, windows
-from tidewatch.plans.core import FUSE_SQL, LEVEL, scored
+from tidewatch.plans.core import LEVEL, scored
+from tidewatch.plans.core import ORACLES as CORE_SQL
 from tidewatch.sources import adapters
 from tidewatch.sources.adapters import EVIDENCE_SQL, SIGNALS_SQL, THREADS_SQL, table
 from tidewatch.sources.tables import shared_folder
@@ -50,7 +51,17 @@ SELECT source, asset_id, arrival, CAST(gap_count AS BIGINT) AS gap_count, CAST(o
   CASE WHEN age > 30 OR gap OR coalesce(st NOT IN ('VALID', 'RECOVERED'), false) THEN 'DEGRADED' ELSE 'HEALTHY' END AS status FROM s""")
 def dq_observe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = books(spark, sf_dir).withColumn("sequence", F.expr("arrival div 40")).withColumn("ingested_epoch", F.round(F.col("ingested_epoch"), 6)).withColumn("epoch", F.round("epoch", 6))
-    out = quality.observe(rows, 30.0005)
+    return observed(quality.observe(rows, 30.0005))
+
+
+@query(ORACLES["dq_observe"])
+def dq_observe_in_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with each source's history scanned by many tasks."""
+    rows = books(spark, sf_dir).withColumn("sequence", F.expr("arrival div 40")).withColumn("ingested_epoch", F.round(F.col("ingested_epoch"), 6)).withColumn("epoch", F.round("epoch", 6))
+    return observed(quality.observe_in_slices(rows, 30.0005))
+
+
+def observed(out: DataFrame) -> DataFrame:
     return out.select("source", "asset_id", "arrival", "gap_count", "out_of_order_count", "orderbook_state", "status")
 
 
@@ -90,8 +101,7 @@ def cmp_stale_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return campaigns.stale_evidence(ev, ["epoch", "evidence_id"]).select("evidence_id", "asset_id", "stale")
 
 
-ALERT_STATE_SQL = f"""{FUSE_SQL},
-al AS (SELECT asset_id, window_start AS epoch, 'MARKET_PRICE_ANOMALY' AS alert_type, CASE WHEN market_score >= 0.8 THEN 3 WHEN market_score >= 0.6 THEN 2 WHEN market_score >= 0.35 THEN 1 ELSE 0 END AS rk FROM f WHERE abs(price_return) >= 0.08),
+ALERT_STATE_SQL = f"""al AS (SELECT asset_id, window_start AS epoch, alert_type, list_position(['NORMAL', 'WATCH', 'HIGH', 'CRITICAL'], alert_severity) - 1 AS rk FROM ({CORE_SQL['cmp_alert_rules']})),
 o AS (SELECT *, row_number() OVER w AS occurrence, max(rk) OVER w AS top FROM al WINDOW w AS (PARTITION BY asset_id, alert_type ORDER BY epoch)),
 p AS (SELECT *, lag(top) OVER (PARTITION BY asset_id, alert_type ORDER BY epoch) AS before FROM o)"""
 
@@ -99,7 +109,7 @@ p AS (SELECT *, lag(top) OVER (PARTITION BY asset_id, alert_type ORDER BY epoch)
 @query(f"""WITH {ALERT_STATE_SQL} SELECT asset_id, alert_type, epoch, occurrence, ['NORMAL', 'WATCH', 'HIGH', 'CRITICAL'][top + 1] AS max_severity,
   CASE WHEN before IS NULL THEN 'created' WHEN top > before THEN 'severity_changed' ELSE 'refreshed' END AS event FROM p""")
 def cmp_alert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = scoring.alerts(scored(spark, sf_dir), ["asset_id", "window_start"]).where("alert_type = 'MARKET_PRICE_ANOMALY'").withColumnRenamed("window_start", "epoch")
+    a = scoring.alerts(scored(spark, sf_dir), ["asset_id", "window_start"]).withColumnRenamed("window_start", "epoch")
     return campaigns.alert_state(a)
 
 
@@ -107,7 +117,7 @@ def cmp_alert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT asset_id, alert_type, epoch, occurrence, top, event, false AS suppressed, epoch AS last FROM n WHERE occurrence = 1
   UNION ALL SELECT n.asset_id, n.alert_type, n.epoch, n.occurrence, n.top, n.event, n.event = 'refreshed' AND n.epoch - s.last < 43200, CASE WHEN n.event = 'refreshed' AND n.epoch - s.last < 43200 THEN s.last ELSE n.epoch END
   FROM s JOIN n ON n.asset_id = s.asset_id AND n.alert_type = s.alert_type AND n.occurrence = s.occurrence + 1)
-SELECT asset_id, alert_type, epoch, occurrence, ['NORMAL', 'WATCH', 'HIGH', 'CRITICAL'][top + 1] AS max_severity, event, suppressed FROM s""")
+SELECT asset_id, alert_type, epoch, occurrence, ['NORMAL', 'WATCH', 'HIGH', 'CRITICAL'][top + 1] AS max_severity, event, suppressed, CASE WHEN suppressed THEN 'COOLDOWN' END AS reason FROM s""")
 def cmp_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return campaigns.notified(cmp_alert_state(spark, sf_dir), 43_200)
 
