@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import campaigns, quality, scans
+from tidewatch.operators import campaigns, quality, scans, threat
 
 
 @pytest.fixture(autouse=True)
@@ -101,3 +101,33 @@ def test_quality_in_slices_equals_one_scan(spark):
     one, cut = quality.observe(df, 30), quality.observe_in_slices(df, 30)
     assert sorted(map(str, one.select(sorted(one.columns)).collect())) == sorted(map(str, cut.select(sorted(one.columns)).collect()))
     assert set(one.columns) == set(cut.columns) and one.where("orderbook_state = 'RECOVERED'").count() > 0
+
+
+def test_coverage_of_any_policies_and_runs(spark):
+    """Every asked time against every policy in force and every run, written out."""
+    r = random.Random(6)
+    policies = [(f"p{i}", r.choice([None, None, "A", "B"]), (f := r.randrange(0, 50)), r.choice([None, f + r.randrange(0, 60)]), r.randrange(0, 30)) for i in range(12)]
+    runs = [(f"p{r.randrange(0, 10)}", float(c - r.randrange(0, 20)), float(c), r.choice(["SUCCESS", "SUCCESS", "FAILED"])) for c in (r.randrange(0, 120) for _ in range(90))]
+    at = [(a, t) for a in "ABC" for t in range(-2, 125, 3)]
+    got = spark.createDataFrame(policies, "policy_id string, policy_asset string, effective_from long, effective_to long, max_staleness long")
+    out = quality.coverage(got, spark.createDataFrame(runs, "policy_id string, started double, completed double, status string"), spark.createDataFrame(at + at[:5], "asset_id string, epoch long"))
+    want = {}
+    for a, t in at:
+        own = [p for p in policies if p[1] in (None, a) and p[2] <= t and (p[3] is None or t < p[3])]
+        last = [max(((s, c, st) for i, s, c, st in runs if i == p[0] and c <= t), default=None) for p in own]
+        if own:
+            want[a, t] = (len(own), sum(x is None or x[2] != "SUCCESS" or t - x[1] > p[4] for p, x in zip(own, last, strict=True)))
+    assert {(x["asset_id"], x["epoch"]): (x["policies"], x["degraded"]) for x in out.collect()} == want
+    assert all(x["complete"] == (x["degraded"] == 0) for x in out.collect())
+
+
+def test_newest_hits_at_every_cutoff(spark, monkeypatch):
+    monkeypatch.setattr(scans, "PIECE", 5)
+    r = random.Random(7)
+    hits = [(r.choice("AAAB"), i, (t := r.randrange(0, 300)), t + r.choice([0, 5, 200]), r.random()) for i in range(250)]
+    at = [(a, c) for a in "ABC" for c in range(0, 520, 20)]
+    df = spark.createDataFrame(hits, "asset_id string, match_id int, epoch long, fetched_at long, confidence double")
+    got = {(x["asset_id"], x["cutoff"]): (x["n"], x["status"], x["threat_confidence"]) for x in threat.context(spark.createDataFrame(at, "asset_id string, cutoff long"), df, newest=7).collect()}
+    for a, c in at:
+        known = sorted(((-e, i, conf) for b, i, e, f, conf in hits if b == a and e <= c and f <= c))[:7]
+        assert got[a, c] == (len(known), "MATCHED" if known else "NO_MATCH", max((x[2] for x in known), default=0.0))

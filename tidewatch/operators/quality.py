@@ -67,14 +67,33 @@ def freshness(signals: DataFrame, now: float) -> DataFrame:
 
 def coverage(policies: DataFrame, runs: DataFrame, at: DataFrame) -> DataFrame:
     """policies: policy_id, policy_asset (null: all), effective_from, effective_to, max_staleness; runs: policy_id, started,
-    completed, status; at: asset_id, epoch. Per row of at and policy in force the state of its latest run, and whether
-    all of them are good."""
-    own = at.withColumn("policy_asset", F.col("asset_id")).join(policies, "policy_asset")
-    # Policies for all assets are few: one row, of which each asks.
-    general = policies.where("policy_asset is null").agg(F.collect_list(F.struct("policy_asset", *(c for c in policies.columns if c != "policy_asset"))).alias("all"))
-    every = at.crossJoin(F.broadcast(general)).select(*at.columns, F.inline("all"))
-    pairs = own.unionByName(every).where((F.col("effective_from") <= F.col("epoch")) & (F.col("effective_to").isNull() | (F.col("epoch") < F.col("effective_to"))))
-    last = pairs.join(runs, "policy_id", "left").where("completed is null or completed <= epoch").groupBy("asset_id", "epoch", "policy_id", "max_staleness").agg(F.max_by(F.struct("status", "completed"), F.struct("started", "completed")).alias("run"))
-    last = pairs.select("asset_id", "epoch", "policy_id", "max_staleness").join(last.drop("max_staleness"), ["asset_id", "epoch", "policy_id"], "left")
-    state = F.when(F.col("run.status").isNull(), "MISSING").when(F.col("run.status") != "SUCCESS", F.col("run.status")).when(F.col("epoch") - F.col("run.completed") > F.col("max_staleness"), "STALE").otherwise("OK")
-    return last.withColumn("state", state).groupBy("asset_id", "epoch").agg(F.count(F.lit(1)).alias("policies"), F.count_if(F.col("state") != "OK").alias("degraded")).withColumn("complete", F.col("degraded") == 0)
+    completed, status; at: asset_id, epoch. Per row of at how many policies are in force for the asset, for how many of them the latest
+    run that had completed (by start) is missing, failed or stale, and whether none is.
+
+    A policy is in force from one time to another, and each run makes it good or bad until the next one comes or it grows stale. These
+    bounds lie on one ordered stream with the times asked, and running sums of what begins and ends are the counts: no row for a
+    time and a run, nor for a time and a policy."""
+    own = Window.partitionBy("policy_id").orderBy("completed")
+    known = runs.groupBy("policy_id", "completed").agg(F.max(F.struct("started", "completed", "status")).alias("run"))
+    known = known.select("policy_id", F.col("completed").cast("double").alias("since"), F.max("run").over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("last"), F.lead("completed").over(own).cast("double").alias("until"))
+    before = known.groupBy("policy_id").agg(F.min("since").alias("until")).select("policy_id", F.lit(float("-inf")).alias("since"), F.lit(None).cast(known.schema["last"].dataType).alias("last"), "until")
+    never = policies.select("policy_id").join(known, "policy_id", "left_anti").select("policy_id", F.lit(float("-inf")).alias("since"), F.lit(None).cast(known.schema["last"].dataType).alias("last"), F.lit(None).cast("double").alias("until"))
+    force = policies.select("policy_id", F.coalesce("policy_asset", F.lit("")).alias("asset"), F.col("policy_asset").isNull().alias("general"), F.col("effective_from").cast("double").alias("from"), F.coalesce(F.col("effective_to").cast("double"), F.lit(float("inf"))).alias("to"), "max_staleness")
+    spans = known.unionByName(before).unionByName(never).join(force, "policy_id")
+    # A place on the stream: what begins or ends at a time counts there (0), what only holds after it does not (2); 1 is the asked time.
+    place = lambda t, rank: F.struct(t.cast("double").alias("t"), F.lit(rank).alias("rank"))
+    stale = F.col("last.completed") + F.col("max_staleness")
+    bad = F.when(F.coalesce(F.col("last.status") != "SUCCESS", F.lit(True)) | (stale < F.col("since")), place(F.col("since"), 0)).otherwise(place(stale, 2))
+    spans = spans.select("general", "asset", F.greatest(bad, place(F.col("from"), 0)).alias("a"), F.least(place(F.coalesce("until", F.lit(float("inf"))), 0), place(F.col("to"), 0)).alias("b")).where("a < b")
+    end = lambda e, policy, degraded: F.struct(F.col(f"{e}.t").alias("t"), F.col(f"{e}.rank").alias("rank"), F.lit(policy).alias("policies"), F.lit(degraded).alias("degraded"))
+    ends = lambda rows, policy, degraded: rows.select("general", "asset", F.inline(F.array(end("a", policy, degraded), end("b", -policy, -degraded))))
+    in_force = force.select("general", "asset", place(F.col("from"), 0).alias("a"), place(F.col("to"), 0).alias("b")).where("a < b")
+    asked = at.select("asset_id", "epoch").distinct()
+    ask = lambda rows, general, asset: rows.select(F.lit(general).alias("general"), asset.alias("asset"), F.col("epoch").cast("double").alias("t"), F.lit(1).alias("rank"), F.lit(0).alias("policies"), F.lit(0).alias("degraded"))
+    stream = ends(spans, 0, 1).unionAll(ends(in_force, 1, 0)).unionAll(ask(asked.select("epoch").distinct(), True, F.lit(""))).unionAll(ask(asked, False, F.col("asset_id")))
+    keys, order = ["general", "asset"], ["t", "rank"]
+    summed = scans.prefixed(scans.in_ranges(stream, keys, order), keys, order, sums={"policies": F.col("policies"), "degraded": F.col("degraded")}).where("rank = 1")
+    every = summed.where("general").select(F.col("t").alias("__t"), F.col("policies").alias("p"), F.col("degraded").alias("d"))
+    mine = summed.where("not general").select(F.col("asset").alias("asset_id"), F.col("t").alias("__t"), "policies", "degraded")
+    out = asked.withColumn("__t", F.col("epoch").cast("double")).join(mine, ["asset_id", "__t"]).join(every, "__t").where("policies + p > 0")
+    return out.select("asset_id", "epoch", (F.col("policies") + F.col("p")).alias("policies"), (F.col("degraded") + F.col("d")).alias("degraded")).withColumn("complete", F.col("degraded") == 0)

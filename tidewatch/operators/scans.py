@@ -3,6 +3,8 @@ is summed up (or composed) by itself, and the small sums of a key's ranges are p
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,53 +34,56 @@ def prefixed(placed: DataFrame, keys: list[str], order: list[str], sums: dict[st
     return out.withColumns(joined).drop(*(f"__{n}" for n, *_ in asked))
 
 
-def composed(maps: Column, count: int) -> Column:
-    """The map that these maps make one after the other; a map is an array that says, for each state, the next one."""
-    same = F.array(*(F.lit(s) for s in range(count)))
-    return F.aggregate(maps, same, lambda done, m: F.transform(done, lambda s: F.element_at(m, s + 1)))
+def folded(placed: DataFrame, keys: list[str], order: list[str], element: Column, join: Callable[[Column, Column], Column], empty: Column, kind: str) -> DataFrame:
+    """placed (of in_ranges) with __element, and `before`: what the elements of all earlier rows of the key make, put together in order by
+    `join`, which must be associative and keep elements small, with `empty` for none. kind: their type.
 
+    PIECE rows are put together into one element, and PIECE pieces again, until a key has no more than PIECE; then each level is walked from
+    what the level above gives. A task holds PIECE rows of one key at a time."""
+    inside = Window.partitionBy("__range", *keys).orderBy(*order)
+    rest = [c for c in placed.columns if c not in ("__range", *keys)]
+    rows = placed.withColumns({"__element": element, "__n": F.row_number().over(inside)}).withColumn("__piece", F.floor((F.col("__n") - 1) / PIECE))
+    items = F.array_sort(F.collect_list(F.struct("__n", "__element", F.struct(*rest).alias("row"))))
+    pieces = rows.groupBy("__range", *keys, "__piece").agg(items.alias("__items"))
+    bound = placed.count() // PIECE + placed.rdd.getNumPartitions() + 1
+    whole = pieces.select(*keys, "__range", "__piece", together(F.col("__items.__element"), join, empty).alias("__element"))
+    out = pieces.join(begun(whole, keys, ["__range", "__piece"], join, empty, kind, bound), [*keys, "__range", "__piece"])
+    each = F.arrays_zip(F.col("__items.row").alias("row"), F.col("__items.__element").alias("own"), walked(F.col("begin"), F.col("__items"), join, kind).alias("before"))
+    return out.select("__range", *keys, F.inline(each)).select("__range", *keys, "row.*", F.col("own").alias("__element"), "before")
 
-def walked(start: Column, items: Column, of: str) -> Column:
-    """The states before and after each item, from `start` on: at most PIECE of them."""
-    begin = F.struct(start.alias("s"), F.expr("cast(array() as array<struct<before:int,after:int>>)").alias("out"))
 
-    def step(done: Column, item: Column) -> Column:
-        after = F.element_at(item[of], done["s"] + 1)
-        return F.struct(after.alias("s"), F.concat(done["out"], F.array(F.struct(done["s"].alias("before"), after.alias("after")))).alias("out"))
+def together(elements: Column, join: Callable[[Column, Column], Column], empty: Column) -> Column:
+    return F.aggregate(elements, empty, join)
 
-    return F.aggregate(items, begin, step, lambda done: done["out"])
 
+def walked(begin: Column, items: Column, join: Callable[[Column, Column], Column], kind: str) -> Column:
+    """What comes before each item: at most PIECE of them, from `begin` on."""
+    start = F.struct(begin.alias("s"), F.expr(f"cast(array() as array<{kind}>)").alias("out"))
+    step = lambda done, item: F.struct(join(done["s"], item["__element"]).alias("s"), F.concat(done["out"], F.array(done["s"])).alias("out"))
+    return F.aggregate(items, start, step, lambda done: done["out"])
 
-def states(placed: DataFrame, keys: list[str], order: list[str], maps: Column, count: int, start: int = 0) -> DataFrame:
-    """placed (of in_ranges) with the state of its key's machine before and after each row. maps: what the row makes of each of the
-    `count` states.
 
-    Maps of PIECE rows are composed into one, and those of PIECE pieces again, until a key has no more than PIECE; then each level is walked
-    from the state that the level above gives. A task holds PIECE rows of one key at a time."""
-    inside = Window.partitionBy("__range", *keys).orderBy(*order)
-    rest = [c for c in placed.columns if c not in ("__range", *keys)]
-    rows = placed.withColumns({"__map": maps, "__n": F.row_number().over(inside)}).withColumn("__piece", F.floor((F.col("__n") - 1) / PIECE))
-    pieces = rows.groupBy("__range", *keys, "__piece").agg(F.array_sort(F.collect_list(F.struct("__n", F.col("__map").alias("map"), F.struct(*rest).alias("row")))).alias("__rows"))
-    pieces = pieces.withColumn("map", composed(F.col("__rows.map"), count))
-    bound = placed.count() // PIECE + placed.rdd.getNumPartitions() + 1
-    entry = entries(pieces.select(*keys, "__range", "__piece", "map"), keys, ["__range", "__piece"], count, start, bound)
-    out = pieces.drop("map").join(entry, [*keys, "__range", "__piece"])
-    both = F.arrays_zip(F.col("__rows.row").alias("row"), walked(F.col("entry"), F.col("__rows"), "map").alias("at"))
-    return out.select("__range", *keys, F.inline(both)).select("__range", *keys, "row.*", F.col("at.before").alias("state_before"), F.col("at.after").alias("state"))
-
-
-def entries(pieces: DataFrame, keys: list[str], order: list[str], count: int, start: int, bound: int) -> DataFrame:
-    """(keys, order, entry): the state in which each piece begins. bound: pieces of a key at most."""
+def begun(pieces: DataFrame, keys: list[str], order: list[str], join: Callable[[Column, Column], Column], empty: Column, kind: str, bound: int) -> DataFrame:
+    """(keys, order, begin): what comes before each piece. bound: pieces of a key at most."""
     group = f"__group{bound}"  # each level has its own
     own = pieces.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).withColumn(group, F.floor(F.col("__i") / PIECE))
-    groups = own.groupBy(*keys, group).agg(F.array_sort(F.collect_list(F.struct("__i", F.struct(*order).alias("place"), "map"))).alias("__items"))
+    groups = own.groupBy(*keys, group).agg(F.array_sort(F.collect_list(F.struct("__i", "__element", F.struct(*order).alias("place")))).alias("__items"))
     if bound > PIECE:
-        above = entries(groups.select(*keys, group, composed(F.col("__items.map"), count).alias("map")), keys, [group], count, start, -(-bound // PIECE))
-        groups = groups.join(above, [*keys, group])
+        whole = groups.select(*keys, group, together(F.col("__items.__element"), join, empty).alias("__element"))
+        groups = groups.join(begun(whole, keys, [group], join, empty, kind, -(-bound // PIECE)), [*keys, group])
     else:
-        groups = groups.withColumn("entry", F.lit(start))
-    both = F.arrays_zip(F.col("__items.place").alias("place"), walked(F.col("entry"), F.col("__items"), "map").alias("at"))
-    return groups.select(*keys, F.inline(both)).select(*keys, "place.*", F.col("at.before").alias("entry"))
+        groups = groups.withColumn("begin", empty)
+    each = F.arrays_zip(F.col("__items.place").alias("place"), walked(F.col("begin"), F.col("__items"), join, kind).alias("begin"))
+    return groups.select(*keys, F.inline(each)).select(*keys, "place.*", "begin")
+
+
+def states(placed: DataFrame, keys: list[str], order: list[str], maps: Column, count: int, start: int = 0) -> DataFrame:
+    """placed (of in_ranges) with the state of its key's machine before and after each row. maps: what the row makes of each of the
+    `count` states, an array of next ones; two maps make one."""
+    same = F.array(*(F.lit(s) for s in range(count)))
+    out = folded(placed, keys, order, maps, lambda a, b: F.transform(a, lambda s: F.element_at(b, s + 1)), same, "array<int>")
+    out = out.withColumn("state_before", F.element_at("before", start + 1))
+    return out.withColumn("state", F.element_at("__element", F.col("state_before") + 1)).drop("__element", "before")
 
 
 def orbit(rows: DataFrame, keys: list[str], node: str, following: str, head: Column) -> DataFrame:

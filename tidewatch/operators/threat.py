@@ -5,11 +5,12 @@ from __future__ import annotations
 import ipaddress
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.exprs import uuid5
+from tidewatch.operators import scans
 
 #: Names of feeds' indicator types and what they are here (fixed values).
 TYPES = {
@@ -91,20 +92,32 @@ def new_matches(found: DataFrame, indicators: DataFrame, made: DataFrame, key: s
 
 
 def context(at: DataFrame, hits: DataFrame, newest: int = 20, feed: DataFrame | None = None, enabled: bool = True, fresh: int = 3600) -> DataFrame:
-    """at: asset_id, cutoff; hits: asset_id, match_id, epoch, fetched_at. The newest hits known at the cutoff: status and score.
-    feed: one row with last_success and now, where its health counts: without a success it is UNAVAILABLE, after `fresh`
-    seconds STALE; not enabled, DISABLED. Then there is no score."""
-    known = at.join(hits, "asset_id", "left").where("epoch is null or (epoch <= cutoff and fetched_at <= cutoff)")
-    ranked = known.withColumn("place", F.row_number().over(Window.partitionBy("asset_id", "cutoff").orderBy(F.desc("epoch"), "match_id"))).where(F.col("place") <= newest)
-    n = ranked.groupBy("asset_id", "cutoff").agg(F.count("match_id").alias("n"))
-    out = at.join(n, ["asset_id", "cutoff"], "left").na.fill(0, ["n"])
+    """at: asset_id, cutoff; hits: asset_id, match_id, epoch, fetched_at, and confidence (0.7 where there is none). The newest hits
+    known at each cutoff: their number n, status, score and greatest confidence. feed: one row with last_success and now, where its
+    health counts: without a success it is UNAVAILABLE, after `fresh` seconds STALE; not enabled, DISABLED. Then there is no score.
+
+    Hits, as they become known, and cutoffs are one ordered stream; the newest few so far are a small list, and two lists make one, so an
+    asset's stream is cut into pieces for many tasks. Work grows with hits and cutoffs, not with their pairs."""
+    confidence = F.col("confidence").cast("double") if "confidence" in hits.columns else F.lit(0.7)
+    kind = f"array<struct<age:bigint,match_id:{hits.schema['match_id'].dataType.simpleString()},confidence:double>>"
+    one = F.struct((-F.col("epoch")).cast("long").alias("age"), "match_id", confidence.alias("confidence"))
+    none = F.expr(f"cast(array() as {kind})")
+    stream = hits.where("epoch is not null and fetched_at is not null").select("asset_id", F.greatest("epoch", "fetched_at").cast("double").alias("t"), F.lit(0).alias("rank"), F.array(one).cast(kind).alias("hit"))
+    asked = at.select("asset_id", "cutoff").distinct()
+    stream = stream.unionAll(asked.select("asset_id", F.col("cutoff").cast("double"), F.lit(1), none))
+    keys, order = ["asset_id"], ["t", "rank"]
+    merge = lambda a, b: F.slice(F.array_sort(F.concat(a, b)), 1, newest)
+    known = scans.folded(scans.in_ranges(stream, keys, order), keys, order, F.col("hit"), merge, none, kind).where("rank = 1")
+    known = known.select("asset_id", F.col("t").alias("__t"), F.size("before").alias("n"), F.array_max(F.transform("before", lambda x: x["confidence"])).alias("known"))
+    out = at.withColumn("__t", F.col("cutoff").cast("double")).join(known, ["asset_id", "__t"]).drop("__t")
     state = F.lit(None).cast("string") if enabled else F.lit("DISABLED")
     if enabled and feed is not None:
         health = feed.agg(F.max("last_success").alias("last_success"), F.max("now").alias("now"))  # one row, also of none
         out = out.crossJoin(F.broadcast(health))
         state = F.when(F.col("last_success").isNull(), "UNAVAILABLE").when(F.col("last_success") < F.col("now") - fresh, "STALE")
     out = out.withColumn("status", F.coalesce(state, F.when(F.col("n") > 0, "MATCHED").otherwise("NO_MATCH"))).drop("last_success", "now")
-    return out.withColumn("threat_score", F.when(F.col("status").isin("MATCHED", "NO_MATCH"), F.least(F.lit(1.0), F.col("n") / 3)))
+    judged = F.col("status").isin("MATCHED", "NO_MATCH")
+    return out.withColumns({"threat_score": F.when(judged, F.least(F.lit(1.0), F.col("n") / 3)), "threat_confidence": F.when(judged, F.coalesce("known", F.lit(0.0)))}).drop("known")
 
 
 def shared(found: DataFrame, key: str, least: int = 2) -> DataFrame:

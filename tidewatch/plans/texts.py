@@ -228,6 +228,25 @@ def thr_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threat.context(at, hits).select("asset_id", "cutoff", "n", "status", F.round("threat_score", 9).alias("threat_score"))
 
 
+@query(f"""WITH c AS ({ORACLES['thr_context']}), h AS (SELECT 'A' || (user_id % 20) AS asset_id, event_id, CAST(epoch(ts) AS BIGINT) AS e, (user_id % 10) / 10.0 AS confidence FROM events WHERE event_type = 'error' AND value > 480),
+k AS (SELECT c.asset_id, cutoff, confidence, row_number() OVER (PARTITION BY c.asset_id, cutoff ORDER BY e DESC, event_id) AS place FROM c JOIN h ON h.asset_id = c.asset_id AND e + 3600 <= cutoff),
+m AS (SELECT asset_id, cutoff, max(confidence) AS confidence FROM k WHERE place <= 20 GROUP BY ALL),
+f AS (SELECT * FROM (VALUES ('fresh', NULL), ('stale', 'STALE'), ('none', 'UNAVAILABLE'), ('off', 'DISABLED')) AS t(feed, bad))
+SELECT feed, asset_id, cutoff, coalesce(bad, status) AS status, CASE WHEN bad IS NULL THEN threat_score END AS threat_score, CAST(CASE WHEN bad IS NULL THEN coalesce(confidence, 0) END AS DOUBLE) AS threat_confidence FROM c LEFT JOIN m USING (asset_id, cutoff), f""")
+def thr_feed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The context of every asset and day by the state of the feed: fresh, stale, never succeeded, and switched off."""
+    e = table(spark, sf_dir, "events")
+    second = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    asset = F.concat(F.lit("A"), F.col("user_id") % 20).alias("asset_id")
+    seen = F.round(second).cast("long")
+    hits = e.where("event_type = 'error' and value > 480").select(asset, F.col("event_id").alias("match_id"), seen.alias("epoch"), (seen + 3600).alias("fetched_at"), (F.col("user_id") % 10 / 10.0).alias("confidence"))
+    at = e.select(asset, (F.floor(second / 86_400) * 86_400).cast("long").alias("cutoff")).distinct()
+    feed = lambda last: spark.sql(f"select cast({last} as bigint) as last_success, 100000 as now")
+    cases = {"fresh": {"feed": feed(99_000)}, "stale": {"feed": feed(90_000)}, "none": {"feed": feed("null")}, "off": {"enabled": False}}
+    out = [threat.context(at, hits, **case).select(F.lit(name).alias("feed"), "asset_id", "cutoff", "status", F.round("threat_score", 9).alias("threat_score"), "threat_confidence") for name, case in cases.items()]
+    return out[0].unionAll(out[1]).unionAll(out[2]).unionAll(out[3])
+
+
 PROFILE = "CASE WHEN coalesce(market_score, 0) < 0.35 THEN least(0.59, {0}) ELSE {0} END".format
 
 
