@@ -7,7 +7,7 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def test_names():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES)
     assert [k for k, _ in corpus_pipeline.STAGES] == ["toxicity", "near_copies", "decontamination", "mixing", "training_order"]
 
@@ -37,6 +37,14 @@ def test_stages_keep_the_columns_and_take_effect(spark, kept):
     assert {r["doc_id"] for r in kept[5].select("doc_id").distinct().collect()} == {r["doc_id"] for r in kept[4].select("doc_id").distinct().collect()}
 
 
+def test_the_last_stage_as_shards(spark, kept, tmp_path):
+    from tidewatch.llm import tokens
+
+    path = str(tmp_path / "shards")
+    assert corpus_pipeline.write(spark, SMALL, path) > 0
+    assert {r["slot"]: bytes(r["tokens"]) for r in tokens.read_from(spark, path, 0).collect()} == {r["slot"]: bytes(r["tokens"]) for r in kept[5].collect()}
+
+
 def test_run_gives_the_last_stage(spark, kept):
     a = {(r["slot"], r["doc_id"], r["seq"], bytes(r["tokens"])) for r in corpus_pipeline.run(spark, SMALL).collect()}
     assert a == {(r["slot"], r["doc_id"], r["seq"], bytes(r["tokens"])) for r in kept[5].collect()}

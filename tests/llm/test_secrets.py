@@ -144,3 +144,23 @@ def test_kinds_at_one_start_and_clashing_columns(spark):
     same = "f" * 40
     both = secrets.find(f"{same}")
     assert [x["kind"] for x in both] == [2] and secrets.find("") == secrets.find(None) == []
+
+
+def test_very_many_findings_in_one_text(spark):
+    """Time grows with the text: two hundred thousand tokens, each second one inside an assignment."""
+    import time
+
+    text = " ".join(f"{'token=' if i % 2 else ''}{hashlib.sha256(str(i).encode()).hexdigest()[:30].upper()}q7" for i in range(200_000))
+    began = time.perf_counter()
+    found = secrets.find(text)
+    assert time.perf_counter() - began < 20
+    assert sum(x["kind"] == 0 for x in found) == 100_000
+    covered = [(x["start"], x["stop"]) for x in found if x["kind"] < 3]
+    starts = sorted(covered)
+    import bisect
+
+    assert sum(x["kind"] == 3 and x["covered"] for x in found) > 50_000 < sum(x["kind"] == 3 and not x["covered"] for x in found)
+    for x in found:
+        if x["kind"] == 3 and not x["covered"]:
+            i = bisect.bisect_left(starts, (x["start"], 0))
+            assert all(not (a < x["stop"] and x["start"] < b) for a, b in starts[max(0, i - 3) : i + 3])

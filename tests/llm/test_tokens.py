@@ -1,6 +1,7 @@
 import base64
 
 import numpy as np
+import pytest
 
 from tidewatch.llm import tokens
 
@@ -45,9 +46,10 @@ def test_round_trip_and_places(spark, tmp_path):
     assert len(parts[(0, 0)]) == 2  # a repeated row is a document like any other
     again = tokens.training_order(df.repartition(5), length=16, shard_rows=64, bucket_rows=3).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, got), key=lambda r: r[0]) or {tuple(r) for r in again} == {tuple(r) for r in got}
-    ordered = tokens.training_order(df, length=16, shard_rows=64, bucket_rows=3)
     path = str(tmp_path / "shards")
-    assert tokens.write_shards(ordered, path, 64) == -(-len(got) // 64)
+    write = lambda docs=df, **k: tokens.write_shards(docs, path, **({"length": 16, "shard_rows": 64, "bucket_rows": 3} | k))
+    assert write() == -(-len(got) // 64)
+    assert tokens.damaged(spark, path).collect() == []
     rest = tokens.read_from(spark, path, 70).collect()
     assert [r["slot"] for r in rest] == list(range(70, len(got)))
     assert tokens.training_order(df.limit(0)).count() == 0
@@ -63,11 +65,41 @@ def test_round_trip_and_places(spark, tmp_path):
     (tmp_path / "shards" / "shard-000000001.bin").unlink()
     (tmp_path / "shards" / "shard-000000002.bin").write_bytes(b"half")
     before = (tmp_path / "shards" / "shard-000000000.bin").stat().st_mtime_ns
-    assert tokens.write_shards(ordered, path, 64) == 2 + (len(got) % 64 > 0)
+    assert sorted(map(tuple, tokens.damaged(spark, path).collect())) == [(1, "missing"), (2, "changed")]
+    assert write(df.repartition(3)) == 2 and write() == 0
     assert (tmp_path / "shards" / "shard-000000000.bin").stat().st_mtime_ns == before
     assert [bytes(r["tokens"]) for r in tokens.read_from(spark, path, 0).collect()] == [bytes(by_slot[i]["tokens"]) for i in range(len(got))]
 
 
+def test_shards_of_another_corpus_key_or_length_are_never_kept(spark, tmp_path):
+    path = str(tmp_path)
+    one, two = (spark.createDataFrame([(i, f"{x} words {i} " * 20) for i in range(30)], "doc_id long, text string") for x in ("some", "else"))
+    settings = {"length": 16, "shard_rows": 8}
+    tokens.write_shards(one, path, **settings)
+    for docs, other in ((two, {}), (one, {"key": 5}), (one, {"length": 8}), (one, {"shard_rows": 4})):
+        with pytest.raises(ValueError):
+            tokens.write_shards(docs, path, **(settings | other))
+    order = {r["slot"]: bytes(r["tokens"]) for r in tokens.training_order(two, key=5, **settings).collect()}
+    assert tokens.write_shards(two, path, overwrite=True, key=5, **settings) == -(-len(order) // 8)
+    assert {s: tokens.read_slot(path, s).tobytes() for s in order} == order
+
+
+def test_long_white_space_is_cut_as_the_pattern_cuts_it(spark):
+    encode, whole = tokens.Encoder(tokens.VOCABULARY), plain()
+    for space in (" ", "\n", " \n\t", "\xa0", "\u3000"):
+        for text in (space * 40, "a" + space * 40 + "b", "a\n" + space * 41, space * 3 + " word"):
+            assert np.frombuffer(encode(text), "<u2").tolist() == whole.encode_ordinary(text)
+    # Ten million of each, where the pattern itself overflows: the ids grow with the run as those of a short one do.
+    for space in (" ", "\n", "\t ", "\xa0"):
+        n = 10_000_000 // len(space)
+        ids = np.frombuffer(encode("a" + space * n + "b"), "<u2").tolist()
+        assert whole.decode(ids) == "a" + space * n + "b"
+        short = whole.encode_ordinary("a" + space * 4000 + "b")
+        assert ids[:3] == short[:3] and ids[-3:] == short[-3:]
+    docs = spark.createDataFrame([(1, " " * 1_500_000 + "x"), (2, "a" + "\n" * 1_500_000)], "doc_id long, text string")
+    assert tokens.training_order(docs).agg({"n_tokens": "sum"}).first()[0] == (1_500_000 + 1) + (1 + 750_000 + 1)
+
+
 def test_partitions_hold_whole_shards_in_order(spark):
     df = spark.createDataFrame([(i, "some words of a text " * 40) for i in range(60)], "doc_id long, text string")
     out = tokens.training_order(df, length=16, shard_rows=8, part_shards=2)

@@ -23,7 +23,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of [0-9a-f]+ that are long enough
 BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
 PLACEHOLDER = re.compile(r"example|sample|dummy|changeme|placeholder|your|xxxx|1234567|abcdef", re.IGNORECASE)
 
-SPAN = "struct<start:int,kind:int,stop:int,value_hash:string,live_looking:boolean>"
+SPAN = "struct<start:int,kind:int,stop:int,value_hash:string,live_looking:boolean,covered:boolean>"
 FINDING = "struct<start:int,kind:int,stop:int,value_hash:string,live_looking:boolean,n_repos:bigint,n_owners:bigint,verdict:string>"
 
 
@@ -38,14 +38,14 @@ def live_looking(value: str) -> bool:
 
 
 def find(text: str | None) -> list[dict]:
-    """Every candidate of one text: base spans of the three patterns, and bare tokens that look live."""
+    """Every candidate of one text: base spans of the three patterns, and bare tokens that look live, and whether a base span touches these."""
     text = text or ""
     found = []
 
-    def add(kind: int, start: int, stop: int, value: str, keep: bool) -> None:
+    def add(kind: int, start: int, stop: int, value: str, keep: bool, covered: bool = False) -> None:
         live = live_looking(value)
         if keep or live:
-            found.append({"start": start, "kind": kind, "stop": stop, "value_hash": hashlib.sha256(value.encode("utf-8", "replace")).hexdigest(), "live_looking": live})
+            found.append({"start": start, "kind": kind, "stop": stop, "value_hash": hashlib.sha256(value.encode("utf-8", "replace")).hexdigest(), "live_looking": live, "covered": covered})
 
     for m in ASSIGN.finditer(text):
         if m.end(2) - m.start(2) >= 6:
@@ -55,8 +55,12 @@ def find(text: str | None) -> list[dict]:
             add(1, m.start(), m.end(), m[0], True)
     for m in HEX.finditer(text):
         add(2, m.start(), m.end(), m[0], True)
+    base = sorted((x["start"], x["stop"]) for x in found)
+    at, reach = 0, 0  # base spans that begin before the token ends, and how far they reach: one sweep of both
     for m in BARE.finditer(text):
-        add(3, m.start(), m.end(), m[0], False)
+        while at < len(base) and base[at][0] < m.end():
+            at, reach = at + 1, max(reach, base[at][1])
+        add(3, m.start(), m.end(), m[0], False, reach > m.start())
     found.sort(key=lambda x: (x["start"], x["kind"]))
     return found
 
@@ -77,7 +81,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [find(t) for t in b.column(4).to_pylist()]
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32()), ("value_hash", pa.string()), ("live_looking", pa.bool_())]))
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32()), ("value_hash", pa.string()), ("live_looking", pa.bool_()), ("covered", pa.bool_())]))
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(found, kind)], names=["row_id", "id", "owner", "repo", "found"])
 
     rows = docs.select(
@@ -94,11 +98,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counts = cut(seen.groupBy("value_hash").agg(F.countDistinct("owner").alias("n_owners"), F.countDistinct("repo").alias("n_repos"), F.sum("n").alias("n")))
     judged = attach(each, counts, "value_hash", "n", counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     verdict = F.when((F.col("n_owners") > max_owners) | (F.col("n_repos") > max_repos), "example").when(F.col("live_looking"), "live").otherwise("weak")
-    kept = judged.withColumn("verdict", verdict).where("kind < 3 or verdict = 'live'")
+    kept = judged.withColumn("verdict", verdict).where("kind < 3 or (verdict = 'live' and not covered)")
     per_row = kept.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "stop", "value_hash", "live_looking", "n_repos", "n_owners", "verdict"))).alias("all"))
-    uncovered = F.expr("filter(all, x -> x.kind < 3 or not exists(all, y -> y.kind < 3 and y.start < x.stop and x.start < y.stop))")
     joined = scanned.select("row_id", "id").join(per_row, "row_id", "left")
-    return joined.select(F.col("id").alias(id_col), F.coalesce(uncovered, F.expr(f"cast(array() as array<{FINDING}>)")).alias("findings"))
+    return joined.select(F.col("id").alias(id_col), F.coalesce("all", F.expr(f"cast(array() as array<{FINDING}>)")).alias("findings"))
 
 
 def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -6,6 +6,7 @@ import base64
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -185,6 +186,11 @@ def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Defined cases: null and empty texts are one sequence of one end mark; repeated rows and null ids are documents like
     any other (null first), each with numbers of its own; an empty table gives no rows. Other columns are ignored.
     """
+    return in_order(docs, id_col, text_col, length, shard_rows, key, vocabulary, part_shards, bucket_rows)[0]
+
+
+def in_order(docs: DataFrame, id_col: str, text_col: str, length: int, shard_rows: int, key: int, vocabulary: str, part_shards: int, bucket_rows: int) -> tuple[DataFrame, int]:
+    """The rows of training_order and how many there are."""
     own = written(tokenize(docs, id_col, text_col, vocabulary))
     sized = own.select("row", "id", "tie", F.ceil(F.length("ids") / (2 * length)).cast("long").alias("k"))
     total = sized.agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("sequences")).first()
@@ -215,28 +221,40 @@ def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Slots are dense and uniform: even ranges of them need no sampling pass over the rows.
     width = part_shards * shard_rows
     placed = placed.repartitionById(max(1, -(-n // width)), F.expr(f"cast(slot div {width} as int)")).sortWithinPartitions("slot")
-    return placed.select("slot", F.expr(f"cast(slot div {shard_rows} as long)").alias("shard"), F.expr(f"cast(slot % {shard_rows} * {2 * length} as long)").alias("byte_offset"), F.col("id").alias(id_col), "seq", "n_tokens", "tokens")
+    return placed.select("slot", F.expr(f"cast(slot div {shard_rows} as long)").alias("shard"), F.expr(f"cast(slot % {shard_rows} * {2 * length} as long)").alias("byte_offset"), F.col("id").alias(id_col), "seq", "n_tokens", "tokens"), n
 
 
 def shard_path(folder: str, shard: int) -> str:
     return f"{folder}/shard-{shard:09}.bin"
 
 
-def write_shards(ordered: DataFrame, path: str, shard_rows: int = 2048) -> int:
-    """Write the rows of training_order under path (a URI): a file for each shard with the tokens of its slots one after the
-    other, so that slot s is at s % shard_rows times the stride in the file of s div shard_rows, and a manifest.
+def identity_of(docs: DataFrame, id_col: str, text_col: str, **settings) -> dict:
+    """What a folder of shards is made of: the documents (how many, and two sums of their hashes, whatever their order) and settings."""
+    text = F.col(text_col).cast("string")
+    row = [F.col(id_col).cast("long"), text, F.col(id_col).isNull(), text.isNull()]
+    total = lambda *more: F.coalesce(F.sum(F.xxhash64(*row, *more).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    n, one, two = docs.agg(F.count(F.lit(1)), total(), total(F.lit("second"))).first()
+    return {"documents": n, "hashes": [one, two], **settings}
+
 
-    Each task writes its shards from its sorted slots, to a file of a temporary name that is renamed when it is whole: a
-    lost or repeated task leaves no half shard. Shards that are there at their full size are passed over, so a
-    broken run goes on where it ended. Rows must come sorted by slot within a partition, whole shards in one partition.
-    Returns the number of shards written by this run."""
+def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, shard_rows: int = 2048, key: int = 20240229, vocabulary: str = VOCABULARY, part_shards: int = 16, bucket_rows: int = 50_000, overwrite: bool = False) -> int:
+    """The training order of docs under path (a URI): a file for each shard with the tokens of its slots one after the other, so that slot
+    s is at s % shard_rows times the stride in the file of s div shard_rows; a table of the shards' checksums; and a manifest.
+
+    What the folder is made of (documents, key, length and so on) is written first. A folder of another identity is an error, or, with
+    `overwrite`, emptied: shards of another corpus, key or length are never kept. Each task writes its shards from its sorted slots, to a
+    file of a temporary name that is renamed when it is whole: a lost or repeated task leaves no half shard. Shards that are there at their
+    full size are passed over, so a broken run goes on where it ended. Returns the number of shards written by this run."""
     target, folder = fs.FileSystem.from_uri(path)
-    target.create_dir(folder, recursive=True)
+    identity = identity_of(docs, id_col, text_col, length=length, shard_rows=shard_rows, key=key, vocabulary=vocabulary.rsplit("/", 1)[-1])
+    claim(target, folder, identity, overwrite)
+    ordered, slots = in_order(docs, id_col, text_col, length, shard_rows, key, vocabulary, part_shards, bucket_rows)
+    stride = 2 * length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, at = fs.FileSystem.from_uri(path)
-        done: list[tuple[int, int, int]] = []
-        shard, out, temporary, expected, skip, rows, stride = -1, None, "", 0, False, 0, 0
+        done: list[tuple[int, int, int, int]] = []
+        shard, out, temporary, expected, skip, rows, crc = -1, None, "", 0, False, 0, 0
 
         def close() -> None:
             if shard < 0:
@@ -244,32 +262,73 @@ def write_shards(ordered: DataFrame, path: str, shard_rows: int = 2048) -> int:
             if not skip:
                 out.close()
                 files.move(temporary, shard_path(at, shard))
-            done.append((shard, rows, int(not skip)))
+            done.append((shard, rows, crc, int(not skip)))
 
         for b in batches:
             for slot, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if slot // shard_rows != shard:
                     close()
-                    shard, rows, expected, stride = slot // shard_rows, 0, slot % shard_rows, len(tokens)
+                    shard, rows, expected, crc = slot // shard_rows, 0, slot // shard_rows * shard_rows, 0
                     info = files.get_file_info(shard_path(at, shard))
-                    skip = info.type == fs.FileType.File and info.size == stride * shard_rows
+                    skip = info.type == fs.FileType.File and info.size == stride * min(shard_rows, slots - shard * shard_rows)
                     if not skip:
                         temporary = f"{at}/.shard-{shard:09}-{uuid.uuid4().hex}"
                         out = files.open_output_stream(temporary)
-                if slot % shard_rows != expected or len(tokens) != stride:
+                if slot != expected or len(tokens) != stride:
                     raise ValueError(f"slot {slot} is out of order or of another length")
-                expected, rows = expected + 1, rows + 1
+                expected, rows, crc = expected + 1, rows + 1, zlib.crc32(tokens, crc)
                 if not skip:
                     out.write(tokens)
         close()
-        cols = list(zip(*done, strict=True)) if done else [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["shard", "rows", "written"])
-
-    got = ordered.select("slot", "tokens").mapInArrow(run, "shard long, rows long, written long").agg(F.sum("rows"), F.coalesce(F.sum("written"), F.lit(0)), F.count(F.lit(1))).first()
-    first = ordered.select(F.length("tokens").alias("stride")).first()
+        cols = list(zip(*done, strict=True)) if done else [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["shard", "rows", "crc32", "written"])
+
+    sums = f"{path.rstrip('/')}/_checksums"
+    ordered.select("slot", "tokens").mapInArrow(run, "shard long, rows long, crc32 long, written long").write.mode("overwrite").parquet(sums)
+    rows, made, shards = docs.sparkSession.read.parquet(sums).agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("written"), F.lit(0)), F.count(F.lit(1))).first()
+    if rows != slots:
+        raise RuntimeError(f"{rows} of {slots} slots were written")
     with target.open_output_stream(f"{folder}/manifest.json") as f:
-        f.write(json.dumps({"slots": got[0] or 0, "shards": got[2], "shard_rows": shard_rows, "stride": first[0] if first else 0}).encode())
-    return got[1]
+        f.write(json.dumps({"slots": slots, "shards": shards, "shard_rows": shard_rows, "stride": stride, "identity": identity}).encode())
+    return made
+
+
+def claim(target: fs.FileSystem, folder: str, identity: dict, overwrite: bool) -> None:
+    """Make folder that of this identity."""
+    target.create_dir(folder, recursive=True)
+    own = f"{folder}/identity.json"
+    there = [f.path for f in target.get_file_info(fs.FileSelector(folder)) if re.search(r"/(\.?shard-|manifest\.json|identity\.json)", f.path)]
+    if target.get_file_info(own).type == fs.FileType.File and json.loads(target.open_input_stream(own).read()) == identity:
+        return
+    if there and not overwrite:
+        raise ValueError(f"{folder} holds shards of another corpus, key or length")
+    for p in there:
+        target.delete_file(p)
+    with target.open_output_stream(f"{own}.new") as f:
+        f.write(json.dumps(identity).encode())
+    target.move(f"{own}.new", own)
+
+
+def damaged(spark: SparkSession, path: str) -> DataFrame:
+    """The shards whose files are missing or not what was written: shard and why."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, at = fs.FileSystem.from_uri(path)
+        for b in batches:
+            bad = []
+            for shard, crc in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if files.get_file_info(shard_path(at, shard)).type != fs.FileType.File:
+                    bad.append((shard, "missing"))
+                    continue
+                got = 0
+                with files.open_input_stream(shard_path(at, shard)) as f:
+                    while data := f.read(1 << 20):
+                        got = zlib.crc32(data, got)
+                if got != crc:
+                    bad.append((shard, "changed"))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in bad], pa.int64()), pa.array([x[1] for x in bad], pa.string())], names=["shard", "why"])
+
+    return spark.read.parquet(f"{path.rstrip('/')}/_checksums").select("shard", "crc32").mapInArrow(run, "shard long, why string")
 
 
 def read_slot(path: str, slot: int) -> np.ndarray:
