@@ -24,7 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with row, a hash of all columns, which joins back what was found out about a row: ids may be null or repeated.
-    It needs no copy of the texts; only rows that are equal in all columns share it."""
+    It needs no copy of the texts. Rows that are equal in all columns share it; others do by a collision of 64 bits only, of
+    which some n^2 / 2^65 are to be expected among n rows."""
     return docs.select(DOCUMENT).withColumn("row", F.xxhash64(*DOCUMENT, *(F.col(c).isNull() for c in DOCUMENT)))
 
 
@@ -77,8 +78,17 @@ STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("deconta
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return STAGES[-1][1](spark, mixed(spark, sf_dir), sf_dir)
+
+
+def write(spark: SparkSession, sf_dir: str, path: str, overwrite: bool = False) -> int:
+    """run's sequences as fixed-stride shards under path, for training to read by offset; returns how many this run wrote."""
+    return tokens.write_shards(mixed(spark, sf_dir), path, overwrite=overwrite)
