@@ -40,6 +40,14 @@ def hmac_sha256(key: str, message: Column) -> Column:
     return F.sha2(F.concat(pad(0x5C), F.unhex(inner)), 256)
 
 
+def hmac_sha256_by(key: Column, message: Column) -> Column:
+    """As hmac_sha256, with a key of its own for each row."""
+    block = F.rpad(F.hex(F.encode(key, "UTF-8")), 128, "0")
+    byte = lambda i: F.conv(F.substr(block, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+    pad = lambda x: F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lpad(F.hex(byte(i).bitwiseXOR(F.lit(x))), 2, "0")), ""))
+    return F.sha2(F.concat(pad(0x5C), F.unhex(F.sha2(F.concat(pad(0x36), F.encode(message, "UTF-8")), 256))), 256)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays, within 0..1; 0 where a norm is."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

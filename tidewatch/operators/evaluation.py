@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import severity
 from tidewatch.operators.scoring import WEIGHTS, platt
+from tidewatch.sources.tables import shared_folder
 
-#: The components of each cumulative profile (fixed values).
-PROFILES = {"market_only": ["market_score"], "social": ["market_score", "social_score"], "coordination": ["market_score", "social_score", "coordination_score"], "temporal": ["market_score", "social_score", "coordination_score", "temporal_score"], "full": [*WEIGHTS]}
+FOUR = ["market_score", "social_score", "coordination_score", "temporal_score"]
+#: The components of each cumulative profile, in order (fixed values).
+PROFILES = {"MARKET_ONLY": FOUR[:1], "MARKET_SOCIAL": FOUR[:2], "COORDINATION": FOUR, "GRAPH": [*FOUR, "graph_score"], "VERIFICATION": [*FOUR, "graph_score", "claim_risk", "legitimate_event_score"]}
 
 
 def profile_score(names: list[str]) -> Column:
-    """The weighted mean of the given components, at most 0.59 without market evidence."""
-    w = sum((F.when(F.col(k).isNotNull(), WEIGHTS[k]).otherwise(0.0) for k in names), F.lit(0.0))
-    s = sum((F.coalesce(F.col(k) * WEIGHTS[k], F.lit(0.0)) for k in names), F.lit(0.0))
+    """The weighted mean of the given components, less what a legitimate event explains if that is among them; at most 0.59 without
+    market evidence. Rounded half to even."""
+    w = sum((F.when(F.col(k).isNotNull(), WEIGHTS[k]).otherwise(0.0) for k in names if k in WEIGHTS), F.lit(0.0))
+    s = sum((F.coalesce(F.col(k) * WEIGHTS[k], F.lit(0.0)) for k in names if k in WEIGHTS), F.lit(0.0))
     raw = F.when(w > 0, s / w).otherwise(0.0)
+    if "legitimate_event_score" in names:
+        raw = raw * (1 - 0.35 * F.coalesce(F.col("legitimate_event_score"), F.lit(0.0)))
     return F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(F.coalesce(F.col("market_score"), F.lit(0.0)) < 0.35, F.least(raw, F.lit(0.59))).otherwise(raw))), 6)
 
 
@@ -28,18 +33,37 @@ def ablation(scored: DataFrame) -> DataFrame:
 
 
 def metrics(rows: DataFrame, positive_from: float, keys: list[str], time: str = "epoch") -> DataFrame:
-    """Alert counts, first times, lead time, precision and false-positive proxies, peak score per group."""
+    """Alert counts, first times, lead time, precision and false-positive proxies, peak score per group; and, where rows have
+    missing_output_count and data_freshness_seconds, the rate of missing outputs (of seven) and the mean freshness."""
     t = F.col(time)
     high, watch = F.col("level").isin("HIGH", "CRITICAL"), F.col("level") != "NORMAL"
     n_high, negatives = F.count_if(high), F.count_if(t < positive_from)
     first = F.min(F.when(watch, t))
     return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("observations"), n_high.alias("alerts"), F.count_if(watch).alias("watch_or_higher"), first.alias("first_watch"), F.min(F.when(high, t)).alias("first_high"),
+        F.count(F.lit(1)).alias("observations"), n_high.alias("alerts"), F.count_if(watch).alias("watch_or_higher"), first.alias("first_watch"), F.min(F.when(high, t)).alias("first_high"), F.min(F.when(F.col("level") == "CRITICAL", t)).alias("first_critical"),
         (positive_from - first).alias("lead_seconds"), F.when(n_high > 0, F.count_if(high & (t >= positive_from)) / n_high).otherwise(1.0).alias("precision_proxy"),
         F.when(negatives > 0, F.count_if(high & (t < positive_from)) / negatives).otherwise(0.0).alias("false_positive_rate"), F.avg("confidence").alias("mean_confidence"), F.max("score").alias("peak_score"),
+        *([F.avg(F.col("missing_output_count") / 7).alias("missing_output_rate")] if "missing_output_count" in rows.columns else []), *([F.avg("data_freshness_seconds").alias("mean_data_freshness_seconds")] if "data_freshness_seconds" in rows.columns else []),
     )
 
 
+def evaluated(scored: DataFrame, positive_from: float, time: str = "epoch") -> DataFrame:
+    """The metrics of each cumulative profile, what it adds to the peak score of the profile before (contribution_delta), and the median
+    and 95th percentile of the processing latency, if rows have processing_latency_ms."""
+    rows = ablation(scored)
+    out = metrics(rows, positive_from, ["step", "profile"], time)
+    out = out.withColumn("contribution_delta", F.round(F.col("peak_score") - F.coalesce(F.lag("peak_score").over(Window.orderBy("step")), F.lit(0.0)), 6))  # a row for each profile
+    if "processing_latency_ms" not in scored.columns:
+        return out
+    # An observation's latency is the same for all profiles: kept apart, as the percentiles read it several times.
+    shared_folder(scored.sparkSession)
+    latency = scored.select(F.lit(True).alias("all"), "processing_latency_ms").checkpoint()
+    for name, fraction in (("p50_latency_ms", 0.50), ("p95_latency_ms", 0.95)):
+        at = exact_percentile(latency, ["all"], "processing_latency_ms", fraction).agg(F.max("percentile").alias(name))
+        out = out.crossJoin(F.broadcast(at))  # one row
+    return out
+
+
 def exact_percentile(rows: DataFrame, keys: list[str], value: str, fraction: float, slices: int = 4096) -> DataFrame:
     """The value at place round((n - 1) * fraction), half to even, per group; nulls don't count.
 
@@ -79,11 +103,13 @@ def calibration_metrics(rows: DataFrame, p: str, label: str, bins: int = 10, key
     return base.join(ece, own).join(auc, own).drop("__all")
 
 
-def fit_platt(rows: DataFrame, score: str, label: str, steps: int = 1500, rate: float = 0.05) -> tuple[float, float]:
-    """Slope and intercept by full-batch gradient steps from (1, 0). Scores are counted by their value to six decimals, which
-    is what scores have, so the driver holds two million counts at most and the data are read once."""
-    counts = rows.groupBy(F.round(F.col(score), 6).alias("s"), F.col(label).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    got = counts.toPandas().sort_values(["s", "y"])
+def fit_platt(rows: DataFrame, score: str, label: str, steps: int = 1500, rate: float = 0.05, most: int = 2_000_000) -> tuple[float, float]:
+    """Slope and intercept by full-batch gradient steps from (1, 0), of the scores as they are. Equal scores are counted; the driver
+    holds `most` distinct ones at most, and beyond that a step would have to be an aggregation of its own, so it is an error."""
+    counts = rows.groupBy(F.col(score).cast("double").alias("s"), F.col(label).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    got = counts.limit(most + 1).toPandas().sort_values(["s", "y"])
+    if len(got) > most:
+        raise ValueError(f"over {most} distinct scores: round them to the precision that counts")
     total = int(got["n"].sum())
     if total < 20 or got["y"].nunique() < 2:
         raise ValueError("at least 20 labels of both outcomes are required")

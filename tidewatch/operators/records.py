@@ -33,7 +33,7 @@ def overlaps(rows: DataFrame, key: str, row: str, since: str, until: str) -> Dat
 
 def redact(settings: Column) -> Column:
     """A map of settings with secret values masked."""
-    return F.transform_values(settings, lambda k, v: F.when(F.lower(k).rlike("token|password|secret|api_?key|authorization"), F.lit("***")).otherwise(v))
+    return F.transform_values(settings, lambda k, v: F.when(F.lower(k).rlike("token|password|secret|api_key|authorization"), F.lit("[REDACTED]")).otherwise(v))
 
 
 def completeness(rows: DataFrame, parts: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.exprs import SEVERITIES, hmac_sha256, rank_of, uuid5
+from tidewatch.functions.exprs import SEVERITIES, hmac_sha256_by, rank_of, uuid5
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -65,9 +65,20 @@ def retry_state(deliveries: DataFrame, now: int, most: int = 5) -> DataFrame:
     return deliveries.withColumn("status", status).withColumn("next_attempt", F.when(F.col("status") == "RETRY", (now + wait).cast("long")))
 
 
-def signed(rows: DataFrame, secret: str, fields: list[str]) -> DataFrame:
-    """Adds the message body (JSON) and its signature."""
-    return rows.withColumn("body", F.to_json(F.struct(*fields))).withColumn("signature", hmac_sha256(secret, F.col("body")))
+MESSAGE = ["alert_id", "alert_type", "asset_id", "campaign_id", "event_id", "event_time", "event_type", "severity", "status"]
+
+
+def messages(deliveries: DataFrame, channels: DataFrame, sender: str = "") -> DataFrame:
+    """deliveries: channel_id and the fields of MESSAGE; channels: channel_id, channel_type, secret. What is sent to each: body, the fields
+    as JSON by name (chats get one line of text), the idempotency key, and for a webhook with a secret the body's signature."""
+    rows = deliveries.join(channels, "channel_id")
+    whole = F.to_json(F.struct(*MESSAGE), {"ignoreNullFields": "false"})
+    line = F.concat_ws(" ", F.lit(sender) if sender else F.lit(None), F.format_string("%s alert: %s for %s", "severity", "alert_type", "asset_id")).alias("text")
+    body = F.when(F.col("channel_type") == "SLACK", F.to_json(F.struct(line))).when(F.col("channel_type") == "TEAMS", F.to_json(F.struct(line, F.lit("message").alias("type")))).otherwise(whole)
+    rows = rows.withColumn("body", body)
+    signs = (F.col("channel_type") == "WEBHOOK") & (F.col("secret") != "")
+    signature = F.when(signs, F.concat(F.lit("sha256="), hmac_sha256_by(F.col("secret"), F.col("body"))))
+    return rows.select("channel_id", "event_id", F.col("event_id").alias("idempotency_key"), "channel_type", "body", signature.alias("signature"))
 
 
 def evidence_chain(rows: DataFrame, key: str, version: str, fields: list[str]) -> DataFrame:

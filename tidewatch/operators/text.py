@@ -246,15 +246,17 @@ TAGS = {"CASHTAG": re.compile(r"(?<!\w)\$([A-Za-z][A-Za-z0-9]{0,15})"), "HASHTAG
 RUN = re.compile(r"(?<![\w$#])(\w+|[^\w\s$#])")
 
 
-def resolve_mentions(posts: DataFrame, aliases: DataFrame, text: str = "text", longest: int = 64) -> DataFrame:
+def resolve_mentions(posts: DataFrame, aliases: DataFrame, text: str = "text") -> DataFrame:
     """posts: post_id and a text; aliases: alias_table's. A row for each cashtag, hashtag and bare alias of several words or
     one: post_id, start, stop, mention_text, kind, asset_id, status, confidence, candidates and reason; offsets are
-    those of the text in normal form KC. Aliases longer than `longest` characters are not looked for.
+    those of the text in normal form KC. Aliases may be of any length.
 
     The places where an alias may begin are joined with the aliases by their first word, an equality; a hot word is
     spread by the measured skew of that join. Whether the whole alias is there is then a comparison of strings.
     """
 
+    longest = aliases.agg(F.coalesce(F.max(F.length("alias")), F.lit(0))).first()[0]
+
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
@@ -273,7 +275,7 @@ def resolve_mentions(posts: DataFrame, aliases: DataFrame, text: str = "text", l
 
     key = posts.schema["post_id"].dataType.simpleString()
     found = posts.select("post_id", nfkc(F.col(text)).alias("text")).mapInArrow(places, f"post_id {key}, start int, stop int, said string, kind string, word string, tail string, plain string, around string")
-    known = aliases.where(F.length("alias") <= longest).groupBy("alias").agg(F.sort_array(F.collect_set("asset_id")).alias("candidates"), F.max("ambiguous").alias("unsure"))
+    known = aliases.groupBy("alias").agg(F.sort_array(F.collect_set("asset_id")).alias("candidates"), F.max("ambiguous").alias("unsure"))
     tags = found.where("kind <> 'BARE'").join(known.withColumnRenamed("alias", "word"), "word", "left").select("post_id", "start", "stop", F.col("said").alias("mention_text"), "kind", "candidates", "unsure", "around")
     first = known.withColumn("word", F.regexp_extract("alias", r"(?U)^(\w+|\W)", 1))
     n = F.length("alias")
