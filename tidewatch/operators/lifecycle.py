@@ -128,7 +128,7 @@ def references(snapshots: DataFrame, key: str, parts: dict[str, Column]) -> Data
 def snapshot_with_references(snapshots: DataFrame, refs: DataFrame, alert: str, version: str, key: str) -> DataFrame:
     """The last snapshot of each alert, with how many references it has and the hash of them all in order."""
     last = serving.latest(snapshots, [alert], [version])
-    own = refs.join(last.select(key), key).groupBy(key).agg(F.count(F.lit(1)).alias("references"), F.sha2(F.array_join(F.sort_array(F.collect_list("reference_id")), ","), 256).alias("references_hash"))
+    own = serving.digests(refs.join(last.select(key), key), [key], ["reference_id"], "reference_id").withColumnsRenamed({"digest": "references_hash", "n": "references"})
     return last.join(own, key, "left").na.fill(0, ["references"])
 
 

@@ -102,6 +102,34 @@ def evidence_chain(rows: DataFrame, key: str, version: str, fields: list[str]) -
     return ordered.mapInArrow(fold, f"{key} string, version long, content_hash string, chain_hash string")
 
 
+def digests(rows: DataFrame, keys: list[str], order: list[str], value: str, sep: str = ",", algorithm: str = "sha256") -> DataFrame:
+    """Per key the hash of its values (as text, joined by sep, by order; nulls left out) and their number n: what a list of
+    the group, sorted and hashed, would give. Spark sorts the rows, spilling where it must, and each task folds them in constant memory.
+    Keys are strings, integers or booleans."""
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    named = rows.where(F.col(value).isNotNull()).select(F.to_json(F.struct(*keys)).alias("__k"), F.col(value).cast("string").alias("__v"), *(F.col(o).alias(f"__o{i}") for i, o in enumerate(order)))
+    ordered = named.repartition("__k").sortWithinPartitions("__k", *(f"__o{i}" for i in range(len(order)))).select("__k", "__v")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, hashed, n = None, None, 0
+        for b in batches:
+            done = [], [], []
+            for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if k != now:
+                    if now is not None:
+                        for column, x in zip(done, (now, hashed.hexdigest(), n), strict=True):
+                            column.append(x)
+                    now, hashed, n = k, hashlib.new(algorithm), 0
+                hashed.update((sep + v if n else v).encode())
+                n += 1
+            yield pa.RecordBatch.from_arrays([pa.array(done[0], pa.string()), pa.array(done[1], pa.string()), pa.array(done[2], pa.int64())], names=["k", "digest", "n"])
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([hashed.hexdigest()], pa.string()), pa.array([n], pa.int64())], names=["k", "digest", "n"])
+
+    folded = ordered.mapInArrow(fold, "k string, digest string, n long")
+    return folded.select(F.from_json("k", kinds).alias("k"), "digest", "n").select("k.*", "digest", "n")
+
+
 def scd2(changes: DataFrame, key: str, at: str) -> DataFrame:
     """Each change in force from its time until the next one of its key."""
     w = Window.partitionBy(key).orderBy(at)
@@ -139,8 +167,8 @@ def cases(rows: DataFrame, opened: Column, status: Column, deadline: int, closed
 
 def watchlists(members: DataFrame, lists: DataFrame, key: str, asset: str) -> DataFrame:
     """Each list with its name, how many assets it has and a hash of them in order."""
-    own = members.groupBy(key).agg(F.sort_array(F.collect_set(asset)).alias("ids"))
-    return own.join(lists, key).withColumns({"assets": F.size("ids").cast("long"), "assets_hash": F.md5(F.array_join(F.col("ids").cast("array<string>"), ","))}).drop("ids")
+    own = digests(members.select(key, asset).distinct(), [key], [asset], asset, algorithm="md5")
+    return own.join(lists, key).withColumnsRenamed({"digest": "assets_hash", "n": "assets"})
 
 
 def progress(events: DataFrame, topic: str, partition: Column, offset: str, at: Column) -> DataFrame:

@@ -34,7 +34,9 @@ def _address(values: pd.Series) -> pd.Series:
 
 
 def domain(value: Column) -> Column:
+    """In lower case, without dots at the end, in its ASCII form (IDNA, by the JVM's own function); null if that is no domain."""
     v = F.lower(F.regexp_replace(value, r"\.+$", ""))
+    v = F.when(v.rlike(r"^[\x00-\x7f]*$"), v).otherwise(F.lower(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), v)))
     return F.when(v.rlike(LABELS), v)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators import serving
+
 KEY = ["scope_id", "asset_id", "interval_seconds", "window_start"]
 #: Order and names of the model's inputs (fixed values).
 FEATURES = (
@@ -159,10 +161,11 @@ def watermarks(signals: DataFrame, required: tuple[str, ...] = ("market", "socia
 
 
 def lineage(signals: DataFrame, intervals: list[int]) -> DataFrame:
-    """The ordered ids of a window's rows as one hash, with count and time bounds."""
+    """The ordered ids of a window's rows as one hash, with count and time bounds. No list of a window is held."""
     rows = assign(signals, intervals)
-    ids = F.transform(F.sort_array(F.collect_list(F.struct("t", "event_id"))), lambda x: x.event_id)
-    return rows.groupBy(*KEY).agg(F.sha2(F.concat_ws(",", ids), 256).alias("lineage_hash"), F.count(F.lit(1)).alias("n"), F.min("t").alias("min_event_time"), F.max("t").alias("max_event_time"))
+    bounds = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("min_event_time"), F.max("t").alias("max_event_time"))
+    ids = serving.digests(rows, KEY, ["t", "event_id"], "event_id").select(*KEY, F.col("digest").alias("lineage_hash"))
+    return bounds.join(ids, KEY, "left").select(*KEY, F.coalesce("lineage_hash", F.sha2(F.lit(""), 256)).alias("lineage_hash"), "n", "min_event_time", "max_event_time")
 
 
 __all__ = ["FEATURES", "KEY", "assign", "features", "first_per_key", "lineage", "source_states", "watermarks"]
