@@ -61,8 +61,10 @@ def test_a_broken_indicator_is_isolated(spark):
 
 def test_candles_and_what_was_not_seen(spark):
     raw = spark.createDataFrame([("A", '[[1704067200000,"1.5","2","1","1.75","10",0],[1704067260000,"1","1","1","1","0",0]]')], "asset_id string, body string")
-    got = landing.candles(raw).orderBy("event_time").collect()
+    got = landing.candles(raw, closed=False).orderBy("event_time").collect()
     assert [(r["open"], r["close"], r["volume"], r["interval_seconds"]) for r in got] == [(1.5, 1.75, 10.0, 60), (1.0, 1.0, 0.0, 60)]
+    bodies = spark.createDataFrame([("A", "[]"), ("B", None), ("C", "broken"), ("D", '[["1","2","3","4","5","6"]]')], "asset_id string, body string")
+    assert [r["open"] for r in landing.candles(raw).collect()] == [1.5] and landing.candles(bodies).count() == 0
     rows = spark.createDataFrame([("A", 1), ("A", 2), ("B", 1)], "k string, n long")
     assert sorted(tuple(r) for r in landing.unseen(rows, "k", "n", spark.createDataFrame([("A", 1)], "k string, last long")).collect()) == [("A", 2), ("B", 1)]
 

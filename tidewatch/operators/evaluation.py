@@ -127,11 +127,30 @@ def calibrated(rows: DataFrame, score: str, slope: float, intercept: float) -> D
     return rows.withColumn("calibrated", platt(F.col(score), slope, intercept))
 
 
-def promotion(candidates: DataFrame, minimum_samples: int, maximum_ece: float, minimum_auc: float, false_positive_budget: int, tolerance: float = 0.0, champion_required: bool = False) -> DataFrame:
+def promotion_inputs(candidates: DataFrame, calibrations: DataFrame, aliases: DataFrame, drifts: DataFrame, reports: DataFrame, now: int, days: int = 30) -> DataFrame:
+    """What promotion asks of each candidate (artifact_id, family, version): its latest active calibration (without one it is left out), the
+    champion of its family with the Brier score of that one's latest active calibration, the latest drift status of its version, and the
+    false positives reported in the last days. A candidate that is its family's champion is compared with none.
+
+    calibrations: artifact_id, status, created, samples, ece, auc, brier; aliases: family, alias, artifact_id; drifts and reports: family,
+    version, and observed and drift_status, or created."""
+    last = calibrations.where("status = 'ACTIVE'").groupBy("artifact_id").agg(F.max_by(F.struct("samples", "ece", "auc", "brier"), "created").alias("c"))
+    champions = aliases.where("alias = 'CHAMPION'").select("family", F.col("artifact_id").alias("champion_id"))
+    briers = last.select(F.col("artifact_id").alias("champion_id"), F.col("c.brier").alias("champion_brier"))
+    moved = drifts.groupBy("family", "version").agg(F.max_by("drift_status", "observed").alias("drift_status"))
+    wrong = reports.where(F.col("created") >= now - days * 86_400).groupBy("family", "version").agg(F.count(F.lit(1)).alias("false_positives"))
+    rows = candidates.join(last, "artifact_id").select(*candidates.columns, "c.*").join(champions, "family", "left")
+    other = F.col("champion_id").isNotNull() & (F.col("champion_id") != F.col("artifact_id"))
+    rows = rows.withColumn("champion_required", other).join(briers, "champion_id", "left").withColumn("champion_brier", F.when(F.col("champion_required"), F.col("champion_brier")))
+    return rows.join(moved, ["family", "version"], "left").join(wrong, ["family", "version"], "left").na.fill(0, ["false_positives"])
+
+
+def promotion(candidates: DataFrame, minimum_samples: int, maximum_ece: float, minimum_auc: float, false_positive_budget: int, tolerance: float = 0.0, champion_required: bool | Column = False, apply: Column | None = None) -> DataFrame:
     """candidates: samples, ece, auc, brier, champion_brier (null: none), drift_status and false_positives. Adds the gates and the
-    status: PROMOTED if all are met, else REJECTED. The champion counts where one is required."""
+    status: if all are met PROMOTED, or APPROVED where the decision is not to be applied; else REJECTED. The champion counts where one is
+    required."""
     champion = F.col("champion_brier")
-    free = F.lit(not champion_required)
+    free = ~champion_required if isinstance(champion_required, Column) else F.lit(not champion_required)
     gates = {
         "enough_samples": F.col("samples") >= minimum_samples, "calibrated": F.col("ece") <= maximum_ece, "discriminates": F.col("auc") >= minimum_auc,
         "drift_stable": F.coalesce(F.col("drift_status") != "DRIFTED", F.lit(True)), "within_false_positives": F.col("false_positives") <= false_positive_budget,
@@ -140,7 +159,7 @@ def promotion(candidates: DataFrame, minimum_samples: int, maximum_ece: float, m
     every = F.lit(True)
     for g in gates:
         every = every & F.col(g)
-    return candidates.withColumns(gates).withColumn("status", F.when(every, "PROMOTED").otherwise("REJECTED"))
+    return candidates.withColumns(gates).withColumn("status", F.when(~every, "REJECTED").when(F.lit(True) if apply is None else F.coalesce(apply, F.lit(False)), "PROMOTED").otherwise("APPROVED"))
 
 
 def drift(values: DataFrame, key: str, value: str, reference: str, limit: float = 0.2, bins: int = 10) -> DataFrame:

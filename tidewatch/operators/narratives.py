@@ -13,6 +13,14 @@ from tidewatch.functions.exprs import cosine, uuid5
 from tidewatch.operators import serving, text
 
 
+def centroids(members: DataFrame, group: str, vector: str = "vector") -> DataFrame:
+    """The mean of each group's vectors, of length 1 (0 where it has none): a row for each dimension (group, i, value), so vectors
+    of any length do and no group is gathered."""
+    each = members.select(group, F.posexplode(vector).alias("i", "x")).groupBy(group, "i").agg(F.avg("x").alias("m"))
+    size = each.groupBy(group).agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("__size"))
+    return each.join(size, group).select(group, "i", F.when(F.col("__size") > 0, F.col("m") / F.col("__size")).otherwise(0.0).alias("value"))
+
+
 def similarities(members: DataFrame, group: str, vector: str = "vector") -> DataFrame:
     """Adds the similarity of each member to its group's centroid. The centroid is an average for each dimension, taken by
     place, so vectors of any length do and no group is gathered."""

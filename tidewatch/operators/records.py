@@ -49,6 +49,20 @@ def contributions(rows: DataFrame, parts: list[str]) -> DataFrame:
     return rows.withColumn("contributors", names).withColumn("summary", F.when(F.size(names) == 0, "no evidence").otherwise(F.concat(F.lit("mainly "), F.array_join(F.slice(names, 1, 2), " and "))))
 
 
+def explained(rows: DataFrame, parts: list[str], severity: str, results: str, name: list[str]) -> DataFrame:
+    """Adds to an alert's evidence the contributors with their values, the largest absolute one first (equal ones in the order of parts),
+    the rules that were triggered with outcome, and a summary. results: the results of its verifications, an array; name: the columns of alert type
+    and asset. The rules: ALERT_THRESHOLD (its outcome is the severity, with the fusion score), MARKET_CORROBORATION (a market score of 0.35 at
+    least), and CLAIM_VERIFICATION where there are verifications (their results, each once, in order)."""
+    each = F.array_compact(F.array(*(F.when(F.col(p).isNotNull(), F.struct((-F.abs(F.col(p))).alias("o"), F.lit(i).alias("i"), F.lit(p).alias("feature"), F.col(p).alias("value"))) for i, p in enumerate(parts))))
+    rule = lambda k, outcome, score=None: F.struct(F.lit(k).alias("rule"), outcome.cast("string").alias("outcome"), (F.lit(None) if score is None else score).cast("double").alias("fusion_score"))
+    checked = F.when(F.size(results) > 0, rule("CLAIM_VERIFICATION", F.array_join(F.array_sort(F.array_distinct(results)), ",")))
+    rules = F.array_compact(F.array(rule("ALERT_THRESHOLD", F.col(severity), F.col("fusion_score")), rule("MARKET_CORROBORATION", F.coalesce("market_score", F.lit(0.0)) >= 0.35), checked))
+    out = rows.withColumns({"contributors": F.transform(F.array_sort(each), lambda x: F.struct(x["feature"], x["value"])), "rules": rules})
+    top = F.coalesce(F.get("contributors", F.lit(0))["feature"], F.lit("available evidence"))
+    return out.withColumn("summary", F.concat(F.concat_ws(" ", severity, name[0]), F.lit(" for "), F.col(name[1]), F.lit("; the strongest recorded contributor was "), top, F.lit(".")))
+
+
 def rank_evidence(matches: DataFrame, claim: str, document: str, chunk: str) -> DataFrame:
     """matches: claim, document, chunk, score, before, conflict. One row for each document and relation, the best chunk, ranked."""
     relation = F.when(~F.col("before"), "RETROSPECTIVE").when(F.col("conflict"), "CONFLICTING").otherwise("SUPPORTING")

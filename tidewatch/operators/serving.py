@@ -136,8 +136,11 @@ def scd2(changes: DataFrame, key: str, at: str) -> DataFrame:
     return changes.withColumn("effective_to", F.lead(at).over(w)).withColumn("version", F.row_number().over(w)).withColumn("current", F.col("effective_to").isNull())
 
 
-def versions(docs: DataFrame, key: str, order: str, content: str) -> DataFrame:
-    """Documents that differ from the one before them under their key, with version numbers; the last is CURRENT."""
+def versions(docs: DataFrame, key: str, order: str, content: str, first_observed: str | None = None, ingested: str | None = None) -> DataFrame:
+    """Documents that differ from the one before them under their key, with version numbers; the last is CURRENT. Where there are times
+    of observation and ingestion, a version is available from the later of them (available_at)."""
+    if first_observed and ingested:
+        docs = docs.withColumn("available_at", F.greatest(first_observed, ingested))
     w = Window.partitionBy(key).orderBy(order)
     changed = docs.withColumn("hash", F.sha2(F.coalesce(F.col(content), F.lit("")), 256)).withColumn("before", F.lag("hash").over(w)).where(F.col("before").isNull() | (F.col("hash") != F.col("before")))
     return changed.withColumn("version", F.row_number().over(w)).withColumn("status", F.when(F.lead("hash").over(w).isNull(), "CURRENT").otherwise("SUPERSEDED")).drop("before")
@@ -160,6 +163,20 @@ def alert_trail(alerts: DataFrame, key: str, order: list[str], alert: str) -> Da
     return alerts.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.array_join(ids, ",").alias("evidence"))
 
 
+def overview(assets: DataFrame, scores: DataFrame, campaigns: DataFrame, key: str, score_order: list[str], campaign_order: list[str]) -> DataFrame:
+    """Each asset with its latest score and its latest campaign, as structs, where it has them."""
+    last = lambda rows, order, name: rows.groupBy(key).agg(F.max_by(F.struct(*(c for c in rows.columns if c != key)), F.struct(*order)).alias(name))
+    return assets.join(last(scores, score_order, "latest_score"), key, "left").join(last(campaigns, campaign_order, "latest_campaign"), key, "left")
+
+
+def alert_detail(alerts: DataFrame, actions: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Alerts with their actions in order: a row for each action with its place and how many there are, and one with place null for an alert
+    without any; so no row grows with an alert's history."""
+    w = Window.partitionBy(key)
+    own = actions.withColumns({"place": F.row_number().over(w.orderBy(*order)), "actions": F.count(F.lit(1)).over(w)})
+    return alerts.join(own, key, "left").na.fill(0, ["actions"])
+
+
 def cases(rows: DataFrame, opened: Column, status: Column, deadline: int, closed: str) -> DataFrame:
     """Adds whether a case that is not closed was opened before the deadline."""
     return rows.withColumn("breached", (opened < deadline) & (status != closed))

@@ -86,6 +86,37 @@ def matches(found: DataFrame, indicators: DataFrame) -> DataFrame:
     return found.join(indicators.select("indicator_type", "indicator_value", "indicator_id", "fetched_at"), ["indicator_type", "indicator_value"])
 
 
+def asset_matches(found: DataFrame, indicators: DataFrame, mentions: DataFrame, key: str, confidence: float = 0.7) -> DataFrame:
+    """Matches with active indicators for each asset that the post was resolved to. mentions: key, scope_id, asset_id, event_time; indicators
+    may have `active`. A match counts from the later of the post and the indicator's fetch (evidence_cutoff), and there is one for a
+    scope, asset, post and indicator, however often the post names them. Posts that are resolved to no asset have none."""
+    active = indicators.where(F.coalesce("active", F.lit(True))) if "active" in indicators.columns else indicators
+    own = mentions.where(F.col("asset_id").isNotNull()).select(key, "scope_id", "asset_id", "event_time").dropDuplicates([key, "scope_id", "asset_id"])
+    rows = matches(found, active).join(own, key).dropDuplicates([key, "scope_id", "asset_id", "indicator_id"])
+    match_id = uuid5(F.concat_ws(":", F.lit("threat-match"), "scope_id", "asset_id", F.col(key).cast("string"), "indicator_id"))
+    return rows.withColumns({"match_id": match_id, "match_type": F.lit("EXACT"), "evidence_cutoff": F.greatest("event_time", "fetched_at"), "confidence": F.lit(confidence)})
+
+
+def ingest(indicators: DataFrame, observations: DataFrame, batch: DataFrame, fetched_at: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A fetch of a feed taken into what is kept. batch: provider_id, type, indicator, created, modified (null: created) and pulse_modified.
+
+    Returns the indicators after it (by indicator_id: first_seen as first kept, the least of those that are new; last_seen, of the greatest
+    (pulse_modified, provider_id) of the newest fetch; fetched_at; active), the observations (each provider_id once, the first one kept; of a
+    batch that of the least pulse_modified) and one row with the feed's watermark: the greatest pulse_modified, also of pulses whose
+    indicators are broken. Taking a batch again changes nothing but fetched_at."""
+    seen = F.coalesce("modified", "created")
+    good = normalize(batch).withColumn("seen", seen)
+    order = F.struct("pulse_modified", "provider_id")
+    fresh = good.groupBy("indicator_id").agg(F.first("indicator_type").alias("indicator_type"), F.first("indicator_value").alias("indicator_value"), F.min("created").alias("first_seen"), F.max_by("seen", order).alias("last_seen")).withColumns({"fetched_at": F.lit(fetched_at).cast("long"), "active": F.lit(True)})
+    both = indicators.select(*fresh.columns).withColumn("__at", F.lit(0)).unionByName(fresh.withColumn("__at", F.lit(1)))
+    rest = ["last_seen", "fetched_at", "active"]
+    kept = both.groupBy("indicator_id", "indicator_type", "indicator_value").agg(F.min_by("first_seen", "__at").alias("first_seen"), F.max_by(F.struct(*rest), "__at").alias("r")).select("indicator_id", "indicator_type", "indicator_value", "first_seen", "r.*")
+    new = good.select("provider_id", "indicator_id", F.col("seen").alias("observed_at"), F.lit(fetched_at).cast("long").alias("fetched_at"), "pulse_modified")
+    once = new.groupBy("provider_id").agg(F.min_by(F.struct("indicator_id", "observed_at", "fetched_at"), F.struct("pulse_modified", "observed_at", "indicator_id")).alias("r")).select("provider_id", "r.*")
+    log = observations.select(*once.columns).unionByName(once.join(observations.select("provider_id"), "provider_id", "left_anti"))
+    return kept, log, batch.agg(F.max("pulse_modified").alias("watermark"))
+
+
 def new_matches(found: DataFrame, indicators: DataFrame, made: DataFrame, key: str, since: int, most: int = 1000) -> DataFrame:
     """Backfill: matches of posts with the newest `most` indicators fetched since then that are not among those made."""
     recent = indicators.where(F.col("fetched_at") >= since).orderBy(F.desc("fetched_at"), "indicator_id").limit(most)

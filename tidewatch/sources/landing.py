@@ -68,9 +68,11 @@ def feed_items(raw: DataFrame, url: str = "url", body: str = "body") -> DataFram
     return items.select(F.sha2(F.concat_ws(":", url, guid), 256).alias("source_post_id"), when.alias("event_time"), F.col("i.title").alias("title"), plain_text(F.concat_ws(" ", "i.title", "i.description", "i.link")).alias("text")).dropDuplicates(["source_post_id"])
 
 
-def candles(raw: DataFrame, body: str = "body", interval: int = 60) -> DataFrame:
-    """Arrays of candles (arrays of open time in ms, open, high, low, close, volume and more) as rows."""
-    c = F.explode(F.from_json(F.col(body), "array<array<string>>"))
+def candles(raw: DataFrame, body: str = "body", interval: int = 60, closed: bool = True) -> DataFrame:
+    """Arrays of candles (arrays of open time in ms, open, high, low, close, volume and more) as rows. The last of an array is still
+    open, and left out where only closed ones are wanted."""
+    all_ = F.from_json(F.col(body), "array<array<string>>")
+    c = F.explode(F.slice(all_, 1, F.greatest(F.size(all_) - 1, F.lit(0))) if closed else all_)
     number = lambda i: F.get("c", F.lit(i)).cast("double")
     return raw.select("asset_id", c.alias("c")).select("asset_id", F.timestamp_millis(F.get("c", F.lit(0)).cast("long")).alias("event_time"), F.lit(interval).alias("interval_seconds"), *(number(i + 1).alias(k) for i, k in enumerate(("open", "high", "low", "close", "volume"))))
 
@@ -175,6 +177,14 @@ def filings(raw: DataFrame, seen: DataFrame, per_run: int = 100) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("company").orderBy("n"))).where(F.col("place") <= min(1000, max(1, per_run))).drop("place")
 
 
+def seen_filings(new: DataFrame, seen: DataFrame, most: int = 5000) -> DataFrame:
+    """The keys that were seen after a run: of each company (accession, place) the newest `most`, those of the run first and in its order
+    (n), then the ones seen before in theirs (place); a key that comes again counts as new."""
+    both = new.select("company", "accession", F.lit(0).alias("old"), F.col("n").cast("long").alias("at")).unionByName(seen.select("company", "accession", F.lit(1).alias("old"), F.col("place").cast("long").alias("at")))
+    once = both.groupBy("company", "accession").agg(F.min(F.struct("old", "at")).alias("o"))
+    return once.withColumn("place", F.row_number().over(Window.partitionBy("company").orderBy("o", "accession"))).where(F.col("place") <= most).drop("o")
+
+
 def pulses(raw: DataFrame, body: str = "body") -> DataFrame:
     """Threat pulses as indicator rows. A malformed pulse, and a malformed indicator of a sound one, is a row with broken =
     true of its own; the others of its pulse are not touched."""

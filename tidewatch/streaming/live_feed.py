@@ -87,4 +87,5 @@ def live_feed(rows: DataFrame, length: int = 10_000) -> DataFrame:
     """rows: published and subscribed rows together, as a stream or a table (then they are one batch). What each subscriber is sent: feed,
     subscriber, event_id, kind (event or reset), body. Feeds are spread over tasks by their name; a feed's state is its ring and a
     cursor for each subscriber. A restarted stream goes on from its checkpoint and sends nothing twice. Needs the RocksDB state store."""
+    rows.sparkSession.streams.active  # noqa: B018  a table has no stream that would start what looks after the state stores
     return rows.groupBy("feed").transformWithStateInPandas(LiveFeed(length), OUT, "Append", "None")
