@@ -37,3 +37,17 @@ def test_long_dialogues_in_parts_ties_nulls_and_no_rows(spark):
     assert {r["rendered"] for r in got if r["conv_id"] is None} == {"<|assistant|>\nn<|end|>\n<|assistant|>\nm<|end|>\n"}
     assert not [r for r in got if r["conv_id"] == 2] and [r["n_turns"] for r in got if r["conv_id"] == 3] == [2]
     assert chat.rotate_perspectives(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_equal_and_null_turn_numbers_in_pieces(spark):
+    rows = [(1, None, "ab"[i % 2], f"{i:05}", "") for i in range(3000)] + [(1, 7, "a", "same", "")] * 700 + [(None, 5, "c", f"{i:04}", "") for i in range(600)] + [(2, 3, "a", "t", "")]
+    got = chat.rotate_perspectives(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    assert max(r["n_turns"] for r in got) == 512 and len(got) == 2 * 8 + 2 + 1
+    for me in "ab":
+        own = sorted((r for r in got if r["conv_id"] == 1 and r["participant"] == me), key=lambda r: r["piece"])
+        assert [r["piece"] for r in own] == list(range(8)) and sum(r["n_turns"] for r in own) == 3700
+        turns = sorted([(0 if n is None else 1 + n, role, t) for c, n, role, t, _ in rows if c == 1])
+        assert "".join(r["rendered"] for r in own) == plain([(n, role, t) for n, role, t in turns])[me][0]
+        for r in own:
+            spans = [tuple(map(int, x.split(":"))) for x in r["mask"].split(",") if x]
+            assert len(spans) == r["n_trained"] and all(r["rendered"][: a].endswith("<|assistant|>\n") and r["rendered"][a:b].endswith(chat.END) for a, b in spans)
