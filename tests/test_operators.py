@@ -154,6 +154,17 @@ def test_mentions_of_a_table_of_cases(spark):
         assert (r["asset_id"] is not None) == (r["status"] == "RESOLVED")
     assert [got.get(i, []) for i in range(len(MENTIONS))] == [want for _, want in MENTIONS]
 
+def test_mentions_hold_few_places_at_a_time(spark):
+    """Many places of a text go on in pieces, beside aliases of any length; the texts are read once."""
+    registry = spark.createDataFrame([("GO", "A1", False), ("STAY " + "X" * 50_000, "A2", False), ("Ü", "A3", False), (None, "A4", False)], "alias string, asset_id string, ambiguous boolean")
+    long = "go on " * 30_000
+    posts = spark.createDataFrame([(1, long), (2, "stay " + "x" * 50_000), (3, "stay " + "x" * 50_001 + " $go #None \ufb01 ü"), (4, None)], "post_id int, text string")
+    got = text.resolve_mentions(posts, registry)
+    assert got.groupBy("post_id", "kind", "asset_id").count().orderBy("post_id", "kind", "asset_id").collect() == [(1, "BARE", "A1", 30_000), (2, "BARE", "A2", 1), (3, "BARE", "A3", 1), (3, "CASHTAG", "A1", 1), (3, "HASHTAG", None, 1)]
+    handed = list(text.pieces((1, "x" * 10, i, "y" * 1000) for i in range(20_000)))
+    assert sum(map(len, handed)) == 20_000 and max(map(len, handed)) <= text.HELD and max(sum(len(r[-1]) for r in x) for x in handed) <= text.HELD_CHARACTERS
+    assert str(got._jdf.queryExecution().optimizedPlan()).count("MapInArrow") == 1
+
 
 def test_clusters_take_the_best_that_both_limits_allow(spark):
     """A post whose nearest centroid has a member too far from it joins the next group, which admits it."""

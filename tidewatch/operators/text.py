@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import hmac_sha256, jaccard, nfkc
+from tidewatch.sources.tables import shared_folder
 
 #: Signs of an attempt to steer a reader of the text (fixed values).
 INJECTION = [r"(?i)ignore\s+(all\s+)?previous\s+instructions", r"(?i)reveal\s+(the\s+)?(system|developer)\s+prompt", r"(?i)<\s*(system|assistant|tool)\s*>", r"(?i)jailbreak|prompt\s+injection"]
@@ -246,43 +249,75 @@ TAGS = {"CASHTAG": re.compile(r"(?<!\w)\$([A-Za-z][A-Za-z0-9]{0,15})"), "HASHTAG
 RUN = re.compile(r"(?<![\w$#])(\w+|[^\w\s$#])")
 
 
+#: Buckets of first words by their hash: as many numbers, at most, go to each task, whatever the number of aliases.
+BUCKETS = 1 << 18
+#: Places that a task hands on at once, and their characters.
+HELD, HELD_CHARACTERS = 4096, 1 << 22
+
+
+def pieces(places: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Places, whose text is last, in lists of bounded size."""
+    out, n = [], 0
+    for place in places:
+        out.append(place)
+        n += len(place[-1])
+        if len(out) == HELD or n >= HELD_CHARACTERS:
+            yield out
+            out, n = [], 0
+    if out:
+        yield out
+
+
 def resolve_mentions(posts: DataFrame, aliases: DataFrame, text: str = "text") -> DataFrame:
     """posts: post_id and a text; aliases: alias_table's. A row for each cashtag, hashtag and bare alias of several words or
     one: post_id, start, stop, mention_text, kind, asset_id, status, confidence, candidates and reason; offsets are
     those of the text in normal form KC. Aliases may be of any length.
 
     The places where an alias may begin are joined with the aliases by their first word, an equality; a hot word is
-    spread by the measured skew of that join. Whether the whole alias is there is then a comparison of strings.
+    spread by the measured skew of that join. Whether the whole alias is there is then a comparison of strings. Words whose
+    bucket has no alias are passed over before the join, and a place takes along no more text than its bucket's longest alias
+    needs. A task holds one text and a bounded number of places at a time.
     """
 
-    longest = aliases.agg(F.coalesce(F.max(F.length("alias")), F.lit(0))).first()[0]
+    shared_folder(posts.sparkSession)
+    aliases = aliases.checkpoint()  # read three times
+    first = F.regexp_extract("alias", r"(?U)^(\w+|\W)", 1)
+    buckets = aliases.where("alias is not null").groupBy((F.crc32(first) % BUCKETS).alias("bucket")).agg(F.max(F.length("alias")).alias("n")).collect()
+    reach = np.zeros(BUCKETS, np.int32)
+    for r in buckets:
+        reach[r["bucket"]] = r["n"]
+    kinds = (pa.int32(), pa.int32(), *(pa.string(),) * 5)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
-            for post, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                t = t or ""
-                up = upper_in_place(t)
-                for kind, pattern in TAGS.items():
-                    for m in pattern.finditer(t):
-                        out.append((post, m.start(), m.end(), m[0], kind, m[1].upper(), None, None, up[max(0, m.start() - AROUND) : m.end() + AROUND]))
-                for m in RUN.finditer(up):
-                    s = m.start()
-                    out.append((post, s, None, None, "BARE", m[1], up[s : s + longest + 1], t[s : s + longest], up[max(0, s - AROUND) : s + longest + AROUND]))
-            cols = list(zip(*out, strict=True)) or [[]] * 9
-            kinds = (b.schema.field(0).type, pa.int32(), pa.int32(), *(pa.string(),) * 6)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["post_id", "start", "stop", "said", "kind", "word", "tail", "plain", "around"])
+            rows = ((b.column(0)[i].as_py(), b.column(1)[i].as_py() or "") for i in range(b.num_rows))
+            for out in pieces(place for post, t in rows for place in of_text(post, t if t.isascii() else unicodedata.normalize("NFKC", t))):
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (b.schema.field(0).type, *kinds), strict=True)], names=["post_id", "start", "stop", "said", "kind", "word", "plain", "around"])
+
+    def of_text(post: object, t: str) -> Iterator[tuple]:
+        up = upper_in_place(t)
+        for kind, pattern in TAGS.items():
+            for m in pattern.finditer(t):
+                yield post, m.start(), m.end(), m[0], kind, m[1].upper(), None, up[max(0, m.start() - AROUND) : m.end() + AROUND]
+        for m in RUN.finditer(up):
+            if longest := int(reach[zlib.crc32(m[1].encode()) % BUCKETS]):
+                s = m.start()
+                yield post, s, None, None, "BARE", m[1], t[s : s + longest], up[max(0, s - AROUND) : s + longest + AROUND]
 
     key = posts.schema["post_id"].dataType.simpleString()
-    found = posts.select("post_id", nfkc(F.col(text)).alias("text")).mapInArrow(places, f"post_id {key}, start int, stop int, said string, kind string, word string, tail string, plain string, around string")
+    found = posts.select("post_id", text).mapInArrow(places, f"post_id {key}, start int, stop int, said string, kind string, word string, plain string, around string")
     known = aliases.groupBy("alias").agg(F.sort_array(F.collect_set("asset_id")).alias("candidates"), F.max("ambiguous").alias("unsure"))
-    tags = found.where("kind <> 'BARE'").join(known.withColumnRenamed("alias", "word"), "word", "left").select("post_id", "start", "stop", F.col("said").alias("mention_text"), "kind", "candidates", "unsure", "around")
-    first = known.withColumn("word", F.regexp_extract("alias", r"(?U)^(\w+|\W)", 1))
-    n = F.length("alias")
-    bare = found.where("kind = 'BARE'").join(first, "word").where(F.col("tail").startswith(F.col("alias")) & ~F.col("tail").substr(n + 1, F.lit(1)).rlike(r"(?U)^\w"))
-    context = F.col("around").substr(F.lit(1), F.least("start", F.lit(AROUND)) + n + AROUND)
-    bare = bare.select("post_id", "start", (F.col("start") + n).cast("int").alias("stop"), F.substring(F.col("plain"), F.lit(1), n).alias("mention_text"), "kind", "candidates", "unsure", context.alias("around"))
-    rows = tags.unionByName(bare)
+    # Tags ask for an alias, other places for its first word: one join, so that the texts are read once.
+    asked = known.select(F.lit(True).alias("tag"), F.col("alias").alias("word"), "*").unionByName(known.select(F.lit(False).alias("tag"), first.alias("word"), "*"))
+    rows = found.withColumn("tag", F.col("kind") != "BARE").join(asked, ["tag", "word"], "left")
+    n, before = F.length("alias"), F.least("start", F.lit(AROUND))
+    whole = (F.col("around").substr(before + 1, n) == F.col("alias")) & ~F.col("around").substr(before + n + 1, F.lit(1)).rlike(r"(?U)^\w")
+    own = lambda of_tag, of_bare: F.when(F.col("tag"), of_tag).otherwise(of_bare)
+    rows = rows.where(F.col("tag") | whole).select(
+        "post_id", "start", own(F.col("stop"), (F.col("start") + n).cast("int")).alias("stop"), own(F.col("said"), F.substring(F.col("plain"), F.lit(1), n)).alias("mention_text"), "kind", "candidates", "unsure",
+        own(F.col("around"), F.col("around").substr(F.lit(1), before + n + AROUND)).alias("around"),
+    )
     market = F.lit(False)
     for w in MARKET_WORDS:
         market = market | F.col("around").contains(w)
