@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +103,20 @@ def test_percentiles_by_slices_equal_sorting(spark):
             want[k] = own[round((len(own) - 1) * fraction)]
         for slices in (1, 7, 4096):
             assert {r["k"]: r["percentile"] for r in evaluation.exact_percentile(df, ["k"], "x", fraction, slices).collect()} == want
+
+
+def test_alert_claims_are_counted_without_pairs(spark):
+    """As counted from the pairs; and a hundred thousand alerts of one asset with as many claims, which would be 5 billion."""
+    rng = random.Random(4)
+    pick = lambda n: rng.choice([None, *range(n)])
+    alerts = [(i // 2 if i % 9 else None, "LIVE" if i % 5 else "OTHER", pick(4), pick(30)) for i in range(80)]
+    named = [(i % 11, "LIVE" if i % 4 else "OTHER", pick(5)) for i in range(24)]
+    claims = [(i, pick(12), pick(30)) for i in range(150)]
+    frames = [spark.createDataFrame(alerts, "alert_id int, scope_id string, asset_id int, last_triggered long"), spark.createDataFrame(named, "narrative_id int, scope_id string, asset_id int"), spark.createDataFrame(claims, "claim_id int, narrative_id int, extracted long")]
+    want = lifecycle.alert_claims(*frames).groupBy("alert_id").agg(F.count(F.lit(1)).alias("claims"), F.max("extracted").alias("newest")).collect()
+    assert len(want) > 20 and set(lifecycle.alert_claim_counts(*frames).collect()) == set(want)
+    n = 100_000
+    a = spark.range(n).select(F.col("id").alias("alert_id"), F.lit("LIVE").alias("scope_id"), F.lit(1).alias("asset_id"), F.col("id").alias("last_triggered"))
+    c = spark.range(n).select(F.col("id").alias("claim_id"), F.lit(7).alias("narrative_id"), F.col("id").alias("extracted"))
+    many = lifecycle.alert_claim_counts(a, spark.createDataFrame([(7, "LIVE", 1)], frames[1].schema), c)
+    assert many.where("claims = alert_id + 1 and newest = alert_id").count() == n

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import canonical_hash, uuid5
-from tidewatch.operators import scoring, serving
+from tidewatch.operators import scans, scoring, serving
 
 
 def latest_windows(revisions: DataFrame, key: list[str]) -> DataFrame:
@@ -169,6 +169,22 @@ def alert_claims(alerts: DataFrame, narratives: DataFrame, claims: DataFrame) ->
     return own.where("extracted <= last_triggered").select("alert_id", "claim_id", "narrative_id", "extracted")
 
 
+def alert_claim_counts(alerts: DataFrame, narratives: DataFrame, claims: DataFrame) -> DataFrame:
+    """Inputs as of alert_claims. Per alert with claims: how many there are, and when the newest was extracted; what alert_claims would give when
+    counted, without its pairs. Claims by their time, and alerts, are one ordered stream of their asset with running sums, cut into ranges for
+    many tasks: work grows with claims and alerts."""
+    keys, order = ["scope_id", "asset_id"], ["t", "rank"]
+    known = [F.col(k).isNotNull() for k in keys]
+    found = claims.where("extracted is not null").groupBy("narrative_id", "extracted").agg(F.count(F.lit(1)).alias("n"))
+    found = found.join(narratives.where(known[0] & known[1]), "narrative_id").groupBy(*keys, F.col("extracted").alias("t")).agg(F.sum("n").alias("n"))
+    due = alerts.where(known[0] & known[1] & F.col("last_triggered").isNotNull())
+    asked = due.select(*keys, F.col("last_triggered").alias("t")).distinct()
+    stream = found.select(*keys, "t", F.lit(0).alias("rank"), "n").unionByName(asked.select(*keys, "t", F.lit(1).alias("rank"), F.lit(0).cast("long").alias("n")))
+    upto = scans.prefixed(scans.in_ranges(stream, keys, order), keys, order, {"claims": F.col("n")}, {"newest": F.when(F.col("rank") == 0, F.col("t"))})
+    upto = upto.where("rank = 1 and claims > 0").select(*keys, F.col("t").alias("last_triggered"), "claims", "newest")
+    return due.join(upto, [*keys, "last_triggered"]).groupBy("alert_id").agg(F.sum("claims").alias("claims"), F.max("newest").alias("newest"))
+
+
 def document_versions(wanted: DataFrame, documents: DataFrame, key: str, licence: Column, text: str) -> DataFrame:
     """All versions of the wanted documents (rows with key), the text only where the licence allows it."""
     rows = documents.join(wanted.select(key).distinct(), key, "left_semi")
