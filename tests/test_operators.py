@@ -219,3 +219,27 @@ def test_graph_projection_is_typed_distinct_and_idempotent(spark):
 def test_depth_goes_on_over_reposts(spark):
     rows = [(1, "a", None, None), (1, "b", "a", None), (1, "c", None, "b"), (1, "d", "", "c"), (1, "e", "a", "d")]
     assert graph.depth(spark.createDataFrame(rows, "g int, post_id string, reply_to string, repost_of string"), "g").first()["propagation_depth"] == 3
+
+
+def test_messages_of_one_channel_lie_in_many_tasks(spark):
+    """And are signed as the standard library does, each channel with its own secret."""
+    import hashlib
+    import hmac
+
+    secrets = {0: "pepper", 1: None, 2: "", 3: "k" * 64, 4: "sält"}
+    channels = spark.createDataFrame([(i, "WEBHOOK" if i != 3 else "SLACK", s) for i, s in secrets.items()] + [(5, "WEBHOOK", "k" * 64)], "channel_id int, channel_type string, secret string")
+    secrets |= {3: None, 5: "k" * 64}
+    text_of = lambda v: F.lit(v).alias(v)
+    sent = spark.range(1200).select(F.when(F.col("id") < 1000, 0).otherwise(F.col("id") % 6).cast("int").alias("channel_id"), F.col("id").cast("string").alias("event_id"), *(text_of(c) for c in serving.MESSAGE if c != "event_id"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = serving.messages(sent, channels).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 1200 and len({r["task"] for r in got if r["channel_id"] == 0}) > 1
+    for r in got:
+        secret = secrets[r["channel_id"]]
+        assert r["signature"] == ("sha256=" + hmac.new(secret.encode(), r["body"].encode(), hashlib.sha256).hexdigest() if secret else None)

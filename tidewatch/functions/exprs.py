@@ -40,12 +40,17 @@ def hmac_sha256(key: str, message: Column) -> Column:
     return F.sha2(F.concat(pad(0x5C), F.unhex(inner)), 256)
 
 
-def hmac_sha256_by(key: Column, message: Column) -> Column:
-    """As hmac_sha256, with a key of its own for each row."""
+def hmac_pads(key: Column) -> Column:
+    """The two blocks that a key of up to 64 bytes gives (inner, outer): to be worked out once for each key, not for each message."""
     block = F.rpad(F.hex(F.encode(key, "UTF-8")), 128, "0")
     byte = lambda i: F.conv(F.substr(block, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
     pad = lambda x: F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lpad(F.hex(byte(i).bitwiseXOR(F.lit(x))), 2, "0")), ""))
-    return F.sha2(F.concat(pad(0x5C), F.unhex(F.sha2(F.concat(pad(0x36), F.encode(message, "UTF-8")), 256))), 256)
+    return F.struct(pad(0x36).alias("inner"), pad(0x5C).alias("outer"))
+
+
+def hmac_sha256_by(pads: Column, message: Column) -> Column:
+    """As hmac_sha256, with a key of its own for each row, given as hmac_pads."""
+    return F.sha2(F.concat(pads["outer"], F.unhex(F.sha2(F.concat(pads["inner"], F.encode(message, "UTF-8")), 256))), 256)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.exprs import SEVERITIES, hmac_sha256_by, rank_of, uuid5
+from tidewatch.functions.exprs import SEVERITIES, hmac_pads, hmac_sha256_by, rank_of, uuid5
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -66,18 +66,22 @@ def retry_state(deliveries: DataFrame, now: int, most: int = 5) -> DataFrame:
 
 
 MESSAGE = ["alert_id", "alert_type", "asset_id", "campaign_id", "event_id", "event_time", "event_type", "severity", "status"]
+#: Parts of a channel: its deliveries are dealt over so many keys of the join.
+SPREAD = 64
 
 
 def messages(deliveries: DataFrame, channels: DataFrame, sender: str = "") -> DataFrame:
     """deliveries: channel_id and the fields of MESSAGE; channels: channel_id, channel_type, secret. What is sent to each: body, the fields
-    as JSON by name (chats get one line of text), the idempotency key, and for a webhook with a secret the body's signature."""
-    rows = deliveries.join(channels, "channel_id")
+    as JSON by name (chats get one line of text), the idempotency key, and for a webhook with a secret the body's signature. What a secret gives is worked out once for its channel, and a
+    channel's deliveries lie in many tasks, however few the channels are."""
+    pads = F.when((F.col("channel_type") == "WEBHOOK") & (F.col("secret") != ""), hmac_pads(F.col("secret")))
+    own = channels.select("channel_id", "channel_type", pads.alias("__pads")).withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    rows = deliveries.withColumn("__part", F.pmod(F.xxhash64("event_id"), F.lit(SPREAD)).cast("int")).join(own, ["channel_id", "__part"])
     whole = F.to_json(F.struct(*MESSAGE), {"ignoreNullFields": "false"})
     line = F.concat_ws(" ", F.lit(sender) if sender else F.lit(None), F.format_string("%s alert: %s for %s", "severity", "alert_type", "asset_id")).alias("text")
     body = F.when(F.col("channel_type") == "SLACK", F.to_json(F.struct(line))).when(F.col("channel_type") == "TEAMS", F.to_json(F.struct(line, F.lit("message").alias("type")))).otherwise(whole)
     rows = rows.withColumn("body", body)
-    signs = (F.col("channel_type") == "WEBHOOK") & (F.col("secret") != "")
-    signature = F.when(signs, F.concat(F.lit("sha256="), hmac_sha256_by(F.col("secret"), F.col("body"))))
+    signature = F.concat(F.lit("sha256="), hmac_sha256_by(F.col("__pads"), F.col("body")))
     return rows.select("channel_id", "event_id", F.col("event_id").alias("idempotency_key"), "channel_type", "body", signature.alias("signature"))
 
 
