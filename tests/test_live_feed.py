@@ -40,3 +40,22 @@ def test_a_table_is_one_batch_in_any_order(rocks, parts):  # noqa: F811
     got = sent(live_feed.live_feed(e.unionByName(s).repartition(parts), length=10).collect())
     want = [("f0", "a", "event", i, str(i)) for i in (96, 98, 100)] + [("f0", "b", live_feed.RESET, 82, None)] + [("f0", "c", "event", i, str(i)) for i in range(82, 101, 2)]
     assert [g for g in got if g[4]] == [w for w in want if w[4]] and len(got) == len(want) and want[3] in got
+
+
+def test_of_a_table_only_what_rings_keep_comes_together(rocks, monkeypatch):  # noqa: F811
+    """Also with repeats of ids, ids that are not above 0, and feeds without events; and what is sent is as of all rows."""
+    spark = rocks
+    e = spark.range(-50, 3000).select(F.concat(F.lit("f"), F.col("id") % 2).alias("feed"), F.col("id").alias("event_id"), F.col("id").cast("string").alias("body"))
+    again = e.where("event_id % 7 = 0").select("feed", "event_id", F.when(F.col("event_id") % 3 == 0, "A").alias("body"))
+    few = spark.createDataFrame([("g", 0, "zero"), ("g", -1, "below"), ("g", 2, None), ("g", None, "none")], "feed string, event_id long, body string")
+    events = e.unionByName(again).unionByName(again).unionByName(few)
+    events = live_feed.published(events, F.col("feed"), F.col("event_id"), F.col("body"))
+    asked = spark.createDataFrame([(f, s, c) for f in ("f0", "f1", "g", "h") for s, c in (("a", 0), ("b", 10), ("c", 2985), ("d", None))], "feed string, s string, c long")
+    rows = events.unionByName(live_feed.subscribed(asked, F.col("feed"), F.col("s"), F.col("c")))
+    kept = live_feed.newest(rows, 20)
+    n = {r["feed"]: r["count"] for r in kept.where("subscriber is null").groupBy("feed").count().collect()}
+    assert n == {"f0": 20, "f1": 20, "f-1": 20, "g": 3} and kept.where("subscriber is not null").count() == 16
+    got = sent(live_feed.live_feed(rows, length=20).collect())
+    monkeypatch.setattr(live_feed, "newest", lambda r, n: r)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(got, key=key) == sorted(sent(live_feed.live_feed(rows, length=20).collect()), key=key) and len(got) > 40

@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -83,9 +83,28 @@ class LiveFeed(StatefulProcessor):
         pass
 
 
+#: Parts of a feed that are cut to the newest by themselves.
+PARTS = 64
+
+
+def newest(rows: DataFrame, length: int) -> DataFrame:
+    """Rows of one batch on feeds that nothing was sent of yet: of each feed's events the newest `length` ids, each once with its least body, and
+    all subscriptions. A ring keeps no others, and no subscriber is there yet whom others would be sent to. A feed is cut in parts first."""
+    own = rows.where("subscriber is null and event_id is not null").groupBy("feed", "event_id").agg(F.min("body").alias("body"))
+    own = own.withColumn("__part", F.pmod(F.xxhash64("event_id"), F.lit(PARTS)))
+    for keys in (["feed", "__part"], ["feed"]):
+        own = own.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("event_id")))).where(F.col("__r") <= length)
+    none = rows.schema["subscriber"].dataType
+    events = own.select("feed", "event_id", "body", F.lit(None).cast(none).alias("subscriber"), F.lit(None).cast("long").alias("cursor"))
+    return events.unionByName(rows.where("subscriber is not null").select("feed", "event_id", "body", "subscriber", "cursor"))
+
+
 def live_feed(rows: DataFrame, length: int = 10_000) -> DataFrame:
     """rows: published and subscribed rows together, as a stream or a table (then they are one batch). What each subscriber is sent: feed,
     subscriber, event_id, kind (event or reset), body. Feeds are spread over tasks by their name; a feed's state is its ring and a
-    cursor for each subscriber. A restarted stream goes on from its checkpoint and sends nothing twice. Needs the RocksDB state store."""
+    cursor for each subscriber. A restarted stream goes on from its checkpoint and sends nothing twice. Needs the RocksDB state store.
+    A table's older events, which no ring would keep, are left out before a feed's rows come together."""
+    if not rows.isStreaming:
+        rows = newest(rows, length)
     rows.sparkSession.streams.active  # noqa: B018  a table has no stream that would start what looks after the state stores
     return rows.groupBy("feed").transformWithStateInPandas(LiveFeed(length), OUT, "Append", "None")
