@@ -12,6 +12,8 @@ from tidewatch.sources.tables import shared_folder
 
 #: Rows that are composed as one, and then as many of these as one, and so on.
 PIECE = 256
+#: Rows that one task may hold sorted.
+FEW = 10_000
 
 
 def in_ranges(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -34,6 +36,18 @@ def prefixed(placed: DataFrame, keys: list[str], order: list[str], sums: dict[st
     return out.withColumns(joined).drop(*(f"__{n}" for n, *_ in asked))
 
 
+def first_rows(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first n rows by `order`, which must tell rows apart. A few are a sorted list; more are counted in ranges, so that no task holds them."""
+    if n <= FEW:
+        return rows.orderBy(*order).limit(n)
+    shared_folder(rows.sparkSession)
+    placed = rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()).checkpoint()
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    heads = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")).select("__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))  # a row for each range
+    own = placed.withColumn("__i", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
+    return own.join(heads, "__range").where(F.col("__i") + F.col("__before") <= n).drop("__range", "__i", "__before")
+
+
 def folded(placed: DataFrame, keys: list[str], order: list[str], element: Column, join: Callable[[Column, Column], Column], empty: Column, kind: str) -> DataFrame:
     """placed (of in_ranges) with __element, and `before`: what the elements of all earlier rows of the key make, put together in order by
     `join`, which must be associative and keep elements small, with `empty` for none. kind: their type.

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tidewatch.functions.exprs import uuid5
 from tidewatch.operators import scans
+from tidewatch.sources.tables import shared_folder
 
 #: Names of feeds' indicator types and what they are here (fixed values).
 TYPES = {
@@ -64,15 +65,19 @@ def normalize(rows: DataFrame, kind: str = "type", value: str = "indicator") ->
 
 
 HOST = r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:@\s]+)"
+#: Runs of the characters that addresses have which may be something: with a colon, with a dot between others, or of 32 hexadecimal digits and more.
+CHARACTERS, OTHERS = "[A-Za-z0-9:@._/%?=&+-]", "[A-Za-z0-9:@_/%?=&+-]"
+RUN = rf"(?<!{CHARACTERS})(?=\.*[0-9A-Fa-f]{{32}}|{CHARACTERS}*?(?::|{OTHERS}\.+{OTHERS}))({CHARACTERS}+)"
 
 
 def candidates(posts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """What of a text may be an indicator: (key, indicator_type, indicator_value), distinct. Its addresses and their hosts;
-    and of its runs of the characters that addresses have, those that are a domain, an IP address or a hash as a whole."""
+    and of its runs of the characters that addresses have, those that are a domain, an IP address or a hash as a whole. Plain words,
+    which are most runs, are passed over as the text is read."""
     t = F.col(text)
     strip = lambda x: F.regexp_replace(x, r"^[.,;()\[\]]+|[.,;()\[\]]+$", "")
-    runs = F.transform(F.regexp_extract_all(t, F.lit(r"([A-Za-z0-9:@._/%?=&+-]+)"), F.lit(1)), strip)
-    urls = F.transform(F.regexp_extract_all(t, F.lit(r"(?i)(https?://[^\s<>()]+)"), F.lit(1)), lambda u: F.regexp_replace(u, r"[.,;:!?]+$", ""))
+    runs = F.transform(F.regexp_extract_all(t, F.lit(RUN), F.lit(1)), strip)
+    urls = F.transform(F.regexp_extract_all(F.when(t.contains("://"), t).otherwise(""), F.lit(r"(?i)(https?://[^\s<>()]+)"), F.lit(1)), lambda u: F.regexp_replace(u, r"[.,;:!?]+$", ""))
     v = F.col("v")
     address, hexadecimal = v.rlike("(?i)^https?://"), v.rlike("^[0-9a-fA-F]+$")
     tests = [("url", address, v), ("domain", address, F.regexp_extract(v, HOST, 1)), ("domain", ~address & v.contains("."), v), ("ipv4", v.rlike(r"^[0-9]+(\.[0-9]+){3}$"), v), ("ipv6", v.rlike(":.*:"), v), *((k, hexadecimal & (F.length(v) == n), v) for k, n in (("md5", 32), ("sha1", 40), ("sha256", 64)))]
@@ -117,9 +122,15 @@ def ingest(indicators: DataFrame, observations: DataFrame, batch: DataFrame, fet
     return kept, log, batch.agg(F.max("pulse_modified").alias("watermark"))
 
 
+def written(found: DataFrame) -> DataFrame:
+    """Candidates in the shared folder, for what reads them more than once: the texts are then read once."""
+    shared_folder(found.sparkSession)
+    return found.checkpoint()
+
+
 def new_matches(found: DataFrame, indicators: DataFrame, made: DataFrame, key: str, since: int, most: int = 1000) -> DataFrame:
     """Backfill: matches of posts with the newest `most` indicators fetched since then that are not among those made."""
-    recent = indicators.where(F.col("fetched_at") >= since).orderBy(F.desc("fetched_at"), "indicator_id").limit(most)
+    recent = scans.first_rows(indicators.where(F.col("fetched_at") >= since), [F.desc("fetched_at"), F.asc("indicator_id")], most)
     rows = matches(found, recent).withColumn("match_id", uuid5(F.concat_ws(":", F.lit("match"), F.col(key).cast("string"), "indicator_id")))
     return rows.join(made.select("match_id"), "match_id", "left_anti")
 
