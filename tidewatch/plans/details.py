@@ -35,7 +35,7 @@ SELECT DISTINCT c.doc_id, 'A' || a AS asset_id, indicator_type, indicator_value,
 def thr_asset_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of documents' candidates with active indicators for the assets of each document."""
     d = table(spark, sf_dir, "documents")
-    found = threat.candidates(d, "doc_id")
+    found = threat.written(threat.candidates(d, "doc_id"))
     first = found.groupBy("indicator_type", "indicator_value").agg(F.min("doc_id").alias("d"))
     known = first.select("indicator_type", "indicator_value", uuid5(F.concat_ws(":", "indicator_type", "indicator_value")).alias("indicator_id"), (F.col("d") * 60 + 600).alias("fetched_at"), (F.col("d") % 5 != 0).alias("active"))
     at = F.col("doc_id")
