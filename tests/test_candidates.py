@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import scans, threat
-from tidewatch.plans import details, lifecycle
+from tidewatch.plans import details, lifecycle, texts
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,7 +21,7 @@ def test_passing_over_plain_words_loses_no_candidate(spark, monkeypatch):
     assert few == 0 and (3002, "DOMAIN", "x.example") in got and (3003, "MD5", "c" * 32) in got
 
 
-@pytest.mark.parametrize("query", [lifecycle.thr_backfill, details.thr_asset_matches])
+@pytest.mark.parametrize("query", [lifecycle.thr_backfill, details.thr_asset_matches, texts.thr_shared_hashes])
 def test_texts_are_read_once(spark, query):
     """What comes after the candidates reads these, not the texts again."""
     plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -210,7 +210,7 @@ n AS (SELECT h, count(*) AS docs FROM m GROUP BY h) SELECT doc_id, h AS indicato
 def thr_shared_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashes that several texts have: the match of candidates with indicators, the indicators being such hashes."""
     found = threat.candidates(table(spark, sf_dir, "documents"), "doc_id").where("indicator_type in ('MD5', 'SHA1', 'SHA256')")
-    return threat.shared(found, "doc_id").select("doc_id", "indicator_value", "docs")
+    return threat.shared(threat.written(found), "doc_id").select("doc_id", "indicator_value", "docs")
 
 
 @query("""WITH h AS (SELECT 'A' || (user_id % 20) AS asset_id, event_id AS match_id, CAST(epoch(ts) AS BIGINT) AS epoch, CAST(epoch(ts) AS BIGINT) + 3600 AS fetched_at FROM events WHERE event_type = 'error' AND value > 480),
