@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -45,6 +46,25 @@ def test_cells_are_passed_over_where_vectors_lie_in_clusters(spark):
     assert got == brute(rows, rows[:40], 5)
 
 
+def test_similarities_of_full_blocks_are_held_in_slices():
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(size=(2048, 16)), rng.normal(size=(2048, 16))
+    x, y = x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True)
+    y[5:9] = y[5]  # ties, by id
+    ids, own = np.arange(2048), rng.permutation(4096)[:2048]
+    tracemalloc.start()
+    got = []
+    for i, j, s in narratives._best(ids, x, own, y, 5):
+        got.append((i, j, s))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8e6  # all similarities at once are 33 MB, and more with their copies
+    s = np.clip(x @ y.T, 0, 1)
+    s[ids[:, None] == own[None]] = -1
+    for q, (i, j, v) in enumerate(got):
+        assert (i == q).all() and j.tolist() == own[np.lexsort((own, -s[q].round(12)))[:5]].tolist() and np.allclose(v, np.sort(s[q])[::-1][:5])
+
+
 def test_nearest_of_nothing(spark):
     none, one = spark.createDataFrame([], SCHEMA), spark.createDataFrame([(1, [1.0, 0.0], "s", True)], SCHEMA)
     assert narratives.nearest(none, one, 3).count() == narratives.nearest(one, none, 3).count() == narratives.nearest(one, one, 3).count() == 0

@@ -13,6 +13,10 @@ from tidewatch.functions.exprs import cosine, uuid5
 from tidewatch.operators import serving, text
 
 
+#: Queries of a block that are compared at once.
+SLICE = 128
+
+
 def centroids(members: DataFrame, group: str, vector: str = "vector") -> DataFrame:
     """The mean of each group's vectors, of length 1 (0 where it has none): a row for each dimension (group, i, value), so vectors
     of any length do and no group is gathered."""
@@ -52,6 +56,18 @@ def _in_cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     return rows.mapInArrow(place, f"{kinds}, pivot int, angle double")
 
 
+def _best(ids: np.ndarray, x: np.ndarray, own: np.ndarray, y: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each query (ids, x) its k most similar of a block (own, y). Similarities of a slice of queries are held at a time."""
+    for at in range(0, len(ids), SLICE):
+        s = x[at : at + SLICE] @ y.T
+        np.clip(s, 0, 1, out=s)
+        s[ids[at : at + SLICE, None] == own[None]] = -1
+        for i, q in enumerate(ids[at : at + SLICE]):
+            j = np.lexsort((own, -s[i]))[:k]
+            j = j[s[i][j] >= 0]
+            yield np.full(len(j), q), own[j], s[i][j]
+
+
 def _compared(met: DataFrame, k: int) -> DataFrame:
     """met: q_rows, v_rows, blocks of (id, v). Each query's k most similar of a block: query_id, id, similarity."""
 
@@ -63,16 +79,8 @@ def _compared(met: DataFrame, k: int) -> DataFrame:
         for b in batches:
             for r in range(b.num_rows):
                 (ids, x), (own, y) = unpacked(b.column(0)[r]), unpacked(b.column(1)[r])
-                s = np.clip(x @ y.T, 0, 1)
-                s[ids[:, None] == own[None]] = -1
-                out = [], [], []
-                for i in range(len(ids)):
-                    j = np.lexsort((own, -s[i]))[:k]
-                    j = j[s[i][j] >= 0]
-                    out[0].append(np.full(len(j), ids[i]))
-                    out[1].append(own[j])
-                    out[2].append(s[i][j])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["query_id", "id", "similarity"])
+                best = zip(*_best(ids, x, own, y, k), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in best], names=["query_id", "id", "similarity"])
 
     return met.select("q_rows", "v_rows").mapInArrow(compare, "query_id long, id long, similarity double")
 
@@ -126,8 +134,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2048, v
 
     Exact, by pivots: vectors lie in the cell of the pivot that they have the least angle to, cells in blocks. A query first
     meets one block of its own cell; then, by the triangle inequality of angles, it visits only the cells that can hold
-    one at least as near as the k-th found. A task holds a block of each side and returns k rows for each query; no side is
-    broadcast or collected but the pivots."""
+    one at least as near as the k-th found. A task holds a batch of pairs of blocks, which Spark bounds in bytes, and a
+    slice of their similarities, and returns k rows for each query; no side is broadcast or collected but the pivots."""
     asked, blocks, _ = _searched(queries, vectors, k, block, vector, within, where, pivots)
     dealt = asked.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(1, -(-queries.count() // block))))).select("g", "id", "v", "chunk", F.explode("need").alias("pivot"))
     met = dealt.groupBy("g", "pivot", "chunk").agg(F.collect_list(F.struct("id", "v")).alias("q_rows")).join(blocks, ["g", "pivot"])
